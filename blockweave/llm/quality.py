@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_batches, need, utf8
+from .common import held_out, map_batches, need
 from .labelled import training_rows
-from .text import mix, ngram_hashes, word_hashes
+from .text import LOWER, Words, mix, ngram_hashes, word_batches
 
 #: Size of the hashed feature space, longest n-gram, passes over the sample.
 BITS, LONGEST, EPOCHS = 18, 2, 4
@@ -26,21 +26,26 @@ class Model:
     bias: float
 
 
-#: Letters to a or A, digits to 0; the rest stays.
-_CLASS = bytes.maketrans(bytes(range(256)), bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256)))
+#: Classes of bytes: letters are a or A, digits 0; the rest stays.
+_CLASS = np.array([97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256)], np.uint64)
 
 
-def grams(text: bytes) -> np.ndarray:
-    """Hashed features of a text: word n-grams, and coarse forms of the words' first and last characters."""
-    lower = word_hashes(text.lower().split())
-    ends = word_hashes([b"\0" + w[:1] + w[-3:] for w in text.translate(_CLASS).split()])
-    parts = [ngram_hashes(h, n) + np.uint64(n) for h in (lower, ends) for n in range(1, LONGEST + 1)]
-    return (np.concatenate(parts) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64)
+def grams(w: Words) -> list[np.ndarray]:
+    """Hashed features of each text: n-grams of its words, and of the classes of the words' first and last three characters."""
+    chars = _CLASS[w.data]
+    ends = chars[w.starts]
+    for back in (1, 2, 3):
+        ends = ends * np.uint64(256) + np.where(w.ends - back > w.starts, chars[np.maximum(w.ends - back, 0)], np.uint64(0))
+    ends = mix(ends + np.uint64(1 << 40))
+    out = []
+    for i, j in w.texts():
+        parts = [ngram_hashes(h[i:j], n) + np.uint64(n) for h in (w.hashes, ends) for n in range(1, LONGEST + 1)]
+        out.append((np.concatenate(parts) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64))
+    return out
 
 
-def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+def features(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features and their values: counts over the square root of all."""
-    found = grams(text)
     index, count = np.unique(found, return_counts=True)
     return index, count / np.sqrt(max(len(found), 1))
 
@@ -49,7 +54,8 @@ def train(rows: list[tuple[bytes, int]]) -> Model:
     """FTRL over the rows, in their order, EPOCHS times. Without rows, every score is 0.5."""
     z, n, w = np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(1 << BITS, np.float32)
     bias, grad_sq = 0.0, 1.0
-    seen = [(*features(text), y) for text, y in rows]
+    found = [g for _, w in word_batches(pa.array([t for t, _ in rows], pa.binary()), LOWER) for g in grams(w)]
+    seen = [(*features(g), y) for g, (_, y) in zip(found, rows, strict=True)]
     for _ in range(EPOCHS):
         for index, value, y in seen:
             zi, ni = z[index], n[index]
@@ -72,9 +78,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         w = np.frombuffer(shared.value.weights, np.float32)
         raw = []
-        for text in utf8(batch.column(1)):
-            found = grams(text)
-            raw.append(float(w[found].sum()) / max(len(found), 1) ** 0.5 + shared.value.bias)
+        for _, words in word_batches(batch.column(1), LOWER):
+            for found in grams(words):
+                raw.append(float(w[found].sum()) / max(len(found), 1) ** 0.5 + shared.value.bias)
         p = 1 / (1 + np.exp(-np.clip(np.array(raw, float), -30, 30)))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
 
