@@ -26,7 +26,7 @@ from .text import BARE, find_words, mix, word_batches
 #: passages), words of a passage in the fit, and items searched at a time.
 BUCKETS, TEST, LEADING, PASSAGE, BLOCK = 8192, 96, 16, 16, 2000
 #: Least cosine of a candidate.
-COSINE = 0.6
+COSINE = 0.55
 #: Least share of an item's words in common, with and without the answer's; and of the answer's.
 SHARE, ALONE, ANSWER = 0.6, 0.8, 0.5
 #: Items of fewer words can't be told from chance and match nothing.

@@ -96,6 +96,23 @@ def scan(docs: DataFrame, path: str = "doc_id", ledger: DataFrame | None = None,
     return paths.withColumnRenamed("path", path), new
 
 
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of docs with every secret in text replaced by a mark, and n_chars, where there is such a column, counted anew.
+
+    A text without secrets stays as it is, null too; so do all rows and other columns.
+    """
+    blobs = need(docs, "text").filter("text IS NOT NULL").withColumn("path", F.lit(0)).select("path", "text")
+    paths, _ = scan(blobs, "path", None, rules)
+    found = paths.filter(F.size("spans") > 0).groupBy("blob").agg(F.any_value("spans").alias("spans")).withColumnsRenamed({"blob": "__blob", "spans": "__spans"})
+    joined = docs.join(found.hint("shuffle_hash"), F.sha2(docs["text"], 256) == F.col("__blob"), "left")
+    changed = F.col("__spans").isNotNull()
+    new = {"text": F.when(changed, redacted(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))}
+    out = joined.withColumns(new)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 def secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, counts and digest of the base rules' spans, and all spans, for each row of docs."""
     found, _ = scan(docs, "doc_id", None, rules)

@@ -25,6 +25,7 @@ import pyarrow.compute  # noqa: F401
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_batches, need, stage
 
@@ -335,7 +336,7 @@ def encode(docs: DataFrame, proto: bytes | None = None, giant: int = GIANT, chun
     proto = proto or model()
     shared = docs.sparkSession.sparkContext.broadcast(proto)
     docs = docs.drop("ids")
-    schema = docs.schema.add("ids", "array<int>")
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         p = _pieces(shared.value)
