@@ -1,0 +1 @@
+"""Block analytics as DataFrame operators and Structured Streaming jobs."""
