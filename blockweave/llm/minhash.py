@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, need, stage, utf8
+from .common import map_batches, need, stage
 from .components import connected_components
-from .text import mix, shingle_set, words
+from .text import LOWER, mix, shingle_set, word_batches
 
 #: Coordinates of a signature, and how many must agree. At a Jaccard index of 0.85, fewer than 16 of 32 agree with
 #: probability 2e-6.
@@ -47,9 +47,10 @@ def signatures(docs: DataFrame, n: int = WORDS) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = []
-        for text in utf8(batch.column(1)):
-            s = shingle_set(words(text.lower()), n)
-            rows.append((len(s), _bits(mix(s).sum()), _bits(mix(s ^ _SEEDS[0]).sum()), signature(s) if len(s) else None))
+        for _, w in word_batches(batch.column(1), LOWER):
+            for i, j in w.texts():
+                s = shingle_set(w.hashes[i:j], n)
+                rows.append((len(s), _bits(mix(s).sum()), _bits(mix(s ^ _SEEDS[0]).sum()), signature(s) if len(s) else None))
         size, hi, lo, sig = zip(*rows, strict=True) if rows else ((),) * 4
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "hi", "lo", "sig"])
 
@@ -60,7 +61,7 @@ def shingle_sets(docs: DataFrame, n: int = WORDS) -> DataFrame:
     """(id, shingles): the full sets, as sorted 64-bit hashes."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sets = [shingle_set(words(t.lower()), n).tobytes() for t in utf8(batch.column(1))]
+        sets = [shingle_set(w.hashes[i:j], n).tobytes() for _, w in word_batches(batch.column(1), LOWER) for i, j in w.texts()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
 
     return map_batches(need(docs, "doc_id", "text"), run, "id long, shingles binary")
@@ -100,6 +101,35 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
+def remaining_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of (id, component, shingles) in different components that may still be linked.
+
+    Of sets x and y, |x| >= |y|, with a Jaccard index of p percent, at least p (|x| + |y|) / (100 + p) shingles are common.
+    So in an order from rare to common shingles, the first |x| - ceil(p |x| / 100) + 1 of x and the first
+    |y| - ceil(2 p |y| / (100 + p)) + 1 of y have one in common. What sets near-copies apart is rare, so few pairs meet.
+    """
+
+    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i, c, raw in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            s = np.frombuffer(raw, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), i)), pa.array(np.full(len(s), c)), pa.array(np.full(len(s), len(s))), pa.array(s)], ["id", "component", "size", "shingle"])
+
+    rows = stage(map_batches(sets.select("id", "component", "shingles"), each, "id long, component long, size long, shingle long"), "shingles")
+    common = rows.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
+    own = rows.join(common, "shingle").groupBy("id", "component", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
+    alone = F.col("size") - F.size("s")  # the rarest, which no other has
+    probe = F.greatest(F.expr(f"size - ({percent} * size + 99) div 100 + 1") - alone, F.lit(0)).cast("int")
+    index = F.greatest(F.expr(f"size - ({2 * percent} * size + {99 + percent}) div {100 + percent} + 1") - alone, F.lit(0)).cast("int")
+    posts = own.select("id", "component", "size", (F.col("size") - alone).alias("left"), index.alias("index"), F.posexplode(F.slice("s", F.lit(1), probe)).alias("at", "x"))
+    posts = posts.select("id", "component", "size", (F.col("left") - F.col("at")).alias("left"), F.col("x.shingle").alias("shingle"), (F.col("at") < F.col("index")).alias("indexed"))
+    posts = stage(posts, "prefixes")
+    x = posts.select("shingle", F.col("id").alias("a"), F.col("component").alias("c"), F.col("size").alias("m"), F.col("left").alias("i"))
+    y = posts.filter("indexed").select("shingle", F.col("id").alias("b"), F.col("component").alias("d"), F.col("size").alias("n"), F.col("left").alias("j"))
+    # Where they first meet, no more than what is left from there on can be common.
+    meet = f"c != d AND (n < m OR n = m AND b < a) AND 100 * n >= {percent} * m AND {100 + percent} * least(i, j) >= {percent} * (m + n)"
+    return x.join(y, "shingle").filter(meet).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; more columns are ignored).
 
@@ -127,10 +157,8 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, mat
 
     grouped = posted.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     split = grouped.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
-    open_ = stage(grouped.join(split.join(pivots, "key").select("key", F.col("b").alias("pivot")), "key").join(signs, "id"), "open")
-    a = open_.select("key", "pivot", F.col("id").alias("a"), F.col("component").alias("c"), F.col("sig").alias("s"))
-    b = open_.select("key", F.col("id").alias("b"), F.col("component").alias("d"), F.col("sig").alias("t"))
-    rest = a.join(b, (a["key"] == b["key"]) & (F.col("c") < F.col("d")) & (F.col("a") != F.col("pivot")) & (F.col("b") != F.col("pivot")) & (agreeing("s", "t") >= matches)).select("a", "b").distinct()
+    open_ = grouped.join(split.select("key"), "key").select("id", "component").distinct()
+    rest = remaining_pairs(stage(sets.join(open_, "id"), "open"), percent)
     more = stage(confirmed(rest, sets, percent), "links")
     # Rows that share a doc_id are one document.
     again = sigs.filter("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
