@@ -85,7 +85,7 @@ def upsert_cursor(cursors: DataFrame, changes: DataFrame, mode: str = "full") ->
     has = lambda c: f"_{c}" in new.columns
     pick = lambda c: F.coalesce(f"_{c}", c) if has(c) else F.col(c)
     hash_, state = (F.col("block_hash") if mode == "reset" else pick("block_hash")), (pick("state") if mode == "full" else F.col("state") if mode == "reset" else F.coalesce("state", F.lit("scanning")))
-    return joined.select("chain_id", pick("block_number").alias("block_number"), hash_.alias("block_hash"), state.alias("state"), F.coalesce("created_at", "_updated_at").alias("created_at"), pick("updated_at").alias("updated_at"))
+    return joined.select("chain_id", pick("block_number").alias("block_number"), hash_.alias("block_hash"), state.alias("state"), (F.coalesce("created_at", "_updated_at") if has("updated_at") else F.col("created_at")).alias("created_at"), pick("updated_at").alias("updated_at"))
 
 
 def set_status(df: DataFrame, keys: DataFrame, status: str) -> DataFrame:

@@ -176,9 +176,9 @@ def fleet_usage(usage: DataFrame) -> DataFrame:
 
 
 def rolling_latency(calls: DataFrame, n: int = 100) -> DataFrame:
-    """Mean latency of the last n successful calls at each of them."""
+    """Mean latency of the last n successful calls at each of them, summed in whole microseconds."""
     w = W.partitionBy("provider").orderBy("ts", "event_id").rowsBetween(-(n - 1), 0)
-    return calls.filter("ok").select("event_id", "provider", F.round(F.avg("latency_ms").over(w), 4).alias("latency_ms"))
+    return calls.filter("ok").select("event_id", "provider", (F.sum(F.round(F.col("latency_ms") * 1000).cast("long")).over(w) / (F.lit(1000.0) * F.count("*").over(w))).alias("latency_ms"))
 
 
 def request_counts(calls: DataFrame, now: int) -> DataFrame:

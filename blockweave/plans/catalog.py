@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import queries as tables
+from . import queries_flow  # noqa: F401  registers its queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

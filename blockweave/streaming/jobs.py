@@ -42,7 +42,8 @@ class Finality(StatefulProcessor):
         final = [k for k in self.waiting.keys() if self.depth == 0 or head >= self.depth and k[0] <= head - self.depth]
         for k in final:
             self.waiting.removeKey(k)
-        yield pd.DataFrame({"chain_id": [key[0]] * len(final), "block_number": [k[0] for k in final], "tx_hash": [k[1] for k in final]}).astype({"block_number": "int64"})
+        text = lambda x: pd.Series(x, dtype=object)
+        yield pd.DataFrame({"chain_id": text([key[0]] * len(final)), "block_number": pd.Series([k[0] for k in final], dtype="int64"), "tx_hash": text([k[1] for k in final])})
 
     def close(self) -> None:
         pass
