@@ -79,10 +79,10 @@ def find_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Word
         stop = max(done + 1, int(np.searchsorted(ends, begin + PIECE, "right")))
         if ends[stop - 1] - begin > PIECE:  # one word longer than a piece
             parts = [_hash_piece(chars[i : min(i + PIECE, ends[done])], np.array([0]), np.array([min(PIECE, ends[done] - i)]))[0] for i in range(begin, ends[done], PIECE)]
-            h = np.uint64(0)
+            h = np.zeros(1, np.uint64)
             for p in parts:
-                h = mix(np.array([h * _ODD + p]))[0]
-            hashes[done] = h
+                h = mix(h * _ODD + p)
+            hashes[done] = h[0]
         else:
             hashes[done:stop] = _hash_piece(chars[begin : ends[stop - 1]], starts[done:stop] - begin, ends[done:stop] - begin)
         done = stop
