@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_wrappers, minhash, mtree, quality, repeats, secret_ledger, sentencepiece_scan, toxicity, url_filters
+from . import decontam, html_wrappers, minhash, mtree, quality, repeats, secret_ledger, sentencepiece_scan, sql, toxicity, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,4 +58,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others train models, run a tokenizer or infer wrappers, which SQL can't."""
+    return {"op1_minhash_dedup": sql.OP1, "op3_mtree_top_k": sql.OP3, "op4_secret_scan": sql.OP4, "op6_repeats": sql.OP6}
