@@ -17,33 +17,36 @@ EVENT = "chain_id string, block_number long, tx_hash string, kind string"
 
 
 class Finality(StatefulProcessor):
-    """Per chain: events wait in a map by block until a head is deep enough above them; an orphaned block's events go."""
+    """Per chain: events wait by block until a head is deep enough above them; an orphaned block's events go. Repeats count once."""
 
     def __init__(self, depth: int):
         self.depth = depth
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getMapState("waiting", "block_number long, tx_hash string", "n int")
+        self.waiting = handle.getMapState("waiting", "block_number long", "tx_hashes string")
         self.head = handle.getValueState("head", "head long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         head = self.head.get()[0] if self.head.exists() else -1
         for pdf in rows:
-            for number, tx, kind in zip(pdf["block_number"], pdf["tx_hash"], pdf["kind"], strict=True):
-                if kind == "head":
-                    head = max(head, int(number))
-                elif kind == "orphan":
-                    for at, *rest in [k for k in self.waiting.keys() if k[0] == int(number)]:
-                        self.waiting.removeKey((at, *rest))
-                else:
-                    self.waiting.updateValue((int(number), tx), (1,))
+            head = max([head, *pdf["block_number"][pdf["kind"] == "head"].astype(int)])
+            for number, new in pdf[pdf["kind"] == "event"].groupby("block_number")["tx_hash"]:
+                k = (int(number),)
+                known = self.waiting.getValue(k)[0].split(",") if self.waiting.containsKey(k) else []
+                self.waiting.updateValue(k, (",".join(sorted({*known, *new})),))
+            for number in set(pdf["block_number"][pdf["kind"] == "orphan"].astype(int)):
+                if self.waiting.containsKey((number,)):
+                    self.waiting.removeKey((number,))
         if head >= 0:
             self.head.update((head,))
-        final = [k for k in self.waiting.keys() if self.depth == 0 or head >= self.depth and k[0] <= head - self.depth]
-        for k in final:
-            self.waiting.removeKey(k)
+        out: list[tuple[int, str]] = []
+        if self.depth == 0 or head >= self.depth:
+            done = [(k[0], v[0]) for k, v in self.waiting.iterator() if self.depth == 0 or k[0] <= head - self.depth]
+            for number, hashes in done:
+                self.waiting.removeKey((number,))
+                out.extend((number, tx) for tx in hashes.split(","))
         text = lambda x: pd.Series(x, dtype=object)
-        yield pd.DataFrame({"chain_id": text([key[0]] * len(final)), "block_number": pd.Series([k[0] for k in final], dtype="int64"), "tx_hash": text([k[1] for k in final])})
+        yield pd.DataFrame({"chain_id": text([key[0]] * len(out)), "block_number": pd.Series([n for n, _ in out], dtype="int64"), "tx_hash": text([t for _, t in out])})
 
     def close(self) -> None:
         pass
