@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import flow, normalize, ranges, reorg, store, telemetry, watch
+from ..operators import normalize, ranges, reorg, store, watch
 from . import fixtures as fx
 from . import payloads as raw
 
@@ -345,8 +345,6 @@ def delete_tx_by_block(s, d):
     return store.delete_tx_by_block(fx.transactions(s, d), _keys(s, d)).selectExpr(*K.split(", "))
 
 
-CUT = "(SELECT (max(block_timestamp) + min(block_timestamp)) // 2 FROM blocks)"
-
 
 @query("SELECT chain_id, block_number FROM blocks WHERE chain_id IN ('chain_0', 'chain_4') OR block_timestamp >= 900000000 - right(chain_id, 1)::BIGINT * 31536000", "blocks")
 def prune(s, d):
