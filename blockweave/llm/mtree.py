@@ -149,9 +149,11 @@ def _top_k(data: DataFrame, asked: DataFrame, k: int, n: int, most: float, page:
                 for v in row["visits"]:
                     a, b = np.searchsorted(parents, [v["d"] - v["within"] - SLACK, v["d"] + v["within"] + SLACK])
                     own = ids[a:b]  # the others are ruled out unseen
-                    score = (x[a:b] @ np.frombuffer(v["q"])).astype(np.int64)
-                    best = np.lexsort((own, -score))
-                    best = best[own[best] != v["query_id"]][:k]
+                    q = np.frombuffer(v["q"])
+                    score = (x[a:b] @ q).astype(np.int64)
+                    least = (q @ q + most - v["within"] ** 2) / 2 - 1  # what the distance bound leaves, as a score
+                    best = np.flatnonzero((score >= least) & (own != v["query_id"]))
+                    best = best[np.lexsort((own[best], -score[best]))][:k]
                     out.extend((v["query_id"], v["q"], i, s) for i, s in zip(own[best].tolist(), score[best].tolist(), strict=True))
                 columns = list(zip(*out, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.binary(), pa.int64(), pa.int64()], strict=True)], ["query_id", "q", "vec_id", "score"])
