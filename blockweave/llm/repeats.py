@@ -2,11 +2,12 @@
 
 1. Every window of consecutive words is posted by its 64-bit hash into one of many buckets, as packed arrays: the documents, how
    many windows each has in the bucket, and the hashes in text order. The number of buckets grows with the corpus.
-2. A bucket confirms which windows recur and which is the least document with each. It replies to a document only with the
-   places, in its own order within the bucket, of the windows that begin in a lesser document, and with that document.
-3. Replies meet their documents' texts. Consecutive windows with the same least document are one passage. The passages of a
-   shard of documents are compiled into one automaton over word numbers, and the shard's documents are streamed through it to
-   locate every occurrence; a document loses the words of those whose least document is lesser than itself.
+2. A bucket confirms which windows recur and which is the least document with each. For every shard of documents it replies,
+   packed again, with the places, in each document's own order within the bucket, of the windows that begin in a lesser
+   document, and with that document.
+3. Replies meet their shard's documents. Consecutive windows with the same least document are one passage. The passages of a
+   shard are compiled into one automaton over word numbers, and the shard's documents are streamed through it to locate every
+   occurrence; a document loses the words of those whose least document is lesser than itself.
 """
 
 from __future__ import annotations
@@ -20,15 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, need, small_batches, utf8
+from .common import need, small_batches, utf8
 from .text import AS_IS, ngram_hashes, word_batches
 
-#: Words of a window; windows of a bucket, about; words that a task packs at once.
-WINDOW, PER_BUCKET, PACK = 13, 2_000_000, 1 << 20
+#: Words of a window; windows of a bucket, about; words that a task packs at once; characters of a shard's documents, about.
+WINDOW, PER_BUCKET, PACK, SHARD = 13, 2_000_000, 1 << 20, 4_000_000
 #: A window for about so many characters, to choose the number of buckets.
 CHARS = 6
-_POST = "bucket int, docs binary, texts binary, counts binary, hashes binary"
-_REPLY = "doc_id long, text_key long, bucket int, places binary, firsts binary"
+_POST = "bucket int, docs binary, row_keys binary, counts binary, hashes binary"
+_REPLY = "shard long, bucket int, row_keys binary, counts binary, places binary, firsts binary"
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -53,7 +54,7 @@ def _posts(docs: DataFrame, window: int, buckets: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*pack(held, np.array(ids, np.int64), np.array(keys, np.int64)), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] + [pa.binary()] * 4, strict=True)], ["bucket", "docs", "texts", "counts", "hashes"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] + [pa.binary()] * 4, strict=True)], ["bucket", "docs", "row_keys", "counts", "hashes"])
 
         for batch in batches:
             doc, key = batch.column(0).to_pylist(), batch.column(2).to_pylist()
@@ -71,88 +72,112 @@ def _posts(docs: DataFrame, window: int, buckets: int) -> DataFrame:
             yield flush()
 
     small_batches(docs.sparkSession)
-    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text", "text_key").mapInArrow(run, _POST)
+    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text", "row_key").mapInArrow(run, _POST)
 
 
-def _confirm(pdf: pd.DataFrame) -> pd.DataFrame:
+def _confirm(pdf: pd.DataFrame, shards: int) -> pd.DataFrame:
     """The replies of one bucket."""
     read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in pdf[c]])
-    docs, keys, counts, hashes = read("docs", np.int64), read("texts", np.int64), read("counts", np.int32), read("hashes", np.uint64)
+    docs, keys, counts, hashes = read("docs", np.int64), read("row_keys", np.int64), read("counts", np.int32), read("hashes", np.uint64)
     of = np.repeat(docs, counts)
     order = np.argsort(hashes)
     edges = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]]))
     first = np.empty(len(of), np.int64)
     first[order] = np.repeat(np.minimum.reduceat(of[order], edges), np.diff(edges, append=len(of)))
+    del order, edges, hashes
     hit = np.flatnonzero(first < of)
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
     entry = np.searchsorted(starts, hit, "right") - 1
-    edges = np.flatnonzero(np.diff(entry, prepend=-1))
+    shard = np.mod(keys, shards)[entry]
+    by_shard = np.argsort(shard, kind="stable")
+    hit, entry, shard = hit[by_shard], entry[by_shard], shard[by_shard]
+    edges = np.flatnonzero(np.diff(shard, prepend=-1))
     rows = []
     for i, j in zip(edges, [*edges[1:], len(hit)], strict=True):
-        e = entry[i]
-        rows.append((docs[e], keys[e], pdf["bucket"].iloc[0], (hit[i:j] - starts[e]).astype(np.int32).tobytes(), first[hit[i:j]].tobytes()))
-    return pd.DataFrame(rows, columns=["doc_id", "text_key", "bucket", "places", "firsts"])
+        e = entry[i:j]
+        new = np.flatnonzero(np.diff(e, prepend=-1))
+        rows.append((shard[i], pdf["bucket"].iloc[0], keys[e[new]].tobytes(), np.diff(new, append=j - i).astype(np.int32).tobytes(), (hit[i:j] - starts[e]).astype(np.int32).tobytes(), first[hit[i:j]].tobytes()))
+    return pd.DataFrame(rows, columns=["shard", "bucket", "row_keys", "counts", "places", "firsts"])
 
 
-def _located(hashes: np.ndarray, replies: list[dict], window: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(replies: pa.Table) -> dict[int, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """row key -> bucket -> places and least documents."""
+    out: dict[int, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
+    for r in replies.to_pylist():
+        stops = np.cumsum(np.frombuffer(r["counts"], np.int32))[:-1]
+        parts = zip(np.frombuffer(r["row_keys"], np.int64).tolist(), np.split(np.frombuffer(r["places"], np.int32), stops), np.split(np.frombuffer(r["firsts"], np.int64), stops), strict=True)
+        for key, places, firsts in parts:
+            out.setdefault(key, {})[r["bucket"]] = (places, firsts)
+    return out
+
+
+def _located(hashes: np.ndarray, replies: dict[int, tuple[np.ndarray, np.ndarray]], window: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Begins of a text's windows that a lesser document has, in text order, and those documents."""
     b = _bucket(ngram_hashes(hashes, window), buckets)
     order = np.argsort(b, kind="stable")
     at = np.searchsorted(b[order], np.arange(buckets))
-    where = np.concatenate([order[at[r["bucket"]] + np.frombuffer(r["places"], np.int32)] for r in replies])
-    first = np.concatenate([np.frombuffer(r["firsts"], np.int64) for r in replies])
-    where, index = np.unique(where, return_index=True)
-    return where, first[index]
+    where = np.concatenate([order[at[k] + places] for k, (places, _) in replies.items()])
+    first = np.concatenate([firsts for _, firsts in replies.values()])
+    by_place = np.argsort(where)
+    return where[by_place], first[by_place]
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, per_bucket: int = PER_BUCKET) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, per_bucket: int = PER_BUCKET, shard: int = SHARD) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the kept words, joined by one blank) for each row of docs.
 
     A word goes if a window of consecutive words of its document covers it that also begins in a document with a lesser
     doc_id. Null and empty texts have no words. A row with a null doc_id keeps all its words and takes none from others. Rows
     that share a doc_id do not take words from each other. An empty table gives an empty result.
     """
-    docs = need(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text"))
+    docs = need(docs, "doc_id", "text").withColumn("row_key", F.xxhash64("doc_id", "text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(1, -(-chars // (CHARS * per_bucket)))
-    replies = _posts(docs, window, buckets).repartition(max(buckets, 1), "bucket").groupBy("bucket").applyInPandas(_confirm, _REPLY)
-    replies = replies.groupBy("doc_id", "text_key").agg(F.array_distinct(F.collect_list(F.struct("bucket", "places", "firsts"))).alias("replies"))
+    buckets, shards = max(1, -(-chars // (CHARS * per_bucket))), max(1, -(-chars // shard))
+    replies = _posts(docs, window, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(lambda pdf: _confirm(pdf, shards), _REPLY)
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Table, replied: pa.Table) -> pa.Table:
         """A shard: its passages' automaton, and its documents."""
-        ids, texts, replied = batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist()
+        ids, keys, known = texts["doc_id"].to_pylist(), texts["row_key"].to_pylist(), _unpacked(replied)
+        column = texts["text"].cast(pa.large_binary()).combine_chunks()
+        column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
         total, hits = np.zeros(len(ids), np.int64), {}
-        for i, w in word_batches(batch.column(1), AS_IS):
+        for i, w in word_batches(column, AS_IS):
             for k, (a, z) in enumerate(w.texts(), i):
                 total[k] = z - a
-                if replied[k]:
+                if keys[k] in known and ids[k] is not None:
                     h = w.hashes[a:z].copy()
-                    hits[k] = (h, *_located(h, replied[k], window, buckets))
-        drop = {}
-        if hits:
-            _, number = np.unique(np.concatenate([h for h, _, _ in hits.values()]), return_inverse=True)
-            stops = np.cumsum([len(h) for h, _, _ in hits.values()])
-            words = dict(zip(hits, (tuple(x.tolist()) for x in np.split(number, stops[:-1])), strict=True))
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            for k, (_, where, first) in hits.items():
-                runs = np.flatnonzero(np.concatenate([[True], (np.diff(where) != 1) | (np.diff(first) != 0)]))
-                for i, j in zip(runs, [*runs[1:], len(where)], strict=True):
-                    begin, end = int(where[i]), int(where[j - 1]) + window
-                    automaton.add_word(words[k][begin:end], (end - begin, int(first[i])))
-            automaton.make_automaton()
-            for k in hits:
-                covered = np.zeros(total[k] + 1, np.int64)
-                for last, (length, first) in automaton.iter(words[k]):
-                    if first < ids[k]:
-                        covered[last + 1 - length] += 1
-                        covered[last + 1] -= 1
-                drop[k] = np.cumsum(covered)[:-1] > 0
-        kept = [b" ".join(t.split()) if k not in drop else b" ".join(w for w, d in zip(t.split(), drop[k].tolist(), strict=True) if not d) for k, t in enumerate(texts)]
+                    hits[k] = (h, *_located(h, known[keys[k]], window, buckets))
+        drop = _occurrences(ids, total, hits, window)
+        kept = [b" ".join(t.split()) if k not in drop else b" ".join(w for w, d in zip(t.split(), drop[k].tolist(), strict=True) if not d) for k, t in enumerate(utf8(column))]
         removed = [int(drop[k].sum()) if k in drop else 0 for k in range(len(ids))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
-
-    joined = docs.join(replies.hint("shuffle_hash"), ["doc_id", "text_key"], "left").select("doc_id", "text", "replies")
-    return map_batches(joined, run, "doc_id long, n_words long, n_removed long, kept string")
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(total), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
+
+    sharded = docs.withColumn("shard", F.pmod("row_key", F.lit(shards)))
+    return sharded.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+
+
+def _occurrences(ids: list, total: np.ndarray, hits: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], window: int) -> dict[int, np.ndarray]:
+    """For each text with hits (word hashes, begins of windows, least documents): which of its words go."""
+    if not hits:
+        return {}
+    _, number = np.unique(np.concatenate([h for h, _, _ in hits.values()]), return_inverse=True)
+    stops = np.cumsum([len(h) for h, _, _ in hits.values()])
+    words = dict(zip(hits, (tuple(x.tolist()) for x in np.split(number, stops[:-1])), strict=True))
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for k, (_, where, first) in hits.items():
+        runs = np.flatnonzero(np.concatenate([[True], (np.diff(where) != 1) | (np.diff(first) != 0)]))
+        for i, j in zip(runs, [*runs[1:], len(where)], strict=True):
+            begin, end = int(where[i]), int(where[j - 1]) + window
+            automaton.add_word(words[k][begin:end], (end - begin, int(first[i])))
+    automaton.make_automaton()
+    drop = {}
+    for k in hits:
+        covered = np.zeros(total[k] + 1, np.int64)
+        for last, (length, first) in automaton.iter(words[k]):
+            if first < ids[k]:
+                covered[last + 1 - length] += 1
+                covered[last + 1] -= 1
+        drop[k] = np.cumsum(covered)[:-1] > 0
+    return drop
 
 
 def digest(docs: DataFrame) -> DataFrame:
