@@ -1,9 +1,10 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are made, one for ordinary and one for toxic text. Both begin with the same content, which
-zstandard trains on ordinary text, and end with the words that are significantly commoner in the documents of their
-class. A window of a text is compressed with either; the bytes that the toxic dictionary saves are its gain. A
-document's largest gains are mapped to a probability by a logistic curve that is calibrated on the same labelled sample.
+zstandard trains on ordinary text, and end with the words and beginnings of words that are significantly commoner in
+the windows of their class. A window of a text is compressed with either; the bytes that the toxic dictionary saves are
+its gain. A document's largest gains, their sum and their share of the text are mapped to a probability by a logistic
+curve that is calibrated on the same labelled sample.
 """
 
 from __future__ import annotations
@@ -23,11 +24,15 @@ from .common import held_out, map_batches, need, utf8
 from .labelled import training_rows
 
 #: Words of a window, bytes of the common content, bytes of a class's own words.
-WINDOW, COMMON_BYTES, OWN_BYTES = 48, 8192, 2048
-#: Matches have 6 bytes at least, so that a word's fragments don't count as the word.
-PARAMETERS = {"window_log": 15, "hash_log": 14, "chain_log": 14, "search_log": 4, "min_match": 6, "target_length": 32, "strategy": zstandard.STRATEGY_LAZY2}
-#: A class's own word is in this share of its documents at least, and commoner than elsewhere by so many standard errors.
-COVERAGE, SIGNIFICANCE = 0.05, 8.0
+WINDOW, COMMON_BYTES, OWN_BYTES = 24, 8192, 2048
+#: Matches have 6 bytes at least, so that a word's fragments don't count as the word. The fast strategy with a target length
+#: leaves literals as they are, so that a match saves its whole length.
+PARAMETERS = {"window_log": 15, "hash_log": 14, "chain_log": 14, "search_log": 4, "min_match": 6, "target_length": 1, "strategy": zstandard.STRATEGY_FAST}
+#: A class's own word or beginning is in so many of its documents at least, commoner in its windows than elsewhere by so many
+#: standard errors, and by this factor; a beginning has so many bytes, from and to.
+LEAST_DOCUMENTS, SIGNIFICANCE, FACTOR, STEM = 5, 10.0, 4.0, (5, 15)
+#: zstandard doesn't index a dictionary's last bytes.
+END = b" " * 16
 #: Gains of fewer bytes are noise.
 NOISE = 1
 #: The score from which a document counts as toxic.
@@ -45,25 +50,42 @@ def _windows(text: bytes) -> list[bytes]:
     return [b" %b " % b" ".join(tokens[i : i + WINDOW]) for i in range(0, len(tokens), WINDOW)]
 
 
+def _stems(window: bytes) -> set[bytes]:
+    """A window's words of up to STEM bytes, between blanks, and the beginnings of all its words, after a blank."""
+    words, (least, most) = set(window.split()), STEM
+    return {b" %b " % w for w in words if len(w) <= most} | {b" " + w[:k] for w in words for k in range(least, min(len(w), most + 1))}
+
+
 def _own_words(rows: list[tuple[bytes, int]], label: int) -> bytes:
-    counts, totals = (Counter(), Counter()), [0, 0]
+    """The best of a class's own words and beginnings, none of which begins another, the best last."""
+    inside, outside, documents, totals = Counter(), Counter(), Counter(), [0, 0]
+    for text, y in rows:
+        if y == label:
+            found = [_stems(w) for w in _windows(text)]
+            documents.update(set().union(*found))
+            for stems in found:
+                inside.update(stems)
+            totals[y] += len(found)
+    known = {w for w, c in documents.items() if c >= LEAST_DOCUMENTS}
     for text, y in rows:
-        totals[y] += 1
-        counts[y].update(set(text.lower().split()))
+        if y != label:
+            windows = _windows(text)
+            for w in windows:
+                outside.update(_stems(w) & known)
+            totals[y] += len(windows)
     n, m = totals[label], totals[1 - label]
     scored = []
-    for word, c in counts[label].items():
-        if c >= max(3, COVERAGE * n):
-            other = counts[1 - label][word]
-            share = (c + other) / (n + m)
-            z = (c / n - other / max(m, 1)) / math.sqrt(max(share * (1 - share), 1e-9) * (1 / n + 1 / max(m, 1)))
-            if z > SIGNIFICANCE and (c + 0.5) / (n + 1) > 2.7 * (other + 0.5) / (m + 1):
-                scored.append((-z, word))
-    out = b" "
-    for _, word in sorted(scored):
-        if len(out) + len(word) + 1 <= OWN_BYTES:
-            out += word + b" "
-    return out
+    for word in known:
+        c, other = inside[word], outside[word]
+        share = (c + other) / (n + m)
+        z = (c / n - other / max(m, 1)) / math.sqrt(max(share * (1 - share), 1e-9) * (1 / n + 1 / max(m, 1)))
+        if z > SIGNIFICANCE and (c + 0.5) / (n + 1) > FACTOR * (other + 0.5) / (m + 1):
+            scored.append((-z, -len(word), word))
+    own: list[bytes] = []
+    for *_, word in sorted(scored):
+        if sum(map(len, own)) + len(word) <= OWN_BYTES and not any(word.startswith(x) or x.startswith(word) for x in own):
+            own.append(word)
+    return b"".join(reversed(own)) + END
 
 
 class Compressors:
@@ -77,12 +99,13 @@ class Compressors:
             d.precompute_compress(compression_params=own)
             self.pair.append(zstandard.ZstdCompressor(dict_data=d, compression_params=own))
 
-    def features(self, text: bytes) -> tuple[float, float, float]:
-        """The largest and second largest gain of a window, and the logarithm of all gains beyond noise."""
+    def features(self, text: bytes) -> tuple[float, float, float, float]:
+        """The largest and second largest gain of a window, the logarithm of all gains beyond noise, and these for each 200 bytes."""
         ordinary, toxic = self.pair
         gains = sorted(len(ordinary.compress(w)) - len(toxic.compress(w)) for w in _windows(text))
         top = [max(0, g) for g in gains[-2:]]
-        return (top[-1] if top else 0.0, top[0] if len(top) == 2 else 0.0, math.log1p(sum(g for g in gains if g > NOISE)))
+        total = sum(g for g in gains if g > NOISE)
+        return (top[-1] if top else 0.0, top[0] if len(top) == 2 else 0.0, math.log1p(total), total * 200 / max(200, len(text)))
 
 
 def train(rows: list[tuple[bytes, int]]) -> Model:
@@ -92,16 +115,16 @@ def train(rows: list[tuple[bytes, int]]) -> Model:
         common = zstandard.train_dictionary(COMMON_BYTES, ordinary, k=48, d=6).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on
         common = b"".join(ordinary)[-COMMON_BYTES:]
-    own = [_own_words(rows, y) if {0, 1} <= {y for _, y in rows} else b" " for y in (0, 1)]
+    own = [_own_words(rows, y) if {0, 1} <= {y for _, y in rows} else END for y in (0, 1)]
     width = max(map(len, own))
     model = Model(tuple(common + o.rjust(width) for o in own))
     compressors = Compressors(model)
-    x = np.array([(1.0, *compressors.features(text)) for text, _ in rows]).reshape(len(rows), 4)
-    y, w = np.array([y for _, y in rows], float), np.zeros(4)
-    scale = np.array([1.0, 8.0, 8.0, 3.0])
+    x = np.array([(1.0, *compressors.features(text)) for text, _ in rows]).reshape(len(rows), 5)
+    y, w = np.array([y for _, y in rows], float), np.zeros(5)
+    scale = np.array([1.0, 8.0, 8.0, 3.0, 4.0])
     for _ in range(30):  # Newton's method, with a slight ridge
         p = 1 / (1 + np.exp(-np.clip((x / scale) @ w, -30, 30)))
-        h = (x / scale).T @ ((x / scale) * (p * (1 - p))[:, None]) + 0.1 * np.eye(4)
+        h = (x / scale).T @ ((x / scale) * (p * (1 - p))[:, None]) + 0.1 * np.eye(5)
         w = w + np.linalg.solve(h, (x / scale).T @ (y - p) - 0.1 * w)
     model.weights = tuple(w / scale)
     return model
@@ -112,7 +135,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         compressors = Compressors(model)
-        x = np.array([(1.0, *compressors.features(t)) for t in utf8(batch.column(1))]).reshape(-1, 4)
+        x = np.array([(1.0, *compressors.features(t)) for t in utf8(batch.column(1))]).reshape(-1, 5)
         p = 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30)))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
 
@@ -136,7 +159,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         compressors = Compressors(model)
-        x = np.array([(1.0, *compressors.features(t)) for t in utf8(batch.column(batch.schema.get_field_index("text")))]).reshape(-1, 4)
+        x = np.array([(1.0, *compressors.features(t)) for t in utf8(batch.column(batch.schema.get_field_index("text")))]).reshape(-1, 5)
         p = 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30)))
         yield batch.filter(pa.array(p < THRESHOLD))
 

@@ -286,6 +286,15 @@ def test_toxic_words_are_found(spark):
     assert np.mean([score(planted(t)) >= 0.7 for t in long]) >= 0.9
 
 
+def test_toxic_documents_of_each_language_are_found(spark):
+    big = SF.replace("sf0.001", "sf0.1")
+    labels, docs = registry.table(spark, big, "labels"), registry.table(spark, big, "documents")
+    scored = toxicity.toxicity(docs, labels).filter("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    found = {(r["lang"], r["toxic"]): r["share"] for r in scored.groupBy("lang", "toxic").agg(F.avg("predicted").alias("share")).collect()}
+    for lang, least in (("en", 0.75), ("fr", 0.75), ("de", 0.5), ("es", 0.6)):
+        assert found[lang, 1] >= least and found[lang, 0] <= 0.03, found
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return sentencepiece_scan.Pieces(sentencepiece_scan.model())
