@@ -25,8 +25,9 @@ from .text import BARE, find_words, mix, word_batches
 #: Hashed words, columns of the test matrix, leading directions that are left out (they tell languages and styles apart, not
 #: passages), words of a passage in the fit, and items searched at a time.
 BUCKETS, TEST, LEADING, PASSAGE, BLOCK = 8192, 96, 16, 16, 2000
-#: Least cosine of a candidate.
-COSINE = 0.55
+#: Least cosine of a candidate: low enough for items of which SHARE of the words is left, as a window that fits such an item has
+#: a cosine of about SHARE, or less by noise and by words of its own that are heavy.
+COSINE = 0.33
 #: Least share of an item's words in common, with and without the answer's; and of the answer's.
 SHARE, ALONE, ANSWER = 0.6, 0.8, 0.5
 #: Items of fewer words can't be told from chance and match nothing.
@@ -155,11 +156,16 @@ def common_subsequence(pattern: list[int], text: list[int]) -> int:
 
 
 def _window(n: int) -> int:
-    """The window for an item of n words: a power of two, 16 at least."""
-    w = 16
-    while w * 1.5 <= n:
-        w *= 2
-    return w
+    """The window for an item of n words: four to seven times a power of two, 16 at least, and nearly n."""
+    step = 4
+    while step * 8 <= n:
+        step *= 2
+    return max(16, (n + step // 2) // step * step)
+
+
+def _margin(begin, end):
+    """Words to both sides of a window that are compared too."""
+    return (end - begin) // 2 + 4
 
 
 class Search:
@@ -174,9 +180,15 @@ class Search:
             x = np.stack([space.fold[_buckets(np.array(i.words, np.uint64))].sum(0) for i in group])
             self.vectors[w] = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
         self.longest = max(self.by, default=0)
+        self.known = np.unique(np.array([h for i in block for h in i.words], np.uint64))
+        self.places = {w: [np.searchsorted(self.known, np.array(i.words, np.uint64)) for i in group] for w, group in self.by.items()}
+
+    def candidates(self, hashes: np.ndarray, at: int) -> Iterator[tuple[int, int, Item, float]]:
+        """(begin, end, item, cosine) of windows of the SPAN words from ``at`` that are close to an item, and have words enough of it nearby.
 
-    def candidates(self, b: np.ndarray) -> Iterator[tuple[int, int, Item, float]]:
-        """(begin, end, item, cosine) of windows of the words b that are close to an item."""
+        The words of the item in a window and near it, with repeats, are no fewer than those of a common subsequence.
+        """
+        b = _buckets(hashes[at : at + SPAN + 2 * self.longest])
         b = np.concatenate([b, np.repeat(b[-1:], -len(b) % 4)]).reshape(-1, 4)
         fold = self.space.fold
         blocks = fold[b[:, 0]]
@@ -184,15 +196,29 @@ class Search:
             blocks += fold[b[:, i]]
         sums = np.zeros((len(blocks) + 1, blocks.shape[1]), np.float32)
         np.cumsum(blocks, axis=0, out=sums[1:])
+        low = max(0, at - self.longest)
+        near = hashes[low : at + SPAN + 4 * self.longest]
+        place = np.minimum(np.searchsorted(self.known, near), len(self.known) - 1)
+        place[self.known[place] != near] = len(self.known)
+        inside, count = np.zeros(len(self.known) + 1, bool), np.zeros(len(near) + 1, np.int32)
         for w, vectors in self.vectors.items():
             n, step = w // 4, max(1, w // 16)
             begin = np.arange(0, max(1, len(blocks) - n + step), step)
             end = np.minimum(begin + n, len(blocks))
             x = sums[end] - sums[begin]
             length = np.sqrt(np.einsum("ij,ij->i", x, x))
-            dot = x @ vectors.T
-            for i, j in zip(*np.nonzero(dot >= COSINE * np.maximum(length, 1e-9)[:, None]), strict=True):
-                yield int(begin[i]) * 4, int(end[i]) * 4, self.by[w][j], float(dot[i, j] / length[i])
+            close = vectors @ x.T / np.maximum(length, 1e-9)
+            begin, end = at + begin * 4, at + end * 4
+            first, last = (np.clip(y - low, 0, len(near)) for y in (begin - _margin(begin, end), end + _margin(begin, end)))
+            for j, item in enumerate(self.by[w]):
+                found = np.flatnonzero(close[j] >= COSINE)
+                if not len(found):
+                    continue
+                inside[self.places[w][j]] = True
+                np.cumsum(inside[place], out=count[1:])
+                inside[self.places[w][j]] = False
+                for i in found[count[last[found]] - count[first[found]] >= SHARE * len(item.words)].tolist():
+                    yield int(begin[i]), int(end[i]), item, float(close[j, i])
 
     def hits(self, hashes: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], tuple[float, float, float]]:
         """(text, item_id) -> (share, answer, cosine) of the best hit, in texts of which each has the words first[i]:first[i + 1]."""
@@ -200,11 +226,12 @@ class Search:
         if not self.by:
             return best
         for at in range(0, len(hashes), SPAN):
-            part = hashes[at : at + SPAN + 2 * self.longest]
-            for begin, end, item, cosine in self.candidates(_buckets(part)):
-                half, begin, end = (end - begin) // 2 + 4, at + begin, min(at + end, len(hashes))
+            for begin, end, item, cosine in self.candidates(hashes, at):
+                half, end = _margin(begin, end), min(end, len(hashes))
                 for k in {int(np.searchsorted(first, x, "right")) - 1 for x in (begin, (begin + end) // 2, end - 1)}:
                     near = hashes[max(int(first[k]), begin - half) : min(int(first[k + 1]), end + half)].tolist()
+                    if sum(map(set(near).__contains__, item.words)) < SHARE * len(item.words):
+                        continue  # more than a common subsequence can have
                     share = common_subsequence(item.words, near) / len(item.words)
                     if share >= SHARE:
                         answer = common_subsequence(item.answer, near) / len(item.answer)

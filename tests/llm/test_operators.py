@@ -211,6 +211,30 @@ def test_decontamination(spark):
     assert decontam.contaminated(documents(spark, docs), table.limit(0)).count() == 0
 
 
+def test_decontamination_finds_what_the_subsequence_accepts(spark):
+    random.seed(4)
+    big = SF.replace("sf0.001", "sf0.1")
+    docs, bench = registry.table(spark, big, "documents"), registry.table(spark, big, "benchmark")
+    bodies = [r["text"].split() for r in docs.filter("n_chars BETWEEN 300 AND 6000").orderBy("doc_id").limit(400).collect()]
+    words = [w for b in bodies for w in b]
+    rows, want = [], set()
+    for r in bench.orderBy("item_id").collect():
+        (item,) = decontam.items([tuple(r)])
+        for share in (0.6, 0.7, 0.8):
+            n = len(r["text"].split())
+            kept = set(random.sample(range(n), -(-int(share * 100) * n // 100)))
+            body = list(random.choice(bodies))
+            at = random.randint(0, len(body))
+            body[at:at] = [w if k in kept else random.choice(words) for k, w in enumerate(r["text"].split())]
+            rows.append((len(rows), " ".join(body)))
+            hashes = decontam._hashes(rows[-1][1])
+            covered, answer = (decontam.common_subsequence(p, hashes) / len(p) for p in (item.words, item.answer))
+            if covered >= decontam.SHARE and (covered >= decontam.ALONE or answer >= decontam.ANSWER):
+                want.add((rows[-1][0], item.item_id))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(documents(spark, rows), bench, decontam.fit(docs)).collect()}
+    assert len(want) > 300 and len(want & got) >= 0.93 * len(want), (len(want & got), len(want))
+
+
 def test_common_subsequence():
     random.seed(1)
 
