@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import need, stage
 from .html_wrappers import host as host_of
 
-#: URLs learned from at most, with how many trees and how deep.
+#: URLs of each verdict learned from at most, with how many trees and how deep.
 SAMPLE_ROWS, TREES, DEPTH = 20_000, 10, 3
 
 
@@ -72,7 +72,7 @@ def _lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages (page_id, url).
 
-    The trees learn from a bounded sample of the URLs that rules label, and judge the others: block from a probability of a
+    The trees learn from a bounded sample of the distinct URLs that rules label, of each verdict, and judge the others: block from a probability of a
     half. Where rules label URLs of one verdict only, that is the verdict of the others; where they label none, it is allow.
     A null url, or one without ://, has an empty host and path. Repeated rows give a row each; an empty table gives none.
     """
@@ -82,7 +82,9 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     suffixes = base.groupBy("suffix").agg(F.log1p(F.count("*")).alias("suffix_log_rows"), F.coalesce(F.avg((F.col("by_rule") == "block").cast("double")), F.lit(0.5)).alias("suffix_blocked"))
     full = base.join(suffixes, "suffix").withColumns(_lexical(F.col("text"), F.col("host"), F.col("path")))
     full = stage(full.select("page_id", "host", "path", "rule", "by_rule", "text", *FEATURES), "urls")
-    labelled = full.filter("by_rule IS NOT NULL").orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ROWS)
+    urls = full.filter("by_rule IS NOT NULL").dropDuplicates(["text"])
+    allowed, blocked = (urls.filter(F.col("by_rule") == v).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ROWS) for v in ("allow", "block"))
+    labelled = allowed.unionByName(blocked)
     labelled = stage(labelled.withColumn("label", (F.col("by_rule") == "block").cast("double")).select("label", *FEATURES), "labelled")
     seen = {r["label"] for r in labelled.select("label").distinct().collect()}
     if len(seen) == 2:

@@ -408,5 +408,17 @@ def test_urls(spark):
     assert {tuple(r)[:4] for r in registry.op10_url_filter(spark, SF).collect()} == {(r["page_id"], *judged(r["url"])[:3]) for r in pages.collect()}
 
 
+def test_repeated_urls_do_not_fill_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(url_filters, "SAMPLE_ROWS", 100)
+    rules = (url_filters.Rule("a.org", "", "allow"), url_filters.Rule("b.com", "", "block"))
+    plain = [f"http://a.org/{i % 7}" + "x" * i for i in range(40)] + [f"http://b.com/?a=1&b={i}" + "7" * i for i in range(40)]
+    table = spark.createDataFrame([(u,) for u in plain], "url string")
+    first = table.orderBy(F.xxhash64("url")).first()["url"]
+    unruled = ["http://c.org/xx", "http://c.com/?a=1&b=77777777"]
+    pages = spark.createDataFrame(list(enumerate(plain + [first] * 300 + unruled)), "page_id long, url string")
+    got = {r["host"]: r["verdict"] for r in url_filters.judge(pages, rules).filter("rule IS NULL").collect()}
+    assert got == {"c.org": "allow", "c.com": "block"}
+
+
 def test_every_operator_is_registered():
     assert {int(n[2:].split("_")[0]) for n in registry.queries()} == set(range(1, 11))
