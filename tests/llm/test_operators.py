@@ -235,6 +235,56 @@ def test_decontamination_finds_what_the_subsequence_accepts(spark):
     assert len(want) > 300 and len(want & got) >= 0.93 * len(want), (len(want & got), len(want))
 
 
+def test_decontamination_does_not_depend_on_partitions(spark):
+    small = SF.replace("sf0.001", "sf0.01")
+    docs, bench = registry.table(spark, small, "documents"), registry.table(spark, small, "benchmark")
+    dealt = [docs.coalesce(1), docs.repartition(7, "text"), docs.orderBy(F.col("doc_id").desc())]
+    spaces = [decontam.fit(d) for d in dealt]
+    assert all(np.array_equal(spaces[0].fold, s.fold) for s in spaces)
+    found = [sorted(tuple(r) for r in decontam.contaminated(d, bench, s).collect()) for d, s in zip(dealt, spaces, strict=True)]
+    assert found[0] and found[0] == found[1] == found[2]
+
+
+def test_decontamination_against_plain_subsequences(spark):
+    """Every pair that a common subsequence within a stretch of twice the item's length accepts, of whole documents and items."""
+    docs, bench = registry.table(spark, SF, "documents"), registry.table(spark, SF, "benchmark")
+    want = set()
+    texts = {r["doc_id"]: decontam._hashes(r["text"] or "") for r in docs.collect()}
+    for item in decontam.items([tuple(r) for r in bench.collect()]):
+        n, wanted = len(item.words), set(item.words)
+        for i, words in texts.items():
+            if len(wanted & set(words)) < 0.3 * len(wanted):
+                continue
+            for at in range(0, max(1, len(words) - n + 1), max(1, n // 4)):
+                near = words[max(0, at - n // 2) : at + n + n // 2]
+                share, answer = (decontam.common_subsequence(p, near) / len(p) for p in (item.words, item.answer))
+                if share >= decontam.SHARE and (share >= decontam.ALONE or answer >= decontam.ANSWER):
+                    want.add((i, item.item_id))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect()}
+    assert want and len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want), (got ^ want)
+
+
+def test_short_items_and_long_texts(spark):
+    random.seed(6)
+    vocabulary = ["".join(random.choices("klmnopqr", k=random.randint(3, 7))) for _ in range(3000)]
+    line = lambda n: [random.choice(vocabulary) for _ in range(n)]
+    item, long = line(40), line(300_000)
+    for at in (0, 140_000, 299_960):
+        long[at : at + 40] = item
+    rows = [(1, "Yes, we can! " + " ".join(line(20))), (2, " ".join(line(9)) + " yes we"), (3, "can " + " ".join(line(9))), (4, "we can yes"), (5, " ".join(long)), (6, "solo"), (7, None), (7, "")]
+    table = spark.createDataFrame([(1, "yes we can"), (2, " ".join(item)), (3, "solo"), (4, "?!"), (5, ""), (None, "solo")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontam.contaminated(documents(spark, rows), table.withColumn("doc_id", F.lit("clash"))).collect())
+    assert got == [(1, 1), (5, 2), (6, 3)]
+
+
+def test_items_are_searched_in_blocks(spark, monkeypatch):
+    docs, bench = registry.table(spark, SF, "documents"), registry.table(spark, SF, "benchmark")
+    space = decontam.fit(docs)
+    once = sorted(tuple(r) for r in decontam.contaminated(docs, bench, space).collect())
+    monkeypatch.setattr(decontam, "BLOCK", 9)
+    assert once and sorted(tuple(r) for r in decontam.contaminated(docs, bench, space).collect()) == once
+
+
 def test_common_subsequence():
     random.seed(1)
 
@@ -272,7 +322,7 @@ def held_out(i):
     return zlib.crc32(str(i).encode()) % 3 == 1
 
 
-@pytest.mark.parametrize("operator, label, least", [(quality.quality, "quality", 0.95), (toxicity.toxicity, "toxic", 0.6)])
+@pytest.mark.parametrize("operator, label, least", [(quality.quality, "quality", 0.95), (toxicity.toxicity, "toxic", 0.85)])
 def test_classifiers(spark, operator, label, least):
     big = SF.replace("sf0.001", "sf0.01")
     docs, labels = registry.table(spark, big, "documents"), registry.table(spark, big, "labels")
@@ -296,7 +346,7 @@ def test_toxic_words_are_found(spark):
     clean = [r["text"] for r in docs.join(labels.filter("toxic = 0"), "doc_id").orderBy("doc_id").limit(150).collect()]
 
     def score(t):
-        return 1 / (1 + np.exp(-np.dot(model.weights, (1.0, *c.features(t.encode())))))
+        return c.scores([t.lower().encode()])[0]
 
     def planted(t):
         w = t.split()
@@ -315,8 +365,20 @@ def test_toxic_documents_of_each_language_are_found(spark):
     labels, docs = registry.table(spark, big, "labels"), registry.table(spark, big, "documents")
     scored = toxicity.toxicity(docs, labels).filter("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
     found = {(r["lang"], r["toxic"]): r["share"] for r in scored.groupBy("lang", "toxic").agg(F.avg("predicted").alias("share")).collect()}
-    for lang, least in (("en", 0.75), ("fr", 0.75), ("de", 0.5), ("es", 0.6)):
-        assert found[lang, 1] >= least and found[lang, 0] <= 0.03, found
+    for lang, least in (("en", 0.85), ("fr", 0.8), ("de", 0.8), ("es", 0.6)):
+        assert found[lang, 1] >= least and found[lang, 0] <= 0.02, found
+
+
+def test_dictionaries_are_trained_on_either_class():
+    random.seed(8)
+    plain, odd = ["alpha", "betamax", "gammaray", "deltawing", "epsilon"], ["zugzwang", "quixotic"]
+    rows = [(" ".join(random.choice(plain) + str(random.randrange(9)) for _ in range(60)), 0) for _ in range(60)]
+    rows += [(" ".join(random.choice(odd) if k % 15 == 3 else random.choice(plain) + str(random.randrange(9)) for k in range(60)), 1) for _ in range(60)]
+    model = toxicity.train([(t.encode(), y) for t, y in rows])
+    ordinary, toxic = model.dictionaries
+    assert all(w.encode() in toxic and w.encode() not in ordinary for w in odd)
+    low, high = toxicity.Compressors(model).scores([rows[0][0].encode(), rows[-1][0].encode()])
+    assert low < toxicity.THRESHOLD <= high
 
 
 @pytest.fixture(scope="module")
