@@ -31,7 +31,7 @@ from .text import BARE, find_words, mix, ngram_hashes, word_batches
 BUCKETS, TEST, LEADING, PASSAGE, BLOCK = 8192, 96, 16, 16, 2000
 #: Least cosine of a candidate: low enough for items of which SHARE of the words is left, as a window that fits such an item has
 #: a cosine of about SHARE, or less by noise and by words of its own that are heavy.
-COSINE = 0.33
+COSINE = 0.4
 #: Least share of an item's words in common, with and without the answer's; and of the answer's.
 SHARE, ALONE, ANSWER = 0.6, 0.8, 0.5
 #: Items of fewer words have too few for a cosine: their words must stand in a document side by side.

@@ -138,26 +138,38 @@ def test_repeats(spark, corpus):
     assert sum(r[2] for r in want) > 1000
 
 
-def test_automata_decide_what_goes(spark, corpus, monkeypatch):
-    removed = lambda: repeats.without_repeats(documents(spark, corpus)).agg(F.sum("n_removed")).first()[0]
-    assert removed() > 1000
-    text = ("one two three four five six seven eight nine ten eleven twelve thirteen fourteen ").split()
-    pack = type("P", (), {"ids": [5], "window": 13, "words": next(words_.word_batches(__import__("pyarrow").array([" ".join(text)]), words_.AS_IS))[1]})
-    passage = [w.encode() for w in text]
-    assert repeats._removed(pack, [(3, passage)], 50).all() and not repeats._removed(pack, [(7, passage)], 50).any() and not repeats._removed(pack, [], 50).any()
-    assert not repeats._removed(pack, [(3, passage[:12])], 50).any()
+def packed(text, doc_id=5):
+    import pyarrow as pa
 
+    pack = object.__new__(repeats.Pack)
+    pack.ids, pack.window, pack.words = [doc_id], 13, next(words_.word_batches(pa.array([text]), words_.AS_IS))[1]
+    return pack
 
-def test_automata_are_sharded():
-    random.seed(3)
-    words = [random.choice("abc").encode() * random.randint(1, 3) for _ in range(900)]
-    want = {tuple(words[i : i + 13]) for i in range(888)}
-    got = []
-    for numbers, automaton in repeats.automata([(0, words[:500]), (1, words[480:])], 13, 100):
-        back = {chr(int(repeats._character(np.array([n]))[0])): w for w, n in numbers.items()}
-        assert len(automaton) <= 100
-        got += [tuple(back[c] for c in key) for key in automaton.keys()]
-    assert set(got) == want
+
+def test_automata_decide_what_goes(monkeypatch):
+    pack = packed(" ".join(f"w{k}" for k in range(60)))
+    assert repeats._removed(pack, [(10, 30, 3)], 50).nonzero()[0].tolist() == list(range(10, 30))
+    assert not repeats._removed(pack, [(10, 30, 5)], 50).any() and not repeats._removed(pack, [], 50).any()
+    monkeypatch.setattr(repeats.Shard, "matches", lambda self, text, doc_id: iter(()))
+    assert not repeats._removed(pack, [(10, 30, 3)], 50).any()
+
+
+@pytest.mark.parametrize("size", [14, 40, 10_000])
+def test_shards_find_every_window(size):
+    random.seed(size)
+    for _ in range(30):
+        words = [random.choice("abcd") for _ in range(400)]
+        for _ in range(4):
+            i, j, n = random.randrange(300), random.randrange(300), random.randint(10, 60)
+            words[j : j + n] = words[i : i + n]
+        pack = packed(" ".join(words))
+        passages = [(i, i + random.randint(13, 50), random.choice([3, 9])) for i in random.sample(range(340), 3)]
+        want = [False] * len(words)
+        wanted = {tuple(words[k : k + 13]) for a, z, d in passages if d < 5 for k in range(a, z - 12)}
+        for k in range(len(words) - 12):
+            if tuple(words[k : k + 13]) in wanted:
+                want[k : k + 13] = [True] * 13
+        assert repeats._removed(pack, passages, size).tolist() == want[: len(words)]
 
 
 def test_repeats_in_long_repetitive_texts(spark):
