@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import ahocorasick
 import numpy as np
@@ -73,6 +74,7 @@ class Pack:
         self.window, self.ids = window, table["doc_id"].to_pylist()
         column = table["text"].cast(pa.large_binary()).fill_null(b"").combine_chunks()
         column = column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
+        self.texts = column
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         self.words: Words = find_words(data, offsets - offsets[0], AS_IS)
@@ -189,44 +191,66 @@ def _string(numbers: np.ndarray) -> str:
 
 
 class Shard:
-    """An automaton over the seeds of some passages. Word 0 is any that no passage has."""
+    """An automaton over the seeds of some passages. Word 0 is any that no passage has.
+
+    A state of the automaton looks for the next letter among all its own, one after the other. So there a word is three letters, of
+    three small alphabets, and of a document only the runs of words that passages have are looked at, where they fill a seed.
+    """
 
     def __init__(self, hashes: np.ndarray, passages: list[tuple[int, int, int]], window: int):
         self.window, self.seed = window, (window + 1) // 2
         self.known = np.unique(np.concatenate([hashes[a:z] for a, z, _ in passages]))
-        self.texts = [self.string(hashes[a:z]) for a, z, _ in passages]
+        self.base = int(np.ceil((len(self.known) + 1) ** (1 / 3))) + 1
+        words = [self.numbers(hashes[a:z]) for a, z, _ in passages]
+        self.texts = [_string(w) for w in words]
         self.least = [d for *_, d in passages]
         self.places: list[list[tuple[int, int]]] = []
         numbers: dict[str, int] = {}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for p, text in enumerate(self.texts):
-            for k in range(0, len(text) - self.seed + 1, self.seed):
-                n = numbers.setdefault(text[k : k + self.seed], len(numbers))
+        for p, word in enumerate(words):
+            letters = self.letters(word)
+            for k in range(0, len(word) - self.seed + 1, self.seed):
+                key = letters[3 * k : 3 * (k + self.seed)]
+                n = numbers.setdefault(key, len(numbers))
                 if n == len(self.places):
                     self.places.append([])
-                    self.automaton.add_word(text[k : k + self.seed], n)
+                    self.automaton.add_word(key, n)
                 self.places[n].append((p, k))
         self.automaton.make_automaton()
 
-    def string(self, hashes: np.ndarray) -> str:
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
         place = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return _string(np.where(self.known[place] == hashes, place + 1, 0))
+        return np.where(self.known[place] == hashes, place + 1, 0)
+
+    def letters(self, numbers: np.ndarray) -> str:
+        b = self.base
+        return np.stack([numbers // (b * b) + 0x100, numbers // b % b + 0x1000, numbers % b + 0x2000], 1).astype("<u4").tobytes().decode("utf-32-le")
+
+    def found(self, letters: str, runs: list[tuple[int, int]], begin: int) -> Iterator[tuple[int, int]]:
+        """(end, seed) of each seed in runs of a document's words; the document begins at a word of the letters."""
+        for i, j in runs:
+            for last, n in self.automaton.iter(letters[3 * i : 3 * j]):
+                yield i - begin + (last + 1) // 3, n
 
-    def matches(self, text: str, doc_id: int) -> Iterator[tuple[int, int]]:
-        """(begin, end) of what a document's text has in common with passages of lesser documents, a window's words at least."""
+    def matches(self, text: str, letters: str, runs: list[tuple[int, int]], begin: int, doc_id: int) -> Iterator[tuple[int, int]]:
+        """(begin, end) of what a document's words have in common with passages of lesser documents, a window's words at least."""
         done: dict[tuple[int, int], int] = {}
-        for last, n in self.automaton.iter(text):
-            end = last + 1
+        a, z, seed, reach = 0, 0, self.seed, self.window - self.seed
+        for end, n in self.found(letters, runs, begin):
+            if a <= max(0, end - seed - reach) and z >= min(len(text), end + reach):
+                continue  # any window with this seed lies in what is matched already
             for p, k in self.places[n]:
                 line = p, end - k
                 if self.least[p] >= doc_id or done.get(line, 0) >= end:
                     continue
                 passage = self.texts[p]
-                after = _common(text, end, passage, k + self.seed, 1)
-                before = _common(text, end - self.seed - 1, passage, k - 1, -1)
+                after = _common(text, end, passage, k + seed, 1)
+                before = _common(text, end - seed - 1, passage, k - 1, -1)
                 done[line] = end + after
-                if before + self.seed + after >= self.window:
-                    yield end - self.seed - before, end + after
+                if before + seed + after >= self.window:
+                    i, j = end - seed - before, end + after
+                    a, z = (min(a, i), max(z, j)) if i <= z else (i, j)
+                    yield i, j
 
 
 def _common(x: str, i: int, y: str, j: int, way: int) -> int:
@@ -256,9 +280,17 @@ def _removed(pack: Pack, passages: list[tuple[int, int, int]], size: int) -> np.
         if total < size and k < len(pieces) - 1:
             continue
         shard = Shard(hashes, held, pack.window)
+        numbers = shard.numbers(hashes)
+        new = _changes(numbers == 0)
+        new[pack.words.first[:-1][pack.words.first[:-1] < len(new)]] = True
+        runs = [(i, j) for i, j in _runs(new) if numbers[i] and j - i >= shard.seed]  # within one document
+        text, letters, at = _string(numbers), shard.letters(numbers), 0
         for doc_id, (a, z) in zip(pack.ids, pack.words.texts(), strict=True):
-            if doc_id is not None and z - a >= pack.window:
-                for i, j in shard.matches(shard.string(hashes[a:z]), doc_id):
+            own = at
+            while at < len(runs) and runs[at][0] < z:
+                at += 1
+            if doc_id is not None and at > own:
+                for i, j in shard.matches(text[a:z], letters, runs[own:at], a, doc_id):
                     edge[a + i] += 1
                     edge[a + j] -= 1
         held, total = [], 0
@@ -283,12 +315,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, per_bucket: int = PER
         for blob in rows["blob"].to_pylist():
             p = Pack(blob, window)
             drop = _removed(p, _passages(p, replied), shard)
-            for doc_id, (a, z) in zip(p.ids, p.words.texts(), strict=True):
-                stay = np.flatnonzero(~drop[a:z]) + a
+            for doc_id, text, (a, z) in zip(p.ids, p.texts.to_pylist(), p.words.texts(), strict=True):
+                stay = ~drop[a:z]
                 ids.append(doc_id)
                 totals.append(z - a)
-                gone.append(z - a - len(stay))
-                kept.append(b" ".join(p.words.data[i:j].tobytes() for i, j in zip(p.words.starts[stay].tolist(), p.words.ends[stay].tolist(), strict=True)))
+                gone.append(z - a - int(stay.sum()))
+                kept.append(b" ".join(compress(text.split(), stay.tolist()) if gone[-1] else text.split()))
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(totals, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
     return packs.groupBy("pack").cogroup(replies.groupBy("pack")).applyInArrow(locate, "doc_id long, n_words long, n_removed long, kept string")
