@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: The allowed changes of a cursor's state.
 TRANSITIONS = {
     "init": ("scanning", "catchup"),
@@ -54,46 +56,44 @@ def recent_buffer(df: DataFrame, n: int = 100) -> DataFrame:
     return df.join(chain_head(df), "chain_id").filter(F.col("block_number") >= F.col("head") - n).select(*df.columns)
 
 
-def fold(start: tuple[int, str, str] | None, commits: Iterator[tuple[int, int, str]]) -> tuple[list[tuple], tuple[int, str, str] | None]:
-    """One chain's commits (seq, number, hash) in order over its cursor (number, hash, state): outcomes, and the cursor after them."""
-    out, now = [], start
-    for seq, number, hash_ in commits:
-        if now is None:
-            now, outcome = (number, hash_, "init"), "init"
-        elif now[2] in ("paused", "reorg"):
-            outcome = now[2]
-        elif number == now[0]:
-            outcome = "duplicate" if hash_ == now[1] else "hash_mismatch"
-        elif number < now[0]:
-            outcome = "stale"
-        elif number == now[0] + 1:
-            now, outcome = (number, hash_, now[2]), "advance"
-        else:
-            outcome = "gap"
-        out.append((seq, number, outcome, now[0], now[1]))
-    return out, now
+def step(now: tuple[int, str, str] | None, number: int, hash_: str) -> tuple[tuple[int, str, str], str]:
+    """A commit (number, hash) over a chain's cursor (number, hash, state): the cursor after it, and the outcome."""
+    if now is None:
+        return (number, hash_, "init"), "init"
+    if now[2] in ("paused", "reorg"):
+        return now, now[2]
+    if number == now[0]:
+        return now, "duplicate" if hash_ == now[1] else "hash_mismatch"
+    if number < now[0]:
+        return now, "stale"
+    return ((number, hash_, now[2]), "advance") if number == now[0] + 1 else (now, "gap")
 
 
 def cursor_fold(commits: DataFrame, cursors: DataFrame) -> DataFrame:
     """Every commit (chain_id, seq, block_number, block_hash) with its outcome and the cursor after it, in order of seq.
 
-    A commit that leaves a gap doesn't move the cursor, so order matters and a chain is folded as one; its commits are
-    streamed through the fold in batches.
+    A commit that leaves a gap doesn't move the cursor, so order matters and a chain is folded by one task. Its commits are
+    sorted by Spark, which spills, and streamed through the fold in Arrow batches, so a task holds one batch and one cursor.
     """
-
-    from ..shipping import ship
-
     ship(commits.sparkSession)
 
-    def one(key: tuple, new: pd.DataFrame, cur: pd.DataFrame) -> pd.DataFrame:
-        start = (int(cur["block_number"][0]), cur["block_hash"][0], cur["state"][0]) if len(cur) else None
-        new = new.sort_values(["seq", "block_number"])
-        rows, _ = fold(start, zip(new["seq"], new["block_number"], new["block_hash"], strict=True))
-        out = pd.DataFrame(rows, columns=["seq", "block_number", "outcome", "cursor_block", "cursor_hash"])
-        out.insert(0, "chain_id", key[0])
-        return out
-
-    return commits.groupBy("chain_id").cogroup(cursors.groupBy("chain_id")).applyInPandas(one, CURSOR)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, now = None, None
+        for batch in batches:
+            rows = batch.to_pydict()
+            out = []
+            for k, c in enumerate(rows["chain_id"]):
+                if k == 0 and chain is None or c != chain:
+                    chain, now = c, (rows["_at"][k], rows["_hash"][k], rows["_state"][k]) if rows["_at"][k] is not None else None
+                now, outcome = step(now, rows["block_number"][k], rows["block_hash"][k])
+                out.append((outcome, now[0], now[1]))
+            outcome, at, hash_ = zip(*out, strict=True) if out else ((),) * 3
+            columns = [*(batch.column(c) for c in ("chain_id", "seq", "block_number")), pa.array(outcome, pa.string()), pa.array(at, pa.int64()), pa.array(hash_, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["chain_id", "seq", "block_number", "outcome", "cursor_block", "cursor_hash"])
+
+    start = cursors.select("chain_id", F.col("block_number").alias("_at"), F.col("block_hash").alias("_hash"), F.col("state").alias("_state"))
+    joined = commits.select("chain_id", "seq", "block_number", "block_hash").join(start, "chain_id", "left")
+    return joined.repartition("chain_id").sortWithinPartitions("chain_id", "seq", "block_number").mapInArrow(run, CURSOR)
 
 
 def cursor_jump(cursors: DataFrame, jumps: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Windows over a chain's heights, in buckets of heights: one chain's rows spread over many tasks, and only bucket edges meet."""
+"""Windows over a chain's heights or a log's time, in buckets: one chain's rows spread over many tasks, and only bucket edges meet."""
 
 from __future__ import annotations
 
@@ -30,3 +30,12 @@ def with_last(df: DataFrame, value: Column, name: str, width: int = BUCKET) -> D
     edges = b.groupBy("chain_id", "_bucket").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("block_number"))).alias("_last"))
     edges = edges.withColumn("_carry", F.last("_last", ignorenulls=True).over(W.partitionBy("chain_id").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))).drop("_last")
     return inner.join(edges, ["chain_id", "_bucket"]).withColumn(name, F.coalesce("_here", "_carry")).drop("_bucket", "_value", "_here", "_carry")
+
+
+def running(df: DataFrame, by: list[str], at: str, order: list[str], value: Column, name: str, width: int) -> DataFrame:
+    """Adds the sum of value over a group's rows up to each, in order; at, the first of the order, is cut into buckets of width."""
+    b = df.withColumn("_value", value).withColumn("_bucket", F.expr(f"{at} div {width}"))
+    inner = b.withColumn("_here", F.sum("_value").over(W.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    edges = b.groupBy(*by, "_bucket").agg(F.sum("_value").alias("_sum"))
+    edges = edges.withColumn("_carry", F.sum("_sum").over(W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))).drop("_sum")
+    return inner.join(edges, [*by, "_bucket"]).withColumn(name, F.col("_here") + F.coalesce("_carry", F.lit(0))).drop("_bucket", "_value", "_here", "_carry")

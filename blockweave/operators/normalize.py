@@ -14,24 +14,31 @@ ENERGY_PRICE = 420
 SUI_COIN = "0x2::sui::SUI"
 TX_COLUMNS = ["chain_id", "tx_hash", "block_number", "block_hash", "tx_index", "from_address", "to_address", "value", "tx_type", "token_address", "token_amount", "gas_used", "gas_price", "status", "block_timestamp", "raw_data"]
 
+#: Types of the columns that aren't text.
+KINDS = {"block_number": "long", "tx_index": "int", "gas_used": "long", "block_timestamp": "long"}
+
 
 def _tx(df: DataFrame, **columns: Column) -> DataFrame:
     """The common shape; what isn't given is null."""
-    kinds = {"block_number": "long", "tx_index": "int", "gas_used": "long", "block_timestamp": "long"}
-    return df.select(*(columns.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in TX_COLUMNS))
+    return df.select(*(columns.get(c, F.lit(None)).cast(KINDS.get(c, "string")).alias(c) for c in TX_COLUMNS))
+
+
+def _chain(chain: str | Column) -> Column:
+    """The chain's name, or the column of raw rows that has it."""
+    return chain if isinstance(chain, Column) else F.lit(chain)
 
 
-def _block(df: DataFrame, chain: str, number: Column, hash_: Column, parent: Column, time: Column, status: str) -> DataFrame:
-    return df.select(F.lit(chain).alias("chain_id"), number.alias("block_number"), hash_.alias("block_hash"), F.coalesce(parent, F.lit("")).alias("parent_hash"), time.alias("block_timestamp"), F.lit(status).alias("status"))
+def _block(df: DataFrame, chain: str | Column, number: Column, hash_: Column, parent: Column, time: Column, status: str) -> DataFrame:
+    return df.select(_chain(chain).alias("chain_id"), number.alias("block_number"), hash_.alias("block_hash"), F.coalesce(parent, F.lit("")).alias("parent_hash"), time.alias("block_timestamp"), F.lit(status).alias("status"))
 
 
-def evm_blocks(raw: DataFrame, chain: str) -> DataFrame:
+def evm_blocks(raw: DataFrame, chain: str | Column) -> DataFrame:
     return _block(raw, chain, hex_long(F.col("number")), F.col("hash"), F.col("parentHash"), hex_long(F.col("timestamp")), "processed")
 
 
-def evm_transactions(raw: DataFrame, chain: str) -> DataFrame:
-    t = raw.select("number", "hash", "timestamp", F.posexplode("transactions").alias("at", "t"))
-    return _tx(t, chain_id=F.lit(chain), tx_hash=F.col("t.hash"), block_number=hex_long(F.col("number")), block_hash=F.col("hash"), tx_index=F.coalesce(hex_long(F.col("t.transactionIndex")), F.col("at")), from_address=F.lower("t.from"), to_address=F.lower(F.coalesce("t.to", F.lit(""))), value=hex_decimal(F.col("t.value")), tx_type=F.lit("native"), gas_price=hex_decimal(F.col("t.gasPrice")), status=F.lit("success"), block_timestamp=hex_long(F.col("timestamp")), raw_data=F.to_json("t"))
+def evm_transactions(raw: DataFrame, chain: str | Column) -> DataFrame:
+    t = raw.select(_chain(chain).alias("chain_id"), "number", "hash", "timestamp", F.posexplode("transactions").alias("at", "t"))
+    return _tx(t, chain_id=F.col("chain_id"), tx_hash=F.col("t.hash"), block_number=hex_long(F.col("number")), block_hash=F.col("hash"), tx_index=F.coalesce(hex_long(F.col("t.transactionIndex")), F.col("at")), from_address=F.lower("t.from"), to_address=F.lower(F.coalesce("t.to", F.lit(""))), value=hex_decimal(F.col("t.value")), tx_type=F.lit("native"), gas_price=hex_decimal(F.col("t.gasPrice")), status=F.lit("success"), block_timestamp=hex_long(F.col("timestamp")), raw_data=F.to_json("t"))
 
 
 def evm_enrich(txs: DataFrame, receipts: DataFrame) -> DataFrame:
@@ -69,7 +76,7 @@ def evm_apply_transfers(txs: DataFrame, transfers: DataFrame) -> DataFrame:
     return joined.withColumns(out).select(*txs.columns)
 
 
-def tron_blocks(raw: DataFrame, chain: str) -> DataFrame:
+def tron_blocks(raw: DataFrame, chain: str | Column) -> DataFrame:
     h = "block_header.raw_data"
     return _block(raw, chain, F.col(f"{h}.number"), F.col("blockID"), F.col(f"{h}.parentHash"), F.expr(f"{h}.timestamp div 1000"), "pending")
 
@@ -80,17 +87,17 @@ def tron_status(ret: Column) -> Column:
     return F.when(first.isNull() | first.isin("", "SUCCESS"), F.lit("success")).otherwise(F.lit("failed"))
 
 
-def tron_transactions(raw: DataFrame, chain: str) -> DataFrame:
+def tron_transactions(raw: DataFrame, chain: str | Column) -> DataFrame:
     """The first contract of each transaction; those without one are left out."""
     h = "block_header.raw_data"
-    t = raw.select("blockID", "block_header", F.posexplode("transactions").alias("at", "t")).filter(F.size("t.raw_data.contract") > 0)
+    t = raw.select(_chain(chain).alias("chain_id"), "blockID", "block_header", F.posexplode("transactions").alias("at", "t")).filter(F.size("t.raw_data.contract") > 0)
     t = t.withColumn("c", F.get("t.raw_data.contract", F.lit(0))).withColumn("v", F.col("c.parameter.value"))
     kind, data = F.col("c.type"), F.coalesce(F.col("v.data"), F.lit(""))
     transfer, asset = kind == "TransferContract", kind == "TransferAssetContract"
     trc20 = (kind == "TriggerSmartContract") & data.startswith(TRC20_CALL) & (F.length(data) >= 136)
     amount = F.when(trc20, hex_decimal(F.substring(data, 73, 64)))
     return _tx(
-        t, chain_id=F.lit(chain), tx_hash=F.col("t.txID"), block_number=F.col(f"{h}.number"), block_hash=F.col("blockID"), tx_index=F.col("at"), from_address=F.col("v.owner_address"),
+        t, chain_id=F.col("chain_id"), tx_hash=F.col("t.txID"), block_number=F.col(f"{h}.number"), block_hash=F.col("blockID"), tx_index=F.col("at"), from_address=F.col("v.owner_address"),
         to_address=F.when(transfer | asset, F.col("v.to_address")).otherwise(F.col("v.contract_address")), value=F.when(transfer | asset, F.col("v.amount").cast("string")).otherwise(F.coalesce(amount, F.lit("0"))),
         tx_type=F.when(transfer, "native").when(asset, "trc10").when(trc20, "trc20").otherwise("contract_call"), token_address=F.when(asset, F.col("v.asset_name")).when(trc20, F.col("v.contract_address")),
         token_amount=F.when(asset, F.col("v.amount").cast("string")).when(trc20, amount), status=tron_status(F.col("t.ret")), block_timestamp=F.expr(f"{h}.timestamp div 1000"), raw_data=F.to_json("t"),
@@ -108,21 +115,21 @@ def tron_logs(infos: DataFrame) -> DataFrame:
     return infos.select("chain_id", F.col("id").alias("tx_hash"), F.posexplode("log").alias("log_index", "l")).select("chain_id", "tx_hash", "log_index", "l.address", "l.topics", "l.data")
 
 
-def btc_blocks(raw: DataFrame, chain: str) -> DataFrame:
+def btc_blocks(raw: DataFrame, chain: str | Column) -> DataFrame:
     return _block(raw, chain, F.col("height"), F.col("hash"), F.col("previousblockhash"), F.col("time"), "pending")
 
 
-def btc_outputs(raw: DataFrame, chain: str) -> DataFrame:
+def btc_outputs(raw: DataFrame, chain: str | Column) -> DataFrame:
     """A row per output with an address, its own or the first of several; amounts in satoshi."""
-    t = raw.select("height", "hash", "time", F.posexplode("tx").alias("at", "t"))
-    o = t.select("height", "hash", "time", "at", "t.txid", F.posexplode("t.vout").alias("output_index", "o"))
+    t = raw.select(_chain(chain).alias("chain_id"), "height", "hash", "time", F.posexplode("tx").alias("at", "t"))
+    o = t.select("chain_id", "height", "hash", "time", "at", "t.txid", F.posexplode("t.vout").alias("output_index", "o"))
     o = o.withColumn("address", F.coalesce(F.nullif(F.col("o.scriptPubKey.address"), F.lit("")), F.get("o.scriptPubKey.addresses", F.lit(0)))).filter("address IS NOT NULL AND address <> ''")
     satoshi = (F.col("o.value") * F.lit(100_000_000).cast("decimal(9,0)")).cast("decimal(28,0)").cast("string")
-    out = _tx(o.withColumn("satoshi", satoshi), chain_id=F.lit(chain), tx_hash=F.col("txid"), block_number=F.col("height"), block_hash=F.col("hash"), tx_index=F.col("at"), from_address=F.lit(""), to_address=F.col("address"), value=F.col("satoshi"), tx_type=F.lit("native"), status=F.lit("success"), block_timestamp=F.col("time"), raw_data=F.to_json(F.struct("output_index")))
+    out = _tx(o.withColumn("satoshi", satoshi), chain_id=F.col("chain_id"), tx_hash=F.col("txid"), block_number=F.col("height"), block_hash=F.col("hash"), tx_index=F.col("at"), from_address=F.lit(""), to_address=F.col("address"), value=F.col("satoshi"), tx_type=F.lit("native"), status=F.lit("success"), block_timestamp=F.col("time"), raw_data=F.to_json(F.struct("output_index")))
     return out.withColumn("output_index", F.get_json_object("raw_data", "$.output_index").cast("int"))
 
 
-def sui_blocks(raw: DataFrame, chain: str) -> DataFrame:
+def sui_blocks(raw: DataFrame, chain: str | Column) -> DataFrame:
     return _block(raw, chain, F.col("sequence_number"), F.col("digest"), F.col("summary.previous_digest"), F.col("summary.timestamp"), "processed")
 
 
@@ -136,13 +143,13 @@ def sui_balance_changes(balance: Column, sender: Column) -> dict[str, Column]:
     return {"tx_type": F.when(token.isNotNull(), F.lit("token")).otherwise(F.lit("native")), "token_address": token["coin_type"], "token_amount": plain(token["amount"]), "value": F.coalesce(plain(own["amount"]), F.lit("0"))}
 
 
-def sui_transactions(raw: DataFrame, chain: str) -> DataFrame:
-    t = raw.select("sequence_number", "digest", "summary", F.posexplode("transactions").alias("at", "t"))
+def sui_transactions(raw: DataFrame, chain: str | Column) -> DataFrame:
+    t = raw.select(_chain(chain).alias("chain_id"), "sequence_number", "digest", "summary", F.posexplode("transactions").alias("at", "t"))
     owners = F.filter(F.transform(F.coalesce("t.effects.changed_objects", F.array().cast("array<struct<output_owner:struct<kind:string,address:string>>>")), lambda o: o["output_owner"]["address"]), lambda a: a.isNotNull() & (a != "") & (a != F.col("t.transaction.sender")))
     t = t.withColumn("recipients", F.array_distinct(owners)).withColumn("balance", F.coalesce("t.balance_changes", F.array().cast("array<struct<address:string,coin_type:string,amount:string>>")))
     gas = F.col("t.effects.gas_used.computation_cost") + F.col("t.effects.gas_used.storage_cost")
     changes = sui_balance_changes(F.col("balance"), F.col("t.transaction.sender"))
-    return _tx(t, chain_id=F.lit(chain), tx_hash=F.col("t.digest"), block_number=F.col("sequence_number"), block_hash=F.col("digest"), tx_index=F.col("at"), from_address=F.col("t.transaction.sender"), to_address=F.get("recipients", F.lit(0)), gas_used=gas, gas_price=F.col("t.transaction.gas_payment.price").cast("string"), status=F.when(F.col("t.effects.status.success"), "success").otherwise("failed"), block_timestamp=F.col("summary.timestamp"), raw_data=F.to_json("recipients"), **changes)
+    return _tx(t, chain_id=F.col("chain_id"), tx_hash=F.col("t.digest"), block_number=F.col("sequence_number"), block_hash=F.col("digest"), tx_index=F.col("at"), from_address=F.col("t.transaction.sender"), to_address=F.get("recipients", F.lit(0)), gas_used=gas, gas_price=F.col("t.transaction.gas_payment.price").cast("string"), status=F.when(F.col("t.effects.status.success"), "success").otherwise("failed"), block_timestamp=F.col("summary.timestamp"), raw_data=F.to_json("recipients"), **changes)
 
 
 #: Family -> its normalisers of blocks and transactions.

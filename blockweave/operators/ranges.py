@@ -35,9 +35,21 @@ def gap_jump(cursors: DataFrame, heads: DataFrame, threshold: int) -> tuple[Data
     return late.selectExpr("chain_id", "block_number + 1 AS from_block", "head AS to_block"), late.selectExpr("chain_id", "head AS block_number", "'' AS block_hash")
 
 
+#: Heights, or chunks, that one row is cut into at a time.
+STRETCH = 10_000
+
+
+def _cut(ranges: DataFrame, n: int) -> DataFrame:
+    """Ranges in stretches of n heights that begin at the range's begin; first by arrays of STRETCH at most, then each spread out."""
+    whole = ranges.filter("from_block <= to_block").select("chain_id", "from_block", "to_block")
+    wide = whole.select("*", F.explode(F.sequence("from_block", "to_block", F.lit(n * STRETCH))).alias("_a"))
+    wide = wide.withColumn("_z", F.least(F.col("_a") + n * STRETCH - 1, "to_block"))
+    return wide.select("chain_id", "to_block", F.explode(F.sequence("_a", "_z", F.lit(n))).alias("start"))
+
+
 def expand_ranges(ranges: DataFrame) -> DataFrame:
     """A row per height."""
-    return ranges.filter("from_block <= to_block").select("chain_id", F.explode(F.sequence("from_block", "to_block")).alias("block_number"))
+    return _cut(ranges, 1).select("chain_id", F.col("start").alias("block_number"))
 
 
 def parse_ranges(df: DataFrame, column: str) -> DataFrame:
@@ -64,8 +76,7 @@ def merge_ranges(ranges: DataFrame, width: int = BUCKET) -> DataFrame:
 
 def split_ranges(ranges: DataFrame, n: int = 100) -> DataFrame:
     """Ranges in chunks of at most n heights."""
-    starts = ranges.filter("from_block <= to_block").select("chain_id", "to_block", F.explode(F.sequence("from_block", "to_block", F.lit(n))).alias("start"))
-    return starts.select("chain_id", F.col("start").alias("from_block"), F.least(F.col("start") + n - 1, "to_block").alias("to_block"))
+    return _cut(ranges, n).select("chain_id", F.col("start").alias("from_block"), F.least(F.col("start") + n - 1, "to_block").alias("to_block"))
 
 
 def remaining_ranges(chunks: DataFrame, progress: DataFrame) -> DataFrame:

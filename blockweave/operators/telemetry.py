@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .heights import running, with_last, with_previous
+
 #: Bucket limits of histograms.
 BUCKETS = {"reorg_depth": (1, 2, 5, 10, 20, 50, 100), "batch_size": (1, 5, 10, 25, 50, 100, 250, 500), "gap_jump": (100, 1000, 5000, 10000, 50000, 100000), "latency_s": (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10)}
 #: Texts that tell of throttling, and how long a 429 and a 403 hold.
@@ -46,13 +48,14 @@ def system_status(health: DataFrame) -> DataFrame:
     return health.agg(F.when(worst == 2, "critical").when(worst == 1, "degraded").otherwise("healthy").alias("status"))
 
 
-def lag_trend(samples: DataFrame, threshold: int = 1000, checks: int = 3) -> DataFrame:
+def lag_trend(samples: DataFrame, threshold: int = 1000, checks: int = 3, width: int = 7 * DAY) -> DataFrame:
     """samples (chain_id, ts, lag): growing unless under the one before; high counts the checks above the threshold in a row."""
-    order = W.partitionBy("chain_id").orderBy("ts")
-    s = samples.withColumn("growing", F.coalesce(F.col("lag") >= F.lag("lag").over(order), F.lit(True)))
-    s = s.withColumn("_low", F.sum((F.col("lag") <= threshold).cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    high = F.sum((F.col("lag") > threshold).cast("long")).over(W.partitionBy("chain_id", "_low").orderBy("ts").rowsBetween(W.unboundedPreceding, 0))
-    return s.withColumn("high", high).select("chain_id", "ts", "lag", "growing", "high", ((F.col("lag") > threshold) & (F.col("growing") | (F.col("high") >= checks))).alias("triggered"))
+    s = with_previous(samples.withColumn("block_number", F.col("ts")), F.col("lag"), "_prior", width)
+    s = running(s, ["chain_id"], "ts", ["ts"], F.lit(1).cast("long"), "_i", width)
+    s = with_last(s, F.when(F.col("lag") <= threshold, F.col("_i")), "_low", width)
+    s = s.withColumn("growing", F.coalesce(F.col("lag") >= F.col("_prior"), F.lit(True)))
+    s = s.withColumn("high", F.when(F.col("lag") > threshold, F.col("_i") - F.coalesce("_low", F.lit(0))).otherwise(F.lit(0)).cast("long"))
+    return s.select("chain_id", "ts", "lag", "growing", "high", ((F.col("lag") > threshold) & (F.col("growing") | (F.col("high") >= checks))).alias("triggered"))
 
 
 def catchup_plan(lag: DataFrame, base: float = 12.0, low: float = 0.5, high: float = 60.0, normal: int = 5, burst: int = 50, least: int = 1, most: int = 20, enabled: bool = True) -> DataFrame:
@@ -92,12 +95,18 @@ def increase(samples: DataFrame, seconds: int, by: list[str]) -> DataFrame:
     return out.withColumn("rate", F.round(F.col("increase") / seconds, 6))
 
 
-def alert_lag(samples: DataFrame, limit: int, seconds: int) -> DataFrame:
-    """Samples (chain_id, ts, lag) at which the lag has been above a limit for so many seconds."""
-    w = W.partitionBy("chain_id").orderBy("ts")
-    held = F.min("lag").over(w.rangeBetween(-seconds, 0)) > limit
-    covered = F.min("ts").over(w.rangeBetween(W.unboundedPreceding, 0)) <= F.col("ts") - seconds
-    return samples.withColumn("_fire", held & covered).filter("_fire").select("chain_id", "ts", "lag")
+def alert_lag(samples: DataFrame, limit: int, seconds: int, width: int = DAY) -> DataFrame:
+    """Samples (chain_id, ts, lag) at which the lag has been above a limit for so many seconds.
+
+    Samples are cut into buckets of time, not shorter than the seconds; a bucket also sees the end of the one before.
+    """
+    width = max(width, seconds)
+    own, tail = F.expr(f"ts div {width}"), F.expr(f"ts % {width} >= {width - seconds}")
+    seen = samples.withColumn("_own", own).withColumn("_bucket", F.explode(F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))))
+    held = F.min("lag").over(W.partitionBy("chain_id", "_bucket").orderBy("ts").rangeBetween(-seconds, 0)) > limit
+    first = samples.groupBy("chain_id").agg(F.min("ts").alias("_first"))
+    fires = seen.withColumn("_held", held).filter("_held AND _bucket = _own").join(first, "chain_id").filter(F.col("_first") <= F.col("ts") - seconds)
+    return fires.select("chain_id", "ts", "lag")
 
 
 def sliding(df: DataFrame, seconds: int, step: int) -> DataFrame:
@@ -175,10 +184,19 @@ def fleet_usage(usage: DataFrame) -> DataFrame:
     return usage.filter(F.col("daily_limit") > 0).groupBy("day").agg(F.round(F.sum("used") * 100.0 / F.sum("daily_limit"), 4).alias("usage_percent"))
 
 
-def rolling_latency(calls: DataFrame, n: int = 100) -> DataFrame:
-    """Mean latency of the last n successful calls at each of them, summed in whole microseconds."""
-    w = W.partitionBy("provider").orderBy("ts", "event_id").rowsBetween(-(n - 1), 0)
-    return calls.filter("ok").select("event_id", "provider", (F.sum(F.round(F.col("latency_ms") * 1000).cast("long")).over(w) / (F.lit(1000.0) * F.count("*").over(w))).alias("latency_ms"))
+def rolling_latency(calls: DataFrame, n: int = 100, width: int = DAY) -> DataFrame:
+    """Mean latency of the last n successful calls at each of them, summed in whole microseconds.
+
+    A provider's calls are numbered and cut into chunks; a chunk also sees the last n - 1 calls of the one before.
+    """
+    size = 10 * n
+    ok = running(calls.filter("ok"), ["provider"], "ts", ["ts", "event_id"], F.lit(1).cast("long"), "_i", width)
+    own = F.expr(f"(_i - 1) div {size}")
+    tail = (F.col("_i") - 1) % size > size - n
+    seen = ok.withColumn("_own", own).withColumn("_chunk", F.explode(F.when(tail, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = W.partitionBy("provider", "_chunk").orderBy("_i").rowsBetween(-(n - 1), 0)
+    mean = F.sum(F.round(F.col("latency_ms") * 1000).cast("long")).over(w) / (F.lit(1000.0) * F.count("*").over(w))
+    return seen.withColumn("_mean", mean).filter("_chunk = _own").select("event_id", "provider", F.col("_mean").alias("latency_ms"))
 
 
 def request_counts(calls: DataFrame, now: int) -> DataFrame:
@@ -246,13 +264,28 @@ def provider_error_rate(calls: DataFrame) -> DataFrame:
     return g.withColumn("error_rate", F.round(F.col("n_failures") / F.col("n_requests"), 6)).withColumn("available", F.col("n_failures") * 2 <= F.col("n_requests"))
 
 
-def circuit_events(calls: DataFrame, limit: int = 5, probe: int = 60) -> DataFrame:
-    """When a provider's circuit opens: at the limit-th failure in a row, "not found" not counting; and when it may be probed."""
-    counted = calls.filter(F.col("ok") | ~F.lower("error_msg").contains("not found"))
-    order = W.partitionBy("provider").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    runs = counted.withColumn("_run", F.sum(F.col("ok").cast("long")).over(order)).filter(~F.col("ok"))
+#: Texts of failures that don't count towards opening a circuit.
+NOT_FOUND = ("not found", "out of range")
+
+
+def circuit_events(calls: DataFrame, limit: int = 5, probe: int = 60, width: int = DAY) -> DataFrame:
+    """(provider, opened_at, last_failure_at, probe_at, closed_at) of every opening of a provider's circuit.
+
+    It opens at the limit-th failure since the last success, those of NOT_FOUND not counting, and closes at the next success. It
+    may be probed when more than so many seconds have passed since the last failure of any kind; probe_at is the last second
+    before that.
+    """
+    not_found = F.lit(False)
+    for t in NOT_FOUND:
+        not_found = not_found | F.lower("error_msg").contains(t)
+    c = running(calls, ["provider"], "ts", ["ts", "event_id"], F.col("ok").cast("long"), "_run", width)
+    failures = c.filter(~F.col("ok"))
     n = F.row_number().over(W.partitionBy("provider", "_run").orderBy("ts", "event_id"))
-    return runs.withColumn("_n", n).filter(F.col("_n") == limit).select("provider", F.col("ts").alias("opened_at"), (F.col("ts") + probe).alias("probe_at"))
+    opened = failures.filter(~not_found).withColumn("_n", n).filter(F.col("_n") == limit).select("provider", "_run", F.col("ts").alias("opened_at"))
+    last = failures.groupBy("provider", "_run").agg(F.max("ts").alias("last_failure_at"))
+    closed = c.filter("ok").select("provider", (F.col("_run") - 1).alias("_run"), F.col("ts").alias("closed_at"))
+    j = opened.join(last, ["provider", "_run"]).join(closed, ["provider", "_run"], "left")
+    return j.select("provider", "opened_at", "last_failure_at", (F.col("last_failure_at") + probe).alias("probe_at"), "closed_at")
 
 
 def retry_after(stats: DataFrame) -> DataFrame:
@@ -260,8 +293,11 @@ def retry_after(stats: DataFrame) -> DataFrame:
 
 
 def eligible_providers(stats: DataFrame, served: DataFrame, circuits: DataFrame, now: int) -> DataFrame:
-    """served (chain_id, provider): per chain, providers whose circuit is closed and that aren't blocked; within budget where any is."""
-    open_ = circuits.filter(F.lit(now).between(F.col("opened_at"), F.col("probe_at"))).select("provider").distinct().withColumn("_open", F.lit(True))
+    """served (chain_id, provider): per chain, providers whose circuit is closed or may be probed and that aren't blocked; within budget where any is.
+
+    circuits: circuit_events of the calls up to now.
+    """
+    open_ = circuits.filter(F.col("closed_at").isNull() & (F.col("opened_at") <= now) & (F.col("probe_at") >= now)).select("provider").distinct().withColumn("_open", F.lit(True))
     j = served.distinct().join(stats, "provider").join(open_, "provider", "left")
     j = j.withColumn("usable", F.col("_open").isNull() & (F.col("status") != "blocked")).withColumn("has_quota", F.col("usage_percent") < 95)
     chain = W.partitionBy("chain_id")

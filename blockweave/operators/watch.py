@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .store import TX_KEY
 
-#: Bits and hashes of a Bloom filter.
-BITS, HASHES = 100_000, 7
-#: A watch-list of at most so many rows is broadcast without being asked for; a larger one is joined by shuffles.
-SMALL = 1_000_000
+#: Least bits of a Bloom filter, bits for a key, and hashes: about one false hit in a hundred.
+BITS, PER_KEY, HASHES = 100_000, 10, 7
+#: Watched texts of fewer characters aren't looked for within raw data.
+LEAST = 30
 
 
 def watchlist(wallets: DataFrame, add: DataFrame | None = None, remove: DataFrame | None = None) -> DataFrame:
@@ -27,23 +27,35 @@ def _touching(txs: DataFrame, watched: DataFrame, columns: dict[str, Column]) ->
     return sides.join(watched, "address", "left_semi").select(*TX_KEY).distinct()
 
 
-def watch_evm(txs: DataFrame, wallets: DataFrame, raw_mode: str = "calldata") -> DataFrame:
-    """Sender or recipient watched in any case, or raw_data tagged ERC20, or a watched address within raw_data.
+def _within(txs: DataFrame, watched: DataFrame) -> DataFrame:
+    """Keys of the transactions whose raw data holds a watched text of LEAST characters or more, without 0x, in any case.
 
-    raw_mode calldata finds addresses as words of 40 hexadecimal digits, padded or not, and joins them; exact looks for every
-    watched address of 30 characters or more as a substring, a nested loop for short lists; none leaves raw_data out.
+    Raw data is cut into runs between quotes and white space. For every length that watched texts have, which are few, a run's
+    distinct stretches of that length are joined with them: an equal join instead of a nested loop. A stretch is a row, so a run
+    of n characters costs n rows for each length.
+    """
+    plain = watched.select(F.regexp_replace("address", "^0x", "").alias("w"), F.length("address").alias("n")).filter(F.col("n") >= LEAST).select("w", F.length("w").alias("n")).distinct()
+    lengths = [r["n"] for r in plain.select("n").distinct().collect()]  # a row for each length
+    runs = txs.select(*TX_KEY, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("raw_data"), F.lit(r'[^"\\s]{' + str(LEAST - 2) + r",}"), F.lit(0)))).alias("run"))
+    found = None
+    for n in lengths:
+        each = F.expr(f"explode(array_distinct(transform(sequence(1, length(run) - {n - 1}), i -> substring(run, i, {n}))))")
+        stretches = runs.filter(F.length("run") >= n).select(*TX_KEY, each.alias("w"))
+        part = stretches.join(plain.filter(F.col("n") == n), "w", "left_semi").select(*TX_KEY)
+        found = part if found is None else found.union(part)
+    return found if found is not None else txs.select(*TX_KEY).limit(0)
+
+
+def watch_evm(txs: DataFrame, wallets: DataFrame, raw: bool = True) -> DataFrame:
+    """Sender or recipient watched in any case, or raw_data of the type ERC20, or a watched text of LEAST characters within raw_data.
+
+    Without raw, raw_data is left out. Watched texts hold neither quotes nor white space.
     """
     watched = watchlist(wallets)
     keys = _touching(txs, watched, {"from": F.lower("from_address"), "to": F.lower("to_address")})
-    keys = keys.union(txs.filter(F.col("raw_data").contains("ERC20")).select(*TX_KEY))
-    if raw_mode == "calldata":
-        words = F.regexp_extract_all(F.lower("raw_data"), F.lit("(?=([0-9a-f]{40}))[0-9a-f]"), F.lit(1))
-        found = txs.filter(F.length("raw_data") >= 40).select(*TX_KEY, F.explode(F.array_distinct(words)).alias("w"))
-        plain = watched.filter(F.length("address") >= 30).select(F.regexp_replace("address", "^0x", "").alias("w")).distinct()
-        keys = keys.union(found.join(plain, "w", "left_semi").select(*TX_KEY))
-    elif raw_mode == "exact":
-        plain = F.broadcast(watched.filter(F.length("address") >= 30).select(F.regexp_replace("address", "^0x", "").alias("w")).limit(SMALL))
-        keys = keys.union(txs.join(plain, F.lower("raw_data").contains(F.col("w")), "left_semi").select(*TX_KEY))
+    if raw:
+        keys = keys.union(txs.filter(F.get_json_object("raw_data", "$.type") == "ERC20").select(*TX_KEY))
+        keys = keys.union(_within(txs.filter(F.length("raw_data") >= LEAST - 2), watched))
     return txs.join(keys.distinct(), TX_KEY, "left_semi")
 
 
@@ -76,26 +88,28 @@ def relevant_blocks(txs: DataFrame, wallets: DataFrame) -> DataFrame:
     return every.join(hit, ["chain_id", "block_number"], "left").select("chain_id", "block_number", F.coalesce("_hit", F.lit(False)).alias("relevant"))
 
 
-def bloom_build(keys: DataFrame, column: str = "address", bits: int = BITS, hashes: int = HASHES) -> DataFrame:
-    """One row (bits binary, n long): a bit set over the lower-cased keys, or null where there are none."""
-    at = F.explode(F.array(*(F.pmod(F.xxhash64(F.lower(column), F.lit(i)), F.lit(bits)) for i in range(hashes))))
-    marked = keys.select(at.alias("at")).distinct()
-    size = F.bitmap_bucket_number(F.col("at") + 1)
-    return marked.groupBy(size.alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits"))
-
-
-def bloom_prefilter(df: DataFrame, column: str, bloom: DataFrame, bits: int = BITS, hashes: int = HASHES) -> DataFrame:
-    """Rows that may be in the set: none of the set is lost; an empty filter lets all pass. The filter has bits / 8 bytes."""
-    one = bloom.agg(F.map_from_entries(F.collect_list(F.struct("part", "bits"))).alias("_parts"))
-
-    def there(i: int) -> Column:
-        at = F.pmod(F.xxhash64(F.lower(column), F.lit(i)), F.lit(bits)) + 1
-        byte = F.substring(F.element_at("_parts", F.bitmap_bucket_number(at)), (F.call_function("div", F.bitmap_bit_position(at), F.lit(8)) + 1).cast("int"), F.lit(1))
-        value = F.conv(F.hex(byte), 16, 10).cast("int")
-        return F.coalesce(F.getbit(value, (F.bitmap_bit_position(at) % 8).cast("int")) == 1, F.lit(False))
-
-    joined = df.join(F.broadcast(one))  # one row of a fixed size
-    return joined.filter((F.size("_parts") == 0) | F.reduce(F.array(*map(there, range(hashes))), F.lit(True), lambda a, b: a & b)).select(*df.columns)
+def bloom_build(keys: DataFrame, column: str = "address", bits: int | None = None, hashes: int = HASHES) -> DataFrame:
+    """(part, bits, size): a bit set over the lower-cased keys, in parts; without given bits it has PER_KEY for each key."""
+    low = keys.select(F.lower(column).alias("key")).distinct()
+    size = low.agg(F.greatest(F.lit(BITS), F.lit(PER_KEY) * F.count("*")).alias("size")) if bits is None else keys.sparkSession.range(1).select(F.lit(bits).cast("long").alias("size"))
+    at = F.explode(F.array(*(F.pmod(F.xxhash64("key", F.lit(i)), F.col("size")) for i in range(hashes))))
+    marked = low.join(F.broadcast(size)).select("size", at.alias("at")).distinct()  # one row
+    return marked.groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits"), F.first("size").alias("size"))
+
+
+def bloom_prefilter(df: DataFrame, column: str, bloom: DataFrame, hashes: int = HASHES) -> DataFrame:
+    """Rows that may be in the set: none of the set is lost; an empty filter lets all pass. A row's places are joined with the parts."""
+    size = bloom.agg(F.max("size").alias("_size"))
+    key = F.lower(F.col(column))
+    asked = df.select(key.alias("_key")).distinct().join(F.broadcast(size))  # one row
+    places = asked.select("_key", "_size", F.explode(F.array(*(F.pmod(F.xxhash64("_key", F.lit(i)), F.col("_size")) + 1 for i in range(hashes)))).alias("_at"))
+    parts = bloom.select(F.col("part").alias("_part"), F.col("bits").alias("_bits"))
+    joined = places.withColumn("_part", F.bitmap_bucket_number("_at")).join(parts, "_part", "left")
+    byte = F.conv(F.hex(F.substring("_bits", (F.expr("bitmap_bit_position(_at) div 8") + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (F.bitmap_bit_position("_at") % 8).cast("int")) == 1, F.lit(False))
+    passed = joined.withColumn("_hit", hit).groupBy("_key").agg(F.bool_and(F.col("_hit") | F.col("_size").isNull()).alias("_hit"))
+    empty = asked.filter("_size IS NULL").select("_key")
+    return df.join(passed.filter("_hit").select("_key").union(empty).distinct(), key == F.col("_key"), "left_semi")
 
 
 def filter_stats(txs: DataFrame, matched: DataFrame) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.heights import running
+
 #: The moment that jobs over these tables take for now: 2024-01-31 00:00:00 UTC.
 NOW = 1706659200
+#: Raw data of transactions: tagged token transfers, calls with a customer's address within, or nothing.
+RAW_DATA = """CASE WHEN l_linenumber = 5 AND l_partkey % 40 = 0 THEN '{{"type":"ERC20","token":"0xa0"}}' WHEN l_linenumber = 5 AND l_partkey % 40 = 1 THEN '{{"type":"ERC20_MULTIPLE","transfers":[]}}' WHEN l_linenumber = 6 THEN '{{"input":"0xA9059CBB000000000000000000000000C' || lpad({}, 39, '0') || '00ff"}}' ELSE '{{}}' END"""
 RAW_ADDRESS = "'0x' || '{}' || lpad(cast({} as string), 39, '0')"
 
 
@@ -17,9 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").withColumn("chain_id", F.expr("'chain_' || (o_custkey % 5)"))
-    n = F.row_number().over(W.partitionBy("chain_id").orderBy("o_orderkey")) - 1
     parent = "CASE WHEN block_number = 0 THEN '' WHEN o_orderkey % 211 = 0 THEN md5('fork:' || block_number) ELSE md5(chain_id || ':' || (block_number - 1)) END"
-    return orders.withColumn("block_number", n.cast("long")).select(
+    numbered = running(orders, ["chain_id"], "o_orderkey", ["o_orderkey"], F.lit(1).cast("long"), "_n", 100_000)
+    return numbered.withColumn("block_number", F.col("_n") - 1).select(
         "o_orderkey", "o_custkey", "chain_id", "block_number", F.expr("md5(chain_id || ':' || block_number)").alias("block_hash"), F.expr(parent).alias("parent_hash"),
         F.expr("unix_timestamp(cast(o_orderdate as timestamp))").alias("block_timestamp"), F.lit("processed").alias("status"),
     )
@@ -37,7 +40,7 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
         "chain_id", F.expr("md5(l_orderkey || '-' || l_linenumber)").alias("tx_hash"), "block_number", "block_hash", F.col("l_linenumber").cast("int").alias("tx_index"),
         F.expr(RAW_ADDRESS.format("c", "o_custkey")).alias("from_address"), F.expr(RAW_ADDRESS.format("d", "l_suppkey")).alias("to_address"),
         F.expr("cast(cast(l_quantity as bigint) * 1000000000000000 as string)").alias("value"), F.lit("native").alias("tx_type"), F.lit(None).cast("string").alias("token_address"), F.lit(None).cast("string").alias("token_amount"),
-        F.col("l_partkey").cast("long").alias("gas_used"), F.lit("1000000000").alias("gas_price"), F.expr("CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'success' END").alias("status"), "block_timestamp", F.lit("{}").alias("raw_data"), F.col("block_timestamp").alias("created_at"),
+        F.col("l_partkey").cast("long").alias("gas_used"), F.lit("1000000000").alias("gas_price"), F.expr("CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'success' END").alias("status"), "block_timestamp", F.expr(RAW_DATA.format("cast(l_suppkey * 3 AS string)")).alias("raw_data"), F.col("block_timestamp").alias("created_at"),
         F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("arrival"),
     )
 
@@ -89,17 +92,22 @@ def failed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Calls that fail: errors at two providers of three, and all calls of some providers for days.
+FAILS = "(event_type = 'error' AND user_id % 3 <> 0 OR user_id % 7 = 5 AND {} % 3 = 1)"
+
+
 def rpc_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = "CASE event_id % 6 WHEN 0 THEN 'HTTP 429: too many requests' WHEN 1 THEN 'rate limit exceeded' WHEN 2 THEN 'forbidden' WHEN 3 THEN 'block not found' WHEN 4 THEN 'timeout' ELSE 'monthly quota exceeded' END"
+    fails = FAILS.format("(unix_timestamp(cast(ts AS timestamp)) div 432000)")
+    text = "CASE event_id % 7 WHEN 0 THEN 'HTTP 429: too many requests' WHEN 1 THEN 'rate limit exceeded' WHEN 2 THEN 'forbidden' WHEN 3 THEN 'block not found' WHEN 4 THEN 'timeout' WHEN 5 THEN 'height out of range' ELSE 'monthly quota exceeded' END"
     return table(spark, sf_dir, "events").selectExpr(
-        "event_id", "unix_timestamp(cast(ts AS timestamp)) AS ts", "'chain_' || (user_id % 5) AS chain_id", "'p' || (user_id % 7) AS provider", "cast(value * 10 AS double) AS latency_ms", "event_type <> 'error' AS ok",
-        "cast(CASE WHEN event_type <> 'error' THEN 200 WHEN event_id % 3 = 0 THEN 429 WHEN event_id % 3 = 1 THEN 403 ELSE 500 END AS int) AS status_code", f"CASE WHEN event_type <> 'error' THEN '' ELSE {text} END AS error_msg",
+        "event_id", "unix_timestamp(cast(ts AS timestamp)) AS ts", "'chain_' || (user_id % 5) AS chain_id", "'p' || user_id AS provider", "cast(value * 10 AS double) AS latency_ms", f"NOT {fails} AS ok",
+        f"cast(CASE WHEN NOT {fails} THEN 200 WHEN event_id % 9 = 0 THEN 429 WHEN event_id % 9 = 1 THEN 403 ELSE 500 END AS int) AS status_code", f"CASE WHEN NOT {fails} THEN '' ELSE {text} END AS error_msg",
     )
 
 
 def provider_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily limits: p0 none, the others 20 more each; interval limits of 3 calls in 60 s."""
-    return rpc_calls(spark, sf_dir).select("provider").distinct().selectExpr("provider", "cast(CASE WHEN provider = 'p0' THEN 0 ELSE 20 + 20 * cast(substring(provider, 2, 1) AS bigint) END AS bigint) AS daily_limit", "cast(3 AS bigint) AS interval_limit", "cast(60 AS bigint) AS interval_seconds")
+    """Daily limits: p0 none, the others by their first digit; interval limits of 3 calls in 60 s."""
+    return rpc_calls(spark, sf_dir).select("provider").distinct().selectExpr("provider", "cast(CASE WHEN provider = 'p0' THEN 0 ELSE 1 + cast(substring(provider, 2, 1) AS bigint) % 5 END AS bigint) AS daily_limit", "cast(3 AS bigint) AS interval_limit", "cast(60 AS bigint) AS interval_seconds")
 
 
 def transition_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +128,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY o_orderkey) - 1 AS block_number FROM (SELECT *, 'chain_' || (o_custkey % 5) AS chain_id FROM orders))"""),
     "blocks": (("hashed",), "SELECT chain_id, block_number, block_hash, parent_hash, block_timestamp, status, block_timestamp AS created_at FROM hashed WHERE o_orderkey % 17 <> 0"),
     "arrivals": (("hashed",), f"""SELECT chain_id, md5(l_orderkey || '-' || l_linenumber) AS tx_hash, block_number, block_hash, l_linenumber::INT AS tx_index, {_SQL_ADDRESS.format("c", "o_custkey")} AS from_address, {_SQL_ADDRESS.format("d", "l_suppkey")} AS to_address, (l_quantity::BIGINT * 1000000000000000)::VARCHAR AS value, 'native' AS tx_type, NULL::VARCHAR AS token_address, NULL::VARCHAR AS token_amount,
-        l_partkey::BIGINT AS gas_used, '1000000000' AS gas_price, CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'success' END AS status, block_timestamp, '{{}}' AS raw_data, block_timestamp AS created_at, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem JOIN hashed ON l_orderkey = o_orderkey WHERE o_orderkey % 17 <> 0"""),
+        l_partkey::BIGINT AS gas_used, '1000000000' AS gas_price, CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'success' END AS status, block_timestamp, {RAW_DATA.format("(l_suppkey * 3)::VARCHAR")} AS raw_data, block_timestamp AS created_at, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem JOIN hashed ON l_orderkey = o_orderkey WHERE o_orderkey % 17 <> 0"""),
     "transactions": (("arrivals",), "SELECT * EXCLUDE (l_partkey, l_suppkey, l_quantity, l_extendedprice) FROM arrivals QUALIFY row_number() OVER (PARTITION BY chain_id, tx_hash, block_number ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1"),
     "wallets": ((), f"SELECT address, 'evm' AS network_type, 'eoa' AS standard, {NOW}::BIGINT AS created_at, {NOW}::BIGINT AS updated_at FROM (SELECT {_SQL_ADDRESS.format('C', 'c_custkey')} AS address FROM customer WHERE c_acctbal > 9500 UNION ALL SELECT {_SQL_ADDRESS.format('D', 's_suppkey')} FROM supplier WHERE s_acctbal > 9500)"),
     "watched": (("wallets",), "SELECT DISTINCT lower(address) AS address FROM wallets"),
@@ -129,8 +137,9 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "ranges": ((), "SELECT 'chain_' || (o_custkey % 5) AS chain_id, o_orderkey AS from_block, o_orderkey + o_custkey % 9 AS to_block FROM orders WHERE o_orderkey % 13 < 3"),
     "missing": ((), "SELECT o_orderkey AS id, 'chain_' || (o_custkey % 5) AS chain_id, o_orderkey AS from_block, o_orderkey + o_custkey % 9 AS to_block, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'completed' ELSE 'failed' END AS status, (o_custkey % 6)::INT AS attempts, '' AS error_msg, (CASE WHEN o_custkey % 2 = 0 THEN 10 ELSE 1 END)::INT AS priority, epoch(o_orderdate)::BIGINT AS created_at, epoch(o_orderdate)::BIGINT AS updated_at FROM orders"),
     "failed": ((), f"SELECT o_orderkey AS id, 'chain_' || (o_custkey % 5) AS chain_id, o_orderkey AS block_number, 'rpc' AS failure_type, CASE o_orderkey % 4 WHEN 0 THEN 'HTTP 429 from node' WHEN 1 THEN 'code -32602: invalid params' WHEN 2 THEN 'connection reset' ELSE 'Monthly quota exceeded' END AS error_msg, (o_custkey % 6)::INT AS retry_count, ({NOW} - o_orderkey % 120)::BIGINT AS last_attempt, CASE WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'resolved' END AS status, ({NOW} - o_orderkey % 200000)::BIGINT AS created_at, ({NOW} - o_orderkey % 120)::BIGINT AS updated_at FROM orders"),
-    "rpc_calls": ((), "SELECT event_id, epoch(date_trunc('second', ts))::BIGINT AS ts, 'chain_' || (user_id % 5) AS chain_id, 'p' || (user_id % 7) AS provider, value * 10 AS latency_ms, event_type <> 'error' AS ok, (CASE WHEN event_type <> 'error' THEN 200 WHEN event_id % 3 = 0 THEN 429 WHEN event_id % 3 = 1 THEN 403 ELSE 500 END)::INT AS status_code, CASE WHEN event_type <> 'error' THEN '' ELSE CASE event_id % 6 WHEN 0 THEN 'HTTP 429: too many requests' WHEN 1 THEN 'rate limit exceeded' WHEN 2 THEN 'forbidden' WHEN 3 THEN 'block not found' WHEN 4 THEN 'timeout' ELSE 'monthly quota exceeded' END END AS error_msg FROM events"),
-    "provider_policy": (("rpc_calls",), "SELECT DISTINCT provider, (CASE WHEN provider = 'p0' THEN 0 ELSE 20 + 20 * substring(provider, 2, 1)::BIGINT END)::BIGINT AS daily_limit, 3::BIGINT AS interval_limit, 60::BIGINT AS interval_seconds FROM rpc_calls"),
+    "rpc_calls": ((), f"""SELECT event_id, ts, chain_id, provider, latency_ms, NOT fails AS ok, (CASE WHEN NOT fails THEN 200 WHEN event_id % 9 = 0 THEN 429 WHEN event_id % 9 = 1 THEN 403 ELSE 500 END)::INT AS status_code, CASE WHEN NOT fails THEN '' ELSE CASE event_id % 7 WHEN 0 THEN 'HTTP 429: too many requests' WHEN 1 THEN 'rate limit exceeded' WHEN 2 THEN 'forbidden' WHEN 3 THEN 'block not found' WHEN 4 THEN 'timeout' WHEN 5 THEN 'height out of range' ELSE 'monthly quota exceeded' END END AS error_msg
+        FROM (SELECT event_id, epoch(date_trunc('second', ts))::BIGINT AS ts, 'chain_' || (user_id % 5) AS chain_id, 'p' || user_id AS provider, value * 10 AS latency_ms, {FAILS.format("(epoch(date_trunc('second', ts))::BIGINT // 432000)")} AS fails FROM events)"""),
+    "provider_policy": (("rpc_calls",), "SELECT DISTINCT provider, (CASE WHEN provider = 'p0' THEN 0 ELSE 1 + substring(provider, 2, 1)::BIGINT % 5 END)::BIGINT AS daily_limit, 3::BIGINT AS interval_limit, 60::BIGINT AS interval_seconds FROM rpc_calls"),
     "transition_log": ((), "SELECT event_id, epoch(date_trunc('second', ts))::BIGINT AS ts, 'chain_' || (user_id % 5) AS chain_id, CASE user_id % 6 WHEN 0 THEN 'init' WHEN 1 THEN 'scanning' WHEN 2 THEN 'catchup' WHEN 3 THEN 'backfill' WHEN 4 THEN 'paused' ELSE 'reorg' END AS from_state, CASE event_id % 6 WHEN 0 THEN 'init' WHEN 1 THEN 'scanning' WHEN 2 THEN 'catchup' WHEN 3 THEN 'backfill' WHEN 4 THEN 'paused' ELSE 'reorg' END AS to_state FROM events"),
     "incoming": (("blocks",), "SELECT chain_id, block_number + 1 AS block_number, md5('new:' || chain_id || (block_number + 1)) AS block_hash, CASE WHEN block_number % 3 = 0 THEN md5('other') ELSE block_hash END AS parent_hash, block_timestamp + 1 AS block_timestamp, 'processed' AS status, block_timestamp + 1 AS created_at FROM blocks WHERE block_number % 97 = 5"),
 }

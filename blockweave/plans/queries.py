@@ -38,7 +38,8 @@ ORPHANS = STOPS + ", gone AS (SELECT DISTINCT b.chain_id, b.block_number FROM bl
 
 
 def _with(extra: str, sql: str, *tables: str) -> str:
-    return fx.sql("SELECT 1", *tables)[: -len(" SELECT 1")] + ", " + extra + " " + sql
+    start = fx.sql("SELECT 1", *tables)[: -len(" SELECT 1")]
+    return start.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + extra + " " + sql
 
 
 def more(extra: str, sql: str, *tables: str):
@@ -71,20 +72,20 @@ def scan_block_range(s, d):
 
 
 def _sorted_sql(columns: str, where: str = "true") -> str:
-    return f"SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY chain_id, block_number ORDER BY tx_hash) - 1 AS pos FROM transactions WHERE {ONE}) WHERE {where}"
+    return f"SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY chain_id, block_number ORDER BY tx_hash) - 1 AS pos FROM transactions) WHERE {where}"
 
 
-@query(f"SELECT {B} FROM blocks WHERE {ONE}", "blocks")
+@query(f"SELECT {B} FROM blocks", "blocks")
 def evm_blocks(s, d):
-    return normalize.evm_blocks(raw.evm(s, d), raw.CHAIN)
+    return normalize.evm_blocks(raw.evm(s, d), raw.chain())
 
 
 EVM = "chain_id", "tx_hash", "block_number", "block_hash", "tx_index", "from_address", "to_address", "value", "tx_type", "gas_price", "status", "block_timestamp"
-EVM_SQL = f"SELECT {', '.join(c for c in EVM if c not in ('gas_price', 'status'))}, CASE WHEN tx_index = 7 THEN '0' ELSE '1000000000' END AS gas_price, 'success' AS status FROM transactions WHERE {ONE}"
+EVM_SQL = f"SELECT {', '.join(c for c in EVM if c not in ('gas_price', 'status'))}, CASE WHEN tx_index = 7 THEN '0' ELSE '1000000000' END AS gas_price, 'success' AS status FROM transactions"
 
 
 def _evm_txs(s, d):
-    return normalize.evm_transactions(raw.evm(s, d), raw.CHAIN)
+    return normalize.evm_transactions(raw.evm(s, d), raw.chain())
 
 
 @query(EVM_SQL, "transactions")
@@ -92,12 +93,12 @@ def evm_transactions(s, d):
     return _evm_txs(s, d).select(*EVM)
 
 
-@query(f"SELECT tx_hash, block_number, CASE WHEN gas_used % 3 <> 0 THEN gas_used END AS gas_used, CASE WHEN gas_used % 3 <> 0 AND status = 'failed' THEN 'failed' ELSE 'success' END AS status FROM transactions WHERE {ONE}", "transactions")
+@query(f"SELECT tx_hash, block_number, CASE WHEN gas_used % 3 <> 0 THEN gas_used END AS gas_used, CASE WHEN gas_used % 3 <> 0 AND status = 'failed' THEN 'failed' ELSE 'success' END AS status FROM transactions", "transactions")
 def evm_enrich(s, d):
     return normalize.evm_enrich(_evm_txs(s, d), raw.receipts(s, d)).select("tx_hash", "block_number", "gas_used", "status")
 
 
-TRANSFERS = f"SELECT chain_id, tx_hash, unnest(CASE WHEN tx_index = 1 THEN [0, 1] ELSE [0] END)::INT AS log_index, '0xa0' || lpad(tx_index::VARCHAR, 38, '0') AS token, from_address, to_address, value AS amount FROM transactions WHERE {ONE} AND gas_used % 3 <> 0 AND (from_address IN (SELECT address FROM watched) OR to_address IN (SELECT address FROM watched))"
+TRANSFERS = f"SELECT chain_id, tx_hash, unnest(CASE WHEN tx_index = 1 THEN [0, 1] ELSE [0] END)::INT AS log_index, '0xa0' || lpad(tx_index::VARCHAR, 38, '0') AS token, from_address, to_address, value AS amount FROM transactions WHERE gas_used % 3 <> 0 AND (from_address IN (SELECT address FROM watched) OR to_address IN (SELECT address FROM watched))"
 
 
 @query(TRANSFERS, "transactions", "watched")
@@ -107,7 +108,7 @@ def evm_erc20_transfers(s, d):
 
 @more(
     f"transfers AS ({TRANSFERS}), found AS (SELECT DISTINCT ON (tx_hash) tx_hash, token, amount, count(*) OVER (PARTITION BY tx_hash) AS n, to_address AS t FROM transfers ORDER BY tx_hash, log_index)",
-    f"SELECT t.tx_hash, t.block_number, CASE WHEN f.n IS NULL THEN 'native' ELSE 'erc20' END AS tx_type, f.token AS token_address, f.amount AS token_amount, CASE WHEN f.n = 1 THEN f.t ELSE t.to_address END AS to_address, t.value, CASE WHEN f.n > 1 THEN 'many' WHEN f.n = 1 THEN 'one' ELSE 'none' END AS kind FROM (SELECT * FROM transactions WHERE {ONE}) t LEFT JOIN found f USING (tx_hash)",
+    f"SELECT t.tx_hash, t.block_number, CASE WHEN f.n IS NULL THEN 'native' ELSE 'erc20' END AS tx_type, f.token AS token_address, f.amount AS token_amount, CASE WHEN f.n = 1 THEN f.t ELSE t.to_address END AS to_address, t.value, CASE WHEN f.n > 1 THEN 'many' WHEN f.n = 1 THEN 'one' ELSE 'none' END AS kind FROM (SELECT * FROM transactions ) t LEFT JOIN found f USING (tx_hash)",
     "transactions", "watched",
 )
 def evm_apply_transfers(s, d):
@@ -116,9 +117,9 @@ def evm_apply_transfers(s, d):
     return out.select("tx_hash", "block_number", "tx_type", "token_address", "token_amount", "to_address", "value", kind.alias("kind"))
 
 
-@query(f"SELECT {B.replace('status', '')}'pending' AS status FROM blocks WHERE {ONE}", "blocks")
+@query(f"SELECT {B.replace('status', '')}'pending' AS status FROM blocks", "blocks")
 def tron_blocks(s, d):
-    return normalize.tron_blocks(raw.tron(s, d), raw.CHAIN)
+    return normalize.tron_blocks(raw.tron(s, d), raw.chain())
 
 
 TRON = "tx_hash", "block_number", "tx_index", "from_address", "to_address", "value", "tx_type", "token_address", "token_amount", "status"
@@ -130,27 +131,27 @@ TRON_SQL = _sorted_sql(
 
 @query(TRON_SQL, "transactions")
 def tron_transactions(s, d):
-    return normalize.tron_transactions(raw.tron(s, d), raw.CHAIN).select(*TRON)
+    return normalize.tron_transactions(raw.tron(s, d), raw.chain()).select(*TRON)
 
 
 @query(_sorted_sql("status, count(*) AS n", "tx_index <> 6") + " GROUP BY status", "transactions")
 def tron_status(s, d):
-    return normalize.tron_transactions(raw.tron(s, d), raw.CHAIN).groupBy("status").agg(F.count("*").alias("n"))
+    return normalize.tron_transactions(raw.tron(s, d), raw.chain()).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT tx_hash, block_number, CASE WHEN gas_used % 3 <> 0 THEN (gas_used * 10)::VARCHAR END AS gas_price, CASE WHEN gas_used % 3 <> 0 THEN gas_used + (gas_used * 500) // 420 END AS gas_used FROM transactions WHERE {ONE} AND tx_index <> 6", "transactions")
+@query(f"SELECT tx_hash, block_number, CASE WHEN gas_used % 3 <> 0 THEN (gas_used * 10)::VARCHAR END AS gas_price, CASE WHEN gas_used % 3 <> 0 THEN gas_used + (gas_used * 500) // 420 END AS gas_used FROM transactions WHERE tx_index <> 6", "transactions")
 def tron_enrich(s, d):
-    return normalize.tron_enrich(normalize.tron_transactions(raw.tron(s, d), raw.CHAIN), raw.tron_infos(s, d)).select("tx_hash", "block_number", "gas_price", "gas_used")
+    return normalize.tron_enrich(normalize.tron_transactions(raw.tron(s, d), raw.chain()), raw.tron_infos(s, d)).select("tx_hash", "block_number", "gas_price", "gas_used")
 
 
-@query(f"SELECT chain_id, tx_hash, 0::INT AS log_index, 'log' || tx_index AS address, 't1,t2' AS topics, '00' AS data FROM transactions WHERE {ONE} AND gas_used % 3 <> 0", "transactions")
+@query(f"SELECT chain_id, tx_hash, 0::INT AS log_index, 'log' || tx_index AS address, 't1,t2' AS topics, '00' AS data FROM transactions WHERE gas_used % 3 <> 0", "transactions")
 def tron_logs(s, d):
     return normalize.tron_logs(raw.tron_infos(s, d)).withColumn("topics", F.array_join("topics", ","))
 
 
-@query(f"SELECT {B.replace('status', '')}'pending' AS status FROM blocks WHERE {ONE}", "blocks")
+@query(f"SELECT {B.replace('status', '')}'pending' AS status FROM blocks", "blocks")
 def btc_blocks(s, d):
-    return normalize.btc_blocks(raw.bitcoin(s, d), raw.CHAIN)
+    return normalize.btc_blocks(raw.bitcoin(s, d), raw.chain())
 
 
 @query(
@@ -158,22 +159,22 @@ def btc_blocks(s, d):
     + " UNION ALL " + _sorted_sql("tx_hash, block_number, pos::INT, 'change', '50000000', 1::INT"), "transactions",
 )
 def btc_outputs(s, d):
-    return normalize.btc_outputs(raw.bitcoin(s, d), raw.CHAIN).select("tx_hash", "block_number", "tx_index", "to_address", "value", "output_index")
+    return normalize.btc_outputs(raw.bitcoin(s, d), raw.chain()).select("tx_hash", "block_number", "tx_index", "to_address", "value", "output_index")
 
 
-@query(f"SELECT {B} FROM blocks WHERE {ONE}", "blocks")
+@query(f"SELECT {B} FROM blocks", "blocks")
 def sui_blocks(s, d):
-    return normalize.sui_blocks(raw.sui(s, d), raw.CHAIN)
+    return normalize.sui_blocks(raw.sui(s, d), raw.chain())
 
 
 @query(_sorted_sql("tx_hash, block_number, pos::INT AS tx_index, from_address, to_address, gas_used + 5 AS gas_used, (tx_index * 10)::VARCHAR AS gas_price, status, '[\"' || to_address || '\"]' AS raw_data"), "transactions")
 def sui_transactions(s, d):
-    return normalize.sui_transactions(raw.sui(s, d), raw.CHAIN).select("tx_hash", "block_number", "tx_index", "from_address", "to_address", "gas_used", "gas_price", "status", "raw_data")
+    return normalize.sui_transactions(raw.sui(s, d), raw.chain()).select("tx_hash", "block_number", "tx_index", "from_address", "to_address", "gas_used", "gas_price", "status", "raw_data")
 
 
 @query(_sorted_sql("tx_hash, block_number, CASE WHEN tx_index % 2 = 0 THEN 'native' ELSE 'token' END AS tx_type, CASE WHEN tx_index % 2 = 1 THEN '0xabc::token::T' || tx_index END AS token_address, CASE WHEN tx_index % 2 = 1 THEN value END AS token_amount, gas_used::VARCHAR AS value"), "transactions")
 def sui_balance_changes(s, d):
-    return normalize.sui_transactions(raw.sui(s, d), raw.CHAIN).select("tx_hash", "block_number", "tx_type", "token_address", "token_amount", "value")
+    return normalize.sui_transactions(raw.sui(s, d), raw.chain()).select("tx_hash", "block_number", "tx_type", "token_address", "token_amount", "value")
 
 
 @query("SELECT tx_hash, block_number, CASE WHEN tx_index = 1 THEN '0x' ELSE block_hash END AS block_hash, CASE WHEN tx_index <> 2 THEN to_address END AS to_address, raw_data FROM transactions", "transactions")
@@ -194,7 +195,11 @@ def watchlist(s, d):
 K = "chain_id, tx_hash, block_number"
 
 
-@query(f"SELECT {K} FROM transactions WHERE from_address IN (SELECT address FROM watched) OR to_address IN (SELECT address FROM watched)", "transactions", "watched")
+#: What watch_evm keeps, as SQL.
+RELEVANT = """coalesce((from_address IN (SELECT address FROM watched) OR to_address IN (SELECT address FROM watched) OR json_extract_string(raw_data, '$.type') = 'ERC20' OR EXISTS (SELECT 1 FROM watched w WHERE length(w.address) >= 30 AND contains(lower(raw_data), regexp_replace(w.address, '^0x', '')))), false)"""
+
+
+@query(f"SELECT {K} FROM transactions WHERE {RELEVANT}", "transactions", "watched")
 def watch_evm(s, d):
     return watch.watch_evm(fx.transactions(s, d), fx.wallets(s, d)).selectExpr(*K.split(", "))
 
@@ -220,18 +225,29 @@ def relevant_blocks(s, d):
     return watch.relevant_blocks(fx.transactions(s, d), fx.wallets(s, d))
 
 
-@query(None)
+@query("SELECT count(DISTINCT address) AS n_keys, count(DISTINCT address) AS n_hits, greatest(100000, 10 * count(DISTINCT address)) AS size, true AS sized FROM watched", "watched")
 def bloom_build(s, d):
-    return watch.bloom_build(fx.wallets(s, d)).select("part", F.bit_length("bits").alias("n_bits"))
+    """Every key is found again, and between one and seven bits are set for each."""
+    low = watch.watchlist(fx.wallets(s, d))
+    bloom = watch.bloom_build(fx.wallets(s, d))
+    n, hits = low.agg(F.count("*").alias("n_keys")), watch.bloom_prefilter(low, "address", bloom).agg(F.count("*").alias("n_hits"))
+    bits = bloom.agg(F.max("size").alias("size"), F.sum(F.bitmap_count("bits")).alias("set"))
+    return n.join(hits).join(bits).select("n_keys", "n_hits", "size", F.col("set").between(F.col("n_keys"), 7 * F.col("n_keys")).alias("sized"))
 
 
-@query(None)
+@query("SELECT count(*) FILTER (WHERE from_address IN (SELECT address FROM watched)) AS n_watched, count(*) FILTER (WHERE from_address IN (SELECT address FROM watched)) AS n_kept, true AS few FROM transactions", "transactions", "watched")
 def bloom_prefilter(s, d):
+    """No watched sender is lost, and few others pass."""
     t, w = fx.transactions(s, d), fx.wallets(s, d)
-    return watch.bloom_prefilter(t, "from_address", watch.bloom_build(w)).select("chain_id", "tx_hash", "block_number")
+    passed = watch.bloom_prefilter(t, "from_address", watch.bloom_build(w))
+    watched = watch.watchlist(w).withColumnRenamed("address", "from_address")
+    n = t.join(watched, "from_address", "left_semi").agg(F.count("*").alias("n_watched"))
+    kept = passed.join(watched, "from_address", "left_semi").agg(F.count("*").alias("n_kept"))
+    others = passed.join(watched, "from_address", "left_anti").agg(F.count("*").alias("n_others"))
+    return n.join(kept).join(others).join(t.agg(F.count("*").alias("n"))).select("n_watched", "n_kept", (F.col("n_others") <= 0.02 * F.col("n")).alias("few"))
 
 
-@query("SELECT chain_id, count(*) FILTER (WHERE hit) AS n_matched, count(*) FILTER (WHERE NOT hit) AS n_filtered FROM (SELECT chain_id, from_address IN (SELECT address FROM watched) OR to_address IN (SELECT address FROM watched) AS hit FROM transactions) GROUP BY 1", "transactions", "watched")
+@query(f"SELECT chain_id, count(*) FILTER (WHERE hit) AS n_matched, count(*) FILTER (WHERE NOT hit) AS n_filtered FROM (SELECT chain_id, {RELEVANT} AS hit FROM transactions) GROUP BY 1", "transactions", "watched")
 def filter_stats(s, d):
     t = fx.transactions(s, d)
     return watch.filter_stats(t, watch.watch_evm(t, fx.wallets(s, d)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,7 +11,7 @@ from ..sources import raw as sources
 from ..streaming import jobs
 from . import fixtures as fx
 from . import payloads as raw
-from .queries import MISMATCH, NOW, more, query
+from .queries import MISMATCH, NOW, RELEVANT, more, query
 
 K = "chain_id, tx_hash, block_number"
 DEPTH = 40
@@ -81,7 +81,14 @@ def recent_buffer(s, d):
     return flow.recent_buffer(fx.blocks(s, d)).select("chain_id", "block_number", "block_hash")
 
 
-@query(None)
+FOLD = """commits AS (SELECT chain_id, block_number + CASE WHEN block_number % 37 = 0 THEN 5 ELSE 0 END AS seq, block_number, block_hash FROM blocks WHERE block_number % 4 <> 0 OR block_number < 200),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY seq, block_number) AS i FROM commits),
+    fold AS (SELECT h.chain_id, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::BIGINT AS block_number, NULL::VARCHAR AS outcome, CASE WHEN c.chain_id IS NOT NULL AND c.chain_id <> 'chain_3' THEN 3 END::BIGINT AS pos, CASE WHEN c.chain_id IS NOT NULL AND c.chain_id <> 'chain_3' THEN md5(h.chain_id || ':3') END AS hsh FROM heads h LEFT JOIN cursors c USING (chain_id)
+        UNION ALL SELECT f.chain_id, o.i, o.seq, o.block_number, CASE WHEN f.pos IS NULL THEN 'init' WHEN o.block_number = f.pos THEN CASE WHEN o.block_hash = f.hsh THEN 'duplicate' ELSE 'hash_mismatch' END WHEN o.block_number < f.pos THEN 'stale' WHEN o.block_number = f.pos + 1 THEN 'advance' ELSE 'gap' END,
+        CASE WHEN f.pos IS NULL OR o.block_number = f.pos + 1 THEN o.block_number ELSE f.pos END, CASE WHEN f.pos IS NULL OR o.block_number = f.pos + 1 THEN o.block_hash ELSE f.hsh END FROM fold f JOIN ordered o ON o.chain_id = f.chain_id AND o.i = f.i + 1)"""
+
+
+@more(FOLD, "SELECT chain_id, seq, block_number, outcome, pos AS cursor_block, hsh AS cursor_hash FROM fold WHERE i > 0", "blocks", "cursors")
 def cursor_fold(s, d):
     start = fx.cursors(s, d).filter("chain_id <> 'chain_3'").withColumns({"block_number": F.lit(3).cast("long"), "block_hash": F.md5(F.concat("chain_id", F.lit(":3")))})
     return flow.cursor_fold(_commits(s, d), start)
@@ -106,18 +113,22 @@ def validate_transitions(s, d):
     return flow.validate_transitions(fx.transition_log(s, d)).select("event_id", "chain_id", "valid", "description")
 
 
-@query("SELECT DISTINCT chain_id, tx_hash, block_number FROM arrivals", "arrivals")
-def micro_dedup(s, d):
-    t = fx.arrivals(s, d).select("chain_id", "tx_hash", "block_number")
-    return flow.micro_dedup(t, ["chain_id", "tx_hash", "block_number"], "block_timestamp")
-
-
 # streams: the given rows are landed as files, streamed and read back
 
 
 def _folder(s) -> str:
-    base = s.conf.get("spark.checkpoint.dir", None)
-    return base + "/stream-" + next(tempfile._get_candidate_names()) if base else "file://" + tempfile.mkdtemp(prefix="blockweave-")
+    return f"{s.conf.get('spark.checkpoint.dir')}/stream-{uuid.uuid4().hex}"
+
+
+@query("SELECT DISTINCT chain_id, tx_hash, block_number FROM arrivals", "arrivals")
+def micro_dedup(s, d):
+    """Arrivals as a stream, repeats within the watermark dropped."""
+    at = _folder(s)
+    fx.arrivals(s, d).selectExpr("chain_id", "tx_hash", "block_number", "timestamp_seconds(block_timestamp) AS seen_at").write.parquet(f"{at}/in")
+    stream = s.readStream.schema("chain_id string, tx_hash string, block_number long, seen_at timestamp").parquet(f"{at}/in")
+    once = flow.micro_dedup(stream, ["chain_id", "tx_hash", "block_number"], "seen_at")
+    once.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{at}/out").select("chain_id", "tx_hash", "block_number")
 
 
 def _stream_rows(s, d):
@@ -144,25 +155,52 @@ def _landed(s, d) -> str:
     return at
 
 
-@query("SELECT tx_hash, block_number, from_address, to_address, value FROM transactions WHERE chain_id = 'chain_1' AND (from_address IN (SELECT address FROM watched) OR to_address IN (SELECT address FROM watched))", "transactions", "watched")
+def _kept(df, at: str):
+    """A table that several jobs read, written once."""
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
+def _forked(blocks):
+    """What a fetcher lands, one after the other: chains whose last block under the head is of a fork, the heads of the main chains,
+    and once the reorganisations have been seen both blocks again."""
+    number = F.expr("cast(conv(substring(number, 3), 16, 10) AS bigint)")
+    parent = F.when(number > 0, F.md5(F.concat("chain_id", F.lit(":"), (number - 1).cast("string")))).otherwise("")
+    top = blocks.withColumn("parentHash", parent).withColumn("_n", number)
+    top = top.join(top.groupBy("chain_id").agg(F.max("_n").alias("_head")), "chain_id").withColumn("_under", F.col("_head") - F.col("_n"))
+    fork = top.filter("_under = 1").withColumn("hash", F.md5(F.concat(F.lit("fork:"), F.col("hash"))))
+    parts = [top.filter("_under > 1").unionByName(fork), top.filter("_under = 0"), top.filter("_under <= 1")]
+    return [p.drop("_n", "_head", "_under") for p in parts]
+
+
+@query(
+    "SELECT chain_id, tx_hash, block_number, from_address, to_address, value, CASE WHEN gas_used % 3 <> 0 THEN gas_used END AS gas_used, CASE WHEN gas_used % 3 <> 0 AND status = 'failed' THEN 'failed' ELSE 'success' END AS status FROM transactions WHERE from_address IN (SELECT address FROM watched) OR to_address IN (SELECT address FROM watched)",
+    "transactions", "watched",
+)
 def live_index(s, d):
-    at = _landed(s, d)
-    jobs.live_index(sources.stream_raw(s, f"{at}/raw", "evm", 2), "evm", raw.CHAIN, fx.wallets(s, d), f"{at}/out", f"{at}/state").awaitTermination()
-    return sources.read_units(s, f"{at}/out", "transactions").select("tx_hash", "block_number", "from_address", "to_address", "value")
+    """Indexing through reorganisations of every chain, with receipts and the prefilter: what is left is the main chain's."""
+    at = _folder(s)
+    wallets, receipts = _kept(fx.wallets(s, d), f"{at}/wallets"), _kept(raw.receipts(s, d), f"{at}/receipts")
+    for part in _forked(_kept(raw.evm(s, d), f"{at}/blocks")):
+        part.write.mode("append").json(f"{at}/raw")
+        stream = sources.stream_raw(s, f"{at}/raw", "evm", 1000, keyed=True)
+        jobs.live_index(stream, "evm", raw.chain(), wallets, f"{at}/out", f"{at}/state", receipts, prefilter=True).awaitTermination()
+    rows = sources.current(sources.read_units(s, f"{at}/out", "transactions"), ["chain_id", "tx_hash", "block_number"])
+    return rows.filter("status <> 'invalid'").select("chain_id", "tx_hash", "block_number", "from_address", "to_address", "value", "gas_used", "status")
 
 
-@query("SELECT block_number, block_hash FROM blocks WHERE chain_id = 'chain_1'", "blocks")
+@query("SELECT block_number, block_hash FROM blocks", "blocks")
 def read_raw(s, d):
     from ..operators.normalize import evm_blocks
 
-    return evm_blocks(sources.read_raw(s, f"{_landed(s, d)}/raw", "evm"), raw.CHAIN).select("block_number", "block_hash")
+    return evm_blocks(sources.read_raw(s, f"{_landed(s, d)}/raw", "evm", keyed=True), raw.chain()).select("block_number", "block_hash")
 
 
-@query("SELECT block_number, block_hash, true AS has_block FROM blocks WHERE chain_id = 'chain_1' AND block_number > 0", "blocks")
+@query("SELECT block_number, block_hash, true AS has_block FROM blocks WHERE block_number > 0", "blocks")
 def stream_raw(s, d):
     at = _folder(s)
     raw.sui(s, d).write.json(f"{at}/raw")
-    stream = sources.with_sequence(sources.stream_raw(s, f"{at}/raw", "sui"), -1)
+    stream = sources.with_sequence(sources.stream_raw(s, f"{at}/raw", "sui", keyed=True), -1)
     stream.selectExpr("sequence_number AS block_number", "digest AS block_hash", "has_block").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return s.read.parquet(f"{at}/out").filter("block_number > 0")
 
@@ -189,17 +227,17 @@ def sink_events(s, d):
     return s.read.parquet(at).select("chain_id", "tx_hash", "block_number", "event_type")
 
 
-INSIDE = "hit AS (SELECT DISTINCT b.chain_id, b.block_number FROM blocks b JOIN missing m ON m.chain_id = b.chain_id AND m.status = 'pending' AND b.block_number BETWEEN m.from_block AND m.to_block WHERE b.chain_id = 'chain_1')"
+INSIDE = "hit AS (SELECT DISTINCT b.chain_id, b.block_number FROM blocks b JOIN missing m ON m.chain_id = b.chain_id AND m.status = 'pending' AND b.block_number BETWEEN m.from_block AND m.to_block)"
 
 
 @more(INSIDE, "SELECT block_number, tx_hash, value FROM hit JOIN transactions USING (chain_id, block_number) WHERE from_address IN (SELECT address FROM watched) OR to_address IN (SELECT address FROM watched)", "blocks", "transactions", "missing", "watched")
 def backfill_ingest(s, d):
-    return jobs.backfill_ingest(fx.missing(s, d), raw.evm(s, d), "evm", raw.CHAIN, fx.wallets(s, d))[1].select("block_number", "tx_hash", "value")
+    return jobs.backfill_ingest(fx.missing(s, d), raw.evm(s, d), "evm", raw.chain(), fx.wallets(s, d))[1].select("block_number", "tx_hash", "value")
 
 
 @more(INSIDE, "SELECT block_number, tx_hash, value FROM hit JOIN transactions USING (chain_id, block_number)", "blocks", "transactions", "missing")
 def rescan_ingest(s, d):
-    return jobs.rescan_ingest(fx.missing(s, d).filter("status = 'pending'"), raw.evm(s, d), "evm", raw.CHAIN)[1].select("block_number", "tx_hash", "value")
+    return jobs.rescan_ingest(fx.missing(s, d).filter("status = 'pending'"), raw.evm(s, d), "evm", raw.chain())[1].select("block_number", "tx_hash", "value")
 
 
 # 2.9 failures
@@ -256,12 +294,12 @@ def classify_errors(s, d):
 # 2.10 health
 
 LAG = "lags AS (SELECT h.chain_id, h.head, greatest(h.head - coalesce(c.block_number, 0), 0) AS lag FROM heads h LEFT JOIN cursors c USING (chain_id))"
-HEALTH = LAG + """, base AS (SELECT l.chain_id, l.lag, (SELECT count(*) FROM missing m WHERE m.chain_id = l.chain_id AND status = 'pending' AND id % 500 = 1) AS n_missing, (SELECT count(*) FROM failed f WHERE f.chain_id = l.chain_id AND status = 'pending' AND id % 500 = 1) AS n_failed, l.chain_id <> 'chain_2' AS available FROM lags l),
+HEALTH = LAG + """, base AS (SELECT l.chain_id, l.lag, (SELECT count(*) FROM missing m WHERE m.chain_id = l.chain_id AND status = 'pending') AS n_missing, (SELECT count(*) FROM failed f WHERE f.chain_id = l.chain_id AND status = 'pending') AS n_failed, l.chain_id <> 'chain_2' AS available FROM lags l),
     health AS (SELECT *, CASE WHEN NOT available OR lag > 100 OR n_missing > 10 OR n_failed > 50 THEN 'critical' WHEN lag > 10 OR n_missing > 0 OR n_failed > 0 THEN 'degraded' ELSE 'healthy' END AS health FROM base)"""
 
 
 def _health(s, d):
-    return telemetry.chain_health(fx.cursors(s, d), fx.heads(s, d), fx.missing(s, d).filter("id % 500 = 1"), fx.failed(s, d).filter("id % 500 = 1"), _available(s, d))
+    return telemetry.chain_health(fx.cursors(s, d), fx.heads(s, d), fx.missing(s, d), fx.failed(s, d), _available(s, d))
 
 
 @more(LAG, "SELECT * FROM lags", "cursors")
@@ -300,7 +338,7 @@ def catchup_plan(s, d):
     return telemetry.catchup_plan(lag.withColumn("latency_s", F.when(F.col("lag") > 100, 3.0).otherwise(0.5)))
 
 
-@more(MISMATCH, "SELECT chain_id, (SELECT count(*) FROM blocks b WHERE b.chain_id = h.chain_id) AS n_blocks, n AS n_transactions, m AS n_matched, (SELECT count(*) FROM broken b WHERE b.chain_id = h.chain_id) AS n_reorgs, (SELECT count(*) FROM cursors c WHERE c.chain_id = h.chain_id AND h.head - c.block_number > 50) AS n_jumps, (SELECT count(*) FROM missing q WHERE q.chain_id = h.chain_id AND status = 'completed') AS n_backfilled, n - m AS n_filtered FROM heads h JOIN (SELECT chain_id, count(*) AS n, count(*) FILTER (WHERE from_address IN (SELECT address FROM watched) OR to_address IN (SELECT address FROM watched)) AS m FROM transactions GROUP BY 1) USING (chain_id)", "transactions", "watched", "cursors", "missing")
+@more(MISMATCH, f"SELECT chain_id, (SELECT count(*) FROM blocks b WHERE b.chain_id = h.chain_id) AS n_blocks, n AS n_transactions, m AS n_matched, (SELECT count(*) FROM broken b WHERE b.chain_id = h.chain_id) AS n_reorgs, (SELECT count(*) FROM cursors c WHERE c.chain_id = h.chain_id AND h.head - c.block_number > 50) AS n_jumps, (SELECT count(*) FROM missing q WHERE q.chain_id = h.chain_id AND status = 'completed') AS n_backfilled, n - m AS n_filtered FROM heads h JOIN (SELECT chain_id, count(*) AS n, count(*) FILTER (WHERE {RELEVANT}) AS m FROM transactions GROUP BY 1) USING (chain_id)", "transactions", "watched", "cursors", "missing")
 def counters(s, d):
     b, t = fx.blocks(s, d), fx.transactions(s, d)
     return telemetry.counters(b, t, watch.watch_evm(t, fx.wallets(s, d)), reorg.broken_links(b), ranges.gap_jump(fx.cursors(s, d), fx.heads(s, d), 50)[0], fx.missing(s, d))
@@ -343,11 +381,21 @@ def alert_error_rate(s, d):
     return telemetry.alert_error_rate(fx.rpc_calls(s, d))
 
 
-@query("SELECT chain_id, window_end, count(*) AS n_reorgs FROM (SELECT *, ts - ts % 600 + 600 + unnest(range(6)) * 600 AS window_end FROM transition_log WHERE to_state = 'reorg') GROUP BY ALL HAVING count(*) > 1", "transition_log")
+def _alert_reorgs(steps: int, limit: int) -> str:
+    return f"SELECT chain_id, window_end, count(*) AS n_reorgs FROM (SELECT *, ts - ts % 600 + 600 + unnest(range({steps})) * 600 AS window_end FROM transition_log WHERE to_state = 'reorg') GROUP BY ALL HAVING count(*) > {limit}"
+
+
+@query(_alert_reorgs(6, 1), "transition_log")
 def alert_reorgs(s, d):
     return telemetry.alert_reorgs(fx.transition_log(s, d).filter("to_state = 'reorg'"), limit=1)
 
 
+@query(_alert_reorgs(3, 0), "transition_log")
+def alert_reorg_rate(s, d):
+    """The form over 30 minutes: any reorganisation."""
+    return telemetry.alert_reorgs(fx.transition_log(s, d).filter("to_state = 'reorg'"), seconds=1800, limit=0)
+
+
 USAGE = "usage AS (SELECT provider, ts // 86400 AS day, count(*) AS used, any_value(daily_limit) AS daily_limit, CASE WHEN any_value(daily_limit) = 0 THEN 999999 ELSE greatest(any_value(daily_limit) - count(*), 0) END AS remaining, CASE WHEN any_value(daily_limit) = 0 THEN 0.0 ELSE round(count(*) * 100.0::DOUBLE / any_value(daily_limit), 4) END AS percent FROM rpc_calls JOIN provider_policy USING (provider) GROUP BY 1, 2)"
 
 
@@ -355,9 +403,9 @@ def _usage(s, d):
     return telemetry.quota_usage(fx.rpc_calls(s, d), fx.provider_policy(s, d))
 
 
-@more(USAGE, "SELECT * FROM (SELECT provider, day, remaining, remaining * 100 < daily_limit * 10 AS low_percent, remaining < 30 AS low_calls FROM usage WHERE daily_limit > 0) WHERE low_percent OR low_calls", "provider_policy")
+@more(USAGE, "SELECT * FROM (SELECT provider, day, remaining, remaining * 100 < daily_limit * 10 AS low_percent, remaining < 2 AS low_calls FROM usage WHERE daily_limit > 0) WHERE low_percent OR low_calls", "provider_policy")
 def alert_quota(s, d):
-    return telemetry.alert_quota(_usage(s, d), least=30)
+    return telemetry.alert_quota(_usage(s, d), least=2)
 
 
 @query("SELECT DISTINCT chain_id FROM blocks WHERE chain_id NOT IN (SELECT chain_id FROM rpc_calls WHERE ts BETWEEN 1706600000 AND 1706600300)", "blocks", "rpc_calls")
@@ -409,7 +457,8 @@ def rolling_latency(s, d):
     return telemetry.rolling_latency(fx.rpc_calls(s, d))
 
 
-AT = 1_706_000_000
+#: A moment after all calls.
+AT = 1_706_659_100
 
 
 @query(f"SELECT provider, count(*) FILTER (WHERE ts - ts % 60 > {AT} - 3600 AND ts - ts % 60 <= {AT}) AS n_1h, count(*) FILTER (WHERE ts - ts % 60 > {AT} - 86400 AND ts - ts % 60 <= {AT}) AS n_24h FROM rpc_calls GROUP BY 1", "rpc_calls")
@@ -425,15 +474,9 @@ def detect_throttle(s, d):
     return telemetry.detect_throttle(fx.rpc_calls(s, d))
 
 
-def _calls(s, d):
-    """The calls up to a moment, so that some holds last; errors of p1 to p3 are thinned, for scores above 0."""
-    return fx.rpc_calls(s, d).filter(f"ts <= {AT} AND (ok OR provider IN ('p0', 'p4') OR event_id % 97 = 5)")
-
-
-CALLS = f"calls AS (SELECT * FROM rpc_calls WHERE ts <= {AT} AND (ok OR provider IN ('p0', 'p4') OR event_id % 97 = 5))"
-STATS = f"""{CALLS}, lat AS (SELECT provider, avg(latency_ms) AS latency_ms FROM (SELECT * FROM calls WHERE ok QUALIFY row_number() OVER (PARTITION BY provider ORDER BY ts DESC, event_id DESC) <= 100) GROUP BY 1),
-    lastt AS (SELECT provider, ts, status_code = 403 AS is_403 FROM calls WHERE {THROTTLED} OR status_code = 403 QUALIFY row_number() OVER (PARTITION BY provider ORDER BY ts DESC, event_id DESC) = 1),
-    raws AS (SELECT c.provider, count(*) FILTER (WHERE {THROTTLED}) AS n_429, count(*) FILTER (WHERE status_code = 403) AS n_403, count(*) FILTER (WHERE ok AND ts > {AT} - 86400 AND ts <= {AT}) AS requests_24h, avg((NOT ok)::INT) AS error_rate FROM calls c GROUP BY 1),
+STATS = f"""lat AS (SELECT provider, avg(latency_ms) AS latency_ms FROM (SELECT * FROM rpc_calls WHERE ok QUALIFY row_number() OVER (PARTITION BY provider ORDER BY ts DESC, event_id DESC) <= 100) GROUP BY 1),
+    lastt AS (SELECT provider, ts, status_code = 403 AS is_403 FROM rpc_calls WHERE {THROTTLED} OR status_code = 403 QUALIFY row_number() OVER (PARTITION BY provider ORDER BY ts DESC, event_id DESC) = 1),
+    raws AS (SELECT c.provider, count(*) FILTER (WHERE {THROTTLED}) AS n_429, count(*) FILTER (WHERE status_code = 403) AS n_403, count(*) FILTER (WHERE ok AND ts > {AT} - 86400 AND ts <= {AT}) AS requests_24h, avg((NOT ok)::INT) AS error_rate FROM rpc_calls c GROUP BY 1),
     wide AS (SELECT r.*, coalesce(l.latency_ms, 0) AS latency_ms, CASE WHEN daily_limit > 0 THEN daily_limit ELSE 100000 END AS lim, greatest(coalesce(t.ts + CASE WHEN t.is_403 THEN 600 ELSE 60 END - {AT}, 0), 0) AS hold_s FROM raws r LEFT JOIN lat l USING (provider) LEFT JOIN lastt t USING (provider) LEFT JOIN provider_policy p USING (provider)),
     more_ AS (SELECT *, requests_24h * 100.0::DOUBLE / lim AS usage_percent, greatest(lim - requests_24h, 0) AS quota_left FROM wide),
     stats AS (SELECT *, CASE WHEN n_403 > 0 AND hold_s > 0 THEN 'blocked' WHEN n_429 > 5 AND hold_s > 0 THEN 'throttled' WHEN latency_ms > 3000 THEN 'degraded' WHEN usage_percent > 90 THEN 'throttled' ELSE 'healthy' END AS status FROM more_)"""
@@ -441,7 +484,7 @@ T = ("provider_policy",)
 
 
 def _stats(s, d):
-    return telemetry.provider_stats(_calls(s, d), fx.provider_policy(s, d), AT)
+    return telemetry.provider_stats(fx.rpc_calls(s, d), fx.provider_policy(s, d), AT)
 
 
 def _served(s, d):
@@ -466,12 +509,15 @@ def provider_error_rate(s, d):
     return telemetry.provider_error_rate(fx.rpc_calls(s, d))
 
 
-CIRCUITS = "circuits AS (SELECT provider, ts AS opened_at, ts + 60 AS probe_at FROM (SELECT *, row_number() OVER (PARTITION BY provider, run ORDER BY ts, event_id) AS n FROM (SELECT *, sum(ok::INT) OVER (PARTITION BY provider ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM rpc_calls WHERE ok OR NOT contains(lower(error_msg), 'not found')) WHERE NOT ok) WHERE n = 2)"
+CIRCUITS = """runs AS (SELECT *, sum(ok::INT) OVER (PARTITION BY provider ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM rpc_calls),
+    fails AS (SELECT provider, run, max(ts) AS last_failure_at FROM runs WHERE NOT ok GROUP BY 1, 2),
+    opens AS (SELECT provider, run, ts AS opened_at FROM runs WHERE NOT ok AND NOT regexp_matches(lower(error_msg), 'not found|out of range') QUALIFY row_number() OVER (PARTITION BY provider, run ORDER BY ts, event_id) = 5),
+    circuits AS (SELECT o.provider, opened_at, last_failure_at, last_failure_at + 60 AS probe_at, r.ts AS closed_at FROM opens o JOIN fails f ON f.provider = o.provider AND f.run = o.run LEFT JOIN runs r ON r.provider = o.provider AND r.run = o.run + 1 AND r.ok)"""
 
 
 @more(CIRCUITS, "SELECT * FROM circuits", "rpc_calls")
 def circuit_events(s, d):
-    return telemetry.circuit_events(fx.rpc_calls(s, d), limit=2)
+    return telemetry.circuit_events(fx.rpc_calls(s, d))
 
 
 @more(STATS, "SELECT provider, hold_s AS retry_after_s FROM stats", *T)
@@ -479,9 +525,9 @@ def retry_after(s, d):
     return telemetry.retry_after(_stats(s, d))
 
 
-@more(STATS + ", " + CIRCUITS + f", served AS (SELECT DISTINCT chain_id, provider FROM rpc_calls), u AS (SELECT chain_id, provider, status <> 'blocked' AND provider NOT IN (SELECT provider FROM circuits WHERE {AT} BETWEEN opened_at AND probe_at) AS usable, usage_percent < 95 AS has_quota FROM served JOIN stats USING (provider))", "SELECT chain_id, provider, has_quota, usable AND (has_quota OR NOT bool_or(usable AND has_quota) OVER (PARTITION BY chain_id)) AS eligible, bool_or(usable) OVER (PARTITION BY chain_id) AS chain_available FROM u", *T)
+@more(STATS + ", " + CIRCUITS + f", served AS (SELECT DISTINCT chain_id, provider FROM rpc_calls), u AS (SELECT chain_id, provider, status <> 'blocked' AND provider NOT IN (SELECT provider FROM circuits WHERE closed_at IS NULL AND {AT} BETWEEN opened_at AND probe_at) AS usable, usage_percent < 95 AS has_quota FROM served JOIN stats USING (provider))", "SELECT chain_id, provider, has_quota, usable AND (has_quota OR NOT bool_or(usable AND has_quota) OVER (PARTITION BY chain_id)) AS eligible, bool_or(usable) OVER (PARTITION BY chain_id) AS chain_available FROM u", *T)
 def eligible_providers(s, d):
-    return telemetry.eligible_providers(_stats(s, d), _served(s, d), telemetry.circuit_events(fx.rpc_calls(s, d), limit=2), AT)
+    return telemetry.eligible_providers(_stats(s, d), _served(s, d), telemetry.circuit_events(fx.rpc_calls(s, d)), AT)
 
 
 @more(STATS, "SELECT provider, score, row_number() OVER (ORDER BY score DESC, provider) AS rank FROM (SELECT provider, round((1 - least(usage_percent / 100, 1.0)) * CASE status WHEN 'healthy' THEN 1.0 WHEN 'degraded' THEN 0.5 ELSE 0.1 END, 6) AS score FROM stats WHERE status <> 'blocked')", *T)
@@ -511,10 +557,10 @@ def rank_coordinated(s, d):
     return telemetry.rank_coordinated(_stats(s, d), _served(s, d))
 
 
-@more(STATS, f"SELECT provider, round(usage_percent, 4) AS usage_percent FROM stats WHERE usage_percent >= 20 AND provider <> 'p1'", *T)
+@more(STATS, f"SELECT provider, round(usage_percent, 4) AS usage_percent FROM stats WHERE usage_percent >= 75 AND provider <> 'p1'", *T)
 def rotation_advice(s, d):
     rotations = fx.provider_policy(s, d).filter("provider IN ('p1', 'p2')").selectExpr("provider", f"cast({AT} - CASE WHEN provider = 'p1' THEN 60 ELSE 600 END AS bigint) AS rotated_at")
-    return telemetry.rotation_advice(_stats(s, d), rotations, AT, percent=20)
+    return telemetry.rotation_advice(_stats(s, d), rotations, AT)
 
 
 @more(STATS + ", served AS (SELECT DISTINCT chain_id, provider FROM rpc_calls)", f"SELECT chain_id, provider, quota_left, {SCORE} AS score, round(usage_percent / 100, 6) AS usage_ratio, round(latency_ms / 1000, 6) AS latency_s, bool_or(status <> 'blocked') OVER (PARTITION BY chain_id) AS chain_available FROM served JOIN stats USING (provider)", *T)

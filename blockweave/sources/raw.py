@@ -21,18 +21,22 @@ SUI_BLOCK = (
 SCHEMAS = {"evm": EVM_BLOCK, "tron": TRON_BLOCK, "bitcoin": BTC_BLOCK, "sui": SUI_BLOCK}
 
 
-def schema(family: str) -> T.StructType:
-    return T._parse_datatype_string(SCHEMAS[family])
+#: The column of landed rows that names their chain, where several chains land together.
+KEYED = "chain_id string, "
 
 
-def read_raw(spark: SparkSession, path: str, family: str) -> DataFrame:
-    """Landed blocks (JSON lines) of a family. A block that hasn't landed is an absent row."""
-    return spark.read.schema(SCHEMAS[family]).json(path)
+def schema(family: str, keyed: bool = False) -> T.StructType:
+    return T._parse_datatype_string((KEYED if keyed else "") + SCHEMAS[family])
 
 
-def stream_raw(spark: SparkSession, path: str, family: str, files: int = 100) -> DataFrame:
+def read_raw(spark: SparkSession, path: str, family: str, keyed: bool = False) -> DataFrame:
+    """Landed blocks (JSON lines) of a family; keyed ones name their chain. A block that hasn't landed is an absent row."""
+    return spark.read.schema(schema(family, keyed)).json(path)
+
+
+def stream_raw(spark: SparkSession, path: str, family: str, files: int = 100, keyed: bool = False) -> DataFrame:
     """The same as a stream of files."""
-    return spark.readStream.schema(SCHEMAS[family]).option("maxFilesPerTrigger", files).json(path)
+    return spark.readStream.schema(schema(family, keyed)).option("maxFilesPerTrigger", files).json(path)
 
 
 def with_sequence(sui: DataFrame, cursor: int) -> DataFrame:
@@ -41,20 +45,27 @@ def with_sequence(sui: DataFrame, cursor: int) -> DataFrame:
     return sui.withColumn("sequence_number", number).withColumn("has_block", F.coalesce(F.col("digest") != "", F.lit(False)))
 
 
-def write_unit(blocks: DataFrame, txs: DataFrame, cursors: DataFrame, path: str, epoch: int) -> None:
-    """Write a unit's three tables under an epoch of its own; the manifest comes last, so readers see all of it or nothing.
+def write_unit(blocks: DataFrame, txs: DataFrame, cursors: DataFrame, path: str, epoch: int, **others: DataFrame) -> None:
+    """Write a unit's tables under an epoch of its own; the manifest comes last, so readers see all of it or nothing.
 
     A repeated epoch overwrites itself, so a replayed micro-batch does no harm.
     """
-    for name, df in (("blocks", blocks), ("transactions", txs), ("cursors", cursors)):
+    for name, df in {"blocks": blocks, "transactions": txs, "cursors": cursors, **others}.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}/epoch={epoch}")
     cursors.sparkSession.range(1).select(F.lit(epoch).cast("long").alias("epoch")).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/unit={epoch}")
 
 
 def read_units(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A table over all committed units."""
+    """A table over all committed units, however many."""
     done = spark.read.parquet(f"{path}/manifest").select("epoch")
-    return spark.read.parquet(f"{path}/{name}").join(F.broadcast(done.limit(1_000_000)), "epoch", "left_semi")
+    return spark.read.parquet(f"{path}/{name}").join(done, "epoch", "left_semi")
+
+
+def current(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Of rows that units wrote for the same key the latest, without the epoch."""
+    columns = [c for c in rows.columns if c not in (*key, "epoch")]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*columns), "epoch").alias("_row"))
+    return last.select(*key, *(F.col(f"_row.{c}").alias(c) for c in columns)).select(*(c for c in rows.columns if c != "epoch"))
 
 
 def write_events(events: DataFrame, path: str, epoch: int) -> None:

@@ -5,46 +5,64 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators import flow, normalize, reorg, store, watch
+from ..operators import flow, normalize, ranges, reorg, store, watch
+from ..operators.store import TX_KEY
 from ..shipping import ship
-from ..sources.raw import read_units, write_events, write_unit
+from ..sources.raw import current, read_units, write_events, write_unit
 
 EVENT = "chain_id string, block_number long, tx_hash string, kind string"
+BLOCK_KEY = ["chain_id", "block_number"]
+#: What tells stored transactions apart: of the bitcoin family a row is an output, and raw_data has its number.
+TX_KEYS = {"bitcoin": [*TX_KEY, "raw_data"]}
+BLOCKS = "chain_id string, block_number long, block_hash string, parent_hash string, block_timestamp long, status string, created_at long"
+TRANSACTIONS = ", ".join(f"{c} {normalize.KINDS.get(c, 'string')}" for c in normalize.TX_COLUMNS)
+CURSORS = "chain_id string, block_number long, block_hash string, state string, created_at long, updated_at long"
+MATCHERS = {"evm": watch.watch_evm, "tron": watch.watch_tron, "bitcoin": watch.watch_btc, "sui": watch.watch_sui}
+#: Keys that a chain's waiting events are spread over.
+SHARDS = 16
 
 
 class Finality(StatefulProcessor):
-    """Per chain: events wait by block until a head is deep enough above them; an orphaned block's events go. Repeats count once."""
+    """Per chain and shard: events wait by block until a head is deep enough above them; an orphaned block's events go. Repeats count once."""
 
     def __init__(self, depth: int):
         self.depth = depth
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getMapState("waiting", "block_number long", "tx_hashes string")
-        self.head = handle.getValueState("head", "head long")
+        self.waiting = handle.getMapState("waiting", "block_number long", "tx_hashes array<string>")
+        #: The head, and a height that no waiting event is under.
+        self.heights = handle.getValueState("heights", "head long, low long")
+
+    def _final(self, low: int, high: int) -> list[int]:
+        """Heights with waiting events up to high: asked for one by one from low on, or the whole map where that is shorter."""
+        if high - low <= 10_000:
+            return [n for n in range(low, high + 1) if self.waiting.containsKey((n,))]
+        return [k[0] for k in self.waiting.keys() if k[0] <= high]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        head = self.head.get()[0] if self.head.exists() else -1
+        head, low = self.heights.get() if self.heights.exists() else (-1, -1)
         for pdf in rows:
             head = max([head, *pdf["block_number"][pdf["kind"] == "head"].astype(int)])
             for number, new in pdf[pdf["kind"] == "event"].groupby("block_number")["tx_hash"]:
                 k = (int(number),)
-                known = self.waiting.getValue(k)[0].split(",") if self.waiting.containsKey(k) else []
-                self.waiting.updateValue(k, (",".join(sorted({*known, *new})),))
+                known = self.waiting.getValue(k)[0] if self.waiting.containsKey(k) else []
+                self.waiting.updateValue(k, (sorted({*known, *new}),))
+                low = k[0] if low < 0 else min(low, k[0])
             for number in set(pdf["block_number"][pdf["kind"] == "orphan"].astype(int)):
                 if self.waiting.containsKey((number,)):
                     self.waiting.removeKey((number,))
-        if head >= 0:
-            self.head.update((head,))
         out: list[tuple[int, str]] = []
-        if self.depth == 0 or head >= self.depth:
-            done = [(k[0], v[0]) for k, v in self.waiting.iterator() if self.depth == 0 or k[0] <= head - self.depth]
-            for number, hashes in done:
+        high = head if self.depth else max([head, *(k[0] for k in self.waiting.keys())])
+        if low >= 0 and (self.depth == 0 or head >= self.depth):
+            for number in self._final(low, high - self.depth):
+                out.extend((number, tx) for tx in self.waiting.getValue((number,))[0])
                 self.waiting.removeKey((number,))
-                out.extend((number, tx) for tx in hashes.split(","))
+            low = max(low, high - self.depth + 1)
+        self.heights.update((head, low))
         text = lambda x: pd.Series(x, dtype=object)
         yield pd.DataFrame({"chain_id": text([key[0]] * len(out)), "block_number": pd.Series([n for n, _ in out], dtype="int64"), "tx_hash": text([t for _, t in out])})
 
@@ -52,62 +70,121 @@ class Finality(StatefulProcessor):
         pass
 
 
-def finality_stream(rows: DataFrame, depth: int) -> DataFrame:
+def finality_stream(rows: DataFrame, depth: int, shards: int = SHARDS) -> DataFrame:
     """rows (chain_id, block_number, tx_hash, kind: event, head or orphan) -> events, once each, when they are final.
 
-    The session's state store provider must be RocksDB's.
+    A chain's events are spread over shards by their hash; heads and orphans go to every shard. The session's state store provider
+    must be RocksDB's.
     """
     ship(rows.sparkSession)
-    return rows.groupBy("chain_id").transformWithStateInPandas(Finality(depth), "chain_id string, block_number long, tx_hash string", "append", "none")
-
-
-def index_batch(raw: DataFrame, family: str, chain: str, wallets: DataFrame, stored: DataFrame | None, cursors: DataFrame, receipts: DataFrame | None = None) -> dict[str, DataFrame]:
-    """One batch of raw blocks through the live steps: blocks, transactions, events, cursors and mismatches."""
+    every = F.sequence(F.lit(0), F.lit(shards - 1))
+    own = F.array(F.pmod(F.xxhash64("tx_hash"), F.lit(shards)).cast("int"))
+    dealt = rows.withColumn("shard", F.explode(F.when(F.col("kind") == "event", own).otherwise(every)))
+    return dealt.groupBy("chain_id", "shard").transformWithStateInPandas(Finality(depth), "chain_id string, block_number long, tx_hash string", "append", "none")
+
+
+def index_batch(
+    raw: DataFrame, family: str, chain: str | Column, wallets: DataFrame, blocks: DataFrame, txs: DataFrame, cursors: DataFrame, receipts: DataFrame | None = None, jump: int = 0, prefilter: bool = False, max_depth: int = 100,
+) -> dict[str, DataFrame | list[DataFrame]]:
+    """One batch of raw blocks through the live steps, over stored blocks and transactions (current rows only) and cursors.
+
+    A chain whose landed head is more than jump above its cursor jumps there: the heights between are queued in missing, and
+    its blocks wait for the backfill. The least block of a chain whose parent isn't the one that is stored or landed below it
+    is a reorganisation: stored blocks above the safe one are orphaned, their transactions invalid and their events reverted, the
+    cursor goes back, and blocks above the safe one wait until they land again. A chain with a reorganisation that is too deep
+    stays as it is below it. Other blocks are normalised, kept if they touch the watch-list (with prefilter only in blocks of which
+    a sender or recipient does), enriched from receipts and turned into events. held: what is persisted until all has been written.
+    """
     to_blocks, to_txs = normalize.NORMALIZERS[family]
     new = to_blocks(raw, chain).withColumn("created_at", F.col("block_timestamp"))
-    txs = to_txs(raw, chain).select(*normalize.TX_COLUMNS)
-    matched = {"evm": watch.watch_evm, "tron": watch.watch_tron, "bitcoin": watch.watch_btc, "sui": watch.watch_sui}[family](txs, wallets)
+    new = new.groupBy(*BLOCK_KEY).agg(F.max_by(F.struct(*(c for c in new.columns if c not in BLOCK_KEY)), F.struct("block_timestamp", "block_hash")).alias("b")).select(*BLOCK_KEY, "b.*")
+    heads = new.groupBy("chain_id").agg(F.max("block_number").alias("head"))
+    missing, jumped = ranges.gap_jump(cursors, heads, jump)
+    if jump:
+        new = new.join(jumped.select("chain_id"), "chain_id", "left_anti")
+    new = new.persist()
+
+    links = ["chain_id", "block_number", "block_hash", "parent_hash"]
+    known = new.select(*links).unionByName(blocks.select(*links).join(new.select(*BLOCK_KEY), BLOCK_KEY, "left_anti")).persist()
+    mismatches = reorg.check_parent_hash(new, known).filter("verdict = 'mismatch'").groupBy("chain_id").agg(F.min("block_number").alias("block_number")).persist()
+    forked = not mismatches.isEmpty()  # most batches have no reorganisation, and their plans stay short
+    reorgs = reorg.safe_point(mismatches, known.join(mismatches.select("chain_id"), "chain_id", "left_semi"), max_depth).persist() if forked else None
+    accepted = new
+    if forked:
+        limit = reorgs.select("chain_id", F.when(F.col("too_deep"), F.col("block_number") - 1).otherwise(F.col("safe_block")).alias("_limit"))
+        accepted = new.join(limit, "chain_id", "left").filter("_limit IS NULL OR block_number <= _limit").drop("_limit").persist()
+
+    found = to_txs(raw, chain).select(*normalize.TX_COLUMNS).join(accepted.select(*BLOCK_KEY, "block_hash"), [*BLOCK_KEY, "block_hash"], "left_semi").select(*normalize.TX_COLUMNS)
+    if prefilter:
+        found = found.join(watch.relevant_blocks(found, wallets).filter("relevant"), BLOCK_KEY, "left_semi")
+    matched = MATCHERS[family](found, wallets)
     if receipts is not None:
         matched = normalize.evm_enrich(matched, receipts) if family == "evm" else normalize.tron_enrich(matched, receipts)
-    known = new if stored is None else stored.unionByName(new)
-    checked = reorg.check_parent_hash(new, known).filter("verdict = 'mismatch'")
-    reached = new.groupBy("chain_id").agg(F.max_by(F.struct("block_number", "block_hash"), "block_number").alias("b")).select("chain_id", "b.block_number", "b.block_hash")
-    moved = store.upsert_cursor(cursors, reached, "block")
-    return {"blocks": new.withColumn("status", F.lit("processed")), "transactions": matched, "events": flow.to_events(matched), "cursors": moved, "mismatches": checked}
-
-
-def live_index(raw: DataFrame, family: str, chain: str, wallets: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """The job over a stream of raw blocks: every micro-batch is one unit of work, and a replayed one overwrites itself."""
+    matched = matched.select(*normalize.TX_COLUMNS).persist()
+    reached = accepted.groupBy("chain_id").agg(F.max_by(F.struct("block_number", "block_hash"), "block_number").alias("b")).select("chain_id", "b.block_number", "b.block_hash")
+    out = {"blocks": accepted.withColumn("status", F.lit("processed")), "transactions": matched, "events": flow.to_events(matched)}
+    if forked:
+        back = reorgs.filter("NOT too_deep")
+        stored = blocks.join(accepted.select(*BLOCK_KEY), BLOCK_KEY, "left_anti")
+        rolled, undone, _, _ = reorg.reorg_rollback(back, stored, txs.join(accepted.select(*BLOCK_KEY), BLOCK_KEY, "left_anti"), cursors)
+        nothing = lambda c: F.lit(None).cast("string").alias(c)
+        reverted = reorg.revert_events(back, stored, txs).select("chain_id", "block_number", "tx_hash", "event_type", nothing("from_address"), nothing("to_address"), F.create_map(F.lit("reason"), "reason").alias("metadata"))
+        safe = back.select("chain_id", F.col("safe_block").alias("block_number"), F.col("safe_hash").alias("block_hash"))
+        reached = reached.join(safe, "chain_id", "left_anti").unionByName(safe)
+        out["blocks"] = out["blocks"].unionByName(rolled.filter("status = 'orphaned'").select(*out["blocks"].columns))
+        out["transactions"] = matched.unionByName(undone.filter("status = 'invalid'").select(*matched.columns))
+        out["events"] = out["events"].unionByName(reverted)
+        out["reorgs"] = reorgs
+    if jump:
+        reached = reached.unionByName(jumped)
+        out["missing"] = missing
+    held = [new, known, mismatches, matched, *([reorgs, accepted] if forked else [])]
+    return out | {"cursors": store.upsert_cursor(cursors, reached, "block"), "held": held}
+
+
+def live_index(
+    raw: DataFrame, family: str, chain: str | Column, wallets: DataFrame, path: str, checkpoint: str, receipts: DataFrame | None = None, jump: int = 0, prefilter: bool = False, max_depth: int = 100,
+) -> StreamingQuery:
+    """The job over a stream of raw blocks: every micro-batch is one unit of work, and a replayed one overwrites itself.
+
+    Of what is stored a batch reads the heights from max_depth under its least block to its greatest, by a range that reaches the
+    scan, and the cursors of the unit before. current() over read_units() gives the table of blocks or transactions.
+    """
 
     def batch(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
         df = df.persist()
-        try:
-            stored = read_units(spark, path, "blocks").filter(F.col("epoch") != epoch).drop("epoch")
-            cursors = read_units(spark, path, "cursors").filter(F.col("epoch") == epoch - 1).drop("epoch")
-        except Exception as missing:  # nothing has been written yet
+        lo, hi = normalize.NORMALIZERS[family][0](df, chain).agg(F.min("block_number"), F.max("block_number")).first()
+        if lo is not None:
+            near = lambda name, key: current(read_units(spark, path, name).filter(F.col("block_number").between(lo - max_depth - 1, hi) & (F.col("epoch") < epoch)), key)
             if epoch > 0:
-                raise missing
-            stored, cursors = None, spark.createDataFrame([], "chain_id string, block_number long, block_hash string, state string, created_at long, updated_at long")
-        done = index_batch(df, family, chain, wallets, stored, cursors.withColumn("updated_at", F.lit(epoch).cast("long")))
-        write_events(done["events"], f"{path}/events", epoch)
-        write_unit(done["blocks"], done["transactions"], done["cursors"], path, epoch)
+                blocks, txs = near("blocks", BLOCK_KEY).filter("status = 'processed'"), near("transactions", TX_KEYS.get(family, TX_KEY)).filter("status <> 'invalid'")
+                cursors = read_units(spark, path, "cursors").filter(F.col("epoch") == epoch - 1).drop("epoch")
+            else:
+                blocks = spark.createDataFrame([], BLOCKS)
+                txs, cursors = spark.createDataFrame([], TRANSACTIONS), spark.createDataFrame([], CURSORS)
+            blocks, cursors = blocks.persist(), cursors.persist()
+            done = index_batch(df, family, chain, wallets, blocks, txs, cursors.withColumn("updated_at", F.lit(epoch).cast("long")), receipts, jump, prefilter, max_depth)
+            write_events(done["events"], f"{path}/events", epoch)
+            others = {name: done[name] for name in ("missing", "reorgs") if name in done}
+            write_unit(done["blocks"], done["transactions"], done["cursors"], path, epoch, **others)
+            for held in [blocks, cursors, *done["held"]]:
+                held.unpersist()
         df.unpersist()
 
     return raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def backfill_ingest(queue: DataFrame, raw: DataFrame, family: str, chain: str, wallets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def backfill_ingest(queue: DataFrame, raw: DataFrame, family: str, chain: str | Column, wallets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(blocks, transactions) of the heights of pending ranges: filtered by the watch-list, not enriched, without events."""
     blocks, txs = rescan_ingest(queue.filter("status = 'pending'"), raw, family, chain)
-    matched = {"evm": watch.watch_evm, "tron": watch.watch_tron, "bitcoin": watch.watch_btc, "sui": watch.watch_sui}[family](txs, wallets)
-    return blocks, matched
+    return blocks, MATCHERS[family](txs, wallets)
 
 
-def rescan_ingest(ranges: DataFrame, raw: DataFrame, family: str, chain: str) -> tuple[DataFrame, DataFrame]:
+def rescan_ingest(ranges: DataFrame, raw: DataFrame, family: str, chain: str | Column) -> tuple[DataFrame, DataFrame]:
     """(blocks, transactions) of the heights of ranges, all of them."""
     to_blocks, to_txs = normalize.NORMALIZERS[family]
-    wanted = ranges.filter(F.col("chain_id") == chain).selectExpr("chain_id", "from_block AS lo", "to_block AS hi")
+    wanted = ranges.selectExpr("chain_id", "from_block AS lo", "to_block AS hi")
     blocks = to_blocks(raw, chain)
     hit = store.spans_hit(blocks, wanted)
-    return blocks.join(hit, ["chain_id", "block_number"], "left_semi"), to_txs(raw, chain).select(*normalize.TX_COLUMNS).join(hit, ["chain_id", "block_number"], "left_semi")
+    return blocks.join(hit, BLOCK_KEY, "left_semi"), to_txs(raw, chain).select(*normalize.TX_COLUMNS).join(hit, BLOCK_KEY, "left_semi")

@@ -177,7 +177,11 @@ def test_cursor(spark):
     pairs = [("init", "scanning", True), ("scanning", "reorg", True), ("backfill", "reorg", False), ("paused", "catchup", True), ("reorg", "paused", False), ("scanning", "init", False)]
     log = frame(spark, "from_state string, to_state string, ok boolean", *pairs)
     assert flow.validate_transitions(log).filter("valid <> ok").count() == 0
-    fold = lambda start, *c: [r[2] for r in flow.fold(start, iter([(i, *x) for i, x in enumerate(c)]))[0]]
+    def fold(start, *c):
+        commits = frame(spark, "chain_id string, seq long, block_number long, block_hash string", *(("c", i, *x) for i, x in enumerate(c)), ("new", 0, 7, "z"))
+        cursors = frame(spark, "chain_id string, block_number long, block_hash string, state string", ("c", *start))
+        return [r["outcome"] for r in flow.cursor_fold(commits, cursors).filter("chain_id = 'c'").orderBy("seq").collect()]
+
     assert fold((1000, "h", "scanning"), (1001, "a"), (1001, "a"), (1001, "b"), (900, "x"), (1005, "y")) == ["advance", "duplicate", "hash_mismatch", "stale", "gap"]
     assert fold((1000, "h", "paused"), (1001, "a")) == ["paused"]
     assert fold((1000, "h", "reorg"), (1001, "a")) == ["reorg"]
@@ -245,3 +249,102 @@ def test_first_wins(spark):
     once = store.insert_transactions(None, t)
     assert values(once, "tx_hash", "value") == [("a", "early"), ("b", "b")]
     assert values(store.insert_transactions(once, t), "tx_hash", "value") == [("a", "early"), ("b", "b")]
+
+
+CALLS = "event_id long, ts long, chain_id string, provider string, latency_ms double, ok boolean, status_code int, error_msg string"
+
+
+def test_circuits(spark):
+    def calls(provider, *outcomes):
+        return [(i, t, "c", provider, 1.0, e is None, 200 if e is None else 500, e or "") for i, (t, e) in enumerate(outcomes)]
+
+    rows = calls("a", *((t, "timeout") for t in range(4)), (5, "Height out of range"), (6, "block NOT FOUND"), (7, "timeout"), (9, "not found"), (12, "timeout"), (40, None), (41, "timeout"))
+    rows += calls("b", *((t, "timeout") for t in range(4)), (5, None), *((t, "timeout") for t in range(6, 10)))
+    rows += calls("d", *((t, "timeout") for t in range(100, 106)))
+    df = frame(spark, CALLS, *rows)
+    for width in (3, 86_400):
+        assert values(telemetry.circuit_events(df, width=width), "provider", "opened_at", "last_failure_at", "probe_at", "closed_at") == [("a", 7, 12, 72, 40), ("d", 104, 105, 165, None)]
+    stats = frame(spark, "provider string, status string, usage_percent double", *((p, "healthy", 1.0) for p in "abd"))
+    served = frame(spark, "chain_id string, provider string", *(("c", p) for p in "abd"))
+    usable = lambda now: {r["provider"] for r in telemetry.eligible_providers(stats, served, telemetry.circuit_events(df.filter(F.col("ts") <= now)), now).filter("eligible").collect()}
+    assert usable(20) == {"b", "d"} and usable(50) == {"a", "b", "d"} and usable(165) == {"a", "b"} and usable(166) == {"a", "b", "d"}
+
+
+def test_windows_in_buckets(spark):
+    random.seed(2)
+    rows = [(i, random.randrange(1000), "c", random.choice("pq"), float(random.randrange(99)), random.random() < 0.8, 200, "") for i in range(600)]
+    got = {r["event_id"]: r["latency_ms"] for r in telemetry.rolling_latency(frame(spark, CALLS, *rows), n=7, width=50).collect()}
+    for p in "pq":
+        mine = sorted((r for r in rows if r[3] == p and r[5]), key=lambda r: (r[1], r[0]))
+        for k, r in enumerate(mine):
+            last = [x[4] for x in mine[max(0, k - 6) : k + 1]]
+            assert abs(got[r[0]] - sum(last) / len(last)) < 1e-6
+    lags = {t: random.choice([50, 1500, 2500]) for t in random.sample(range(2000), 300)}
+    samples = frame(spark, "chain_id string, ts long, lag long", *(("c", t, x) for t, x in lags.items()))
+    high, before, want = 0, None, []
+    for t in sorted(lags):
+        high = high + 1 if lags[t] > 1000 else 0
+        growing = before is None or lags[t] >= before
+        want.append((t, growing, high, lags[t] > 1000 and (growing or high >= 3)))
+        before = lags[t]
+    assert values(telemetry.lag_trend(samples, width=70), "ts", "growing", "high", "triggered") == sorted(want, key=repr)
+    fires = [t for t in lags if min(lags) <= t - 40 and min(lags[u] for u in lags if t - 40 <= u <= t) > 1000]
+    assert sorted(r["ts"] for r in telemetry.alert_lag(samples, 1000, 40, width=60).collect()) == sorted(fires)
+
+
+TX = "chain_id string, tx_hash string, block_number long, from_address string, to_address string, raw_data string"
+
+
+def test_watch_evm_looks_into_raw_data(spark):
+    a, other = "0x" + "Ab" * 20, "T" + "z" * 33
+    wallets = frame(spark, "address string", (a,), (other,), ("0xshort",))
+    raws = {"none": "{}", "within": '{"input":"0xA9059CBB' + "00" * 12 + "AB" * 20 + 'ff"}', "odd": '{"x":"1' + "aB" * 20 + '2"}', "text": '{"to":"' + other.lower() + '"}', "short": '{"to":"0xshort"}', "erc20": '{"type":"ERC20"}', "many": '{"type":"ERC20_MULTIPLE"}', "word": '{"note":"ERC20"}', "broken": "ERC20", "null": None}
+    txs = frame(spark, TX, *(("c", k, 1, "0xf", "0xt", v) for k, v in raws.items()), ("c", "from", 1, a.upper().replace("X", "x"), "0xt", None), ("c", "to", 1, "0xf", a.lower(), "{}"))
+    assert {r["tx_hash"] for r in watch.watch_evm(txs, wallets).collect()} == {"within", "odd", "text", "erc20", "from", "to"}
+    assert {r["tx_hash"] for r in watch.watch_evm(txs, wallets, raw=False).collect()} == {"from", "to"}
+
+
+def test_bloom_grows_with_its_keys(spark):
+    keys = spark.range(30_000).selectExpr("concat('0xA', id) AS address")
+    bloom = watch.bloom_build(keys)
+    assert bloom.agg(F.max("size")).first()[0] == 300_000
+    assert watch.bloom_prefilter(keys.select(F.lower("address").alias("a")), "a", bloom).count() == 30_000
+    assert watch.bloom_prefilter(spark.range(20_000).selectExpr("concat('0xB', id) AS a"), "a", bloom).count() < 400
+    assert watch.bloom_prefilter(keys, "address", watch.bloom_build(keys.limit(0))).count() == 30_000
+
+
+def test_wide_ranges_are_cut(spark):
+    wide = frame(spark, "chain_id string, from_block long, to_block long", ("c", 5, 250_004), ("d", 9, 8))
+    assert ranges.expand_ranges(wide).agg(F.count("*"), F.min("block_number"), F.max("block_number"), F.count_distinct("block_number")).first()[:] == (250_000, 5, 250_004, 250_000)
+    assert values(ranges.split_ranges(wide, 100_000), "from_block", "to_block") == [(100_005, 200_004), (200_005, 250_004), (5, 100_004)]
+
+
+def test_read_units_reads_every_unit(spark, tmp_path):
+    from blockweave.sources.raw import read_units
+
+    spark.range(3000).selectExpr("id AS epoch").write.parquet(f"{tmp_path}/manifest/unit=0")
+    spark.range(3000).selectExpr("id AS epoch", "id AS x").write.parquet(f"{tmp_path}/blocks")
+    assert read_units(spark, str(tmp_path), "blocks").count() == 3000
+
+
+def test_gap_jump_in_the_live_batch(spark):
+    from blockweave.streaming import jobs
+
+    raws = frame(spark, raw.EVM_BLOCK, *((hex(n), "0x64", f"h{n}", f"h{n - 1}", []) for n in (500, 501)))
+    empty = lambda schema: spark.createDataFrame([], schema)
+    cursors = frame(spark, jobs.CURSORS, ("c", 10, "h10", "scanning", 0, 0))
+    run = lambda jump: jobs.index_batch(raws, "evm", "c", frame(spark, "address string", ("0xa",)), empty(jobs.BLOCKS), empty(jobs.TRANSACTIONS), cursors, jump=jump)
+    done = run(100)
+    assert values(done["missing"], "from_block", "to_block") == [(11, 501)] and done["blocks"].count() == 0
+    assert values(done["cursors"], "block_number", "block_hash") == [(501, "")]
+    assert values(run(1000)["cursors"], "block_number", "block_hash") == [(501, "h501")]
+
+
+def test_a_deep_reorganisation_stops_the_live_batch(spark):
+    from blockweave.streaming import jobs
+
+    stored = [("c", n, f"x{n}", "other", 0, "processed", 0) for n in range(1, 9)]
+    raws = frame(spark, raw.EVM_BLOCK, ("0x9", "0x64", "h9", "h8", []))
+    done = jobs.index_batch(raws, "evm", "c", frame(spark, "address string", ("0xa",)), frame(spark, jobs.BLOCKS, *stored), spark.createDataFrame([], jobs.TRANSACTIONS), frame(spark, jobs.CURSORS, ("c", 8, "x8", "scanning", 0, 0)), max_depth=3)
+    assert done["blocks"].count() == 0 and values(done["cursors"], "block_number") == [(8,)]
+    assert values(done["reorgs"], "block_number", "too_deep") == [(9, True)]
