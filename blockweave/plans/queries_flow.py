@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import flow, ranges, reorg, telemetry, watch
+from ..shipping import shared_dir
 from ..sources import raw as sources
 from ..streaming import jobs
 from . import fixtures as fx
@@ -117,7 +118,7 @@ def validate_transitions(s, d):
 
 
 def _folder(s) -> str:
-    return f"{s.conf.get('spark.checkpoint.dir')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
 
 
 @query("SELECT DISTINCT chain_id, tx_hash, block_number FROM arrivals", "arrivals")
