@@ -1,11 +1,16 @@
-"""A training corpus from raw documents: five stages, each over all that the one before it kept."""
+"""A training corpus from raw documents: five stages, each over all that the one before it kept.
+
+Every stage keeps all columns of documents, whatever more they have, and takes rows with null or empty texts, very long texts and
+empty tables. Rows with a null doc_id are kept by the stages that drop documents by their id, and redacted and encoded as others.
+Rows that repeat a doc_id are one document: they stay or go together.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from blockweave.llm import decontam, minhash, secret_ledger, sentencepiece_scan, toxicity
-from blockweave.llm.common import stage
+from blockweave.llm.common import drop_staged, stage, staged
 from blockweave.llm.labelled import training_rows
 
 
@@ -53,5 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES[:-1]:
+        before = staged(spark)
         docs = stage(function(spark, docs, sf_dir), name)
+        drop_staged(spark, [p for p in staged(spark)[:-1] if p not in before])  # the stage's own tables
     return STAGES[-1][1](spark, docs, sf_dir)
