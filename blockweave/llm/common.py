@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -10,20 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..shipping import shared_dir, ship
 
 #: Rows of one Arrow batch; whole texts may be long, so batches hold few.
 BATCH_ROWS = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; a temporary one where nothing is set (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not hasattr(shared_dir, "own"):
-        shared_dir.own = tempfile.mkdtemp(prefix="blockweave-")
-    return f"file://{shared_dir.own}"
+#: Tables written by this process, by application.
+_staged: dict[str, list[str]] = {}
 
 
 def stage(df: DataFrame, what: str) -> DataFrame:
@@ -31,9 +24,24 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged(spark: SparkSession) -> list[str]:
+    """The tables that have been written so far and not been dropped."""
+    return list(_staged.get(spark.sparkContext.applicationId, []))
+
+
+def drop_staged(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    known = _staged.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+        known.remove(path)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for whole documents, and let tasks import this package."""
     ship(spark)

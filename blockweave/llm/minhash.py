@@ -136,7 +136,7 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, mat
     Links are of at least ``percent`` Jaccard index on sets of n-word shingles, words lower-cased in A-Z. A null or empty
     text has an empty set and is linked with nothing. Rows that repeat a doc_id are one document with several texts: its
     links are those of all its texts. A null doc_id can't name a component: such a row is linked with nothing and gets
-    component_id and kept null. An empty table gives an empty result.
+    component_id and kept null. Very long texts are one set as any other. An empty table gives an empty result.
     """
     sigs = stage(signatures(docs, n), "signatures")
     of_set = sigs.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo")

@@ -10,11 +10,14 @@ greatest |x|^2, and every query a zero there. That distance is a metric, and the
 A query meets cells in the order of their lower bounds d(q, r) - radius. The first round searches the nearest pages that
 together hold k vectors or more and gives a bound on the k-th distance. The second round goes on only to pages, and in them
 only to vectors, whose stored parent distance p does not rule them out: |d(q, r) - p| is a lower bound by the triangle
-inequality, for which no distance to the vector is computed. Scores are integers, exact in double precision.
+inequality, for which no distance to the vector is computed. Scores are integers, exact in double precision as long as squared
+lengths are under EXACT. Vectors of a number of components of which some are longer are compared one by one in Python's whole
+numbers instead, queries in blocks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,15 +35,25 @@ ROOT, PAGE, QUERIES, PER_OBJECT = 256, 512, 256, 2000
 RANGES = 32
 #: Vector components are scaled and cut to integers.
 SCALE = 1024
+#: Inner products under this are whole numbers in double precision, partial sums too.
+EXACT = 2.0**53
+#: Bytes of a whole number that sorts as bytes; no score of finite doubles needs as many. Scores are given as far as a long goes.
+DIGITS, MOST = 264, 2**63 - 1
 #: Slack of bounds, against rounding.
 SLACK = 1e-6
 _PAGED = "cell int, range int, part long, ids binary, vectors binary, parents binary, n long, low double, high double"
 
 
-def whole_vectors(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, v): floor(1024 x) of each component, for vectors of finite components only."""
+def finite(embeddings: DataFrame) -> DataFrame:
+    """(vec_id, embedding) with doubles, of the rows that take part."""
     ok = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return need(embeddings, "vec_id", "embedding").filter(ok).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("double")).alias("v"))
+    return need(embeddings, "vec_id", "embedding").filter(ok).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+def whole_vectors(embeddings: DataFrame) -> DataFrame:
+    """(vec_id, v): floor(1024 x) of each component, for vectors of finite components only; too large ones stay so."""
+    floor = lambda x: F.when(F.abs(x) < 2.0**42, F.floor(x * SCALE).cast("double")).otherwise(x * SCALE)
+    return finite(embeddings).select("vec_id", F.transform("embedding", floor).alias("v"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -61,7 +74,9 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, page: int = PA
 
     Both frames have vec_id and embedding. Vectors that are null or hold a null or non-finite component take no part, nor do
     rows with a null vec_id. Vectors are compared within the same number of components only. Equal rows of a query count once;
-    equal rows of other vectors are each a result, and a query's own vec_id is none. Empty tables give an empty result.
+    equal rows of other vectors are each a result, and a query's own vec_id is none. Ranks go by exact inner products; a score
+    beyond a long is given as the greatest or least long. Other columns, whatever their names, are ignored. Empty tables give an
+    empty result.
     """
     spark = embeddings.sparkSession
     small_batches(spark)
@@ -69,6 +84,10 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, page: int = PA
     asked = stage(whole_vectors(queries).distinct().withColumn("dim", F.size("v")), "queries")
     found = None
     for dim, n, most in sorted(tuple(r) for r in data.groupBy("dim").agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).collect()):
+        if most >= EXACT:
+            part = _one_by_one(finite(embeddings).filter(F.size("embedding") == dim), finite(queries).filter(F.size("embedding") == dim), k)
+            found = part if found is None else found.unionByName(part)
+            continue
         part = _top_k(data.filter(F.col("dim") == dim), asked.filter(F.col("dim") == dim), k, n, most, page, root)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -175,6 +194,37 @@ def _top_k(data: DataFrame, asked: DataFrame, k: int, n: int, most: float, page:
     return best(first.drop("rank").unionByName(rest)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _whole(x: float) -> int:
+    """floor(1024 x), whatever the size."""
+    return math.floor(x * SCALE) if abs(x) < 1e300 else int(x) * SCALE
+
+
+def _one_by_one(data: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Every query against all vectors in whole numbers of any size; each task hands on its k best for each query and batch."""
+    spark = data.sparkSession
+    asked = asked.distinct()
+    blocks = max(1, -(-asked.count() // QUERIES))
+    found = None
+    for b in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)) == b).collect()
+        shared = spark.sparkContext.broadcast([(r["vec_id"], np.array([_whole(x) for x in r["embedding"]], object)) for r in rows])
+
+        def each(batch: pa.RecordBatch, shared=shared, b=b) -> Iterator[pa.RecordBatch]:
+            ids = batch.column(0).to_pylist()
+            x = np.array([[_whole(c) for c in v] for v in batch.column(1).to_pylist()], object).reshape(len(ids), -1)
+            out = []
+            for n, (query_id, q) in enumerate(shared.value):
+                best = sorted((-s, i) for s, i in zip((x @ q).tolist() if x.shape[1] else [0] * len(ids), ids, strict=True) if i != query_id)[:k]
+                out += [(query_id, (b << 32) + n, i, max(-MOST - 1, min(MOST, -s)), ((1 << 8 * DIGITS - 1) - s).to_bytes(DIGITS, "big")) for s, i in best]
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], ["query_id", "n", "vec_id", "score", "order"])
+
+        part = map_batches(data, each, "query_id long, n long, vec_id long, score long, order binary")
+        found = part if found is None else found.unionByName(part)
+    ranked = F.row_number().over(W.partitionBy("query_id", "n").orderBy(F.col("order").desc(), "vec_id"))
+    return found.withColumn("rank", ranked).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def _with_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _bytes(_matrix(batch.column(1)))], ["query_id", "v", "q"])
 

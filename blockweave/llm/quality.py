@@ -91,7 +91,8 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs.
 
     Learns from a bounded sample of labels (doc_id, quality) outside the held-out fold; scores see the text only. A null
-    doc_id is not held out. Rows that repeat are scored each. An empty table gives an empty result; without labels every
+    doc_id is not held out. Very long texts are scored whole; rows that repeat are scored each. Other columns, whatever their names,
+    are ignored. An empty table gives an empty result; without labels every
     score is 0.5.
     """
     scored = score(docs, train(training_rows(docs, labels, "quality")))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import need, stage
 
 
 @dataclass(frozen=True)
@@ -37,6 +37,8 @@ ADDED = (
     Rule("hosted", 1, r"gh[opsu]_[A-Za-z0-9]+", 0, 40),
 )
 RULES = BASE + ADDED
+#: Matches whose positions are added up at a time.
+BLOCK = 256
 _SPAN = "array<struct<start:bigint,end:bigint,kind:int>>"
 
 
@@ -57,7 +59,16 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
         span = F.struct(begin.alias("start"), end.alias("end"), F.lit(order).alias("kind"))
         return F.struct(end.alias("at"), F.when(x["kept"] >= rule.least, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(found, start, step, lambda s: s["out"])).otherwise(F.array().cast(_SPAN))
+    # An array that grows is copied at every step, so long ones are built in blocks, each from 0, which are moved to their places then.
+    numbers = F.sequence(F.lit(0), F.call_function("div", F.size(whole) - 1, F.lit(BLOCK)).cast("int"))
+    blocks = F.transform(numbers, lambda b: F.aggregate(F.slice(found, b * BLOCK + 1, F.lit(BLOCK)), start, step, lambda s: s))
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+
+    def move(state: Column, x: Column) -> Column:
+        moved = F.transform(x["out"], lambda s: F.struct((s["start"] + state["at"]).alias("start"), (s["end"] + state["at"]).alias("end"), s["kind"].alias("kind")))
+        return F.struct((state["at"] + x["at"]).alias("at"), F.concat(state["out"], F.array(moved)).alias("out"))
+
+    return F.when(text.rlike(rule.pattern), F.aggregate(blocks, none, move, lambda s: F.flatten(s["out"]))).otherwise(F.array().cast(_SPAN))
 
 
 def written(found: Column, rules: tuple[Rule, ...]) -> Column:
@@ -75,22 +86,22 @@ def scan(docs: DataFrame, path: str = "doc_id", ledger: DataFrame | None = None,
     """(paths, entries): blob and spans of each row of docs, and the entries to append to the ledger.
 
     docs has a path column and text; null text is empty. Each blob that lacks a rule at its version in the ledger is
-    scanned with the rules it lacks. Rows with a null path or repeated rows are reported each. An empty table gives no rows.
+    scanned with the rules it lacks, once however many paths have it. The entries are written to the shared folder, and findings
+    are read from there and the ledger and joined back to the paths, so a text of very many paths is no large group of the scan's.
+    Very long texts are scanned whole. Rows with a null path or repeated rows are reported each. Other columns, whatever their
+    names, are ignored. An empty table gives no rows.
     """
     blobs = need(docs, path, "text").select(F.col(f"`{path}`").alias("path"), F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
     once = blobs.groupBy("blob").agg(F.any_value("text").alias("text"))
     if ledger is None:
-        entry = lambda text: F.array(*(F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), spans(text, r, i).alias("spans")) for i, r in enumerate(rules)))
-        new = once.select("blob", F.explode(entry(F.col("text"))).alias("e")).select("blob", "e.*")
-        known = new
+        ledger, missing = empty_ledger(docs), once.withColumn("done", F.array().cast("array<string>"))
     else:
-        done = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", "version")).alias("done"))
-        missing = once.join(done, "blob", "left")
-        lacks = lambda r: ~F.coalesce(F.array_contains("done", f"{r.kind}@{r.version}"), F.lit(False))
-        entry = F.array(*(F.when(lacks(r), F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), spans(F.col("text"), r, i).alias("spans"))) for i, r in enumerate(rules)))
-        new = missing.select("blob", F.explode(F.filter(entry, lambda e: e.isNotNull())).alias("e")).select("blob", "e.*")
-        now = docs.sparkSession.createDataFrame([(r.kind, r.version) for r in rules], "rule string, version int")
-        known = ledger.join(F.broadcast(now), ["rule", "version"], "left_semi").select("blob", "rule", "version", "spans").union(new)
+        missing = once.join(ledger.groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", "version")).alias("done")), "blob", "left")
+    lacks = lambda r: ~F.coalesce(F.array_contains("done", f"{r.kind}@{r.version}"), F.lit(False))
+    entry = F.array(*(F.when(lacks(r), F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), spans(F.col("text"), r, i).alias("spans"))) for i, r in enumerate(rules)))
+    new = stage(missing.select("blob", F.explode(F.filter(entry, lambda e: e.isNotNull())).alias("e")).select("blob", "e.*"), "ledger")
+    now = docs.sparkSession.createDataFrame([(r.kind, r.version) for r in rules], "rule string, version int")
+    known = ledger.join(F.broadcast(now), ["rule", "version"], "left_semi").select("blob", "rule", "version", "spans").union(new)
     found = known.filter(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     paths = blobs.select("path", "blob").join(found, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"))
     return paths.withColumnRenamed("path", path), new

@@ -35,8 +35,6 @@ GIANT, CHUNK, FAN_IN = 65_536, 16_384, 64
 BLANK = "▁"
 _UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+$")
 _CUT = re.compile(f"(?<=[^{BLANK}]){BLANK}")
-#: No piece is longer.
-REACH = 16
 Matrix = list[tuple[int, int]]
 
 
@@ -54,6 +52,8 @@ class Pieces:
         self.scores = {p: self.sp.get_score(i) for p, i in self.ids.items()}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(pieces) if self.sp.is_byte(i)}
         self.texts = [p.replace(BLANK, " ").encode() if plain[i] else bytes([int(p[3:5], 16)]) if self.sp.is_byte(i) else b"" for i, p in enumerate(pieces)]
+        #: No piece is longer.
+        self.reach = max(map(len, self.ids), default=1)
         self.units: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.alone: dict[str, bool] = {}
@@ -111,6 +111,8 @@ class Pieces:
 
     def is_piece(self, piece: str) -> bool:
         if piece not in self.alone:
+            if len(self.alone) >= self.LIMIT:
+                self.alone.clear()
             self.alone[piece] = (piece in self.ids or len(piece) == 1) and self.merged(piece) == [piece]
         return self.alone[piece]
 
@@ -138,7 +140,7 @@ class Pieces:
             before = [(key, text[key[0] : key[1]], reached[key]) for key in ends.get(i, [])]
             if not before and i not in fresh:
                 continue
-            for j in range(i + 1, min(len(text), i + REACH) + 1):
+            for j in range(i + 1, min(len(text), i + self.reach) + 1):
                 piece = text[i:j]
                 if not self.is_piece(piece):
                     continue
@@ -163,15 +165,15 @@ def marked(text: str) -> str:
 
 def _state(s: int, e: int) -> int:
     """Of a piece that begins s characters before a cut and ends e after it."""
-    return s * 32 + e
+    return s * 65_536 + e
 
 
 class Chunk:
-    """A chunk [begin, end) of a text that also holds REACH characters on either side, as far as there are such."""
+    """A chunk [begin, end) of a text that also holds the longest piece's characters on either side, as far as there are such."""
 
     def __init__(self, pieces: Pieces, text: str, begin: int, end: int):
         self.p, self.text, self.begin, self.end = pieces, text, begin, end
-        cuts = [m.start() for m in _CUT.finditer(text, begin + REACH, end - REACH)]
+        cuts = [m.start() for m in _CUT.finditer(text, begin + pieces.reach, end - pieces.reach)]
         #: Where the first and the last word end; the search is for the characters before and after.
         self.first, self.last = (cuts[0], cuts[-1]) if cuts else (None, None)
 
@@ -180,8 +182,8 @@ class Chunk:
         if self.begin == 0:
             return {0: ("", 0)}
         found = {}
-        for s in range(1, min(REACH, self.begin) + 1):
-            for e in range(REACH - s + 1):
+        for s in range(1, min(self.p.reach, self.begin) + 1):
+            for e in range(self.p.reach - s + 1):
                 a, b = self.begin - s, self.begin + e
                 if b <= len(self.text) and self.p.is_piece(self.text[a:b]):
                     found[_state(s, e)] = (self.text[a:b], b)
@@ -221,12 +223,12 @@ class Chunk:
         return np.array(back(before, ends[entry], entry), np.int32).tobytes() + self.p.of_units(self.text[self.first : self.last]) + np.array(back(reached, exits[leave], 0), np.int32).tobytes()
 
 
-def chunks(text: str, size: int) -> Iterator[tuple[int, str, int, int]]:
+def chunks(text: str, size: int, reach: int) -> Iterator[tuple[int, str, int, int]]:
     """(number, text with surroundings, begin, end) of each chunk of a marked text; the last has size to 2 * size characters."""
     n = max(1, len(text) // size)
     for k in range(n):
         begin, end = k * size, len(text) if k == n - 1 else (k + 1) * size
-        yield k, text[max(0, begin - REACH) : end + REACH], begin - max(0, begin - REACH), end - max(0, begin - REACH)
+        yield k, text[max(0, begin - reach) : end + reach], begin - max(0, begin - reach), end - max(0, begin - reach)
 
 
 def compose(matrices: list[Matrix]) -> Matrix:
@@ -280,11 +282,11 @@ def _pairs(flat) -> Matrix:
 def encode_giants(giants: DataFrame, proto: bytes, chunk: int = CHUNK) -> DataFrame:
     """(blob, text) -> (blob, ids): each text by a parallel scan over its chunks."""
     spark: SparkSession = giants.sparkSession
-    shared = spark.sparkContext.broadcast(proto)
+    shared, reach = spark.sparkContext.broadcast(proto), _pieces(proto).reach
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for blob, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            k, part, begin, end = zip(*chunks(marked(text), chunk), strict=True)
+            k, part, begin, end = zip(*chunks(marked(text), chunk, reach), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array([blob] * len(k)), pa.array(k, pa.int64()), pa.array(part), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], ["blob", "k", "part", "begin", "end"])
 
     def matrices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,9 @@ from .html_wrappers import host as host_of
 #: URLs of each verdict learned from at most, with how many trees and how deep.
 SAMPLE_ROWS, TREES, DEPTH = 20_000, 10, 3
 
+#: Statistics of suffixes of at most so many bytes are broadcast; more are joined, where Spark splits suffixes of very many rows.
+BROADCAST_BYTES = 8 << 20
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -36,7 +39,7 @@ RULES = (
     Rule("com", "/fr/", "allow"),
     Rule("com", "/de/", "block"),
 )
-FEATURES = ["length", "host_length", "labels", "depth", "digits", "entropy", "parameters", "hyphens", "suffix_log_rows", "suffix_blocked"]
+FEATURES = ["length", "host_length", "labels", "depth", "digits", "entropy", "parameters", "hyphens", "suffix_log_rows", "suffix_length", "suffix_digits"]
 
 
 def path_of(url: Column) -> Column:
@@ -74,13 +77,16 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     The trees learn from a bounded sample of the distinct URLs that rules label, of each verdict, and judge the others: block from a probability of a
     half. Where rules label URLs of one verdict only, that is the verdict of the others; where they label none, it is allow.
-    A null url, or one without ://, has an empty host and path. Repeated rows give a row each; an empty table gives none.
+    A null url, or one without ://, has an empty host and path; very long ones are taken whole. Repeated rows give a row each; an
+    empty table gives none. Other columns, whatever their names, are ignored.
     """
     base = need(pages, "page_id", "url").withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     base = base.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules, "name")).withColumn("by_rule", rule_for(F.col("host"), F.col("path"), rules, "verdict"))
     base = base.withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("text", F.coalesce("url", F.lit("")))
-    suffixes = base.groupBy("suffix").agg(F.log1p(F.count("*")).alias("suffix_log_rows"), F.coalesce(F.avg((F.col("by_rule") == "block").cast("double")), F.lit(0.5)).alias("suffix_blocked"))
-    full = base.join(suffixes, "suffix").withColumns(_lexical(F.col("text"), F.col("host"), F.col("path")))
+    suffixes = base.groupBy("suffix").agg(F.log1p(F.count("*")).alias("suffix_log_rows"), F.avg(F.length("text")).alias("suffix_length"), F.avg(F.length(F.regexp_replace("text", "[^0-9]", ""))).alias("suffix_digits"))
+    suffixes = stage(suffixes, "suffixes")
+    few = (suffixes.agg(F.sum(F.length("suffix") + 40)).first()[0] or 0) <= BROADCAST_BYTES
+    full = base.join(F.broadcast(suffixes) if few else suffixes, "suffix").withColumns(_lexical(F.col("text"), F.col("host"), F.col("path")))
     full = stage(full.select("page_id", "host", "path", "rule", "by_rule", "text", *FEATURES), "urls")
     urls = full.filter("by_rule IS NOT NULL").dropDuplicates(["text"])
     allowed, blocked = (urls.filter(F.col("by_rule") == v).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ROWS) for v in ("allow", "block"))

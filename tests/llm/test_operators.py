@@ -99,6 +99,15 @@ def test_minhash(spark, corpus):
     assert len({find(i) for i in parent if i is not None}) < len(parent) - 15
 
 
+def test_minhash_of_long_texts_and_empty_tables(spark):
+    random.seed(5)
+    words = [random.choice("abcdefghij") + str(random.randrange(10_000)) for _ in range(300_000)]
+    near = [w if k % 200 else "other" for k, w in enumerate(words)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(documents(spark, [(5, " ".join(words)), (3, " ".join(near)), (9, "again " * 300_000), (1, "")])).collect()}
+    assert got[5][1] == got[3][1] == 3 and got[5][0] > 299_000 and got[9] == (1, 9) and got[1] == (0, 1)
+    assert minhash.near_duplicates(documents(spark, [])).count() == 0
+
+
 def test_remaining_pairs_find_every_link(spark):
     random.seed(9)
     base = [random.getrandbits(62) for _ in range(200)]
@@ -218,6 +227,18 @@ def test_secret_ledger_is_incremental(spark):
     assert {r["rule"] for r in secret_ledger.scan(new, ledger=entries.unionByName(added), rules=newer)[1].collect()} == {"hex"}
 
 
+def test_secrets_of_long_texts_and_empty_tables(spark):
+    random.seed(7)
+    parts = ["".join(random.choices("xyz \n", k=random.randint(0, 9))) + random.choice(["token=abcdef", "0123456789abcdef01234567", "secret:é", "AKIA" + "Q" * 17]) + " " for _ in range(20_000)]
+    text = "".join(parts)
+    (row,) = secret_ledger.secrets(documents(spark, [(1, text)])).collect()
+    want = base_spans(text)
+    assert len(want) > 10_000 and row["spans"] == ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in want)
+    (clean,) = secret_ledger.redact(documents(spark, [(1, text)]), secret_ledger.BASE).collect()
+    assert clean["text"].count("[SECRET]") > 5_000 and "abcdef" not in clean["text"].replace("secret:é", "")
+    assert secret_ledger.secrets(documents(spark, [])).count() == 0 and secret_ledger.redact(documents(spark, [])).count() == 0
+
+
 def test_redaction(spark):
     def redacted(t):
         out, at = "", 0
@@ -360,6 +381,19 @@ def test_top_k(spark):
     assert mtree.nearest(few).count() == 2
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e3, 1e6, 1e30, 1e305])
+def test_top_k_of_large_components(spark, scale):
+    rng = np.random.default_rng(3)
+    vectors = [(i, [float(x) * scale for x in v]) for i, v in enumerate(rng.normal(size=(250, 5)))]
+    whole = {i: [int(__import__("math").floor(__import__("fractions").Fraction(x) * 1024)) for x in v] for i, v in vectors}
+    want = []
+    for q in (0, 100, 200):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], w, strict=True)), i) for i, w in whole.items() if i != q)[:10]
+        want += [(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(best)]
+    got = mtree.nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def held_out(i):
     return zlib.crc32(str(i).encode()) % 3 == 1
 
@@ -435,7 +469,7 @@ ODD_TEXTS = ["a" * 500, "ab" * 400, "  " * 200 + "x", "héllo wörld\n" * 60, "
 def test_parallel_scan_is_the_library(pieces, size):
     random.seed(size)
     for t in [*ODD_TEXTS, "".join(random.choice("abcdefgh tion e  r\n") for _ in range(2000)), "".join(random.choice("thehanded") for _ in range(1500))]:
-        parts = [sentencepiece_scan.Chunk(pieces, x, b, e) for _, x, b, e in sentencepiece_scan.chunks(sentencepiece_scan.marked(t), size)]
+        parts = [sentencepiece_scan.Chunk(pieces, x, b, e) for _, x, b, e in sentencepiece_scan.chunks(sentencepiece_scan.marked(t), size, pieces.reach)]
         matrices = [p.matrix() for p in parts]
         half = len(matrices) // 2 or 1
         total = sentencepiece_scan.compose(matrices)
@@ -554,6 +588,14 @@ def test_urls(spark):
     assert {tuple(r)[:4] for r in registry.op10_url_filter(spark, SF).collect()} == {(r["page_id"], *judged(r["url"])[:3]) for r in pages.collect()}
 
 
+def test_long_urls_and_many_suffixes(spark, monkeypatch):
+    rows = [(i, f"http://h{i}.s{i % 90}/" + "a1" * (i % 7)) for i in range(300)] + [(900, "http://x.org/" + "y?" * 200_000), (901, "http://x.com/de/z"), (902, None)]
+    table = spark.createDataFrame(rows, "page_id long, url string").withColumn("suffix", F.lit("clash")).withColumn("length", F.lit("clash"))
+    once = sorted(tuple(r) for r in url_filters.judge(table).collect())
+    monkeypatch.setattr(url_filters, "BROADCAST_BYTES", 0)
+    assert len(once) == 303 and sorted(tuple(r) for r in url_filters.judge(table).collect()) == once
+
+
 def test_repeated_urls_do_not_fill_the_sample(spark, monkeypatch):
     monkeypatch.setattr(url_filters, "SAMPLE_ROWS", 100)
     rules = (url_filters.Rule("a.org", "", "allow"), url_filters.Rule("b.com", "", "block"))
