@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..shipping import shared_dir, ship
 
-#: Rows of one Arrow batch; whole texts may be long, so batches hold few.
-BATCH_ROWS = 256
+#: Rows and bytes of one Arrow batch, about; whole texts may be long, so batches hold few. A batch is held by the JVM and by Python.
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
 
 #: Tables written by this process, by application.
@@ -47,6 +47,7 @@ def small_batches(spark: SparkSession) -> None:
     ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
