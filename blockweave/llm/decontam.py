@@ -176,9 +176,9 @@ def common_subsequence(pattern: list[int], text: list[int]) -> int:
 
 
 def _window(n: int) -> int:
-    """The window for an item of n words: four to seven times a power of two, 16 at least, and nearly n."""
-    step = 4
-    while step * 8 <= n:
+    """The window for an item of n words: two or three times a power of two, 16 at least, and nearly n."""
+    step = 8
+    while step * 4 <= n:
         step *= 2
     return max(16, (n + step // 2) // step * step)
 
