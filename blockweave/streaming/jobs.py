@@ -127,18 +127,19 @@ def index_batch(
         back = reorgs.filter("NOT too_deep")
         stored = blocks.join(accepted.select(*BLOCK_KEY), BLOCK_KEY, "left_anti")
         rolled, undone, _, _ = reorg.reorg_rollback(back, stored, txs.join(accepted.select(*BLOCK_KEY), BLOCK_KEY, "left_anti"), cursors)
+        undone = undone.filter("status = 'invalid'").select(*matched.columns).persist()
         nothing = lambda c: F.lit(None).cast("string").alias(c)
-        reverted = reorg.revert_events(back, stored, txs).select("chain_id", "block_number", "tx_hash", "event_type", nothing("from_address"), nothing("to_address"), F.create_map(F.lit("reason"), "reason").alias("metadata"))
+        reverted = undone.select("chain_id", "block_number", "tx_hash", F.lit("transaction_reverted").alias("event_type"), nothing("from_address"), nothing("to_address"), F.create_map(F.lit("reason"), F.lit("blockchain_reorganization")).alias("metadata"))
         safe = back.select("chain_id", F.col("safe_block").alias("block_number"), F.col("safe_hash").alias("block_hash"))
         reached = reached.join(safe, "chain_id", "left_anti").unionByName(safe)
         out["blocks"] = out["blocks"].unionByName(rolled.filter("status = 'orphaned'").select(*out["blocks"].columns))
-        out["transactions"] = matched.unionByName(undone.filter("status = 'invalid'").select(*matched.columns))
+        out["transactions"] = matched.unionByName(undone)
         out["events"] = out["events"].unionByName(reverted)
         out["reorgs"] = reorgs
     if jump:
         reached = reached.unionByName(jumped)
         out["missing"] = missing
-    held = [new, known, mismatches, matched, *([reorgs, accepted] if forked else [])]
+    held = [new, known, mismatches, matched, *([reorgs, accepted, undone] if forked else [])]
     return out | {"cursors": store.upsert_cursor(cursors, reached, "block"), "held": held}
 
 
