@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_wrappers, minhash, mtree, quality, repeats, secret_ledger, sentencepiece_scan, sql, toxicity, url_filters
+from . import decontam, html_wrappers, language_id, minhash, mtree, periodic_runs, quality, repeats, secret_ledger, sentencepiece_scan, spelling, sql, toxicity, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,10 +53,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spellings(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others train models, run a tokenizer or infer wrappers, which SQL can't."""
-    return {"op1_minhash_dedup": sql.OP1, "op3_mtree_top_k": sql.OP3, "op4_secret_scan": sql.OP4, "op6_repeats": sql.OP6}
+    return {"op1_minhash_dedup": sql.OP1, "op3_mtree_top_k": sql.OP3, "op4_secret_scan": sql.OP4, "op6_repeats": sql.OP6, "op12_periodic_runs": sql.OP12, "op13_spelling_variants": sql.OP13}
