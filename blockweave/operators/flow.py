@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..shipping import ship, written
+from ..sources.tables import delete
 
 #: The allowed changes of a cursor's state.
 TRANSITIONS = {
@@ -69,31 +70,116 @@ def step(now: tuple[int, str, str] | None, number: int, hash_: str) -> tuple[tup
     return ((number, hash_, now[2]), "advance") if number == now[0] + 1 else (now, "gap")
 
 
-def cursor_fold(commits: DataFrame, cursors: DataFrame) -> DataFrame:
+#: Pieces that a chain's log is folded in; a power of two.
+SEGMENTS = 16
+NODE = ["chain_id", "node"]
+
+
+def _cut_log(commits: DataFrame, segments: int) -> DataFrame:
+    """Commits with node, the piece of their chain's log that they are in. Pieces end at values of seq, and have about as many rows."""
+    shares = [k / segments for k in range(1, segments)]
+    ends = commits.groupBy("chain_id").agg(F.percentile_approx("seq", shares, 1000).alias("_ends"))
+    node = F.size(F.filter("_ends", lambda e: e < F.col("seq")))
+    return commits.select("chain_id", "seq", "block_number", "block_hash").join(ends, "chain_id").select("chain_id", node.cast("long").alias("node"), "seq", "block_number", "block_hash")
+
+
+def _effects(log: DataFrame) -> DataFrame:
+    """(chain_id, node, start, end, hash): where a cursor at start is after a piece. What a piece leaves alone has no row.
+
+    From the last commit of a piece to the first, a commit n takes a cursor from n - 1 to where the commits after it take n.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ends = None, {}
+
+        def flush() -> pa.RecordBatch:
+            rows = [(*at, start, *to) for start, to in ends.items()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], [*NODE, "start", "end", "hash"])
+
+        for batch in batches:
+            for chain, node, n, hash_ in zip(*(batch.column(c).to_pylist() for c in (*NODE, "block_number", "block_hash")), strict=True):
+                if at != (chain, node):
+                    if ends:
+                        yield flush()
+                    at, ends = (chain, node), {}
+                ends[n - 1] = ends.get(n, (n, hash_))
+        if ends:
+            yield flush()
+
+    back = log.repartition(*NODE).sortWithinPartitions("chain_id", "node", F.desc("seq"), F.desc("block_number"), F.desc("block_hash"))
+    return back.mapInArrow(run, "chain_id string, node long, start long, end long, hash string")
+
+
+def _reachable(effects: DataFrame, log: DataFrame, starts: DataFrame) -> DataFrame:
+    """Effects that a cursor can meet: from the first cursor of the chain, or from a height that an earlier piece has committed."""
+    first = log.groupBy("chain_id", F.col("block_number").alias("start")).agg(F.min("node").alias("_node"))
+    first = first.unionByName(starts.select("chain_id", F.col("height").alias("start"), F.lit(-1).cast("long").alias("_node"))).groupBy("chain_id", "start").agg(F.min("_node").alias("_node"))
+    return effects.join(first, ["chain_id", "start"]).filter("_node < node").select(*effects.columns)
+
+
+def _composed(effects: DataFrame) -> DataFrame:
+    """Effects of pairs of neighbouring pieces: through the left one, then the right one."""
+    pair = F.expr("node div 2").alias("node")
+    left = effects.filter("node % 2 = 0").select("chain_id", pair, "start", "end", "hash")
+    right = effects.filter("node % 2 = 1").select("chain_id", pair, F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("hash").alias("_hash"))
+    through = left.join(right.withColumnRenamed("_start", "end"), [*NODE, "end"], "left").select(*NODE, "start", F.coalesce("_end", "end").alias("end"), F.coalesce("_hash", "hash").alias("hash"))
+    alone = right.select(*NODE, F.col("_start").alias("start"), F.col("_end").alias("end"), F.col("_hash").alias("hash")).join(left, [*NODE, "start"], "left_anti")
+    return through.unionByName(alone.select(*NODE, "start", "end", "hash"))
+
+
+def _starts(effects: DataFrame, starts: DataFrame, segments: int) -> DataFrame:
+    """(chain_id, node, height, hash): the cursor before each piece. Effects are composed in a tree, and the first cursor goes down it."""
+    levels = [written(effects, "effects")]
+    while 2 ** len(levels) < segments:
+        levels.append(written(_composed(levels[-1][0]), "effects"))
+    now = starts.select("chain_id", F.lit(0).cast("long").alias("node"), "height", "hash")
+    for level, _ in reversed(levels):
+        here = now.select("chain_id", (F.col("node") * 2).alias("node"), "height", "hash")
+        over = here.join(level.select(*NODE, F.col("start").alias("height"), F.col("end"), F.col("hash").alias("_hash")), [*NODE, "height"], "left")
+        now = here.unionByName(over.select("chain_id", (F.col("node") + 1).alias("node"), F.coalesce("end", "height").alias("height"), F.coalesce("_hash", "hash").alias("hash")))
+        now = written(now, "starts")[0]
+    for _, path in levels:
+        delete(now.sparkSession, path)
+    return now
+
+
+def cursor_fold(commits: DataFrame, cursors: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     """Every commit (chain_id, seq, block_number, block_hash) with its outcome and the cursor after it, in order of seq.
 
-    A commit that leaves a gap doesn't move the cursor, so order matters and a chain is folded by one task. Its commits are
-    sorted by Spark, which spills, and streamed through the fold in Arrow batches, so a task holds one batch and one cursor.
+    A commit that leaves a gap doesn't move the cursor, so order matters. A chain's log is cut into pieces; what a piece does to a
+    cursor is a sparse map from heights to heights; maps are composed in a tree of joins, which gives the cursor before each
+    piece; then all pieces are replayed at once. A task holds one Arrow batch and one cursor when it replays, and the
+    heights of one piece when it makes the map. Commits of one chain with the same seq are in one piece.
     """
     ship(commits.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain, now = None, None
+        piece, now = None, None
         for batch in batches:
             rows = batch.to_pydict()
             out = []
-            for k, c in enumerate(rows["chain_id"]):
-                if k == 0 and chain is None or c != chain:
-                    chain, now = c, (rows["_at"][k], rows["_hash"][k], rows["_state"][k]) if rows["_at"][k] is not None else None
+            for k, c in enumerate(zip(rows["chain_id"], rows["node"], strict=True)):
+                if c != piece:
+                    piece, now = c, (rows["_at"][k], rows["_hash"][k], rows["_state"][k]) if rows["_at"][k] is not None else None
                 now, outcome = step(now, rows["block_number"][k], rows["block_hash"][k])
                 out.append((outcome, now[0], now[1]))
             outcome, at, hash_ = zip(*out, strict=True) if out else ((),) * 3
             columns = [*(batch.column(c) for c in ("chain_id", "seq", "block_number")), pa.array(outcome, pa.string()), pa.array(at, pa.int64()), pa.array(hash_, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["chain_id", "seq", "block_number", "outcome", "cursor_block", "cursor_hash"])
 
-    start = cursors.select("chain_id", F.col("block_number").alias("_at"), F.col("block_hash").alias("_hash"), F.col("state").alias("_state"))
-    joined = commits.select("chain_id", "seq", "block_number", "block_hash").join(start, "chain_id", "left")
-    return joined.repartition("chain_id").sortWithinPartitions("chain_id", "seq", "block_number").mapInArrow(run, CURSOR)
+    log = _cut_log(commits, segments)
+    # A chain without a cursor begins with its first commit, as if it stood one below.
+    first = commits.groupBy("chain_id").agg(F.min_by("block_number", F.struct("seq", "block_number")).alias("_first"))
+    known = cursors.select("chain_id", F.col("block_number").alias("_at"), F.col("block_hash").alias("_hash"), F.col("state").alias("_state"))
+    chains = first.join(known, "chain_id", "left")
+    starts = chains.select("chain_id", F.coalesce("_at", F.col("_first") - 1).alias("height"), F.coalesce("_hash", F.lit("")).alias("hash"))
+    moving = chains.filter("coalesce(_state, '') NOT IN ('paused', 'reorg')").select("chain_id")
+    effects = _reachable(_effects(log.join(moving, "chain_id", "left_semi")), log, starts)
+    before = _starts(effects, starts, segments).join(chains.select("chain_id", "_at", "_state"), "chain_id")
+    at = F.when((F.col("node") > 0) | F.col("_at").isNotNull(), F.col("height"))
+    before = before.select(*NODE, at.alias("_at"), F.col("hash").alias("_hash"), F.coalesce("_state", F.lit("init")).alias("_state"))
+    joined = log.join(before, NODE)
+    return joined.repartition(*NODE).sortWithinPartitions("chain_id", "node", "seq", "block_number", "block_hash").mapInArrow(run, CURSOR)
 
 
 def cursor_jump(cursors: DataFrame, jumps: DataFrame) -> DataFrame:

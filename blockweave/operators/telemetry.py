@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .heights import running, with_last, with_previous
+from .ranges import merge_ranges
 
 #: Bucket limits of histograms.
 BUCKETS = {"reorg_depth": (1, 2, 5, 10, 20, 50, 100), "batch_size": (1, 5, 10, 25, 50, 100, 250, 500), "gap_jump": (100, 1000, 5000, 10000, 50000, 100000), "latency_s": (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10)}
@@ -115,14 +116,44 @@ def sliding(df: DataFrame, seconds: int, step: int) -> DataFrame:
     return df.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.lit(seconds // step - 1)), lambda i: first + i * step)).alias("window_end"))
 
 
-def alert_error_rate(calls: DataFrame, seconds: int = 300, step: int = 60, percent: float = 10) -> DataFrame:
-    g = sliding(calls.select("chain_id", "ts", "ok"), seconds, step).groupBy("chain_id", "window_end").agg(F.count("*").alias("n_calls"), F.count_if(~F.col("ok")).alias("n_errors"))
+def alert_states(true: DataFrame, labels: list[str], step: int, hold: int, until: int | None = None) -> DataFrame:
+    """(labels, pending_at, firing_at, resolved_at): the alerts of a rule that is evaluated every step seconds.
+
+    true (labels, window_end) are the evaluations at which the rule's condition is met. An alert is pending from the first of
+    them, fires at the first evaluation at which the condition has been met for hold seconds, and is resolved by the first at
+    which it is not. An alert that never fires has no firing_at, one that still stands at the moment until no resolved_at.
+    """
+    at = F.expr(f"window_end div {step}")
+    spans = merge_ranges(true.select(F.struct(*labels).alias("chain_id"), at.alias("from_block"), at.alias("to_block")))
+    fires = F.col("from_block") + -(-hold // step)
+    end = (F.col("to_block") + 1) * step
+    return spans.select(*(F.col(f"chain_id.{c}").alias(c) for c in labels), (F.col("from_block") * step).alias("pending_at"), F.when(fires <= F.col("to_block"), fires * step).alias("firing_at"), (end if until is None else F.when(end <= until, end)).alias("resolved_at"))
+
+
+def error_windows(calls: DataFrame, seconds: int = 300, step: int = 60, percent: float = 10) -> DataFrame:
+    """(chain_id, provider, window_end, n_calls, n_errors) of the windows in which more than percent of a provider's calls on a chain fail."""
+    g = sliding(calls.select("chain_id", "provider", "ts", "ok"), seconds, step).groupBy("chain_id", "provider", "window_end").agg(F.count("*").alias("n_calls"), F.count_if(~F.col("ok")).alias("n_errors"))
     return g.filter(F.col("n_errors") * 100 > F.col("n_calls") * percent)
 
 
-def alert_reorgs(reorgs: DataFrame, seconds: int = 3600, step: int = 600, limit: int = 5) -> DataFrame:
-    """reorgs (chain_id, ts): windows with more than a number of them."""
-    return sliding(reorgs.select("chain_id", "ts"), seconds, step).groupBy("chain_id", "window_end").agg(F.count("*").alias("n_reorgs")).filter(F.col("n_reorgs") > limit)
+def alert_error_rate(calls: DataFrame, seconds: int = 300, step: int = 60, percent: float = 10, hold: int = 300) -> DataFrame:
+    """Alerts of each provider and chain: more than percent of the calls of the last seconds fail, held for hold seconds."""
+    return alert_states(error_windows(calls, seconds, step, percent), ["chain_id", "provider"], step, hold)
+
+
+def alert_reorgs(reorgs: DataFrame, seconds: int = 3600, step: int = 60, limit: float = 5, hold: int = 0) -> DataFrame:
+    """Alerts of each chain: more than a number of reorgs (chain_id, ts) in the last seconds, held for hold seconds."""
+    windows = sliding(reorgs.select("chain_id", "ts"), seconds, step).groupBy("chain_id", "window_end").agg(F.count("*").alias("n_reorgs"))
+    return alert_states(windows.filter(F.col("n_reorgs") > limit), ["chain_id"], step, hold)
+
+
+#: Reorganisations a second over 30 minutes, held for 10.
+REORG_RATE, REORG_SECONDS, REORG_HOLD = 0.1, 1800, 600
+
+
+def alert_reorg_rate(reorgs: DataFrame) -> DataFrame:
+    """Alerts of each chain: reorganisations come at more than REORG_RATE a second over the last half hour, held for ten minutes."""
+    return alert_reorgs(reorgs, REORG_SECONDS, 60, REORG_RATE * REORG_SECONDS, REORG_HOLD)
 
 
 def alert_quota(usage: DataFrame, percent: float = 10, least: int = 1000) -> DataFrame:

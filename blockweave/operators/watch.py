@@ -9,6 +9,8 @@ from .store import TX_KEY
 
 #: Least bits of a Bloom filter, bits for a key, and hashes: about one false hit in a hundred.
 BITS, PER_KEY, HASHES = 100_000, 10, 7
+#: Characters of the stretches that watched texts are looked for by, and bits of their array at most (16 MB).
+Q, MOST_BITS = 16, 1 << 27
 #: Watched texts of fewer characters aren't looked for within raw data.
 LEAST = 30
 
@@ -27,36 +29,60 @@ def _touching(txs: DataFrame, watched: DataFrame, columns: dict[str, Column]) ->
     return sides.join(watched, "address", "left_semi").select(*TX_KEY).distinct()
 
 
+def _grams(text: Column) -> Column:
+    """All stretches of Q characters of a text, each once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{Q}}}))"), F.lit(1)))
+
+
+def rarest_grams(watched: DataFrame) -> DataFrame:
+    """(gram, watched_text): of every watched text of LEAST characters or more, without 0x, the stretch of Q characters that fewest
+    of them have; of equal ones that of most different characters, then the first by order."""
+    plain = watched.filter(F.length("address") >= LEAST).select(F.regexp_replace("address", "^0x", "").alias("watched_text")).distinct()
+    every = plain.select("watched_text", F.explode(_grams(F.col("watched_text"))).alias("gram"))
+    common = every.groupBy("gram").agg(F.count("*").alias("n"))
+    variety = F.size(F.array_distinct(F.split("gram", "")))
+    best = every.join(common, "gram").groupBy("watched_text").agg(F.min(F.struct("n", (-variety).alias("variety"), "gram")).alias("best"))
+    return best.select(F.col("best.gram").alias("gram"), "watched_text")
+
+
+def _bit_array(keys: DataFrame, bits: int) -> DataFrame:
+    """One row, words: an array of bits / 64 numbers, with a bit set for each key's hash. Its size is bounded by MOST_BITS."""
+    at = F.pmod(F.xxhash64("gram"), F.lit(bits))
+    words = keys.select(at.alias("at")).selectExpr("at div 64 AS id", "shiftleft(1L, cast(at % 64 AS int)) AS bit").groupBy("id").agg(F.bit_or("bit").alias("bit"))
+    every = keys.sparkSession.range(bits // 64).join(words, "id", "left").select("id", F.coalesce("bit", F.lit(0).cast("long")).alias("bit"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bit"))), lambda x: x["bit"]).alias("_words"))
+
+
 def _within(txs: DataFrame, watched: DataFrame) -> DataFrame:
     """Keys of the transactions whose raw data holds a watched text of LEAST characters or more, without 0x, in any case.
 
-    Raw data is cut into runs between quotes and white space. For every length that watched texts have, which are few, a run's
-    distinct stretches of that length are joined with them: an equal join instead of a nested loop. A stretch is a row, so a run
-    of n characters costs n rows for each length.
+    A watched text is looked for by its rarest stretch of Q characters. Every stretch of the raw data is tried against a bit array
+    of those, in one pass and without a row for it; what passes becomes a row, is joined with the stretches, and holds the
+    whole text or not. So rows are as many as candidates. The bit array grows with the watch-list up to MOST_BITS; with longer
+    lists more candidates pass, and none is lost.
     """
-    plain = watched.select(F.regexp_replace("address", "^0x", "").alias("w"), F.length("address").alias("n")).filter(F.col("n") >= LEAST).select("w", F.length("w").alias("n")).distinct()
-    lengths = [r["n"] for r in plain.select("n").distinct().collect()]  # a row for each length
-    runs = txs.select(*TX_KEY, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("raw_data"), F.lit(r'[^"\\s]{' + str(LEAST - 2) + r",}"), F.lit(0)))).alias("run"))
-    found = None
-    for n in lengths:
-        each = F.expr(f"explode(array_distinct(transform(sequence(1, length(run) - {n - 1}), i -> substring(run, i, {n}))))")
-        stretches = runs.filter(F.length("run") >= n).select(*TX_KEY, each.alias("w"))
-        part = stretches.join(plain.filter(F.col("n") == n), "w", "left_semi").select(*TX_KEY)
-        found = part if found is None else found.union(part)
-    return found if found is not None else txs.select(*TX_KEY).limit(0)
+    grams = rarest_grams(watched)
+    bits = -(-min(MOST_BITS, max(BITS, 2 * PER_KEY * grams.count())) // 64) * 64
+    at = lambda g: F.pmod(F.xxhash64(g), F.lit(bits))
+    is_set = lambda g: F.getbit(F.get("_words", (at(g) / 64).cast("int")), (at(g) % 64).cast("int")) == 1
+    texts = txs.select(*TX_KEY, F.lower("raw_data").alias("_text")).crossJoin(F.broadcast(_bit_array(grams, bits)))  # one row of MOST_BITS at most
+    found = texts.select(*TX_KEY, "_text", F.filter(_grams(F.col("_text")), is_set).alias("_found")).filter(F.size("_found") > 0)
+    rows = found.select(*TX_KEY, "_text", F.explode("_found").alias("gram"))
+    return rows.join(grams, "gram").filter(F.col("_text").contains(F.col("watched_text"))).select(*TX_KEY)
 
 
 def watch_evm(txs: DataFrame, wallets: DataFrame, raw: bool = True) -> DataFrame:
     """Sender or recipient watched in any case, or raw_data of the type ERC20, or a watched text of LEAST characters within raw_data.
 
-    Without raw, raw_data is left out. Watched texts hold neither quotes nor white space.
+    Without raw, raw_data is left out.
     """
     watched = watchlist(wallets)
     keys = _touching(txs, watched, {"from": F.lower("from_address"), "to": F.lower("to_address")})
-    if raw:
-        keys = keys.union(txs.filter(F.get_json_object("raw_data", "$.type") == "ERC20").select(*TX_KEY))
-        keys = keys.union(_within(txs.filter(F.length("raw_data") >= LEAST - 2), watched))
-    return txs.join(keys.distinct(), TX_KEY, "left_semi")
+    if not raw:
+        return txs.join(keys, TX_KEY, "left_semi")
+    keys = keys.union(_within(txs.filter(F.length("raw_data") >= LEAST - 2), watched)).distinct().withColumn("_hit", F.lit(True))
+    marked = F.coalesce(F.get_json_object("raw_data", "$.type") == "ERC20", F.lit(False))
+    return txs.join(keys, TX_KEY, "left").filter(F.coalesce("_hit", F.lit(False)) | marked).select(*txs.columns)
 
 
 def watch_tron(txs: DataFrame, wallets: DataFrame) -> DataFrame:

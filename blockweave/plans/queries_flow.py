@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import flow, ranges, reorg, telemetry, watch
 from ..shipping import shared_dir
 from ..sources import raw as sources
+from ..sources import units
 from ..streaming import jobs
 from . import fixtures as fx
 from . import payloads as raw
@@ -32,12 +33,12 @@ def _timed(s, d):
 
 
 def _samples(s, d):
-    """Lag samples from the call log: one a chain and quarter of an hour."""
-    at = telemetry.bucket_start(F.col("ts"), 900).alias("ts")
+    """Lag samples from the call log: one a chain and quarter of an hour, which stand for minutes."""
+    at = F.expr("ts div 900 * 60").alias("ts")
     return fx.rpc_calls(s, d).groupBy("chain_id", at).agg(F.max(F.col("event_id") % 40 * 60).alias("lag"))
 
 
-SAMPLES = "samples AS (SELECT chain_id, ts - ts % 900 AS ts, max(event_id % 40 * 60) AS lag FROM rpc_calls GROUP BY ALL)"
+SAMPLES = "samples AS (SELECT chain_id, ts // 900 * 60 AS ts, max(event_id % 40 * 60) AS lag FROM rpc_calls GROUP BY ALL)"
 
 
 def _available(s, d):
@@ -186,10 +187,30 @@ def live_index(s, d):
         part.write.mode("append").json(f"{at}/raw")
         stream = sources.stream_raw(s, f"{at}/raw", "evm", 1000, keyed=True)
         jobs.live_index(stream, "evm", raw.chain(), wallets, f"{at}/out", f"{at}/state", receipts, prefilter=True).awaitTermination()
-    rows = sources.current(sources.read_units(s, f"{at}/out", "transactions"), ["chain_id", "tx_hash", "block_number"])
+    rows = units.current(units.read_units(s, f"{at}/out", "transactions"), ["chain_id", "tx_hash", "block_number"])
     return rows.filter("status <> 'invalid'").select("chain_id", "tx_hash", "block_number", "from_address", "to_address", "value", "gas_used", "status")
 
 
+HOLES = "landed AS (SELECT DISTINCT chain_id, block_number FROM blocks), islands AS (SELECT chain_id, min(block_number) AS lo, max(block_number) AS hi FROM (SELECT *, block_number - row_number() OVER (PARTITION BY chain_id ORDER BY block_number) AS g FROM landed) GROUP BY chain_id, g), cut AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY lo) AS k, lag(hi) OVER (PARTITION BY chain_id ORDER BY lo) AS before FROM islands)"
+
+
+@more(HOLES, "SELECT chain_id, max(hi) FILTER (WHERE k = 1) AS block_number, count(*) FILTER (WHERE k > 1) AS n_holes, coalesce(sum(lo - before - 1) FILTER (WHERE k > 1), 0)::BIGINT AS n_missing FROM cut GROUP BY 1", "blocks")
+def live_frontier(s, d):
+    """Cursors after landing the blocks with holes, late ones and an empty batch: each waits at the first hole that is left."""
+    at, wallets = _folder(s), _kept(fx.wallets(s, d), f"{_folder(s)}/wallets")
+    landed = raw.evm(s, d).withColumns({"transactions": F.expr("slice(transactions, 1, 0)"), "_n": F.expr("cast(conv(substring(number, 3), 16, 10) AS bigint)")})
+    landed = _kept(landed.withColumn("parentHash", F.expr("md5(chain_id || ':' || (_n - 1))")), f"{at}/blocks")  # one chain without forks
+    late = "_n % 7 = 3 OR _n % 50 = 20 AND _n > 0"
+    for part in (f"NOT ({late})", "false", late):
+        landed.filter(part).drop("_n").write.mode("append").json(f"{at}/raw")
+        stream = sources.stream_raw(s, f"{at}/raw", "evm", 1000, keyed=True)
+        jobs.live_index(stream, "evm", raw.chain(), wallets, f"{at}/out", f"{at}/state").awaitTermination()
+    done = units.Units(s, f"{at}/out")
+    cursors, islands = done.last("cursors"), done.last("islands")
+    gaps = jobs.holes(cursors, islands).groupBy("chain_id").agg(F.count("*").alias("n_holes"), F.sum(F.expr("to_block - from_block + 1")).alias("n_missing"))
+    return cursors.join(gaps, "chain_id", "left").select("chain_id", "block_number", F.coalesce("n_holes", F.lit(0)).alias("n_holes"), F.coalesce("n_missing", F.lit(0)).alias("n_missing"))
+
+
 @query("SELECT block_number, block_hash FROM blocks", "blocks")
 def read_raw(s, d):
     from ..operators.normalize import evm_blocks
@@ -210,21 +231,21 @@ def stream_raw(s, d):
 def sink_transactions(s, d):
     at, t = _folder(s), fx.transactions(s, d)
     for epoch in (0, 1, 1):  # the last is a replay
-        sources.write_unit(fx.blocks(s, d).filter(f"block_number % 2 = {epoch}"), t.filter(f"block_number % 2 = {epoch}"), fx.cursors(s, d), at, epoch)
-    return sources.read_units(s, at, "transactions").select("chain_id", "tx_hash", "block_number")
+        units.write_unit(fx.blocks(s, d).filter(f"block_number % 2 = {epoch}"), t.filter(f"block_number % 2 = {epoch}"), fx.cursors(s, d), at, epoch)
+    return units.read_units(s, at, "transactions").select("chain_id", "tx_hash", "block_number")
 
 
 @query("SELECT chain_id, block_number, block_hash FROM blocks", "blocks")
 def sink_blocks(s, d):
     at = _folder(s)
-    sources.write_unit(fx.blocks(s, d), fx.transactions(s, d), fx.cursors(s, d), at, 0)
-    return sources.read_units(s, at, "blocks").select("chain_id", "block_number", "block_hash")
+    units.write_unit(fx.blocks(s, d), fx.transactions(s, d), fx.cursors(s, d), at, 0)
+    return units.read_units(s, at, "blocks").select("chain_id", "block_number", "block_hash")
 
 
 @query(f"SELECT {K}, 'transaction_confirmed' AS event_type FROM transactions", "transactions")
 def sink_events(s, d):
     at = _folder(s)
-    sources.write_events(_events(s, d), at, 0)
+    units.write_events(_events(s, d), at, 0)
     return s.read.parquet(at).select("chain_id", "tx_hash", "block_number", "event_type")
 
 
@@ -241,6 +262,49 @@ def rescan_ingest(s, d):
     return jobs.rescan_ingest(fx.missing(s, d).filter("status = 'pending'"), raw.evm(s, d), "evm", raw.chain())[1].select("block_number", "tx_hash", "value")
 
 
+# The same as jobs that are broken off and go on
+
+
+DONE = """spans AS (SELECT DISTINCT chain_id, unnest(range(from_block, to_block + 1)) AS h FROM missing WHERE status = 'pending'),
+    first AS (SELECT m.id, min(h) FILTER (WHERE b.block_number IS NULL) AS absent FROM missing m JOIN spans s ON s.chain_id = m.chain_id AND h BETWEEN from_block AND to_block LEFT JOIN blocks b ON b.chain_id = s.chain_id AND b.block_number = h WHERE m.status = 'pending' GROUP BY 1)"""
+
+
+@more(DONE, "SELECT m.id, CASE WHEN m.status = 'pending' AND absent IS NULL THEN 'completed' ELSE m.status END AS status FROM missing m LEFT JOIN first USING (id)", "blocks", "missing")
+def backfill_job(s, d):
+    """The queue after a backfill that was broken off after its first unit and run again; ranges with an absent height stay pending."""
+    at = _folder(s)
+    landed = _kept(raw.evm(s, d), f"{at}/raw")
+    half = fx.missing(s, d).filter("status = 'pending'").count() // 2 + 1
+    run = lambda most: jobs.ingest_ranges(fx.missing(s, d), landed, "evm", raw.chain(), f"{at}/out", NOW, fx.wallets(s, d), per_unit=half, chunk=1, most_units=most)
+    run(1)
+    return run(None).select("id", "status")
+
+
+# streams that keep what is near the head
+
+
+@query("SELECT chain_id, head FROM heads", "heads")
+def chain_head_stream(s, d):
+    """Heads over a stream in two triggers, the upper blocks first; the last version of each chain."""
+    at, b = _folder(s), fx.blocks(s, d).select("chain_id", "block_number")
+    for part in (b.filter("block_number % 2 = 0"), b.filter("block_number % 2 = 1")):
+        part.write.mode("append").parquet(f"{at}/in")
+        jobs.head_stream(s.readStream.schema(b.schema).parquet(f"{at}/in"), f"{at}/out", f"{at}/state").awaitTermination()
+    return s.read.parquet(f"{at}/out").groupBy("chain_id").agg(F.max_by("head", "epoch").alias("head"))
+
+
+@query("SELECT chain_id, block_number, block_hash FROM blocks JOIN heads USING (chain_id) WHERE block_number >= head - 100", "heads")
+def recent_buffer_stream(s, d):
+    """The buffer over a stream in two triggers."""
+    at, b = _folder(s), fx.blocks(s, d).select("chain_id", "block_number", "block_hash")
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for part in (b.filter("block_number % 3 = 0"), b.filter("block_number % 3 > 0")):
+        part.write.mode("append").parquet(f"{at}/in")
+        changes = jobs.recent_stream(s.readStream.schema(b.schema).parquet(f"{at}/in"))
+        changes.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return jobs.recent_now(s.read.parquet(f"{at}/out")).select("chain_id", "block_number", "block_hash")
+
+
 # 2.9 failures
 
 CLASS = "CASE WHEN contains({0}, '-32700') OR contains({0}, '-32600') OR contains({0}, '-32601') OR contains({0}, '-32602') THEN 'fatal' WHEN regexp_matches(lower({0}), '429|403|too many requests|forbidden|quota|plan limit|unauthorized|rate limit|count exceeded') THEN 'failover' ELSE 'retry' END"
@@ -367,34 +431,50 @@ def _alert(limit: int, seconds: int) -> str:
     return f"SELECT chain_id, ts, lag FROM (SELECT *, min(lag) OVER (PARTITION BY chain_id ORDER BY ts RANGE BETWEEN {seconds} PRECEDING AND CURRENT ROW) > {limit} AND min(ts) OVER (PARTITION BY chain_id) <= ts - {seconds} AS fire FROM samples) WHERE fire"
 
 
-@more(SAMPLES, _alert(100, 3600), "rpc_calls")
+@more(SAMPLES, _alert(100, 300), "rpc_calls")
 def alert_lag(s, d):
-    return telemetry.alert_lag(_samples(s, d), 100, 3600)
+    return telemetry.alert_lag(_samples(s, d), 100, 300)
 
 
-@more(SAMPLES, _alert(1000, 1800), "rpc_calls")
+@more(SAMPLES, _alert(1000, 120), "rpc_calls")
 def alert_critical_lag(s, d):
-    return telemetry.alert_lag(_samples(s, d), 1000, 1800)
+    return telemetry.alert_lag(_samples(s, d), 1000, 120)
 
 
-@query("SELECT chain_id, window_end, count(*) AS n_calls, count(*) FILTER (WHERE NOT ok) AS n_errors FROM (SELECT *, ts - ts % 60 + 60 + unnest(range(5)) * 60 AS window_end FROM rpc_calls) GROUP BY ALL HAVING count(*) FILTER (WHERE NOT ok) * 100 > count(*) * 10", "rpc_calls")
+def _states(true: str, labels: str, step: int, hold: int) -> str:
+    """Alerts from the evaluations at which a condition is met: stretches of consecutive steps."""
+    return f"SELECT {labels}, min(window_end) AS pending_at, CASE WHEN max(window_end) - min(window_end) >= {hold} THEN min(window_end) + {hold} END AS firing_at, max(window_end) + {step} AS resolved_at FROM (SELECT *, window_end // {step} - row_number() OVER (PARTITION BY {labels} ORDER BY window_end) AS island FROM ({true})) GROUP BY {labels}, island"
+
+
+@query(_states("SELECT chain_id, provider, window_end FROM (SELECT *, ts - ts % 60 + 60 + unnest(range(5)) * 60 AS window_end FROM rpc_calls) GROUP BY ALL HAVING count(*) FILTER (WHERE NOT ok) * 100 > count(*) * 10", "chain_id, provider", 60, 300), "rpc_calls")
 def alert_error_rate(s, d):
+    """The rule's own figures: over a tenth of the calls in 5 minutes, held for 5, of each provider and chain."""
     return telemetry.alert_error_rate(fx.rpc_calls(s, d))
 
 
-def _alert_reorgs(steps: int, limit: int) -> str:
-    return f"SELECT chain_id, window_end, count(*) AS n_reorgs FROM (SELECT *, ts - ts % 600 + 600 + unnest(range({steps})) * 600 AS window_end FROM transition_log WHERE to_state = 'reorg') GROUP BY ALL HAVING count(*) > {limit}"
+#: The log's month in 43 minutes: as many reorganisations as the rules' own limits are made for.
+FAST = 1000
+
+
+def _reorgs(s, d):
+    return fx.transition_log(s, d).filter("to_state = 'reorg'").selectExpr("chain_id", f"ts div {FAST} AS ts")
+
+
+def _alert_reorgs(seconds: int, limit: float, hold: int) -> str:
+    true = f"SELECT chain_id, window_end FROM (SELECT chain_id, t - t % 60 + 60 + unnest(range({seconds // 60})) * 60 AS window_end FROM (SELECT chain_id, ts // {FAST} AS t FROM transition_log WHERE to_state = 'reorg')) GROUP BY ALL HAVING count(*) > {limit}"
+    return _states(true, "chain_id", 60, hold)
 
 
-@query(_alert_reorgs(6, 1), "transition_log")
+@query(_alert_reorgs(3600, 5, 0), "transition_log")
 def alert_reorgs(s, d):
-    return telemetry.alert_reorgs(fx.transition_log(s, d).filter("to_state = 'reorg'"), limit=1)
+    """More than five in an hour."""
+    return telemetry.alert_reorgs(_reorgs(s, d))
 
 
-@query(_alert_reorgs(3, 0), "transition_log")
+@query(_alert_reorgs(1800, 180, 600), "transition_log")
 def alert_reorg_rate(s, d):
-    """The form over 30 minutes: any reorganisation."""
-    return telemetry.alert_reorgs(fx.transition_log(s, d).filter("to_state = 'reorg'"), seconds=1800, limit=0)
+    """The rule over 30 minutes: 0.1 a second, held for 10 minutes."""
+    return telemetry.alert_reorg_rate(_reorgs(s, d))
 
 
 USAGE = "usage AS (SELECT provider, ts // 86400 AS day, count(*) AS used, any_value(daily_limit) AS daily_limit, CASE WHEN any_value(daily_limit) = 0 THEN 999999 ELSE greatest(any_value(daily_limit) - count(*), 0) END AS remaining, CASE WHEN any_value(daily_limit) = 0 THEN 0.0 ELSE round(count(*) * 100.0::DOUBLE / any_value(daily_limit), 4) END AS percent FROM rpc_calls JOIN provider_policy USING (provider) GROUP BY 1, 2)"

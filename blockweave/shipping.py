@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 _own: dict[str, str] = {}
@@ -37,3 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _own:
         _own[app] = f"file://{tempfile.mkdtemp(prefix='blockweave-')}"
     return _own[app]
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """A table written to the shared folder and read again, so that it is computed once and plans start from it, and its folder."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path

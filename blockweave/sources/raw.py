@@ -1,4 +1,4 @@
-"""Raw payloads of the four chain families, with explicit schemas, and the sinks of a unit of work."""
+"""Raw payloads of the four chain families, with explicit schemas."""
 
 from __future__ import annotations
 
@@ -43,31 +43,3 @@ def with_sequence(sui: DataFrame, cursor: int) -> DataFrame:
     """Checkpoints with sequence 0 or none take the cursor's; has_block tells those with a digest, the others only move the head."""
     number = F.coalesce(F.nullif(F.col("sequence_number"), F.lit(0).cast("long")), F.lit(cursor).cast("long"))
     return sui.withColumn("sequence_number", number).withColumn("has_block", F.coalesce(F.col("digest") != "", F.lit(False)))
-
-
-def write_unit(blocks: DataFrame, txs: DataFrame, cursors: DataFrame, path: str, epoch: int, **others: DataFrame) -> None:
-    """Write a unit's tables under an epoch of its own; the manifest comes last, so readers see all of it or nothing.
-
-    A repeated epoch overwrites itself, so a replayed micro-batch does no harm.
-    """
-    for name, df in {"blocks": blocks, "transactions": txs, "cursors": cursors, **others}.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}/epoch={epoch}")
-    cursors.sparkSession.range(1).select(F.lit(epoch).cast("long").alias("epoch")).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/unit={epoch}")
-
-
-def read_units(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A table over all committed units, however many."""
-    done = spark.read.parquet(f"{path}/manifest").select("epoch")
-    return spark.read.parquet(f"{path}/{name}").join(done, "epoch", "left_semi")
-
-
-def current(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Of rows that units wrote for the same key the latest, without the epoch."""
-    columns = [c for c in rows.columns if c not in (*key, "epoch")]
-    last = rows.groupBy(*key).agg(F.max_by(F.struct(*columns), "epoch").alias("_row"))
-    return last.select(*key, *(F.col(f"_row.{c}").alias(c) for c in columns)).select(*(c for c in rows.columns if c != "epoch"))
-
-
-def write_events(events: DataFrame, path: str, epoch: int) -> None:
-    """Events of one batch, single, many or reverted ones alike; a repeated epoch overwrites itself."""
-    events.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")

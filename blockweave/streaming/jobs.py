@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import flow, normalize, ranges, reorg, store, watch
+from ..operators.heights import BUCKET
 from ..operators.store import TX_KEY
-from ..shipping import ship
-from ..sources.raw import current, read_units, write_events, write_unit
+from ..shipping import shared_dir, ship, written
+from ..sources import tables, units
+from ..sources.units import current, read_units, write_events, write_unit
 
 EVENT = "chain_id string, block_number long, tx_hash string, kind string"
 BLOCK_KEY = ["chain_id", "block_number"]
@@ -20,6 +24,12 @@ BLOCK_KEY = ["chain_id", "block_number"]
 TX_KEYS = {"bitcoin": [*TX_KEY, "raw_data"]}
 BLOCKS = "chain_id string, block_number long, block_hash string, parent_hash string, block_timestamp long, status string, created_at long"
 TRANSACTIONS = ", ".join(f"{c} {normalize.KINDS.get(c, 'string')}" for c in normalize.TX_COLUMNS)
+#: The states of a cursor that blocks don't move.
+STOPPED = "state IN ('paused', 'reorg')"
+#: Stretches that have landed above a chain's cursor; states asked for; the epoch up to which a chain's held rows have been taken in.
+ISLANDS = "chain_id string, from_block long, block_number long, block_hash string"
+REQUESTS = "chain_id string, state string, at long"
+RELEASES = "chain_id string, since long"
 CURSORS = "chain_id string, block_number long, block_hash string, state string, created_at long, updated_at long"
 MATCHERS = {"evm": watch.watch_evm, "tron": watch.watch_tron, "bitcoin": watch.watch_btc, "sui": watch.watch_sui}
 #: Keys that a chain's waiting events are spread over.
@@ -83,95 +93,257 @@ def finality_stream(rows: DataFrame, depth: int, shards: int = SHARDS) -> DataFr
     return dealt.groupBy("chain_id", "shard").transformWithStateInPandas(Finality(depth), "chain_id string, block_number long, tx_hash string", "append", "none")
 
 
+class Recent(StatefulProcessor):
+    """Per chain: the blocks no more than depth under the head. A block that comes in or goes out is a row; the head never falls."""
+
+    def __init__(self, depth: int):
+        self.depth = depth
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getMapState("kept", "block_number long", "block_hash string")
+        self.head = handle.getValueState("head", "head long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        head = self.head.get()[0] if self.head.exists() else None
+        for pdf in rows:
+            before = head
+            head = int(pdf["block_number"].max()) if head is None else max(head, int(pdf["block_number"].max()))
+            out: list[tuple[int, str, str]] = []
+            if before is not None and head > before:  # what falls below the new floor lay within depth of the old head
+                for number in range(before - self.depth, min(before + 1, head - self.depth)):
+                    if self.kept.containsKey((number,)):
+                        out.append((number, self.kept.getValue((number,))[0], "out"))
+                        self.kept.removeKey((number,))
+            new = pdf[pdf["block_number"] >= head - self.depth].drop_duplicates("block_number", keep="last")
+            for number, hash_ in zip(new["block_number"].astype(int).tolist(), new["block_hash"].tolist(), strict=True):
+                k = (number,)
+                old = self.kept.getValue(k)[0] if self.kept.containsKey(k) else None
+                if old != hash_:
+                    if old is not None:
+                        out.append((number, old, "out"))
+                    out.append((number, hash_, "in"))
+                    self.kept.updateValue(k, (hash_,))
+            text = lambda x: pd.Series(x, dtype=object)
+            yield pd.DataFrame({"chain_id": text([key[0]] * len(out)), "block_number": pd.Series([n for n, _, _ in out], dtype="int64"), "block_hash": text([h for _, h, _ in out]), "change": text([c for _, _, c in out])})
+        if head is not None:
+            self.head.update((head,))
+
+    def close(self) -> None:
+        pass
+
+
+def recent_stream(blocks: DataFrame, depth: int = 100) -> DataFrame:
+    """A stream of blocks (chain_id, block_number, block_hash) -> (chain_id, block_number, block_hash, change: in or out).
+
+    What has come in and not gone out is the buffer: blocks no more than depth under their chain's head, a height's last hash. State
+    is depth + 1 blocks a chain. The session's state store provider must be RocksDB's.
+    """
+    ship(blocks.sparkSession)
+    rows = blocks.select("chain_id", "block_number", "block_hash").filter("chain_id IS NOT NULL AND block_number IS NOT NULL AND block_hash IS NOT NULL")
+    return rows.groupBy("chain_id").transformWithStateInPandas(Recent(depth), "chain_id string, block_number long, block_hash string, change string", "append", "none")
+
+
+def recent_now(changes: DataFrame) -> DataFrame:
+    """The buffer after all changes so far."""
+    net = changes.groupBy("chain_id", "block_number", "block_hash").agg(F.sum(F.when(F.col("change") == "in", 1).otherwise(-1)).alias("_n"))
+    return net.filter("_n > 0").drop("_n")
+
+
+def head_stream(blocks: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Heads of all chains as a table under path, a version an update (epoch, chain_id, head). The state never falls, whatever lands late."""
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        df.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{path}/version={epoch}")
+
+    return flow.chain_head(blocks).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _states(cursors: DataFrame, requests: DataFrame | None) -> DataFrame:
+    """Cursors in the state that was last requested of their chain, where the change is allowed; other requests have no effect."""
+    if requests is None:
+        return cursors
+    last = requests.groupBy("chain_id").agg(F.max_by("state", F.struct("at", "state")).alias("_want"))
+    ok = F.coalesce(flow.allowed(F.col("state"), F.col("_want")), F.lit(False))
+    return cursors.join(last, "chain_id", "left").withColumn("state", F.when(ok, F.col("_want")).otherwise(F.col("state"))).select(*cursors.columns)
+
+
+def _waiting(held: DataFrame, name: Column, releases: DataFrame) -> DataFrame:
+    """Held rows that haven't been taken in, with their chain in _chain."""
+    since = releases.select(F.col("chain_id").alias("_chain"), F.col("since").alias("_since"))
+    return held.withColumn("_chain", name).join(since, "_chain", "left").filter("_since IS NULL OR epoch > _since").drop("_since")
+
+
+def frontier(cursors: DataFrame, islands: DataFrame, landed: DataFrame, width: int = BUCKET) -> DataFrame:
+    """(chain_id, from_block, block_number, block_hash, reached) after blocks have landed: a row for each stretch without a hole, from
+    the cursor on. Cursors and landed blocks are (chain_id, block_number, block_hash), islands also have from_block.
+
+    A cursor is the height up to which all has landed, and islands are what has landed above it. A cursor goes on as far as the
+    stretch that it is in or next to, which is the one with reached, so it never passes a hole and never falls.
+    """
+    ends = landed.select("chain_id", F.col("block_number").alias("from_block"), "block_number", "block_hash", F.lit(1).alias("_rank"))
+    ends = ends.unionByName(islands.select("chain_id", "from_block", "block_number", "block_hash", F.lit(2).alias("_rank")))
+    ends = ends.unionByName(cursors.select("chain_id", F.col("block_number").alias("from_block"), "block_number", "block_hash", F.lit(3).alias("_rank")))
+    spans = ranges.merge_ranges(ends.select("chain_id", "from_block", F.col("block_number").alias("to_block")), width).withColumnRenamed("to_block", "block_number")
+    whole = spans.join(cursors.select("chain_id", F.col("block_number").alias("_at")), "chain_id").filter("block_number >= _at")
+    hashed = whole.join(ends.select("chain_id", "block_number", "block_hash", "_rank"), ["chain_id", "block_number"]).groupBy("chain_id", "from_block", "block_number", "_at")
+    out = hashed.agg(F.min_by("block_hash", F.struct("_rank", "block_hash")).alias("block_hash"))
+    return out.select("chain_id", "from_block", "block_number", "block_hash", (F.col("from_block") <= F.col("_at")).alias("reached"))
+
+
+def holes(cursors: DataFrame, islands: DataFrame) -> DataFrame:
+    """(chain_id, from_block, to_block): what is missing between a chain's cursor and its islands."""
+    before = F.lag("block_number").over(W.partitionBy("chain_id").orderBy("block_number"))  # a row for each island
+    spans = islands.select("chain_id", "from_block", "block_number").unionByName(cursors.select("chain_id", F.col("block_number").alias("from_block"), "block_number"))
+    return spans.withColumn("_before", before).filter("_before IS NOT NULL").selectExpr("chain_id", "_before + 1 AS from_block", "from_block - 1 AS to_block")
+
+
 def index_batch(
     raw: DataFrame, family: str, chain: str | Column, wallets: DataFrame, blocks: DataFrame, txs: DataFrame, cursors: DataFrame, receipts: DataFrame | None = None, jump: int = 0, prefilter: bool = False, max_depth: int = 100,
-) -> dict[str, DataFrame | list[DataFrame]]:
-    """One batch of raw blocks through the live steps, over stored blocks and transactions (current rows only) and cursors.
-
-    A chain whose landed head is more than jump above its cursor jumps there: the heights between are queued in missing, and
-    its blocks wait for the backfill. The least block of a chain whose parent isn't the one that is stored or landed below it
-    is a reorganisation: stored blocks above the safe one are orphaned, their transactions invalid and their events reverted, the
-    cursor goes back, and blocks above the safe one wait until they land again. A chain with a reorganisation that is too deep
-    stays as it is below it. Other blocks are normalised, kept if they touch the watch-list (with prefilter only in blocks of which
-    a sender or recipient does), enriched from receipts and turned into events. held: what is persisted until all has been written.
+    islands: DataFrame | None = None, heads: DataFrame | None = None, behind: int | None = None, requests: DataFrame | None = None,
+) -> dict[str, DataFrame | str]:
+    """One batch of raw blocks through the live steps, over stored blocks and transactions (current rows only), cursors and islands.
+
+    requests (chain_id, state, at) change a chain's state. Raw rows of a chain that is paused or in reorganisation go to held and
+    change nothing else. Rows without a height or a hash go to failures. A chain without a cursor starts below its least
+    block, or behind blocks under its head, and what is below its start is left to the backfill.
+
+    A chain whose head (of heads, or else of the batch) is more than jump above its cursor jumps there: the heights between are
+    queued in missing, and its blocks up to there wait for the backfill. The least block of a chain whose parent isn't the
+    one that is stored or landed below it is a reorganisation: stored blocks above the safe one are orphaned, their transactions
+    invalid and their events reverted, the cursor goes back, and blocks above the safe one wait until they land again. A
+    chain with a reorganisation that is too deep stays as it is below it. Other blocks are normalised, kept if they touch the
+    watch-list (with prefilter only in blocks of which a sender or recipient does), enriched from receipts and turned into events.
+
+    Blocks above a hole are indexed, and their heights are held as islands; the cursor waits at the hole, which is queued in
+    missing when it is first seen. work: a folder that the frames read from, to be deleted when all has been written.
     """
+    spark = raw.sparkSession
+    work = f"{shared_dir(spark)}/batch-{uuid.uuid4().hex}"
+
+    def cut(df: DataFrame, name: str) -> DataFrame:
+        """Written and read again: computed once, and later plans start from here."""
+        df.write.parquet(f"{work}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
+    islands = spark.createDataFrame([], ISLANDS) if islands is None else islands
+    cursors = cut(_states(cursors, requests), "cursors")
+    name = F.lit(chain) if isinstance(chain, str) else chain
+    stopped = cursors.filter(STOPPED).select(F.col("chain_id").alias("_stopped"))
+    keyed, same = raw.withColumn("_of", name), F.col("_of") == F.col("_stopped")
+    wait, raw = keyed.join(stopped, same, "left_semi").drop("_of"), keyed.join(stopped, same, "left_anti").drop("_of")
+
     to_blocks, to_txs = normalize.NORMALIZERS[family]
-    new = to_blocks(raw, chain).withColumn("created_at", F.col("block_timestamp"))
-    new = new.groupBy(*BLOCK_KEY).agg(F.max_by(F.struct(*(c for c in new.columns if c not in BLOCK_KEY)), F.struct("block_timestamp", "block_hash")).alias("b")).select(*BLOCK_KEY, "b.*")
-    heads = new.groupBy("chain_id").agg(F.max("block_number").alias("head"))
-    missing, jumped = ranges.gap_jump(cursors, heads, jump)
-    if jump:
-        new = new.join(jumped.select("chain_id"), "chain_id", "left_anti")
-    new = new.persist()
+    seen = to_blocks(raw, chain).withColumn("created_at", F.col("block_timestamp"))
+    whole = F.col("chain_id").isNotNull() & F.col("block_number").isNotNull() & F.coalesce(F.col("block_hash") != "", F.lit(False))
+    failures = seen.filter(~whole).select("chain_id", "block_number", F.lit("block without height or hash").alias("error_msg"))
+    new = seen.filter(whole)
+    new = cut(new.groupBy(*BLOCK_KEY).agg(F.max_by(F.struct(*(c for c in new.columns if c not in BLOCK_KEY)), F.struct("block_timestamp", "block_hash")).alias("b")).select(*BLOCK_KEY, "b.*"), "new")
+
+    least = new.groupBy("chain_id").agg(F.min("block_number").alias("_least"), F.max("block_number").alias("_top"))
+    first = least.join(cursors.select("chain_id"), "chain_id", "left_anti")
+    if behind is None:
+        started = first.select("chain_id", (F.col("_least") - 1).alias("block_number"), F.lit("").alias("block_hash"))
+    else:
+        known_heads = first.select("chain_id", F.col("_top").alias("head")) if heads is None else heads.join(first.select("chain_id"), "chain_id", "left_semi")
+        started = flow.cursor_init(cursors, known_heads, behind).select("chain_id", "block_number", "block_hash")
+    heads = least.select("chain_id", F.col("_top").alias("head")) if heads is None else heads
+    missing, jumped = ranges.gap_jump(cursors.filter(f"NOT {STOPPED}"), heads, jump)
+    if jump or behind is not None:
+        started, jumped = cut(started, "started"), cut(jumped, "jumped")
+        floor = jumped if behind is None else jumped.unionByName(started)
+        new = cut(new.join(floor.select("chain_id", F.col("block_number").alias("_floor")), "chain_id", "left").filter("_floor IS NULL OR block_number > _floor").drop("_floor"), "above")
+    start = cut(cursors.select("chain_id", "block_number", "block_hash").join(jumped.select("chain_id"), "chain_id", "left_anti").unionByName(jumped).unionByName(started), "start")
 
     links = ["chain_id", "block_number", "block_hash", "parent_hash"]
-    known = new.select(*links).unionByName(blocks.select(*links).join(new.select(*BLOCK_KEY), BLOCK_KEY, "left_anti")).persist()
-    mismatches = reorg.check_parent_hash(new, known).filter("verdict = 'mismatch'").groupBy("chain_id").agg(F.min("block_number").alias("block_number")).persist()
+    known = new.select(*links).unionByName(blocks.select(*links).join(new.select(*BLOCK_KEY), BLOCK_KEY, "left_anti"))
+    mismatches = cut(reorg.check_parent_hash(new, known).filter("verdict = 'mismatch'").groupBy("chain_id").agg(F.min("block_number").alias("block_number")), "mismatches")
     forked = not mismatches.isEmpty()  # most batches have no reorganisation, and their plans stay short
-    reorgs = reorg.safe_point(mismatches, known.join(mismatches.select("chain_id"), "chain_id", "left_semi"), max_depth).persist() if forked else None
     accepted = new
     if forked:
+        reorgs = cut(reorg.safe_point(mismatches, known.join(mismatches.select("chain_id"), "chain_id", "left_semi"), max_depth), "reorgs")
         limit = reorgs.select("chain_id", F.when(F.col("too_deep"), F.col("block_number") - 1).otherwise(F.col("safe_block")).alias("_limit"))
-        accepted = new.join(limit, "chain_id", "left").filter("_limit IS NULL OR block_number <= _limit").drop("_limit").persist()
+        accepted = cut(new.join(limit, "chain_id", "left").filter("_limit IS NULL OR block_number <= _limit").drop("_limit"), "accepted")
 
     found = to_txs(raw, chain).select(*normalize.TX_COLUMNS).join(accepted.select(*BLOCK_KEY, "block_hash"), [*BLOCK_KEY, "block_hash"], "left_semi").select(*normalize.TX_COLUMNS)
     if prefilter:
+        found = cut(found, "found")
         found = found.join(watch.relevant_blocks(found, wallets).filter("relevant"), BLOCK_KEY, "left_semi")
     matched = MATCHERS[family](found, wallets)
     if receipts is not None:
         matched = normalize.evm_enrich(matched, receipts) if family == "evm" else normalize.tron_enrich(matched, receipts)
-    matched = matched.select(*normalize.TX_COLUMNS).persist()
-    reached = accepted.groupBy("chain_id").agg(F.max_by(F.struct("block_number", "block_hash"), "block_number").alias("b")).select("chain_id", "b.block_number", "b.block_hash")
+    matched = cut(matched.select(*normalize.TX_COLUMNS), "matched")
     out = {"blocks": accepted.withColumn("status", F.lit("processed")), "transactions": matched, "events": flow.to_events(matched)}
     if forked:
         back = reorgs.filter("NOT too_deep")
         stored = blocks.join(accepted.select(*BLOCK_KEY), BLOCK_KEY, "left_anti")
         rolled, undone, _, _ = reorg.reorg_rollback(back, stored, txs.join(accepted.select(*BLOCK_KEY), BLOCK_KEY, "left_anti"), cursors)
-        undone = undone.filter("status = 'invalid'").select(*matched.columns).persist()
+        undone = cut(undone.filter("status = 'invalid'").select(*matched.columns), "undone")
         nothing = lambda c: F.lit(None).cast("string").alias(c)
         reverted = undone.select("chain_id", "block_number", "tx_hash", F.lit("transaction_reverted").alias("event_type"), nothing("from_address"), nothing("to_address"), F.create_map(F.lit("reason"), F.lit("blockchain_reorganization")).alias("metadata"))
-        safe = back.select("chain_id", F.col("safe_block").alias("block_number"), F.col("safe_hash").alias("block_hash"))
-        reached = reached.join(safe, "chain_id", "left_anti").unionByName(safe)
         out["blocks"] = out["blocks"].unionByName(rolled.filter("status = 'orphaned'").select(*out["blocks"].columns))
         out["transactions"] = matched.unionByName(undone)
         out["events"] = out["events"].unionByName(reverted)
         out["reorgs"] = reorgs
-    if jump:
-        reached = reached.unionByName(jumped)
-        out["missing"] = missing
-    held = [new, known, mismatches, matched, *([reorgs, accepted, undone] if forked else [])]
-    return out | {"cursors": store.upsert_cursor(cursors, reached, "block"), "held": held}
+        safe = back.groupBy("chain_id").agg(F.min(F.struct("safe_block", "safe_hash")).alias("_safe"))
+        over = F.coalesce(F.col("block_number") > F.col("_safe.safe_block"), F.lit(False))
+        under = lambda df: df.join(safe, "chain_id", "left").withColumns({"block_hash": F.when(over, F.col("_safe.safe_hash")).otherwise(F.col("block_hash")), "block_number": F.when(over, F.col("_safe.safe_block")).otherwise(F.col("block_number"))}).drop("_safe")
+        start, islands = cut(under(start), "back"), cut(under(islands).filter("from_block <= block_number"), "islands")
+    stretches = cut(frontier(start, islands, accepted), "stretches")
+    moved, ahead = stretches.filter("reached").select("chain_id", "block_number", "block_hash"), stretches.filter("NOT reached").drop("reached")
+    top = islands.select("chain_id", "block_number").unionByName(start.select("chain_id", "block_number")).groupBy("chain_id").agg(F.max("block_number").alias("_top"))
+    found_holes = holes(moved, ahead).join(top, "chain_id").filter("from_block > _top").drop("_top")
+    out |= {"missing": missing.unionByName(found_holes), "failures": failures, "held": wait, "islands": ahead}
+    out["cursors"] = store.upsert_cursor(cursors, moved, "block")
+    return out | {"work": work}
+
+
+def request_state(spark: SparkSession, path: str, chain: str, state: str, at: int) -> None:
+    """Ask a live job to take a chain into a state with its next batch: paused, or scanning to go on. The last request by time counts."""
+    spark.createDataFrame([(chain, state, at)], REQUESTS).coalesce(1).write.mode("append").parquet(f"{path}/requests")
 
 
 def live_index(
-    raw: DataFrame, family: str, chain: str | Column, wallets: DataFrame, path: str, checkpoint: str, receipts: DataFrame | None = None, jump: int = 0, prefilter: bool = False, max_depth: int = 100,
+    raw: DataFrame, family: str, chain: str | Column, wallets: DataFrame, path: str, checkpoint: str, receipts: DataFrame | None = None, jump: int = 0, prefilter: bool = False, max_depth: int = 100, heads: DataFrame | None = None, behind: int | None = None, fold_every: int = 100,
 ) -> StreamingQuery:
-    """The job over a stream of raw blocks: every micro-batch is one unit of work, and a replayed one overwrites itself.
+    """The job over a stream of raw blocks: every micro-batch is one unit of work, and a batch that has been committed isn't done again.
 
-    Of what is stored a batch reads the heights from max_depth under its least block to its greatest, by a range that reaches the
-    scan, and the cursors of the unit before. current() over read_units() gives the table of blocks or transactions.
+    Of what is stored a batch reads the heights from max_depth under its least block to its greatest: those units and buckets
+    whose range meets them, and cursors, islands and releases as the last unit left them. Every batch writes a unit, an empty one
+    too. Rows of a paused chain are held, and the first batch after it goes on takes them in. Every fold_every units are folded.
+    current() over read_units() gives the table of blocks or transactions.
     """
+    keys = {"transactions": TX_KEYS.get(family, TX_KEY)}
 
     def batch(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
+        done = units.Units(spark, path)
+        if done.has(epoch):
+            return
+        empty = lambda schema: spark.createDataFrame([], schema)
+        last = lambda name, schema: done.last(name) if done.latest >= 0 else empty(schema)
+        cursors, islands, releases = last("cursors", CURSORS), last("islands", ISLANDS), last("releases", RELEASES)
+        requests = spark.read.schema(REQUESTS).parquet(f"{path}/requests") if tables.exists(spark, f"{path}/requests") else None
+        cursors = _states(cursors, requests)
+        name = F.lit(chain) if isinstance(chain, str) else chain
+        if done.rows("held"):
+            going = cursors.filter(f"NOT {STOPPED}").select(F.col("chain_id").alias("_chain"))
+            df = df.unionByName(_waiting(done.table("held"), name, releases).join(going, "_chain", "left_semi").select(*df.columns))
+            releases = releases.join(going, F.col("chain_id") == F.col("_chain"), "left_anti").unionByName(going.select(F.col("_chain").alias("chain_id"), F.lit(epoch).cast("long").alias("since")))
         df = df.persist()
         lo, hi = normalize.NORMALIZERS[family][0](df, chain).agg(F.min("block_number"), F.max("block_number")).first()
-        if lo is not None:
-            near = lambda name, key: current(read_units(spark, path, name).filter(F.col("block_number").between(lo - max_depth - 1, hi) & (F.col("epoch") < epoch)), key)
-            if epoch > 0:
-                blocks, txs = near("blocks", BLOCK_KEY).filter("status = 'processed'"), near("transactions", TX_KEYS.get(family, TX_KEY)).filter("status <> 'invalid'")
-                cursors = read_units(spark, path, "cursors").filter(F.col("epoch") == epoch - 1).drop("epoch")
-            else:
-                blocks = spark.createDataFrame([], BLOCKS)
-                txs, cursors = spark.createDataFrame([], TRANSACTIONS), spark.createDataFrame([], CURSORS)
-            blocks, cursors = blocks.persist(), cursors.persist()
-            done = index_batch(df, family, chain, wallets, blocks, txs, cursors.withColumn("updated_at", F.lit(epoch).cast("long")), receipts, jump, prefilter, max_depth)
-            write_events(done["events"], f"{path}/events", epoch)
-            others = {name: done[name] for name in ("missing", "reorgs") if name in done}
-            write_unit(done["blocks"], done["transactions"], done["cursors"], path, epoch, **others)
-            for held in [blocks, cursors, *done["held"]]:
-                held.unpersist()
+        if lo is not None and done.latest >= 0:
+            near = lambda name, key: current(done.table(name, lo - max_depth - 1, hi), key)
+            blocks, txs = near("blocks", BLOCK_KEY).filter("status = 'processed'"), near("transactions", keys["transactions"]).filter("status <> 'invalid'")
+        else:
+            blocks, txs = empty(BLOCKS), empty(TRANSACTIONS)
+        out = index_batch(df, family, chain, wallets, blocks, txs, cursors.withColumn("updated_at", F.lit(epoch).cast("long")), receipts, jump, prefilter, max_depth, islands, heads, behind)
+        write_events(out["events"], f"{path}/events", epoch)
+        others = {name: out[name] for name in ("missing", "reorgs", "failures", "held", "islands") if name in out}
+        write_unit(out["blocks"], out["transactions"], out["cursors"], path, epoch, releases=releases, **others)
+        tables.delete(spark, out["work"])
         df.unpersist()
+        if epoch % fold_every == fold_every - 1:
+            units.fold(spark, path, keys, {"held": lambda rows: _waiting(rows, name, units.Units(spark, path).last("releases")).drop("_chain")})
 
     return raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -189,3 +361,76 @@ def rescan_ingest(ranges: DataFrame, raw: DataFrame, family: str, chain: str | C
     blocks = to_blocks(raw, chain)
     hit = store.spans_hit(blocks, wanted)
     return blocks.join(hit, BLOCK_KEY, "left_semi"), to_txs(raw, chain).select(*normalize.TX_COLUMNS).join(hit, BLOCK_KEY, "left_semi")
+
+
+#: Heights of a chunk of a range, and attempts after which a range is given up.
+CHUNK, MOST_ATTEMPTS = 100, 3
+PROGRESS = "chain_id string, from_block long, to_block long, done long, attempts int"
+
+
+def _overlapping(ranges_: DataFrame, spans: DataFrame, width: int = 10_000) -> DataFrame:
+    """ids of ranges (id, chain_id, from_block, to_block) that overlap a span (chain_id, lo, hi, attempts), with the most attempts."""
+    a = ranges_.select("id", "chain_id", "from_block", "to_block", F.explode(F.sequence(F.expr(f"from_block div {width}"), F.expr(f"to_block div {width}"))).alias("_b"))
+    b = spans.select("chain_id", "lo", "hi", "attempts", F.explode(F.sequence(F.expr(f"lo div {width}"), F.expr(f"hi div {width}"))).alias("_b"))
+    return a.join(b, ["chain_id", "_b"]).filter("from_block <= hi AND lo <= to_block").groupBy("id").agg(F.max("attempts").alias("attempts"))
+
+
+def ingest_ranges(queue: DataFrame, raw: DataFrame, family: str, chain: str | Column, path: str, now: int, wallets: DataFrame | None = None, per_unit: int = 1000, chunk: int = CHUNK, most_units: int | None = None) -> DataFrame:
+    """The queue after its pending ranges have been worked on, as a job that can be broken off at any time and goes on where it was.
+
+    Ranges are merged and cut into chunks; per_unit chunks, the lowest first, are one unit of work under path: their blocks, their
+    transactions (with wallets those that touch the watch-list) and how far each chunk has come, committed together. A chunk ends
+    before its first height that isn't there, and the next run tries again from that height. A range is completed when all of
+    its heights are done, failed when one of its chunks has been tried MOST_ATTEMPTS times, and else it stays pending. A run
+    tries each chunk once, and ends after most_units units if given.
+    """
+    spark = queue.sparkSession
+    pending = queue.filter("status = 'pending' AND from_block <= to_block")
+    done = units.Units(spark, path)
+    began = done.latest + 1
+    key = ["chain_id", "from_block", "to_block"]
+    empty = spark.createDataFrame([], f"{PROGRESS}, epoch long")
+
+    def progress() -> DataFrame:
+        rows = units.Units(spark, path).table("progress")
+        return empty if rows is None else rows
+
+    # What earlier runs have done goes; what is left is cut into chunks, with the attempts at the heights that weren't there.
+    earlier, heights = progress(), ranges.expand_ranges(ranges.merge_ranges(pending))
+    gone = store.spans_hit(heights, earlier.selectExpr("chain_id", "from_block AS lo", "done AS hi"))
+    rest = heights.join(gone, BLOCK_KEY, "left_anti").selectExpr("chain_id", "block_number AS from_block", "block_number AS to_block")
+    cut = ranges.split_ranges(ranges.merge_ranges(rest), chunk)
+    tried = earlier.filter("done < to_block").groupBy("chain_id", (F.col("done") + 1).alias("_at")).agg(F.max("attempts").alias("attempts"))
+    tried = cut.select(*key, F.explode(F.sequence("from_block", "to_block")).alias("_at")).join(tried, ["chain_id", "_at"]).groupBy(*key).agg(F.max("attempts").alias("before"))
+    chunks, work = written(cut.join(tried, key, "left").select(*key, F.coalesce("before", F.lit(0)).alias("before")), "chunks")
+
+    def left() -> DataFrame:
+        """Chunks that aren't done, with how far they are, their attempts, and the unit of this run that tried them."""
+        own = units.latest_rows(progress().filter(F.col("epoch") >= began), key)
+        return chunks.join(own, key, "left").withColumns({"done": F.coalesce("done", F.col("from_block") - 1), "attempts": F.coalesce("attempts", "before")}).filter("done < to_block")
+
+    epoch = began
+    while most_units is None or epoch < began + most_units:
+        todo, at = written(left().filter(F.col("epoch").isNull() & (F.col("attempts") < MOST_ATTEMPTS)).drop("epoch").orderBy("chain_id", "from_block").limit(per_unit), "todo")
+        if todo.isEmpty():
+            tables.delete(spark, at)
+            break
+        wanted = todo.select("chain_id", (F.col("done") + 1).alias("from_block"), "to_block")
+        blocks, txs = rescan_ingest(wanted, raw, family, chain)
+        blocks, at_blocks = written(blocks.filter(F.coalesce(F.col("block_hash") != "", F.lit(False))), "landed")
+        spread = todo.select(*key, "attempts", F.explode(F.sequence(F.col("done") + 1, "to_block")).alias("block_number"))
+        absent = spread.join(blocks.select(*BLOCK_KEY), BLOCK_KEY, "left_anti").groupBy(*key).agg((F.min("block_number") - 1).alias("upto"))
+        after, at_after = written(todo.select(*key, "attempts").join(absent, key, "left").select(*key, F.coalesce("upto", "to_block").alias("done"), (F.col("attempts") + 1).cast("int").alias("attempts")), "after")
+        reached = spread.join(after.select(*key, F.col("done").alias("_done")), key).filter("block_number <= _done").select(*BLOCK_KEY)
+        txs = txs.join(reached, BLOCK_KEY, "left_semi")
+        write_unit(blocks.join(reached, BLOCK_KEY, "left_semi").withColumn("created_at", F.lit(now).cast("long")), MATCHERS[family](txs, wallets) if wallets is not None else txs, spark.createDataFrame([], CURSORS), path, epoch, progress=after)
+        for folder in (at, at_blocks, at_after):
+            tables.delete(spark, folder)
+        epoch += 1
+
+    open_spans = left().select("chain_id", (F.col("done") + 1).alias("lo"), F.col("to_block").alias("hi"), "attempts")
+    still = _overlapping(pending, open_spans)
+    changes = pending.select("id").join(still, "id", "left").select("id", F.when(F.col("attempts").isNull(), "completed").when(F.col("attempts") >= MOST_ATTEMPTS, "failed").alias("new_status"), F.when(F.col("attempts") >= MOST_ATTEMPTS, "max retries exceeded").alias("new_error"))
+    out, _ = written(ranges.mark_ranges(queue, changes.filter("new_status IS NOT NULL"), now), "queue")
+    tables.delete(spark, work)
+    return out
