@@ -105,7 +105,8 @@ def _changes(x: np.ndarray) -> np.ndarray:
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    """By the uppermost bits, which tell what isn't posted: from 256 buckets on, a bucket and a posted hash are all 64 bits."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _short(hashes: np.ndarray) -> bytes:

@@ -89,13 +89,14 @@ def scan(docs: DataFrame, path: str = "doc_id", ledger: DataFrame | None = None,
     scanned with the rules it lacks, once however many paths have it. The entries are written to the shared folder, and findings
     are read from there and the ledger and joined back to the paths, so a text of very many paths is no large group of the scan's.
     Very long texts are scanned whole. Rows with a null path or repeated rows are reported each. Other columns, whatever their
-    names, are ignored. An empty table gives no rows.
+    names, are ignored. An empty table gives no rows. Entries that the ledger has several times, as after two runs at once, count once.
     """
     blobs = need(docs, path, "text").select(F.col(f"`{path}`").alias("path"), F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
     once = blobs.groupBy("blob").agg(F.any_value("text").alias("text"))
     if ledger is None:
         ledger, missing = empty_ledger(docs), once.withColumn("done", F.array().cast("array<string>"))
     else:
+        ledger = ledger.dropDuplicates(["blob", "rule", "version"])
         missing = once.join(ledger.groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", "version")).alias("done")), "blob", "left")
     lacks = lambda r: ~F.coalesce(F.array_contains("done", f"{r.kind}@{r.version}"), F.lit(False))
     entry = F.array(*(F.when(lacks(r), F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), spans(F.col("text"), r, i).alias("spans"))) for i, r in enumerate(rules)))
@@ -110,14 +111,19 @@ def scan(docs: DataFrame, path: str = "doc_id", ledger: DataFrame | None = None,
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs with every secret in text replaced by a mark, and n_chars, where there is such a column, counted anew.
 
-    A text without secrets stays as it is, null too; so do all rows and other columns.
+    A text without secrets stays as it is, null too; so do all rows and other columns, whatever their names. Very long texts are
+    redacted whole, rows that repeat each, and an empty table stays empty.
     """
+    named = lambda n: n if n not in docs.columns else named(f"_{n}")
+    blob, key, own = named("blob"), named("key"), named("spans")
     blobs = need(docs, "text").filter("text IS NOT NULL").withColumn("path", F.lit(0)).select("path", "text")
     paths, _ = scan(blobs, "path", None, rules)
-    found = paths.filter(F.size("spans") > 0).groupBy("blob").agg(F.any_value("spans").alias("spans")).withColumnsRenamed({"blob": "__blob", "spans": "__spans"})
-    joined = docs.join(found.hint("shuffle_hash"), F.sha2(docs["text"], 256) == F.col("__blob"), "left")
-    changed = F.col("__spans").isNotNull()
-    new = {"text": F.when(changed, redacted(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))}
+    found = paths.filter(F.size("spans") > 0).groupBy("blob").agg(F.any_value("spans").alias("spans")).withColumnsRenamed({"blob": blob, "spans": own})
+    # Null texts get a key each, so that they don't all meet in one task.
+    keyed = docs.withColumn(key, F.coalesce(F.sha2("text", 256), F.monotonically_increasing_id().cast("string")))
+    joined = keyed.join(found.hint("shuffle_hash"), F.col(key) == F.col(blob), "left")
+    changed = F.col(own).isNotNull()
+    new = {"text": F.when(changed, redacted(F.col("text"), F.col(own))).otherwise(F.col("text"))}
     out = joined.withColumns(new)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

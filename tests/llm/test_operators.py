@@ -223,6 +223,9 @@ def test_secret_ledger_is_incremental(spark):
     key = lambda df: sorted(repr((r["doc_id"], r["blob"], sorted(r["spans"]))) for r in df.collect())
     assert key(paths) == key(whole)
     assert secret_ledger.scan(new, ledger=entries.unionByName(added), rules=secret_ledger.BASE)[1].count() == 0
+    twice = entries.unionByName(added).unionByName(entries)  # two runs at once have appended the same pairs
+    paths, none = secret_ledger.scan(new, ledger=twice, rules=secret_ledger.BASE)
+    assert key(paths) == key(whole) and none.count() == 0
     newer = (*secret_ledger.BASE[:2], secret_ledger.Rule("hex", 2, "[0-9a-f]{24,}", 0, 24))
     assert {r["rule"] for r in secret_ledger.scan(new, ledger=entries.unionByName(added), rules=newer)[1].collect()} == {"hex"}
 
@@ -252,6 +255,23 @@ def test_redaction(spark):
     assert got == {(i, None if t is None else redacted(t), len(redacted(t or ""))) for i, t in SECRETS}
 
 
+def test_redaction_keeps_columns_of_any_name(spark):
+    rows = [("password = hunter22", 1, "b", "k"), (None, 2, "b", "k"), (None, 3, None, "k"), ("", 4, "b", "k"), ("clean", 5, "b", "k")]
+    docs = spark.createDataFrame(rows, "text string, spans long, blob string, key string")
+    got = secret_ledger.redact(docs)
+    assert got.columns == docs.columns and sorted((r["spans"], r["text"]) for r in got.collect()) == [(1, "[SECRET]"), (2, None), (3, None), (4, ""), (5, "clean")]
+
+
+def test_a_bucket_tells_what_a_posted_hash_lacks():
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 2**64, 20_000, np.uint64)
+    alike = h ^ (rng.integers(1, 256, 20_000).astype(np.uint64) << np.uint64(8 * repeats.POSTED))  # the same in all that is posted
+    assert repeats._short(h) == repeats._short(alike) and (repeats._long(repeats._short(h)) == h & np.uint64(2**56 - 1)).all()
+    for buckets in (256, 999, 1024, 2500):
+        b = repeats._bucket(h, buckets)
+        assert (b != repeats._bucket(alike, buckets)).all() and b.min() >= 0 and b.max() < buckets and len(set(b.tolist())) == buckets
+
+
 def test_decontamination(spark):
     random.seed(3)
     vocabulary = ["".join(random.choices("klmnopqr", k=random.randint(3, 7))) for _ in range(4000)]
