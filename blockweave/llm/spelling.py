@@ -2,8 +2,8 @@
 
 A word's multiset of letters is a binary vector: component (letter, k) is set if the word has the letter k times or more. A replaced
 letter changes two components, an inserted or deleted one changes one. Components are dealt into PARTS parts by hash. Vectors that
-differ in at most d components agree in PARTS - d parts at least, so each choice of PARTS - d parts is a signature, and near words
-have one in common. One edit also leaves the first half of a word or the rest of it as it is; a signature takes that half along, so
+differ in two components agree in two of the four parts at least, and such that differ in one in one half of them, so choices of
+parts are signatures, and near words have one in common. One edit also leaves the first half of a word or the rest of it as it is; a signature takes that half along, so
 that anagrams and words of like letters don't all meet. Signatures are joined for equality, and what meets is verified.
 """
 
@@ -67,37 +67,43 @@ def part_hashes(words: list[str]) -> np.ndarray:
     return (cut << (np.arange(PARTS, dtype=np.uint64) * np.uint64(PART_BITS))).sum(1, dtype=np.uint64)
 
 
-def _masks(apart: int) -> list[tuple[int, int]]:
-    """(mask of the chosen parts, mask of the parts up to the last chosen one) of each signature for vectors so far apart."""
-    of = lambda parts: sum((1 << PART_BITS) - 1 << i * PART_BITS for i in parts)
-    return [(of(c), of(range(c[-1] + 1))) for c in combinations(range(PARTS), PARTS - apart)]
+def _mask(parts: tuple[int, ...]) -> int:
+    """The bits of some parts, as a signed number."""
+    m = sum((1 << PART_BITS) - 1 << i * PART_BITS for i in parts)
+    return m - (1 << 64) if m >= 1 << 63 else m
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+#: Masks of the signatures for vectors that differ in one and in two components. One difference leaves one half of the parts as it
+#: is; two leave two of the four parts.
+ONE = [_mask(c) for c in ((0, 1), (2, 3))]
+TWO = [_mask(c) for c in combinations(range(PARTS), PARTS - 2)]
 
 
-def signatures(words: DataFrame, size: Column, apart: int) -> DataFrame:
-    """word, n, parts, side, mask, upto and key of words (word, n, parts), for pairs of which the shorter has ``size`` letters.
+def signatures(words: DataFrame, size: Column, masks: list[int]) -> DataFrame:
+    """word, n, parts, side, sig and key of words (word, n, parts), for pairs of which the shorter has ``size`` letters.
 
-    side is 0 for the first half, 1 for the rest; a key is a hash of all that must be equal.
+    side is 0 for the first half of a word, 1 for the rest, sig the number of the mask; a key is a hash of all that must be equal.
     """
     half = (size / 2).cast("int")
     end = F.when(F.col("side") == 0, F.col("word").substr(F.lit(1), half)).otherwise(F.col("word").substr(F.length("word") - (size - half) + 1, size - half))
-    masks = F.array(*(F.struct(F.lit(_signed(m)).alias("mask"), F.lit(_signed(u)).alias("upto")) for m, u in _masks(apart)))
-    rows = words.withColumn("m", F.explode(masks)).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).select("word", "n", "parts", "side", "m.mask", "m.upto", size.alias("size"), end.alias("end"))
-    return rows.select("word", "n", "parts", "side", "mask", "upto", F.xxhash64("size", "side", "mask", F.col("parts").bitwiseAND(F.col("mask")), "end").alias("key"))
+    rows = words.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).select("word", "n", "parts", "side", end.alias("end"), size.alias("size"))
+    rows = rows.select("*", F.posexplode(F.array(*map(F.lit, masks))).alias("sig", "mask"))
+    return rows.select("word", "n", "parts", "side", "sig", F.xxhash64("size", "side", "sig", F.col("parts").bitwiseAND(F.col("mask")), "end").alias("key"))
 
 
-def _meet(a: DataFrame, b: DataFrame, size: Column, apart: int) -> DataFrame:
-    """Near pairs of two sets of signatures, each pair once: at the first signature that both have."""
-    a = a.select("key", "mask", "upto", "side", *(F.col(c).alias(f"{c}_a") for c in ("word", "n", "parts")))
+def _meet(a: DataFrame, b: DataFrame, masks: list[int]) -> DataFrame:
+    """Near pairs of two sets of signatures, each pair once: at the first signature that both have. a has the shorter words."""
+    a = a.select("key", "sig", "side", *(F.col(c).alias(f"{c}_a") for c in ("word", "n", "parts")))
     b = b.select("key", *(F.col(c).alias(f"{c}_b") for c in ("word", "n", "parts")))
     differ = F.col("parts_a").bitwiseXOR(F.col("parts_b"))
-    agree = sum((differ.bitwiseAND(F.col("upto")).bitwiseAND(F.lit(_signed((1 << PART_BITS) - 1 << i * PART_BITS))) == 0).cast("int") for i in range(PARTS))
-    beyond = sum((F.col("upto").bitwiseAND(F.lit(_signed((1 << PART_BITS) - 1 << i * PART_BITS))) == 0).cast("int") for i in range(PARTS))
-    half = (size / 2).cast("int")
-    first = (differ.bitwiseAND(F.col("mask")) == 0) & (agree - beyond == PARTS - apart)
+    agree = [differ.bitwiseAND(F.lit(m)) == 0 for m in masks]
+    first = F.lit(False)
+    for i, same in enumerate(agree):
+        here = (F.col("sig") == i) & same
+        for earlier in agree[:i]:
+            here &= ~earlier
+        first |= here
+    half = (F.length("word_a") / 2).cast("int")
     first &= (F.col("side") == 0) | (F.col("word_a").substr(F.lit(1), half) != F.col("word_b").substr(F.lit(1), half))
     return a.join(b, "key").filter(first & (F.levenshtein("word_a", "word_b", 1) == 1)).select("word_a", "n_a", "word_b", "n_b")
 
@@ -112,9 +118,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
     words = stage(need(words, "word", "n").mapInArrow(run, "word string, n long, parts long"), "parts")
     own, less = F.length("word"), F.length("word") - 1
-    same = signatures(words, own, 2)
-    replaced = _meet(same, same, F.length("word_a"), 2).filter("word_a < word_b")
-    inserted = _meet(signatures(words, own, 1), signatures(words, less, 1), F.length("word_a"), 1)
+    same = signatures(words, own, TWO)
+    replaced = _meet(same, same, TWO).filter("word_a < word_b")
+    inserted = _meet(signatures(words, own, ONE), signatures(words, less, ONE), ONE)
     return replaced.unionByName(inserted)
 
 
