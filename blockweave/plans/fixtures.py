@@ -71,7 +71,7 @@ def cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").filter("o_orderkey % 13 < 3").selectExpr("'chain_' || (o_custkey % 5) AS chain_id", "o_orderkey AS from_block", "o_orderkey + o_custkey % 9 AS to_block")
+    return table(spark, sf_dir, "orders").selectExpr("'chain_' || (o_custkey % 5) AS chain_id", "o_orderkey AS from_block", "o_orderkey + o_custkey % 9 AS to_block")
 
 
 def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +134,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "watched": (("wallets",), "SELECT DISTINCT lower(address) AS address FROM wallets"),
     "heads": (("blocks",), "SELECT chain_id, max(block_number) AS head FROM blocks GROUP BY 1"),
     "cursors": (("heads",), f"SELECT h.chain_id, head - right(h.chain_id, 1)::BIGINT * 30 AS block_number, coalesce(b.block_hash, '') AS block_hash, 'scanning' AS state, ({NOW} - 1000)::BIGINT AS created_at, ({NOW} - 10)::BIGINT AS updated_at FROM heads h LEFT JOIN blocks b ON b.chain_id = h.chain_id AND b.block_number = head - right(h.chain_id, 1)::BIGINT * 30 WHERE h.chain_id <> 'chain_4'"),
-    "ranges": ((), "SELECT 'chain_' || (o_custkey % 5) AS chain_id, o_orderkey AS from_block, o_orderkey + o_custkey % 9 AS to_block FROM orders WHERE o_orderkey % 13 < 3"),
+    "ranges": ((), "SELECT 'chain_' || (o_custkey % 5) AS chain_id, o_orderkey AS from_block, o_orderkey + o_custkey % 9 AS to_block FROM orders"),
     "missing": ((), "SELECT o_orderkey AS id, 'chain_' || (o_custkey % 5) AS chain_id, o_orderkey AS from_block, o_orderkey + o_custkey % 9 AS to_block, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'completed' ELSE 'failed' END AS status, (o_custkey % 6)::INT AS attempts, '' AS error_msg, (CASE WHEN o_custkey % 2 = 0 THEN 10 ELSE 1 END)::INT AS priority, epoch(o_orderdate)::BIGINT AS created_at, epoch(o_orderdate)::BIGINT AS updated_at FROM orders"),
     "failed": ((), f"SELECT o_orderkey AS id, 'chain_' || (o_custkey % 5) AS chain_id, o_orderkey AS block_number, 'rpc' AS failure_type, CASE o_orderkey % 4 WHEN 0 THEN 'HTTP 429 from node' WHEN 1 THEN 'code -32602: invalid params' WHEN 2 THEN 'connection reset' ELSE 'Monthly quota exceeded' END AS error_msg, (o_custkey % 6)::INT AS retry_count, ({NOW} - o_orderkey % 120)::BIGINT AS last_attempt, CASE WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'resolved' END AS status, ({NOW} - o_orderkey % 200000)::BIGINT AS created_at, ({NOW} - o_orderkey % 120)::BIGINT AS updated_at FROM orders"),
     "rpc_calls": ((), f"""SELECT event_id, ts, chain_id, provider, latency_ms, NOT fails AS ok, (CASE WHEN NOT fails THEN 200 WHEN event_id % 9 = 0 THEN 429 WHEN event_id % 9 = 1 THEN 403 ELSE 500 END)::INT AS status_code, CASE WHEN NOT fails THEN '' ELSE CASE event_id % 7 WHEN 0 THEN 'HTTP 429: too many requests' WHEN 1 THEN 'rate limit exceeded' WHEN 2 THEN 'forbidden' WHEN 3 THEN 'block not found' WHEN 4 THEN 'timeout' WHEN 5 THEN 'height out of range' ELSE 'monthly quota exceeded' END END AS error_msg

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import normalize, ranges, reorg, store, watch
+from ..operators import in_place, normalize, ranges, reorg, store, watch
+from ..shipping import shared_dir
+from ..sources import tables
 from . import fixtures as fx
 from . import payloads as raw
 
@@ -368,6 +371,64 @@ def prune(s, d):
     return store.prune(fx.blocks(s, d), policy, 900_000_000).select("chain_id", "block_number")
 
 
+# the same in place, over tables in buckets of heights
+
+
+#: Heights of a bucket of these tables, so that the given ones have several.
+BUCKET = 100
+
+
+def _stored(s, df):
+    at = f"{shared_dir(s)}/table-{uuid.uuid4().hex}"
+    tables.write_table(df, at, BUCKET)
+    return at
+
+
+def _in_place(function):
+    """Registers a query with the SQL of the form that makes a new table."""
+    QUERIES[function.__name__] = function
+    ORACLES[function.__name__] = ORACLES[function.__name__.removesuffix("_in_place")]
+    return function
+
+
+@_in_place
+def upsert_blocks_in_place(s, d):
+    at = _stored(s, fx.blocks(s, d))
+    in_place.upsert_blocks(at, fx.incoming(s, d), width=BUCKET)
+    return tables.read_table(s, at)
+
+
+@_in_place
+def insert_transactions_in_place(s, d):
+    new = fx.arrivals(s, d)
+    at = _stored(s, store.insert_transactions(None, new.filter("block_number < 100"), "arrival"))
+    in_place.insert_transactions(at, new, "arrival", width=BUCKET)
+    return tables.read_table(s, at).selectExpr(*K.split(", "), "value")
+
+
+@_in_place
+def set_tx_status_in_place(s, d):
+    t = fx.transactions(s, d)
+    at = _stored(s, t)
+    in_place.set_status(at, t.filter("gas_used % 40 = 0").select("chain_id", "tx_hash"), "invalid", BUCKET)
+    return tables.read_table(s, at).selectExpr(*K.split(", "), "status")
+
+
+@_in_place
+def delete_block_range_in_place(s, d):
+    at = _stored(s, fx.blocks(s, d))
+    in_place.delete_block_range(at, fx.ranges(s, d).selectExpr("chain_id", "from_block AS lo", "to_block AS hi"), BUCKET)
+    return tables.read_table(s, at).select("chain_id", "block_number")
+
+
+@_in_place
+def prune_in_place(s, d):
+    policy = fx.heads(s, d).selectExpr("chain_id", "cast(right(chain_id, 1) AS bigint) * 31536000 AS retention_seconds").filter("chain_id <> 'chain_4'")
+    at = _stored(s, fx.blocks(s, d))
+    in_place.prune(at, policy, 900_000_000, BUCKET)
+    return tables.read_table(s, at).select("chain_id", "block_number")
+
+
 # 2.6 gaps and ranges
 
 GAPS = "SELECT chain_id, before + 1 AS from_block, block_number - 1 AS to_block FROM (SELECT chain_id, block_number, lag(block_number) OVER (PARTITION BY chain_id ORDER BY block_number) AS before FROM blocks) WHERE block_number > before + 1"

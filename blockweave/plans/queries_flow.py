@@ -25,7 +25,7 @@ def _events(s, d):
 
 def _commits(s, d):
     """Blocks as commits in order of their hash; seq by time of the block and height."""
-    return fx.blocks(s, d).filter("block_number % 4 <> 0 OR block_number < 200").selectExpr("chain_id", "block_number + CASE WHEN block_number % 37 = 0 THEN 5 ELSE 0 END AS seq", "block_number", "block_hash")
+    return fx.blocks(s, d).selectExpr("chain_id", "block_number + CASE WHEN block_number % 37 = 0 THEN 5 ELSE 0 END AS seq", "block_number", "block_hash")
 
 
 def _timed(s, d):
@@ -83,7 +83,7 @@ def recent_buffer(s, d):
     return flow.recent_buffer(fx.blocks(s, d)).select("chain_id", "block_number", "block_hash")
 
 
-FOLD = """commits AS (SELECT chain_id, block_number + CASE WHEN block_number % 37 = 0 THEN 5 ELSE 0 END AS seq, block_number, block_hash FROM blocks WHERE block_number % 4 <> 0 OR block_number < 200),
+FOLD = """commits AS (SELECT chain_id, block_number + CASE WHEN block_number % 37 = 0 THEN 5 ELSE 0 END AS seq, block_number, block_hash FROM blocks),
     ordered AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY seq, block_number) AS i FROM commits),
     fold AS (SELECT h.chain_id, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::BIGINT AS block_number, NULL::VARCHAR AS outcome, CASE WHEN c.chain_id IS NOT NULL AND c.chain_id <> 'chain_3' THEN 3 END::BIGINT AS pos, CASE WHEN c.chain_id IS NOT NULL AND c.chain_id <> 'chain_3' THEN md5(h.chain_id || ':3') END AS hsh FROM heads h LEFT JOIN cursors c USING (chain_id)
         UNION ALL SELECT f.chain_id, o.i, o.seq, o.block_number, CASE WHEN f.pos IS NULL THEN 'init' WHEN o.block_number = f.pos THEN CASE WHEN o.block_hash = f.hsh THEN 'duplicate' ELSE 'hash_mismatch' END WHEN o.block_number < f.pos THEN 'stale' WHEN o.block_number = f.pos + 1 THEN 'advance' ELSE 'gap' END,
@@ -218,13 +218,13 @@ def read_raw(s, d):
     return evm_blocks(sources.read_raw(s, f"{_landed(s, d)}/raw", "evm", keyed=True), raw.chain()).select("block_number", "block_hash")
 
 
-@query("SELECT block_number, block_hash, true AS has_block FROM blocks WHERE block_number > 0", "blocks")
+@query("SELECT block_number, block_hash, true AS has_block FROM blocks", "blocks")
 def stream_raw(s, d):
     at = _folder(s)
     raw.sui(s, d).write.json(f"{at}/raw")
-    stream = sources.with_sequence(sources.stream_raw(s, f"{at}/raw", "sui", keyed=True), -1)
+    stream = sources.with_sequence(sources.stream_raw(s, f"{at}/raw", "sui", keyed=True), 0)
     stream.selectExpr("sequence_number AS block_number", "digest AS block_hash", "has_block").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return s.read.parquet(f"{at}/out").filter("block_number > 0")
+    return s.read.parquet(f"{at}/out")
 
 
 @query(f"SELECT {K} FROM transactions", "transactions")
