@@ -11,8 +11,8 @@ A query meets cells in the order of their lower bounds d(q, r) - radius. The fir
 together hold k vectors or more and gives a bound on the k-th distance. The second round goes on only to pages, and in them
 only to vectors, whose stored parent distance p does not rule them out: |d(q, r) - p| is a lower bound by the triangle
 inequality, for which no distance to the vector is computed. Scores are integers, exact in double precision as long as squared
-lengths are under EXACT. Vectors of a number of components of which some are longer are compared one by one in Python's whole
-numbers instead, queries in blocks.
+lengths are under EXACT. What takes part in a longer vector's scores is compared one by one in Python's whole numbers instead,
+queries in blocks: long vectors with all queries, and all vectors with long queries. The others stay in the tree.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,6 +41,7 @@ EXACT = 2.0**53
 DIGITS, MOST = 264, 2**63 - 1
 #: Slack of bounds, against rounding.
 SLACK = 1e-6
+_EXACT = "query_id long, q binary, vec_id long, score long, order binary"
 _PAGED = "cell int, range int, part long, ids binary, vectors binary, parents binary, n long, low double, high double"
 
 
@@ -52,8 +53,11 @@ def finite(embeddings: DataFrame) -> DataFrame:
 
 def whole_vectors(embeddings: DataFrame) -> DataFrame:
     """(vec_id, v): floor(1024 x) of each component, for vectors of finite components only; too large ones stay so."""
-    floor = lambda x: F.when(F.abs(x) < 2.0**42, F.floor(x * SCALE).cast("double")).otherwise(x * SCALE)
-    return finite(embeddings).select("vec_id", F.transform("embedding", floor).alias("v"))
+    return finite(embeddings).select("vec_id", _whole_vector().alias("v"))
+
+
+def _whole_vector() -> Column:
+    return F.transform("embedding", lambda x: F.when(F.abs(x) < 2.0**42, F.floor(x * SCALE).cast("double")).otherwise(x * SCALE))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -80,15 +84,24 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, page: int = PA
     """
     spark = embeddings.sparkSession
     small_batches(spark)
-    data = stage(whole_vectors(embeddings).withColumn("dim", F.size("v")), "vectors")
-    asked = stage(whole_vectors(queries).distinct().withColumn("dim", F.size("v")), "queries")
+    parted = lambda df: df.withColumns({"dim": F.size("v"), "short": F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) < EXACT})
+    data = stage(parted(whole_vectors(embeddings)), "vectors")
+    asked = stage(parted(whole_vectors(queries).distinct()), "queries")
+    long_asked = {r["dim"] for r in asked.filter("NOT short").groupBy("dim").count().collect()}
+    squares = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     found = None
-    for dim, n, most in sorted(tuple(r) for r in data.groupBy("dim").agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).collect()):
-        if most >= EXACT:
-            part = _one_by_one(finite(embeddings).filter(F.size("embedding") == dim), finite(queries).filter(F.size("embedding") == dim), k)
-            found = part if found is None else found.unionByName(part)
-            continue
-        part = _top_k(data.filter(F.col("dim") == dim), asked.filter(F.col("dim") == dim), k, n, most, page, root)
+    for dim, n, most, long_data in sorted((tuple(r) for r in data.groupBy("dim").agg(F.count_if("short"), F.max(F.when(F.col("short"), squares)), F.count_if(~F.col("short"))).collect()), key=lambda r: r[0]):
+        here = F.col("dim") == dim
+        part = _top_k(data.filter(here & F.col("short")), asked.filter(here & F.col("short")), k, n, most, page, root) if n else None
+        if long_data or dim in long_asked:
+            own = lambda df: parted(finite(df).filter(F.size("embedding") == dim).withColumn("v", _whole_vector()))  # noqa: B023, E731
+            x, q = own(embeddings), own(queries)
+            q = q.filter("short").dropDuplicates(["vec_id", "v"]).unionByName(q.filter("NOT short").dropDuplicates(["vec_id", "embedding"]))
+            exact = _one_by_one(x.filter("NOT short"), q, k).unionByName(_one_by_one(x.filter("short"), q.filter("NOT short"), k))
+            exact = exact if part is None else exact.unionByName(map_batches(part.select("query_id", "q", "vec_id", "score"), _with_order, _EXACT))
+            ranked = F.row_number().over(W.partitionBy("query_id", "q").orderBy(F.col("order").desc(), "vec_id"))
+            part = exact.withColumn("rank", ranked.cast("int")).filter(F.col("rank") <= k)
+        part = part.select("query_id", "rank", "vec_id", "score")
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
@@ -191,7 +204,7 @@ def _top_k(data: DataFrame, asked: DataFrame, k: int, n: int, most: float, page:
     asked_q = map_batches(asked.select("vec_id", "v"), _with_bytes, "query_id long, v array<double>, q binary")
     again = asked_q.join(known, ["query_id", "q"], "left").select("query_id", "v", "score")
     rest = search(map_batches(again, other_cells, visit))
-    return best(first.drop("rank").unionByName(rest)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return best(first.drop("rank").unionByName(rest)).select("query_id", "q", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _whole(x: float) -> int:
@@ -199,30 +212,39 @@ def _whole(x: float) -> int:
     return math.floor(x * SCALE) if abs(x) < 1e300 else int(x) * SCALE
 
 
+def _order(score: int) -> bytes:
+    """A score as bytes that sort as it does."""
+    return ((1 << 8 * DIGITS - 1) + score).to_bytes(DIGITS, "big")
+
+
+def _with_order(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_order(s) for s in batch.column(3).to_pylist()], pa.binary())], ["query_id", "q", "vec_id", "score", "order"])
+
+
 def _one_by_one(data: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """Every query against all vectors in whole numbers of any size; each task hands on its k best for each query and batch."""
+    """The k best of each batch of vectors for each query, in whole numbers of any size: (query_id, q, vec_id, score, order)."""
     spark = data.sparkSession
-    asked = asked.distinct()
     blocks = max(1, -(-asked.count() // QUERIES))
     found = None
     for b in range(blocks):
         rows = asked.filter(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)) == b).collect()
-        shared = spark.sparkContext.broadcast([(r["vec_id"], np.array([_whole(x) for x in r["embedding"]], object)) for r in rows])
+        # A short query is named as the tree names it, a long one by its components as they are.
+        named = [(r["vec_id"], np.array(r["v"] if r["short"] else r["embedding"], np.float64).tobytes(), r["embedding"]) for r in rows]
+        shared = spark.sparkContext.broadcast([(i, name, np.array([_whole(x) for x in v], object)) for i, name, v in named])
 
-        def each(batch: pa.RecordBatch, shared=shared, b=b) -> Iterator[pa.RecordBatch]:
+        def each(batch: pa.RecordBatch, shared=shared) -> Iterator[pa.RecordBatch]:
             ids = batch.column(0).to_pylist()
             x = np.array([[_whole(c) for c in v] for v in batch.column(1).to_pylist()], object).reshape(len(ids), -1)
             out = []
-            for n, (query_id, q) in enumerate(shared.value):
+            for query_id, name, q in shared.value:
                 best = sorted((-s, i) for s, i in zip((x @ q).tolist() if x.shape[1] else [0] * len(ids), ids, strict=True) if i != query_id)[:k]
-                out += [(query_id, (b << 32) + n, i, max(-MOST - 1, min(MOST, -s)), ((1 << 8 * DIGITS - 1) - s).to_bytes(DIGITS, "big")) for s, i in best]
+                out += [(query_id, name, i, max(-MOST - 1, min(MOST, -s)), _order(-s)) for s, i in best]
             columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], ["query_id", "n", "vec_id", "score", "order"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()], strict=True)], ["query_id", "q", "vec_id", "score", "order"])
 
-        part = map_batches(data, each, "query_id long, n long, vec_id long, score long, order binary")
+        part = map_batches(data.select("vec_id", "embedding"), each, _EXACT)
         found = part if found is None else found.unionByName(part)
-    ranked = F.row_number().over(W.partitionBy("query_id", "n").orderBy(F.col("order").desc(), "vec_id"))
-    return found.withColumn("rank", ranked).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found
 
 
 def _with_bytes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -414,6 +414,23 @@ def test_top_k_of_large_components(spark, scale):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
+def test_top_k_keeps_short_vectors_in_the_tree(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors = [(i, [float(x) * (1e6 if i % 50 == 0 and i % 200 or i == 400 else 1e300 if i == 77 else 1) for x in v]) for i, v in enumerate(rng.normal(size=(600, 5)))]
+    vectors += [(0, vectors[0][1]), (400, vectors[400][1]), (300, vectors[300][1]), (9, [1e9, 2.0]), (700, [3.0, 4.0])]
+    whole = [(i, [int(__import__("math").floor(__import__("fractions").Fraction(x) * 1024)) for x in v]) for i, v in vectors]
+    want = []
+    for q, v in {i: v for i, v in whole if i % 100 == 0}.items():
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q and len(w) == len(v))[:10]
+        want += [(q, r + 1, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(best)]
+    seen = []
+    real = mtree._one_by_one
+    monkeypatch.setattr(mtree, "_one_by_one", lambda data, asked, k: seen.append((data.count(), asked.count())) or real(data, asked, k))
+    got = mtree.nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert (590, 4) in seen and all(a < 20 or b < 5 for a, b in seen)  # short vectors with short queries stay out of it
+
+
 def held_out(i):
     return zlib.crc32(str(i).encode()) % 3 == 1
 
