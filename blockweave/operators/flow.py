@@ -245,7 +245,7 @@ def settle_retries(queue: DataFrame, outcomes: DataFrame, now: int) -> DataFrame
 
 
 def error_class(text: Column) -> Column:
-    """fatal, failover or retry: the first rule that fits."""
+    """fatal, failover or retry: the first rule that fits. The texts and codes are fixed values."""
     low = F.lower(text)
     out = F.lit("retry")
     for verdict, column, words in reversed((

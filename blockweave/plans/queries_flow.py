@@ -484,9 +484,9 @@ def _usage(s, d):
     return telemetry.quota_usage(fx.rpc_calls(s, d), fx.provider_policy(s, d))
 
 
-@more(USAGE, "SELECT * FROM (SELECT provider, day, remaining, remaining * 100 < daily_limit * 10 AS low_percent, remaining < 2 AS low_calls FROM usage WHERE daily_limit > 0) WHERE low_percent OR low_calls", "provider_policy")
+@more(USAGE, "SELECT * FROM (SELECT provider, day, remaining, remaining * 100 < daily_limit * 10 AS low_percent, remaining < 1000 AS low_calls FROM usage WHERE daily_limit > 0) WHERE low_percent OR low_calls", "provider_policy")
 def alert_quota(s, d):
-    return telemetry.alert_quota(_usage(s, d), least=2)
+    return telemetry.alert_quota(_usage(s, d))
 
 
 @query("SELECT DISTINCT chain_id FROM blocks WHERE chain_id NOT IN (SELECT chain_id FROM rpc_calls WHERE ts BETWEEN 1706600000 AND 1706600300)", "blocks", "rpc_calls")
