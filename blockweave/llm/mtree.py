@@ -3,20 +3,25 @@
 The greatest inner product is the least distance once every vector x gets one more component, sqrt(M - |x|^2), M being the
 greatest |x|^2, and every query a zero there. That distance is a metric, and the tree is over it:
 
-* root: routing objects from a bounded sample. Every vector belongs to the nearest, so a cell has a covering radius;
-* pages: a cell's vectors, ordered by distance from its routing object, in pages of a bounded size. A page has the range of
-  these parent distances, stored with its vectors.
-
-A query meets cells in the order of their lower bounds d(q, r) - radius. The first round searches the nearest pages that
-together hold k vectors or more and gives a bound on the k-th distance. The second round goes on only to pages, and in them
-only to vectors, whose stored parent distance p does not rule them out: |d(q, r) - p| is a lower bound by the triangle
-inequality, for which no distance to the vector is computed. Scores are integers, exact in double precision as long as squared
-lengths are under EXACT. What takes part in a longer vector's scores is compared one by one in Python's whole numbers instead,
-queries in blocks: long vectors with all queries, and all vectors with long queries. The others stay in the tree.
+* the root has routing objects from a bounded sample. Every vector belongs to the nearest, and a cell is cut by a hash into
+  shards of a bounded size, so copies of one vector spread too;
+* a shard is a subtree of paged nodes, each a row: an inner node has its children's routing objects, their covering radii and
+  their distances from the node's own routing object (parent distances); a leaf has vectors with theirs, in that order.
+
+A query searches a shard best first: a queue has nodes by the least distance that anything in them can have, d(q, r) - radius.
+The nearest is opened, and the search ends when the nearest is further than the k-th result so far. Where |d(q, r) - p|, p being a
+stored parent distance, is beyond that already, no distance is computed, by the triangle inequality. Each query first goes to the
+nearest shards that together hold k vectors or more, and then, with the bound found there, to the shards that it leaves. Nodes
+come to a task ahead of the queries, which stream past them, so a task holds one shard whatever the number of queries.
+
+Scores are integers, exact in double precision as long as squared lengths are under EXACT. What takes part in a longer vector's
+scores is compared one by one in Python's whole numbers instead, queries in blocks: long vectors with all queries, and all
+vectors with long queries. The others stay in the tree.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -29,20 +34,22 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, need, small_batches, stage
 
-#: Routing objects of the root at most, vectors of a page, queries of a block, and rows per routing object.
-ROOT, PAGE, QUERIES, PER_OBJECT = 256, 512, 256, 2000
-#: Ranges of the parent distance in a cell.
-RANGES = 32
+#: Routing objects of the root at most and rows for each; vectors of a shard, about, entries of a leaf, and children of a node.
+ROOT, PER_OBJECT, SHARD, PAGE, FANOUT = 256, 2000, 65_536, 256, 32
+#: Queries that one task searches a shard for, and that the driver sends to all tasks where vectors are long.
+QUERIES, LONG_QUERIES = 65_536, 256
+#: A child that would get more of a node's vectors than this share, of copies say, is cut by the parent distance instead.
+LARGEST = 0.9
 #: Vector components are scaled and cut to integers.
 SCALE = 1024
 #: Inner products under this are whole numbers in double precision, partial sums too.
 EXACT = 2.0**53
 #: Bytes of a whole number that sorts as bytes; no score of finite doubles needs as many. Scores are given as far as a long goes.
 DIGITS, MOST = 264, 2**63 - 1
-#: Slack of bounds, against rounding.
-SLACK = 1e-6
 _EXACT = "query_id long, q binary, vec_id long, score long, order binary"
-_PAGED = "cell int, range int, part long, ids binary, vectors binary, parents binary, n long, low double, high double"
+_NODES = "cell int, part long, node long, leaf boolean, ids binary, vectors binary, parents binary, radii binary"
+_VISITS = "query_id long, q binary, cell int, d double, least double, parts long, own long"
+_FOUND = "query_id long, q binary, vec_id long, score long"
 
 
 def finite(embeddings: DataFrame) -> DataFrame:
@@ -64,16 +71,86 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
 
 
-def _distances(x: np.ndarray, squares: np.ndarray, routing: np.ndarray, routing_squares: np.ndarray) -> np.ndarray:
-    """Distances of vectors to others, from squares of their lengths, extra component included, and inner products."""
-    return np.sqrt(np.maximum(squares[:, None] + routing_squares[None] - 2 * (x @ routing.T), 0))
-
-
-def _extended(x: np.ndarray, most: float) -> np.ndarray:
-    return np.concatenate([x, np.sqrt(np.maximum(most - (x * x).sum(1), 0))[:, None]], axis=1)
-
-
-def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, page: int = PAGE, root: int = ROOT) -> DataFrame:
+def _extra(x: np.ndarray, most: float) -> np.ndarray:
+    """The component that brings every vector to the same length."""
+    return np.sqrt(np.maximum(most - (x * x).sum(1), 0))
+
+
+def _apart(x: np.ndarray, extra: np.ndarray, objects: np.ndarray, extras: np.ndarray, most: float) -> np.ndarray:
+    """Distances of vectors to routing objects, extra components included."""
+    return np.sqrt(np.maximum(2 * (most - x @ objects.T - extra[:, None] * extras[None]), 0))
+
+
+def _slack(squares: float) -> float:
+    """How much two stored distances may be off by rounding, for a sum of squared lengths. Squares are off by a few units in the last place."""
+    return math.sqrt(64 * np.finfo(float).eps * squares) + 1e-6
+
+
+def bulk_load(ids: np.ndarray, x: np.ndarray, routing: np.ndarray, most: float, page: int, fanout: int) -> Iterator[tuple]:
+    """Nodes (node, leaf, ids, vectors, parents, radii) of the subtree over vectors under a routing object; the ids of an inner node
+    are its children's, and node 0 is the top one. Any vectors, copies too: every child is smaller than its node."""
+    extra = _extra(x, most)
+    top = routing.reshape(1, -1)
+    todo, made = [(0, np.arange(len(ids)), top, _extra(top, most))], 1
+    while todo:
+        node, rows, own, own_extra = todo.pop()
+        parents = _apart(x[rows], extra[rows], own, own_extra, most)[:, 0]
+        order = np.lexsort((ids[rows], parents))
+        rows, parents = rows[order], parents[order]
+        if len(rows) <= page:
+            yield node, True, ids[rows], x[rows], parents, np.zeros(0)
+            continue
+        count = min(fanout, -(-len(rows) // page))
+        at = np.linspace(0, len(rows) - 1, count).astype(int)
+        child = _apart(x[rows], extra[rows], x[rows[at]], extra[rows[at]], most).argmin(1)
+        if np.bincount(child).max() > LARGEST * len(rows):
+            child = np.arange(len(rows)) * count // len(rows)
+            at = np.searchsorted(child, np.arange(count))
+        children, radii, kept = [], [], []
+        for c in np.unique(child):
+            members, seed = rows[child == c], rows[at[c] : at[c] + 1]
+            radii.append(_apart(x[members], extra[members], x[seed], extra[seed], most).max())
+            children.append(made)
+            kept.append(at[c])
+            todo.append((made, members, x[seed], extra[seed]))
+            made += 1
+        yield node, False, np.array(children, np.int64), x[rows[kept]], parents[kept], np.array(radii)
+
+
+def best_first(nodes: dict[int, tuple], q: np.ndarray, own: int, d: float, k: int, most: float, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of the k best of a subtree for a query at distance d from its routing object, best first, ties to the lesser id;
+    only those that score least or more, and none with the query's own id."""
+    square = float(q @ q)
+    slack = _slack(square + most)
+    reach = lambda s: math.sqrt(max(square + most - 2 * s, 0.0)) + slack if s > -math.inf else math.inf
+    within, scores, found = reach(least), np.zeros(0), np.zeros(0, np.int64)
+    queue = [(0.0, 0, d)]
+    while queue:
+        low, node, d = heapq.heappop(queue)
+        if low > within:
+            break
+        leaf, ids, x, parents, radii = nodes[node]
+        if not leaf:
+            near = np.flatnonzero(np.abs(d - parents) - radii <= within)  # of the others no distance is computed
+            to = np.sqrt(np.maximum(square + most - 2 * (x[near] @ q), 0))
+            for low, child, far in zip(np.maximum(to - radii[near], 0).tolist(), ids[near].tolist(), to.tolist(), strict=True):
+                if low <= within:
+                    heapq.heappush(queue, (low, child, far))
+            continue
+        a, b = np.searchsorted(parents, d - within), np.searchsorted(parents, d + within, "right")
+        score = x[a:b] @ q
+        good = np.flatnonzero((score >= least) & (ids[a:b] != own))
+        if len(good):
+            scores, found = np.concatenate([scores, score[good]]), np.concatenate([found, ids[a:b][good]])
+            order = np.lexsort((found, -scores))[:k]
+            scores, found = scores[order], found[order]
+            if len(scores) == k and scores[-1] > least:
+                least = float(scores[-1])
+                within = reach(least)
+    return scores, found
+
+
+def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, page: int = PAGE, root: int = ROOT, fanout: int = FANOUT, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best other vectors, ties to the lesser vec_id.
 
     Both frames have vec_id and embedding. Vectors that are null or hold a null or non-finite component take no part, nor do
@@ -92,7 +169,7 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, page: int = PA
     found = None
     for dim, n, most, long_data in sorted((tuple(r) for r in data.groupBy("dim").agg(F.count_if("short"), F.max(F.when(F.col("short"), squares)), F.count_if(~F.col("short"))).collect()), key=lambda r: r[0]):
         here = F.col("dim") == dim
-        part = _top_k(data.filter(here & F.col("short")), asked.filter(here & F.col("short")), k, n, most, page, root) if n else None
+        part = _top_k(data.filter(here & F.col("short")), asked.filter(here & F.col("short")), k, most, n, page, root, fanout, shard, block) if n else None
         if long_data or dim in long_asked:
             own = lambda df: parted(finite(df).filter(F.size("embedding") == dim).withColumn("v", _whole_vector()))  # noqa: B023, E731
             x, q = own(embeddings), own(queries)
@@ -110,101 +187,107 @@ def _bytes(x: np.ndarray) -> pa.Array:
     return pa.array([row.tobytes() for row in x], pa.binary())
 
 
-def _top_k(data: DataFrame, asked: DataFrame, k: int, n: int, most: float, page: int, root: int) -> DataFrame:
-    spark = data.sparkSession
-    objects = max(1, min(root, n // PER_OBJECT))
-    sample = data.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(objects).collect()  # bounded by root
-    routing = _extended(np.array([r["v"] for r in sample], np.float64), most)
-    shared = spark.sparkContext.broadcast((routing, (routing**2).sum(1)))
+def _array(content: bytes | None, kind: type = np.float64) -> np.ndarray:
+    return np.frombuffer(content, kind) if content else np.zeros(0, kind)
+
+
+def _batch(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, schema, strict=True)], [name for name, _ in schema])
+
+
+def _tree(data: DataFrame, routing: np.ndarray, k: int, most: float, page: int, fanout: int, shard: int) -> tuple[DataFrame, dict[int, tuple[int, float, int]]]:
+    """The nodes of all shards, and of each cell the number of vectors, the covering radius and the number of shards."""
+    objects = data.sparkSession.sparkContext.broadcast((routing, _extra(routing, most)))
 
     def place(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        x = _extended(_matrix(batch.column(1)), most)
-        d = _distances(x, (x * x).sum(1), *shared.value)
+        x = _matrix(batch.column(1))
+        d = _apart(x, _extra(x, most), *objects.value, most)
         cell = d.argmin(1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), _bytes(x[:, :-1]), pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell])], ["vec_id", "x", "cell", "parent"])
-
-    placed = stage(map_batches(data.select("vec_id", "v"), place, "vec_id long, x binary, cell int, parent double"), "placed")
-    # Pages are ranges of the parent distance; a range that is too full, of copies say, is split by a hash.
-    cuts = placed.groupBy("cell").agg(F.percentile_approx("parent", [i / RANGES for i in range(1, RANGES)], 1000).alias("cuts"))
-    ranged = placed.join(F.broadcast(cuts), "cell").withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("parent")))).drop("cuts")
-    sizes = ranged.groupBy("cell", "range").agg(F.ceil(F.count("*") / page).alias("parts"))  # root x RANGES rows at most
-    paged = ranged.join(F.broadcast(sizes), ["cell", "range"]).withColumn("page", F.struct("range", F.pmod(F.xxhash64("x", "vec_id"), F.col("parts")).alias("part")))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("parent")
-        p = pdf["parent"].to_numpy(np.float64)
-        columns = {"cell": pdf["cell"].iloc[0], "range": pdf["range"].iloc[0], "part": pdf["part"].iloc[0], "ids": pdf["vec_id"].to_numpy(np.int64).tobytes(), "vectors": b"".join(pdf["x"]), "parents": p.tobytes(), "n": len(p), "low": p[0], "high": p[-1]}
-        return pd.DataFrame({c: [v] for c, v in columns.items()})
-
-    pages = paged.select("cell", "range", F.col("page.part").alias("part"), "vec_id", "x", "parent").groupBy("cell", "range", "part").applyInPandas(pack, _PAGED)
-    pages = stage(pages, "pages")
-    directory = pages.select("cell", "range", "part", "low", "high")
-    cells = {r["cell"]: (r["n"], r["high"]) for r in pages.groupBy("cell").agg(F.sum("n").alias("n"), F.max("high").alias("high")).collect()}  # root rows
-    sizes_, radii = (np.array([cells.get(c, (0, 0.0))[i] for c in range(len(routing))]) for i in (0, 1))
-    blocks = max(1, -(-asked.count() // QUERIES))
-
-    def first_cells(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """The nearest cells that together hold more than k vectors."""
-        yield from visits(batch, None)
-
-    def other_cells(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """The rest of the cells that come within the k-th distance so far."""
-        yield from visits(batch, [np.inf if s is None else s for s in batch.column(2).to_pylist()])
-
-    def visits(batch: pa.RecordBatch, scores: list[float] | None) -> Iterator[pa.RecordBatch]:
-        q = np.concatenate([_matrix(batch.column(1)), np.zeros((len(batch), 1))], axis=1)
-        squares = (q * q).sum(1)
-        d = _distances(q, squares, *shared.value)
-        rows = []
-        for i, query_id in enumerate(batch.column(0).to_pylist()):
-            order = np.argsort(np.maximum(d[i] - radii, 0) + d[i] * 1e-9, kind="stable")
-            near = int(np.searchsorted(np.cumsum(sizes_[order]), k + 1)) + 1
-            if scores is None:
-                chosen, within = order[:near], np.inf
-            else:
-                within = float(np.sqrt(max(squares[i] + most - 2 * scores[i], 0))) + SLACK if np.isfinite(scores[i]) else np.inf
-                chosen = [c for c in order[near:] if d[i, c] - radii[c] <= within]
-            rows.extend((query_id, q[i, :-1].tobytes(), int(c), float(d[i, c]), within) for c in chosen)
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.binary(), pa.int32(), pa.float64(), pa.float64()], strict=True)], ["query_id", "q", "cell", "d", "within"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), _bytes(x), pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell])], ["vec_id", "copies", "x", "cell", "parent"])
+
+    once = data.groupBy("vec_id", "v").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("copies"))  # no more of equal rows can be results
+    placed = stage(map_batches(once, place, "vec_id long, copies long, x binary, cell int, parent double"), "placed")
+    cells = {r["cell"]: (r["n"], r["radius"], -(-r["n"] // shard)) for r in placed.groupBy("cell").agg(F.sum("copies").alias("n"), F.max("parent").alias("radius")).collect()}  # root rows
+
+    def load(pdf: pd.DataFrame) -> pd.DataFrame:
+        cell, part = int(pdf["cell"].iloc[0]), int(pdf["part"].iloc[0])
+        x = _array(b"".join(pdf["x"])).reshape(len(pdf), -1)
+        nodes = bulk_load(pdf["vec_id"].to_numpy(np.int64), x, objects.value[0][cell], most, page, fanout)
+        rows = [(cell, part, node, leaf, *(c.tobytes() for c in columns)) for node, leaf, *columns in nodes]
+        return pd.DataFrame(rows, columns=["cell", "part", "node", "leaf", "ids", "vectors", "parents", "radii"])
 
-    visit = "query_id long, q binary, cell int, d double, within double"
+    parts = F.create_map(*(F.lit(v) for c, (_, _, p) in cells.items() for v in (c, p)))
+    spread = placed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).withColumn("part", F.pmod(F.xxhash64("x", "vec_id", "copy"), parts[F.col("cell")]))
+    return stage(spread.select("cell", "part", "vec_id", "x").groupBy("cell", "part").applyInPandas(load, _NODES), "nodes"), cells
 
-    def search(to_cells: DataFrame) -> DataFrame:
-        """(query_id, q, vec_id, score): the k best of each visited page."""
 
-        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _top_k(data: DataFrame, asked: DataFrame, k: int, most: float, n: int, page: int, root: int, fanout: int, shard: int, block: int) -> DataFrame:
+    """(query_id, q, rank, vec_id, score) of short vectors of one number of components."""
+    spark = data.sparkSession
+    sample = data.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(max(1, min(root, n // PER_OBJECT))).collect()  # bounded by root
+    routing = np.array([r["v"] for r in sample], np.float64).reshape(len(sample), -1)
+    nodes, cells = _tree(data, routing, k, most, page, fanout, shard)
+    known = np.array(sorted(cells), int)
+    sizes, radii, parts = (np.array([cells[c][i] for c in known]) for i in range(3))
+    objects = spark.sparkContext.broadcast(routing[known])
+    blocks = max(1, -(-asked.count() // block))
+    visit = [("query_id", pa.int64()), ("q", pa.binary()), ("cell", pa.int32()), ("d", pa.float64()), ("least", pa.float64()), ("parts", pa.int64()), ("own", pa.int64())]
+
+    def visits(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """The cells that a query goes to; own is the shard of the first round, -1 if the cell isn't in it."""
+        q = _matrix(batch.column(1))
+        squares, products, rows = (q * q).sum(1), q @ objects.value.T, []
+        for i, query_id in enumerate(batch.column(0).to_pylist()):
+            d = np.sqrt(np.maximum(squares[i] + most - 2 * products[i], 0))
+            order = np.lexsort((d, np.maximum(d - radii, 0)))
+            first = set(order[: int(np.searchsorted(np.cumsum(sizes[order] // parts[order]), k + 1)) + 1].tolist())
+            least = batch.column(2)[i].as_py() if batch.num_columns > 2 else None
+            if batch.num_columns == 2:
+                chosen = sorted(first)
+            else:
+                within = math.inf if least is None else math.sqrt(max(squares[i] + most - 2 * least, 0)) + _slack(squares[i] + most)
+                chosen = np.flatnonzero(d - radii <= within).tolist()
+            rows += [(query_id, q[i].tobytes(), int(known[c]), float(d[c]), least, int(parts[c]), query_id % int(parts[c]) if c in first else -1) for c in chosen]
+            if len(rows) >= 4096:
+                yield _batch(rows, visit)
+                rows = []
+        yield _batch(rows, visit)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a shard come together, its nodes first."""
+        here, held = None, {}
+        for batch in batches:
+            out = []
             for row in batch.to_pylist():
-                ids, parents = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["parents"])
-                x = np.frombuffer(row["vectors"]).reshape(len(ids), -1)
-                out = []
-                for v in row["visits"]:
-                    a, b = np.searchsorted(parents, [v["d"] - v["within"] - SLACK, v["d"] + v["within"] + SLACK])
-                    own = ids[a:b]  # the others are ruled out unseen
-                    q = np.frombuffer(v["q"])
-                    score = (x[a:b] @ q).astype(np.int64)
-                    least = (q @ q + most - v["within"] ** 2) / 2 - 1  # what the distance bound leaves, as a score
-                    best = np.flatnonzero((score >= least) & (own != v["query_id"]))
-                    best = best[np.lexsort((own[best], -score[best]))][:k]
-                    out.extend((v["query_id"], v["q"], i, s) for i, s in zip(own[best].tolist(), score[best].tolist(), strict=True))
-                columns = list(zip(*out, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.binary(), pa.int64(), pa.int64()], strict=True)], ["query_id", "q", "vec_id", "score"])
-
-        bound = F.greatest(F.col("d") - F.col("high"), F.col("low") - F.col("d"))
-        to_pages = to_cells.join(directory, "cell").filter(bound <= F.col("within") + SLACK)
-        block = F.pmod(F.xxhash64("query_id", "q"), F.lit(blocks)).alias("block")
-        met = to_pages.groupBy("cell", "range", "part", block).agg(F.collect_list(F.struct("query_id", "q", "d", "within")).alias("visits"))
-        met = met.join(pages.select("cell", "range", "part", "ids", "vectors", "parents"), ["cell", "range", "part"])
-        return map_batches(met.select("visits", "ids", "vectors", "parents"), each, "query_id long, q binary, vec_id long, score long")
+                shard_ = (row["cell"], row["part"], row["block"])
+                if row["node"] is not None:
+                    if shard_ != here:
+                        here, held = shard_, {}
+                    ids = _array(row["ids"], np.int64)
+                    held[row["node"]] = (row["leaf"], ids, _array(row["vectors"]).reshape(len(ids), -1), _array(row["parents"]), _array(row["radii"]))
+                elif shard_ == here:  # a hash may leave a shard without vectors
+                    least = -math.inf if row["least"] is None else row["least"]
+                    scores, ids = best_first(held, _array(row["q"]), row["query_id"], row["d"], k, most, least)
+                    out += [(row["query_id"], row["q"], i, int(s)) for s, i in zip(scores.tolist(), ids.tolist(), strict=True)]
+            yield _batch(out, [("query_id", pa.int64()), ("q", pa.binary()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+    every = nodes.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    def results(queries: DataFrame, part: Column) -> DataFrame:
+        """(query_id, q, vec_id, score): the k best of each shard that a query goes to."""
+        to = map_batches(queries, visits, _VISITS).withColumn("part", part).filter("part >= 0").drop("parts", "own")
+        rows = every.unionByName(to.withColumn("block", F.pmod(F.xxhash64("query_id", "q"), F.lit(blocks))), allowMissingColumns=True)
+        at = ["cell", "part", "block"]
+        return rows.repartition(*at).sortWithinPartitions(*at, F.col("node").asc_nulls_last()).mapInArrow(search, _FOUND)
 
     ranked = F.row_number().over(W.partitionBy("query_id", "q").orderBy(F.col("score").desc(), "vec_id"))
     best = lambda df: df.withColumn("rank", ranked).filter(F.col("rank") <= k)
-    first = stage(best(search(map_batches(asked.select("vec_id", "v"), first_cells, visit))), "first")
-    known = first.filter(F.col("rank") == k).select("query_id", "q", "score")
-    asked_q = map_batches(asked.select("vec_id", "v"), _with_bytes, "query_id long, v array<double>, q binary")
-    again = asked_q.join(known, ["query_id", "q"], "left").select("query_id", "v", "score")
-    rest = search(map_batches(again, other_cells, visit))
-    return best(first.drop("rank").unionByName(rest)).select("query_id", "q", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    first = stage(best(results(asked.select("vec_id", "v"), F.col("own"))), "first")
+    bound = first.filter(F.col("rank") == k).select("query_id", "q", F.col("score").cast("double").alias("score"))
+    again = map_batches(asked.select("vec_id", "v"), _with_bytes, "query_id long, v array<double>, q binary").join(bound, ["query_id", "q"], "left").select("query_id", "v", "score")
+    others = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: p != F.col("own")))
+    return best(first.drop("rank").unionByName(results(again, others))).select("query_id", "q", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _whole(x: float) -> int:
@@ -224,7 +307,7 @@ def _with_order(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 def _one_by_one(data: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """The k best of each batch of vectors for each query, in whole numbers of any size: (query_id, q, vec_id, score, order)."""
     spark = data.sparkSession
-    blocks = max(1, -(-asked.count() // QUERIES))
+    blocks = max(1, -(-asked.count() // LONG_QUERIES))
     found = None
     for b in range(blocks):
         rows = asked.filter(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)) == b).collect()

@@ -401,6 +401,52 @@ def test_top_k(spark):
     assert mtree.nearest(few).count() == 2
 
 
+@pytest.mark.parametrize("shape", ["spread", "clusters", "copies", "line"])
+def test_best_first_over_nodes(shape):
+    rng = np.random.default_rng(11)
+    x = {"spread": rng.normal(size=(3000, 6)), "clusters": rng.normal(size=(3000, 6)) + 40 * rng.integers(0, 9, (3000, 1)), "copies": np.repeat(rng.normal(size=(3, 6)), [2700, 299, 1], 0), "line": np.outer(np.arange(3000) ** 2 % 1009.0, np.ones(6))}[shape]
+    x, ids = np.floor(x * 1024), rng.permutation(3000).astype(np.int64)
+    most = float((x * x).sum(1).max())
+    nodes = {n[0]: n[1:] for n in mtree.bulk_load(ids, x, x[5], most, 32, 4)}
+    leaves = [n for n in nodes.values() if n[0]]
+    assert sorted(i for n in leaves for i in n[1]) == list(range(3000)) and all(len(n[1]) <= (32 if n[0] else 4) for n in nodes.values())
+    extra = lambda v: np.sqrt(max(most - v @ v, 0))
+    for q, own in [(x[0], int(ids[0])), (np.zeros(6), -1), (x[7] * 2, -1)]:
+        score = x @ q
+        want = sorted((-int(s), int(i)) for s, i in zip(score, ids, strict=True) if i != own)
+        d = float(np.sqrt(((q - x[5]) ** 2).sum() + extra(x[5]) ** 2))
+        for least in (-np.inf, -want[9][0]):
+            scores, found = mtree.best_first(nodes, q, own, d, 10, most, least)
+            assert [(-int(s), int(i)) for s, i in zip(scores, found, strict=True)] == want[:10]
+        assert len(mtree.best_first(nodes, q, own, d, 10, most, -want[0][0] + 1.0)[1]) == 0
+    if shape == "clusters":  # the search opens few leaves
+        class Opened(dict):
+            def __getitem__(self, node):
+                opened.append(node)
+                return super().__getitem__(node)
+
+        opened = []
+        far = x[np.argmax((x * x).sum(1))]
+        mtree.best_first(Opened(nodes), far, -1, float(np.sqrt(((far - x[5]) ** 2).sum() + extra(x[5]) ** 2)), 10, most, -np.inf)
+        assert len(opened) < len(nodes) / 3
+
+
+@pytest.mark.parametrize("shape", [{"page": 8, "fanout": 3, "shard": 100, "block": 4}, {"page": 2, "fanout": 2, "shard": 7}, {"root": 40, "page": 1000, "shard": 50}])
+def test_top_k_in_shards_and_blocks(spark, shape, monkeypatch):
+    monkeypatch.setattr(mtree, "PER_OBJECT", 20)
+    rng = np.random.default_rng(2)
+    v = rng.integers(-3, 4, (600, 4)) / 4.0  # many ties
+    rows = [(i, v[i].tolist()) for i in range(600)] + [(1000 + i, v[100].tolist()) for i in range(300)] + [(200, v[7].tolist()), (-100, v[3].tolist())] + [(77, v[9].tolist())] * 30
+    whole = [(i, np.floor(np.array(x) * 1024).astype(int)) for i, x in rows]
+    want = []
+    for q, i in {(tuple(x.tolist()), i) for i, x in whole if i % 100 == 0}:
+        best = sorted((-int(np.array(q) @ w), j) for j, w in whole if j != i)[:10]
+        want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = mtree.top_k(table, table.filter("vec_id % 100 = 0"), **shape)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e3, 1e6, 1e30, 1e305])
 def test_top_k_of_large_components(spark, scale):
     rng = np.random.default_rng(3)
