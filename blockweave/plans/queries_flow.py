@@ -211,6 +211,21 @@ def live_frontier(s, d):
     return cursors.join(gaps, "chain_id", "left").select("chain_id", "block_number", F.coalesce("n_holes", F.lit(0)).alias("n_holes"), F.coalesce("n_missing", F.lit(0)).alias("n_missing"))
 
 
+@query("SELECT chain_id, block_number, 'block without height or hash' AS error_msg, CASE WHEN block_number % 14 <> 3 AND block_number % 3 = 0 THEN 1 ELSE 0 END::INT AS retry_count, CASE WHEN block_number % 14 = 3 THEN 'resolved' ELSE 'pending' END AS status FROM blocks WHERE block_number % 7 = 3", "blocks")
+def live_retries(s, d):
+    """The retry queue of a live job of which every seventh block lands without a hash; half of these land well later, some fail again."""
+    at, wallets = _folder(s), _kept(fx.wallets(s, d), f"{_folder(s)}/wallets")
+    landed = raw.evm(s, d).withColumns({"transactions": F.expr("slice(transactions, 1, 0)"), "_n": F.expr("cast(conv(substring(number, 3), 16, 10) AS bigint)")})
+    landed = _kept(landed.withColumn("parentHash", F.expr("md5(chain_id || ':' || (_n - 1))")), f"{at}/blocks")
+    first = landed.withColumn("hash", F.expr("CASE WHEN _n % 7 = 3 THEN '' ELSE hash END"))
+    second = landed.filter("_n % 7 = 3 AND (_n % 14 = 3 OR _n % 3 = 0)").withColumn("hash", F.expr("CASE WHEN _n % 14 = 3 THEN hash ELSE '' END"))
+    for part in (first, second):
+        part.drop("_n").write.mode("append").json(f"{at}/raw")
+        stream = sources.stream_raw(s, f"{at}/raw", "evm", 1000, keyed=True)
+        jobs.live_index(stream, "evm", raw.chain(), wallets, f"{at}/out", f"{at}/state").awaitTermination()
+    return jobs.retry_queue(s, f"{at}/out").select("chain_id", "block_number", "error_msg", "retry_count", "status")
+
+
 @query("SELECT block_number, block_hash FROM blocks", "blocks")
 def read_raw(s, d):
     from ..operators.normalize import evm_blocks

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from ..operators.heights import BUCKET
 from ..operators.store import TX_KEY
 from ..shipping import shared_dir, ship, written
 from ..sources import tables, units
-from ..sources.units import current, read_units, write_events, write_unit
+from ..sources.units import current, latest_rows, read_units, write_events, write_unit
 
 EVENT = "chain_id string, block_number long, tx_hash string, kind string"
 BLOCK_KEY = ["chain_id", "block_number"]
@@ -339,6 +340,7 @@ def live_index(
         out = index_batch(df, family, chain, wallets, blocks, txs, cursors.withColumn("updated_at", F.lit(epoch).cast("long")), receipts, jump, prefilter, max_depth, islands, heads, behind)
         write_events(out["events"], f"{path}/events", epoch)
         others = {name: out[name] for name in ("missing", "reorgs", "failures", "held", "islands") if name in out}
+        others["failures"] = others["failures"].withColumn("failed_at", F.lit(int(time.time())).cast("long"))
         write_unit(out["blocks"], out["transactions"], out["cursors"], path, epoch, releases=releases, **others)
         tables.delete(spark, out["work"])
         df.unpersist()
@@ -348,6 +350,34 @@ def live_index(
     return raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def retry_queue(spark: SparkSession, path: str) -> DataFrame:
+    """What a live job's failures amount to: a row for each height that has failed, as the retry operators take it.
+
+    A height is resolved once its block has been stored in the batch of its last failure or later, and else pending; every further
+    batch in which it fails is one retry more. Rows without a chain or a height can't be asked for again, and are in failures
+    alone. Of the stored blocks those between the least and the greatest height that failed are read.
+    """
+    done = units.Units(spark, path)
+    failures = done.table("failures")
+    if failures is None:
+        failures = spark.createDataFrame([], "chain_id string, block_number long, error_msg string, failed_at long, epoch long")
+    failures = failures.filter("chain_id IS NOT NULL AND block_number IS NOT NULL")
+    lo, hi = failures.agg(F.min("block_number"), F.max("block_number")).first()
+    times = [F.countDistinct("epoch").alias("_times"), F.max("epoch").alias("_last"), F.max_by("error_msg", F.struct("epoch", "error_msg")).alias("error_msg"), F.min("failed_at").alias("created_at"), F.max("failed_at").alias("last_attempt")]
+    queue = failures.groupBy(*BLOCK_KEY).agg(*times)
+    stored = None if lo is None else done.table("blocks", lo, hi)
+    if stored is None:
+        queue = queue.withColumn("_stored", F.lit(None).cast("long"))
+    else:
+        kept = latest_rows(stored, BLOCK_KEY).filter("status = 'processed'")
+        queue = queue.join(kept.select(*BLOCK_KEY, F.col("epoch").alias("_stored")), BLOCK_KEY, "left")
+    status = F.when(F.col("_stored") >= F.col("_last"), "resolved").otherwise("pending")
+    return queue.select(
+        F.abs(F.xxhash64(*BLOCK_KEY)).alias("id"), *BLOCK_KEY, F.lit("block").alias("failure_type"), "error_msg", (F.col("_times") - 1).cast("int").alias("retry_count"),
+        "last_attempt", status.alias("status"), "created_at", F.col("last_attempt").alias("updated_at"),
+    )
+
+
 def backfill_ingest(queue: DataFrame, raw: DataFrame, family: str, chain: str | Column, wallets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(blocks, transactions) of the heights of pending ranges: filtered by the watch-list, not enriched, without events."""
     blocks, txs = rescan_ingest(queue.filter("status = 'pending'"), raw, family, chain)

@@ -9,7 +9,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from blockweave.operators import store
+from blockweave.operators import flow, store
 from blockweave.sources import raw, tables, units
 from blockweave.streaming import jobs
 
@@ -128,6 +128,27 @@ def test_heads_from_outside_and_starts_behind_them(spark, tmp_path):
     assert late.cursors() == {"c": (501, "c501")} and late.missing() == [("c", 3, 500)] and late.blocks() == [1, 2, 501]
 
 
+def test_failures_are_a_retry_queue(spark, tmp_path):
+    bad = lambda *numbers: "".join(json.dumps({"chain_id": "c", "number": hex(n), "hash": ""}) + "\n" for n in numbers)
+    job = Job(spark, tmp_path, fold_every=2).land(1)
+    queue = lambda: jobs.retry_queue(spark, f"{tmp_path}/out")
+    assert queue().count() == 0
+    job.n += 1
+    job.write(bad(2, 3, 3, 4) + '{"chain_id": "c", "hash": "x"}\nnot json\n')
+    assert values(queue(), "block_number", "retry_count", "status") == [(2, 0, "pending"), (3, 0, "pending"), (4, 0, "pending")]
+    job.land(2)
+    job.n += 1
+    job.write(bad(3))
+    assert values(queue(), "block_number", "retry_count", "status") == [(2, 0, "resolved"), (3, 1, "pending"), (4, 0, "pending")]
+    job.land(3)
+    job.n += 1
+    job.write(bad(3))  # stored before it failed again
+    assert values(queue(), "block_number", "retry_count", "status") == [(2, 0, "resolved"), (3, 2, "pending"), (4, 0, "pending")]
+    now = queue().agg({"last_attempt": "max"}).first()[0]
+    assert values(flow.due_retries(queue(), now + 60), "block_number", "delay") == [(3, 8.0), (4, 2.0)]
+    assert values(flow.count_failures(queue()), "chain_id", "n_failures") == [("c", 2)] and {r["verdict"] for r in flow.retry_verdict(queue()).collect()} == {"retry"}
+
+
 def test_rows_without_height_or_hash_are_failures(spark, tmp_path):
     job = Job(spark, tmp_path).land(1)
     job.n += 1
