@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import written
 from .store import TX_KEY
 
 #: Least bits of a Bloom filter, bits for a key, and hashes: about one false hit in a hundred.
@@ -53,15 +54,14 @@ def _bit_array(keys: DataFrame, bits: int) -> DataFrame:
     return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bit"))), lambda x: x["bit"]).alias("_words"))
 
 
-def _within(txs: DataFrame, watched: DataFrame) -> DataFrame:
+def _within(txs: DataFrame, grams: DataFrame) -> DataFrame:
     """Keys of the transactions whose raw data holds a watched text of LEAST characters or more, without 0x, in any case.
 
     A watched text is looked for by its rarest stretch of Q characters. Every stretch of the raw data is tried against a bit array
-    of those, in one pass and without a row for it; what passes becomes a row, is joined with the stretches, and holds the
-    whole text or not. So rows are as many as candidates. The bit array grows with the watch-list up to MOST_BITS; with longer
+    of those (grams, see rarest_grams), in one pass and without a row for it; what passes becomes a row, is joined with the
+    stretches, and holds the whole text or not. So rows are as many as candidates. The bit array grows with the watch-list up to MOST_BITS; with longer
     lists more candidates pass, and none is lost.
     """
-    grams = rarest_grams(watched)
     bits = -(-min(MOST_BITS, max(BITS, 2 * PER_KEY * grams.count())) // 64) * 64
     at = lambda g: F.pmod(F.xxhash64(g), F.lit(bits))
     is_set = lambda g: F.getbit(F.get("_words", (at(g) / 64).cast("int")), (at(g) % 64).cast("int")) == 1
@@ -71,16 +71,17 @@ def _within(txs: DataFrame, watched: DataFrame) -> DataFrame:
     return rows.join(grams, "gram").filter(F.col("_text").contains(F.col("watched_text"))).select(*TX_KEY)
 
 
-def watch_evm(txs: DataFrame, wallets: DataFrame, raw: bool = True) -> DataFrame:
+def watch_evm(txs: DataFrame, wallets: DataFrame, raw: bool = True, grams: DataFrame | None = None) -> DataFrame:
     """Sender or recipient watched in any case, or raw_data of the type ERC20, or a watched text of LEAST characters within raw_data.
 
-    Without raw, raw_data is left out.
+    Without raw, raw_data is left out. grams: rarest_grams of the watch-list, where they have been written already.
     """
     watched = watchlist(wallets)
     keys = _touching(txs, watched, {"from": F.lower("from_address"), "to": F.lower("to_address")})
     if not raw:
         return txs.join(keys, TX_KEY, "left_semi")
-    keys = keys.union(_within(txs.filter(F.length("raw_data") >= LEAST - 2), watched)).distinct().withColumn("_hit", F.lit(True))
+    grams = written(rarest_grams(watched), "grams")[0] if grams is None else grams
+    keys = keys.union(_within(txs.filter(F.length("raw_data") >= LEAST - 2), grams)).distinct().withColumn("_hit", F.lit(True))
     marked = F.coalesce(F.get_json_object("raw_data", "$.type") == "ERC20", F.lit(False))
     return txs.join(keys, TX_KEY, "left").filter(F.coalesce("_hit", F.lit(False)) | marked).select(*txs.columns)
 

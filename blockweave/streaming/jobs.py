@@ -269,7 +269,8 @@ def index_batch(
     if prefilter:
         found = cut(found, "found")
         found = found.join(watch.relevant_blocks(found, wallets).filter("relevant"), BLOCK_KEY, "left_semi")
-    matched = MATCHERS[family](found, wallets)
+    own = {"grams": cut(watch.rarest_grams(watch.watchlist(wallets)), "grams")} if family == "evm" else {}
+    matched = MATCHERS[family](found, wallets, **own)
     if receipts is not None:
         matched = normalize.evm_enrich(matched, receipts) if family == "evm" else normalize.tron_enrich(matched, receipts)
     matched = cut(matched.select(*normalize.TX_COLUMNS), "matched")
@@ -439,6 +440,9 @@ def ingest_ranges(queue: DataFrame, raw: DataFrame, family: str, chain: str | Co
         own = units.latest_rows(progress().filter(F.col("epoch") >= began), key)
         return chunks.join(own, key, "left").withColumns({"done": F.coalesce("done", F.col("from_block") - 1), "attempts": F.coalesce("attempts", "before")}).filter("done < to_block")
 
+    own, at_grams = {}, None
+    if family == "evm" and wallets is not None:
+        own["grams"], at_grams = written(watch.rarest_grams(watch.watchlist(wallets)), "grams")
     epoch = began
     while most_units is None or epoch < began + most_units:
         todo, at = written(left().filter(F.col("epoch").isNull() & (F.col("attempts") < MOST_ATTEMPTS)).drop("epoch").orderBy("chain_id", "from_block").limit(per_unit), "todo")
@@ -453,7 +457,7 @@ def ingest_ranges(queue: DataFrame, raw: DataFrame, family: str, chain: str | Co
         after, at_after = written(todo.select(*key, "attempts").join(absent, key, "left").select(*key, F.coalesce("upto", "to_block").alias("done"), (F.col("attempts") + 1).cast("int").alias("attempts")), "after")
         reached = spread.join(after.select(*key, F.col("done").alias("_done")), key).filter("block_number <= _done").select(*BLOCK_KEY)
         txs = txs.join(reached, BLOCK_KEY, "left_semi")
-        write_unit(blocks.join(reached, BLOCK_KEY, "left_semi").withColumn("created_at", F.lit(now).cast("long")), MATCHERS[family](txs, wallets) if wallets is not None else txs, spark.createDataFrame([], CURSORS), path, epoch, progress=after)
+        write_unit(blocks.join(reached, BLOCK_KEY, "left_semi").withColumn("created_at", F.lit(now).cast("long")), MATCHERS[family](txs, wallets, **own) if wallets is not None else txs, spark.createDataFrame([], CURSORS), path, epoch, progress=after)
         for folder in (at, at_blocks, at_after):
             tables.delete(spark, folder)
         epoch += 1
@@ -462,5 +466,6 @@ def ingest_ranges(queue: DataFrame, raw: DataFrame, family: str, chain: str | Co
     still = _overlapping(pending, open_spans)
     changes = pending.select("id").join(still, "id", "left").select("id", F.when(F.col("attempts").isNull(), "completed").when(F.col("attempts") >= MOST_ATTEMPTS, "failed").alias("new_status"), F.when(F.col("attempts") >= MOST_ATTEMPTS, "max retries exceeded").alias("new_error"))
     out, _ = written(ranges.mark_ranges(queue, changes.filter("new_status IS NOT NULL"), now), "queue")
-    tables.delete(spark, work)
+    for folder in (work, at_grams) if at_grams else (work,):
+        tables.delete(spark, folder)
     return out
