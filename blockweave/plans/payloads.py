@@ -14,12 +14,6 @@ def chain() -> Column:
     return F.col("chain_id")
 
 
-def _grouped(spark: SparkSession, sf_dir: str, item: str) -> DataFrame:
-    """Blocks with their transactions' payloads, in order of the hash."""
-    items = fx.transactions(spark, sf_dir).groupBy("chain_id", "block_number").agg(F.expr(f"transform(array_sort(collect_list(struct(tx_hash, {item} AS item))), x -> x.item)").alias("items"))
-    return fx.blocks(spark, sf_dir).join(items, ["chain_id", "block_number"], "left")
-
-
 def _landed(df: DataFrame, family: str) -> DataFrame:
     return df.select(F.from_json(F.to_json(F.struct("*")), schema(family, keyed=True)).alias("r")).select("r.*")
 
@@ -27,7 +21,7 @@ def _landed(df: DataFrame, family: str) -> DataFrame:
 def evm(spark: SparkSession, sf_dir: str) -> DataFrame:
     hex_ = "'0x' || lower(hex({}))"
     item = f"struct(tx_hash AS hash, upper(from_address) AS `from`, to_address AS `to`, {hex_.format('cast(value AS bigint)')} AS value, CASE WHEN tx_index = 7 THEN '0x' ELSE '0x3b9aca00' END AS gasPrice, {hex_.format('tx_index')} AS transactionIndex)"
-    return _landed(_grouped(spark, sf_dir, item).selectExpr("chain_id", f"{hex_.format('block_number')} AS number", f"{hex_.format('block_timestamp')} AS timestamp", "block_hash AS hash", "parent_hash AS parentHash", "coalesce(items, array()) AS transactions"), "evm")
+    return _landed(fx.grouped(spark, sf_dir, item).selectExpr("chain_id", f"{hex_.format('block_number')} AS number", f"{hex_.format('block_timestamp')} AS timestamp", "block_hash AS hash", "parent_hash AS parentHash", "items AS transactions"), "evm")
 
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +39,7 @@ def tron(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = "CASE tx_index % 4 WHEN 0 THEN 'TransferContract' WHEN 1 THEN 'TransferAssetContract' ELSE 'TriggerSmartContract' END"
     contract = f"CASE WHEN tx_index = 6 THEN array() ELSE array(struct({kind} AS type, struct({value} AS value) AS parameter)) END"
     item = f"struct(tx_hash AS txID, struct({contract} AS contract) AS raw_data, CASE WHEN status = 'failed' THEN array(struct('REVERT' AS contractRet)) WHEN tx_index = 1 THEN NULL ELSE array(struct('SUCCESS' AS contractRet)) END AS ret)"
-    return _landed(_grouped(spark, sf_dir, item).selectExpr("chain_id", "block_hash AS blockID", "struct(struct(block_number AS number, parent_hash AS parentHash, block_timestamp * 1000 + 7 AS timestamp) AS raw_data) AS block_header", "coalesce(items, array()) AS transactions"), "tron")
+    return _landed(fx.grouped(spark, sf_dir, item).selectExpr("chain_id", "block_hash AS blockID", "struct(struct(block_number AS number, parent_hash AS parentHash, block_timestamp * 1000 + 7 AS timestamp) AS raw_data) AS block_header", "items AS transactions"), "tron")
 
 
 def tron_infos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +51,7 @@ def tron_infos(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bitcoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     script = "CASE tx_index % 3 WHEN 0 THEN struct(cast(NULL AS string) AS address, array('1' || from_address, 'x') AS addresses, 'script' AS type, '' AS asm) WHEN 1 THEN struct('bc' || to_address AS address, array() AS addresses, 'key' AS type, '' AS asm) ELSE struct(cast(NULL AS string) AS address, array() AS addresses, 'nulldata' AS type, 'OP_RETURN' AS asm) END"
     item = f"struct(tx_hash AS txid, array(struct(cast(gas_used AS decimal(20,8)) / 1000 AS value, {script} AS scriptPubKey), struct(cast(0.5 AS decimal(20,8)) AS value, struct('change' AS address, array() AS addresses, 'key' AS type, '' AS asm) AS scriptPubKey)) AS vout)"
-    return _landed(_grouped(spark, sf_dir, item).selectExpr("chain_id", "block_number AS height", "block_hash AS hash", "nullif(parent_hash, '') AS previousblockhash", "block_timestamp AS time", "coalesce(items, array()) AS tx"), "bitcoin")
+    return _landed(fx.grouped(spark, sf_dir, item).selectExpr("chain_id", "block_number AS height", "block_hash AS hash", "nullif(parent_hash, '') AS previousblockhash", "block_timestamp AS time", "items AS tx"), "bitcoin")
 
 
 def sui(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +64,4 @@ def sui(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"struct(struct(status = 'success' AS success) AS status, struct(gas_used AS computation_cost, 5 AS storage_cost) AS gas_used, array({owner.format('from_address')}, {owner.format('to_address')}, {owner.format('to_address')}) AS changed_objects) AS effects, "
         f"CASE WHEN tx_index % 2 = 0 THEN array({native}) ELSE array({native}, {token}) END AS balance_changes)"
     )
-    return _landed(_grouped(spark, sf_dir, item).selectExpr("chain_id", "block_number AS sequence_number", "block_hash AS digest", "struct(parent_hash AS previous_digest, block_timestamp AS timestamp) AS summary", "coalesce(items, array()) AS transactions"), "sui")
+    return _landed(fx.grouped(spark, sf_dir, item).selectExpr("chain_id", "block_number AS sequence_number", "block_hash AS digest", "struct(parent_hash AS previous_digest, block_timestamp AS timestamp) AS summary", "items AS transactions"), "sui")
