@@ -33,49 +33,61 @@ REQUESTS = "chain_id string, state string, at long"
 RELEASES = "chain_id string, since long"
 CURSORS = "chain_id string, block_number long, block_hash string, state string, created_at long, updated_at long"
 MATCHERS = {"evm": watch.watch_evm, "tron": watch.watch_tron, "bitcoin": watch.watch_btc, "sui": watch.watch_sui}
-#: Keys that a chain's waiting events are spread over.
-SHARDS = 16
+#: Keys that a chain's waiting events are spread over, and heights whose waiting events are one entry of the state.
+SHARDS, STRETCH = 16, 256
 
 
 class Finality(StatefulProcessor):
-    """Per chain and shard: events wait by block until a head is deep enough above them; an orphaned block's events go. Repeats count once."""
+    """Per chain and shard: events wait by stretch of heights until a head is deep enough above them; an orphaned block's events go.
+    Repeats count once. The state is asked and changed once for each stretch that a batch touches, not for each block."""
 
     def __init__(self, depth: int):
         self.depth = depth
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getMapState("waiting", "block_number long", "tx_hashes array<string>")
-        #: The head, and a height that no waiting event is under.
+        self.waiting = handle.getMapState("waiting", "stretch long", "block_numbers array<bigint>, tx_hashes array<string>")
+        #: The head, and a stretch that no waiting event is under.
         self.heights = handle.getValueState("heights", "head long, low long")
 
-    def _final(self, low: int, high: int) -> list[int]:
-        """Heights with waiting events up to high: asked for one by one from low on, or the whole map where that is shorter."""
+    def _get(self, stretch: int) -> pd.DataFrame:
+        numbers, hashes = self.waiting.getValue((stretch,)) if self.waiting.containsKey((stretch,)) else ([], [])
+        return pd.DataFrame({"block_number": pd.Series(list(numbers), dtype="int64"), "tx_hash": pd.Series(list(hashes), dtype=object)})
+
+    def _put(self, stretch: int, rows: pd.DataFrame) -> None:
+        if len(rows):
+            self.waiting.updateValue((stretch,), (rows["block_number"].tolist(), rows["tx_hash"].tolist()))
+        elif self.waiting.containsKey((stretch,)):
+            self.waiting.removeKey((stretch,))
+
+    def _reached(self, low: int, high: int) -> list[int]:
+        """Stretches with waiting events up to high: asked for one by one from low on, or the whole map where that is shorter."""
         if high - low <= 10_000:
             return [n for n in range(low, high + 1) if self.waiting.containsKey((n,))]
-        return [k[0] for k in self.waiting.keys() if k[0] <= high]
+        return sorted(k[0] for k in self.waiting.keys() if k[0] <= high)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        head, low = self.heights.get() if self.heights.exists() else (-1, -1)
+        head, low = self.heights.get() if self.heights.exists() else (-1, None)
         for pdf in rows:
             head = max([head, *pdf["block_number"][pdf["kind"] == "head"].astype(int)])
-            for number, new in pdf[pdf["kind"] == "event"].groupby("block_number")["tx_hash"]:
-                k = (int(number),)
-                known = self.waiting.getValue(k)[0] if self.waiting.containsKey(k) else []
-                self.waiting.updateValue(k, (sorted({*known, *new}),))
-                low = k[0] if low < 0 else min(low, k[0])
-            for number in set(pdf["block_number"][pdf["kind"] == "orphan"].astype(int)):
-                if self.waiting.containsKey((number,)):
-                    self.waiting.removeKey((number,))
-        out: list[tuple[int, str]] = []
-        high = head if self.depth else max([head, *(k[0] for k in self.waiting.keys())])
-        if low >= 0 and (self.depth == 0 or head >= self.depth):
-            for number in self._final(low, high - self.depth):
-                out.extend((number, tx) for tx in self.waiting.getValue((number,))[0])
-                self.waiting.removeKey((number,))
-            low = max(low, high - self.depth + 1)
+            pdf = pdf[pdf["kind"] != "head"].astype({"block_number": "int64"})
+            for stretch, new in pdf.groupby(pdf["block_number"] // STRETCH):
+                events, orphans = new[new["kind"] == "event"], new["block_number"][new["kind"] == "orphan"]
+                if len(events) or self.waiting.containsKey((stretch,)):
+                    known = pd.concat([self._get(stretch), events[["block_number", "tx_hash"]]]).drop_duplicates()
+                    self._put(stretch, known[~known["block_number"].isin(orphans)])
+                if len(events):
+                    low = stretch if low is None else min(low, stretch)
+        every = self.depth == 0  # all are final, whatever the head
+        if low is not None and (every or head >= self.depth):
+            top = max([low, *(k[0] for k in self.waiting.keys())]) if every else (head - self.depth) // STRETCH
+            for stretch in self._reached(low, top):
+                known = self._get(stretch)
+                final = known["block_number"] <= (known["block_number"].max() if every else head - self.depth)
+                if final.any():
+                    self._put(stretch, known[~final])
+                    yield known[final].sort_values(["block_number", "tx_hash"]).assign(chain_id=key[0])[["chain_id", "block_number", "tx_hash"]]
+            low = max(low, top)
         self.heights.update((head, low))
-        text = lambda x: pd.Series(x, dtype=object)
-        yield pd.DataFrame({"chain_id": text([key[0]] * len(out)), "block_number": pd.Series([n for n, _ in out], dtype="int64"), "tx_hash": text([t for _, t in out])})
 
     def close(self) -> None:
         pass
@@ -84,13 +96,13 @@ class Finality(StatefulProcessor):
 def finality_stream(rows: DataFrame, depth: int, shards: int = SHARDS) -> DataFrame:
     """rows (chain_id, block_number, tx_hash, kind: event, head or orphan) -> events, once each, when they are final.
 
-    A chain's events are spread over shards by their hash; heads and orphans go to every shard. The session's state store provider
-    must be RocksDB's.
+    A chain's events and orphans are spread over shards by their stretch of heights; heads go to every shard. The session's state
+    store provider must be RocksDB's.
     """
     ship(rows.sparkSession)
     every = F.sequence(F.lit(0), F.lit(shards - 1))
-    own = F.array(F.pmod(F.xxhash64("tx_hash"), F.lit(shards)).cast("int"))
-    dealt = rows.withColumn("shard", F.explode(F.when(F.col("kind") == "event", own).otherwise(every)))
+    own = F.array(F.pmod(F.floor(F.col("block_number") / STRETCH), F.lit(shards)).cast("int"))
+    dealt = rows.filter("block_number IS NOT NULL").withColumn("shard", F.explode(F.when(F.col("kind") == "head", every).otherwise(own)))
     return dealt.groupBy("chain_id", "shard").transformWithStateInPandas(Finality(depth), "chain_id string, block_number long, tx_hash string", "append", "none")
 
 
