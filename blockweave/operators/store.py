@@ -101,6 +101,13 @@ def spans_hit(df: DataFrame, ranges: DataFrame, width: int = 1000) -> DataFrame:
     return keys.join(cut, ["chain_id", "_b"]).filter("block_number BETWEEN lo AND hi").select("chain_id", "block_number").distinct()
 
 
+def within(df: DataFrame, ranges: DataFrame, width: int = 1000) -> DataFrame:
+    """Rows of df (chain_id, block_number, ...) within ranges (chain_id, lo, hi), by the same buckets; df is read once."""
+    cut = ranges.filter("lo <= hi").select(F.col("chain_id").alias("_c"), F.explode(F.sequence(F.expr(f"lo div {width}"), F.expr(f"hi div {width}"))).alias("_b"), "lo", "hi")
+    inside = (F.col("chain_id") == F.col("_c")) & (F.expr(f"block_number div {width}") == F.col("_b")) & F.col("block_number").between(F.col("lo"), F.col("hi"))
+    return df.join(cut, inside, "left_semi")
+
+
 def delete_block_range(blocks: DataFrame, ranges: DataFrame) -> DataFrame:
     """Blocks outside all ranges (chain_id, lo, hi), both ends included."""
     return blocks.join(spans_hit(blocks, ranges), ["chain_id", "block_number"], "left_anti").select(*blocks.columns)

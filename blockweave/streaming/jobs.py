@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import flow, normalize, ranges, reorg, store, watch
-from ..operators.heights import BUCKET
+from ..operators.heights import BUCKET, running, with_last
 from ..operators.store import TX_KEY
 from ..shipping import shared_dir, ship, written
 from ..sources import tables, units
@@ -392,30 +392,43 @@ def retry_queue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def backfill_ingest(queue: DataFrame, raw: DataFrame, family: str, chain: str | Column, wallets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(blocks, transactions) of the heights of pending ranges: filtered by the watch-list, not enriched, without events."""
-    blocks, txs = rescan_ingest(queue.filter("status = 'pending'"), raw, family, chain)
-    return blocks, MATCHERS[family](txs, wallets)
+    """(blocks, transactions) of the heights of pending ranges: filtered by the watch-list, not enriched, without events. The
+    watch-list comes first, so that only what it leaves is dealt by heights."""
+    return rescan_ingest(queue.filter("status = 'pending'"), raw, family, chain, lambda txs: MATCHERS[family](txs, wallets))
 
 
-def rescan_ingest(ranges: DataFrame, raw: DataFrame, family: str, chain: str | Column) -> tuple[DataFrame, DataFrame]:
-    """(blocks, transactions) of the heights of ranges, all of them."""
+def rescan_ingest(ranges_: DataFrame, raw: DataFrame, family: str, chain: str | Column, kept: Callable[[DataFrame], DataFrame] = lambda txs: txs) -> tuple[DataFrame, DataFrame]:
+    """(blocks, transactions) of the heights of ranges, all of them, or what kept keeps of the transactions."""
     to_blocks, to_txs = normalize.NORMALIZERS[family]
-    wanted = ranges.selectExpr("chain_id", "from_block AS lo", "to_block AS hi")
-    blocks = to_blocks(raw, chain)
-    hit = store.spans_hit(blocks, wanted)
-    return blocks.join(hit, BLOCK_KEY, "left_semi"), to_txs(raw, chain).select(*normalize.TX_COLUMNS).join(hit, BLOCK_KEY, "left_semi")
+    wanted = ranges.merge_ranges(ranges_).selectExpr("chain_id", "from_block AS lo", "to_block AS hi")
+    return store.within(to_blocks(raw, chain), wanted), store.within(kept(to_txs(raw, chain).select(*normalize.TX_COLUMNS)), wanted)
 
 
-#: Heights of a chunk of a range, and attempts after which a range is given up.
-CHUNK, MOST_ATTEMPTS = 100, 3
+#: Heights of a chunk of a range, attempts after which a range is given up, and files of a unit's table at most.
+CHUNK, MOST_ATTEMPTS, FILES = 100, 3, 8
 PROGRESS = "chain_id string, from_block long, to_block long, done long, attempts int"
 
 
-def _overlapping(ranges_: DataFrame, spans: DataFrame, width: int = 10_000) -> DataFrame:
-    """ids of ranges (id, chain_id, from_block, to_block) that overlap a span (chain_id, lo, hi, attempts), with the most attempts."""
-    a = ranges_.select("id", "chain_id", "from_block", "to_block", F.explode(F.sequence(F.expr(f"from_block div {width}"), F.expr(f"to_block div {width}"))).alias("_b"))
-    b = spans.select("chain_id", "lo", "hi", "attempts", F.explode(F.sequence(F.expr(f"lo div {width}"), F.expr(f"hi div {width}"))).alias("_b"))
-    return a.join(b, ["chain_id", "_b"]).filter("from_block <= hi AND lo <= to_block").groupBy("id").agg(F.max("attempts").alias("attempts"))
+def _overlapping(ranges_: DataFrame, spans: DataFrame) -> DataFrame:
+    """(id, met, spent): does a range (id, chain_id, from_block, to_block) overlap any of the spans (chain_id, lo, hi, attempts), and any
+    that has been tried MOST_ATTEMPTS times? Spans don't overlap, so of those that begin up to the range's end the last one reaches
+    highest: a lookup for each range, not a comparison with each span."""
+    at = spans.selectExpr("chain_id", "lo * 2 AS block_number", "hi", "attempts", "CAST(NULL AS bigint) AS id", "CAST(NULL AS bigint) AS from_block")
+    asked = ranges_.selectExpr("chain_id", "to_block * 2 + 1 AS block_number", "CAST(NULL AS bigint) AS hi", "CAST(NULL AS int) AS attempts", "id", "from_block")
+    rows = with_last(at.unionByName(asked), F.col("hi"), "_met", 200_000)
+    rows = with_last(rows, F.when(F.col("attempts") >= MOST_ATTEMPTS, F.col("hi")), "_spent", 200_000)
+    reaches = lambda c: F.coalesce(F.col(c) >= F.col("from_block"), F.lit(False))
+    return rows.filter("hi IS NULL").select("id", reaches("_met").alias("met"), reaches("_spent").alias("spent"))
+
+
+def _in_units(chunks: DataFrame, per_unit: int) -> DataFrame:
+    """Adds unit: the number, from 0, of the unit that tries a chunk, per_unit chunks each, the lowest first; null for one given up."""
+    key = ["chain_id", "from_block"]
+    going = chunks.filter(F.col("before") < MOST_ATTEMPTS).select(*key)
+    lower = W.orderBy("chain_id").rowsBetween(W.unboundedPreceding, -1)  # over a row a chain
+    chains = going.groupBy("chain_id").agg(F.count("*").alias("_n")).select("chain_id", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_lower"))
+    ranked = running(going, ["chain_id"], "from_block", ["from_block"], F.lit(1).cast("long"), "_at", 100_000).join(chains, "chain_id")
+    return chunks.join(ranked.select(*key, F.expr(f"(_lower + _at - 1) div {per_unit}").alias("unit")), key, "left")
 
 
 def ingest_ranges(queue: DataFrame, raw: DataFrame, family: str, chain: str | Column, path: str, now: int, wallets: DataFrame | None = None, per_unit: int = 1000, chunk: int = CHUNK, most_units: int | None = None) -> DataFrame:
@@ -440,44 +453,60 @@ def ingest_ranges(queue: DataFrame, raw: DataFrame, family: str, chain: str | Co
 
     # What earlier runs have done goes; what is left is cut into chunks, with the attempts at the heights that weren't there.
     earlier, heights = progress(), ranges.expand_ranges(ranges.merge_ranges(pending))
-    gone = store.spans_hit(heights, earlier.selectExpr("chain_id", "from_block AS lo", "done AS hi"))
+    past = ranges.merge_ranges(earlier.selectExpr("chain_id", "from_block", "done AS to_block"))
+    gone = store.spans_hit(heights, past.selectExpr("chain_id", "from_block AS lo", "to_block AS hi"))
     rest = heights.join(gone, BLOCK_KEY, "left_anti").selectExpr("chain_id", "block_number AS from_block", "block_number AS to_block")
     cut = ranges.split_ranges(ranges.merge_ranges(rest), chunk)
     tried = earlier.filter("done < to_block").groupBy("chain_id", (F.col("done") + 1).alias("_at")).agg(F.max("attempts").alias("attempts"))
     tried = cut.select(*key, F.explode(F.sequence("from_block", "to_block")).alias("_at")).join(tried, ["chain_id", "_at"]).groupBy(*key).agg(F.max("attempts").alias("before"))
-    chunks, work = written(cut.join(tried, key, "left").select(*key, F.coalesce("before", F.lit(0)).alias("before")), "chunks")
-
-    def left() -> DataFrame:
-        """Chunks that aren't done, with how far they are, their attempts, and the unit of this run that tried them."""
-        own = units.latest_rows(progress().filter(F.col("epoch") >= began), key)
-        return chunks.join(own, key, "left").withColumns({"done": F.coalesce("done", F.col("from_block") - 1), "attempts": F.coalesce("attempts", "before")}).filter("done < to_block")
-
-    own, at_grams = {}, None
-    if family == "evm" and wallets is not None:
-        own["grams"], at_grams = written(watch.rarest_grams(watch.watchlist(wallets)), "grams")
-    epoch = began
-    while most_units is None or epoch < began + most_units:
-        todo, at = written(left().filter(F.col("epoch").isNull() & (F.col("attempts") < MOST_ATTEMPTS)).drop("epoch").orderBy("chain_id", "from_block").limit(per_unit), "todo")
-        if todo.isEmpty():
-            tables.delete(spark, at)
-            break
-        wanted = todo.select("chain_id", (F.col("done") + 1).alias("from_block"), "to_block")
-        blocks, txs = rescan_ingest(wanted, raw, family, chain)
-        blocks, at_blocks = written(blocks.filter(F.coalesce(F.col("block_hash") != "", F.lit(False))), "landed")
-        spread = todo.select(*key, "attempts", F.explode(F.sequence(F.col("done") + 1, "to_block")).alias("block_number"))
-        absent = spread.join(blocks.select(*BLOCK_KEY), BLOCK_KEY, "left_anti").groupBy(*key).agg((F.min("block_number") - 1).alias("upto"))
-        after, at_after = written(todo.select(*key, "attempts").join(absent, key, "left").select(*key, F.coalesce("upto", "to_block").alias("done"), (F.col("attempts") + 1).cast("int").alias("attempts")), "after")
-        reached = spread.join(after.select(*key, F.col("done").alias("_done")), key).filter("block_number <= _done").select(*BLOCK_KEY)
-        txs = txs.join(reached, BLOCK_KEY, "left_semi")
-        write_unit(blocks.join(reached, BLOCK_KEY, "left_semi").withColumn("created_at", F.lit(now).cast("long")), MATCHERS[family](txs, wallets, **own) if wallets is not None else txs, spark.createDataFrame([], CURSORS), path, epoch, progress=after)
-        for folder in (at, at_blocks, at_after):
-            tables.delete(spark, folder)
-        epoch += 1
-
-    open_spans = left().select("chain_id", (F.col("done") + 1).alias("lo"), F.col("to_block").alias("hi"), "attempts")
-    still = _overlapping(pending, open_spans)
-    changes = pending.select("id").join(still, "id", "left").select("id", F.when(F.col("attempts").isNull(), "completed").when(F.col("attempts") >= MOST_ATTEMPTS, "failed").alias("new_status"), F.when(F.col("attempts") >= MOST_ATTEMPTS, "max retries exceeded").alias("new_error"))
+    work = []
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        out, at = written(df, name)
+        work.append(at)
+        return out
+
+    def by_unit(df: DataFrame, name: str) -> Callable[[int], DataFrame]:
+        """The table in a folder for each unit; every unit's rows are in few files."""
+        at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        work.append(at)
+        plain = df.drop("unit").schema
+        df.withColumn("_unit", F.col("unit")).repartition("unit", F.pmod(F.hash("chain_id", "block_number" if "block_number" in df.columns else "from_block"), F.lit(FILES))).drop("unit").write.partitionBy("_unit").parquet(at)
+        return lambda n: spark.read.schema(plain).parquet(f"{at}/_unit={n}") if tables.exists(spark, f"{at}/_unit={n}") else spark.createDataFrame([], plain)
+
+    chunks = stage(cut.join(tried, key, "left").select(*key, F.coalesce("before", F.lit(0)).alias("before")), "uncounted")
+    chunks = stage(_in_units(chunks, per_unit), "chunks")
+    last = chunks.agg(F.max("unit")).first()[0]
+    n_units = 0 if last is None else last + 1
+    n_units = n_units if most_units is None else min(n_units, most_units)
+
+    # The raw blocks are read once for all units of this run, not by each.
+    if n_units:
+        to_blocks, to_txs = normalize.NORMALIZERS[family]
+        mine = chunks.filter(F.col("unit") < n_units)
+        spread = mine.select("unit", *key, F.explode(F.sequence("from_block", "to_block")).alias("block_number"))
+        landed = to_blocks(raw, chain).filter(F.coalesce(F.col("block_hash") != "", F.lit(False)))
+        landed = stage(landed.join(spread.select(*BLOCK_KEY, "unit"), BLOCK_KEY), "landed")
+        absent = spread.join(landed.select(*BLOCK_KEY), BLOCK_KEY, "left_anti").groupBy(*key).agg((F.min("block_number") - 1).alias("upto"))
+        after = stage(mine.join(absent, key, "left").select(*key, F.coalesce("upto", "to_block").alias("done"), (F.col("before") + 1).cast("int").alias("attempts"), "unit"), "after")
+        reached = after.filter("from_block <= done").select("chain_id", "unit", F.explode(F.sequence("from_block", "done")).alias("block_number"))
+        txs = to_txs(raw, chain).select(*normalize.TX_COLUMNS)
+        if wallets is not None:
+            own = {"grams": stage(watch.rarest_grams(watch.watchlist(wallets)), "grams")} if family == "evm" else {}
+            txs = MATCHERS[family](txs, wallets, **own)
+        of_unit = {
+            "blocks": by_unit(landed.join(reached, [*BLOCK_KEY, "unit"], "left_semi").withColumn("created_at", F.lit(now).cast("long")), "blocks"),
+            "transactions": by_unit(txs.join(reached, BLOCK_KEY).select(*normalize.TX_COLUMNS, "unit"), "transactions"),
+            "progress": by_unit(after, "progress"),
+        }
+    for n in range(n_units):
+        write_unit(of_unit["blocks"](n), of_unit["transactions"](n), spark.createDataFrame([], CURSORS), path, began + n, progress=of_unit["progress"](n))
+
+    own = units.latest_rows(progress().filter(F.col("epoch") >= began), key)
+    left = chunks.join(own, key, "left").withColumns({"done": F.coalesce("done", F.col("from_block") - 1), "attempts": F.coalesce("attempts", "before")}).filter("done < to_block")
+    still = _overlapping(pending, left.select("chain_id", (F.col("done") + 1).alias("lo"), F.col("to_block").alias("hi"), "attempts"))
+    changes = still.select("id", F.when(~F.col("met"), "completed").when(F.col("spent"), "failed").alias("new_status"), F.when(F.col("spent"), "max retries exceeded").alias("new_error"))
     out, _ = written(ranges.mark_ranges(queue, changes.filter("new_status IS NOT NULL"), now), "queue")
-    for folder in (work, at_grams) if at_grams else (work,):
+    for folder in work:
         tables.delete(spark, folder)
     return out
