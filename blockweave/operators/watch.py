@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,8 @@ from .store import TX_KEY
 
 #: Least bits of a Bloom filter, bits for a key, and hashes: about one false hit in a hundred.
 BITS, PER_KEY, HASHES = 100_000, 10, 7
-#: Characters of the stretches that watched texts are looked for by, and bits of their array at most (16 MB).
-Q, MOST_BITS = 16, 1 << 27
+#: Bits of the array at most (16 MB) that tells what may be watched.
+MOST_BITS = 1 << 27
 #: Watched texts of fewer characters aren't looked for within raw data.
 LEAST = 30
 
@@ -30,16 +32,18 @@ def _touching(txs: DataFrame, watched: DataFrame, columns: dict[str, Column]) ->
     return sides.join(watched, "address", "left_semi").select(*TX_KEY).distinct()
 
 
-def _grams(text: Column) -> Column:
-    """All stretches of Q characters of a text, each once."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{Q}}}))"), F.lit(1)))
+def _grams(text: Column, q: int, of: str = ".") -> Column:
+    """All stretches of q characters of a text, each once; of is the class of their characters."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=({of}{{{q}}}))"), F.lit(1)))
 
 
 def rarest_grams(watched: DataFrame) -> DataFrame:
-    """(gram, watched_text): of every watched text of LEAST characters or more, without 0x, the stretch of Q characters that fewest
-    of them have; of equal ones that of most different characters, then the first by order."""
+    """(gram, watched_text): of every watched text of LEAST characters or more, without 0x, the stretch that fewest of them have, as
+    long as the shortest of them; of equal ones that of most different characters, then the first by order. Texts of one length are
+    their own stretches."""
     plain = watched.filter(F.length("address") >= LEAST).select(F.regexp_replace("address", "^0x", "").alias("watched_text")).distinct()
-    every = plain.select("watched_text", F.explode(_grams(F.col("watched_text"))).alias("gram"))
+    q = plain.agg(F.min(F.length("watched_text"))).first()[0] or LEAST
+    every = plain.select("watched_text", F.explode(_grams(F.col("watched_text"), q)).alias("gram"))
     common = every.groupBy("gram").agg(F.count("*").alias("n"))
     variety = F.size(F.array_distinct(F.split("gram", "")))
     best = every.join(common, "gram").groupBy("watched_text").agg(F.min(F.struct("n", (-variety).alias("variety"), "gram")).alias("best"))
@@ -54,36 +58,42 @@ def _bit_array(keys: DataFrame, bits: int) -> DataFrame:
     return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bit"))), lambda x: x["bit"]).alias("_words"))
 
 
-def _within(txs: DataFrame, grams: DataFrame) -> DataFrame:
-    """Keys of the transactions whose raw data holds a watched text of LEAST characters or more, without 0x, in any case.
-
-    A watched text is looked for by its rarest stretch of Q characters. Every stretch of the raw data is tried against a bit array
-    of those (grams, see rarest_grams), in one pass and without a row for it; what passes becomes a row, is joined with the
-    stretches, and holds the whole text or not. So rows are as many as candidates. The bit array grows with the watch-list up to MOST_BITS; with longer
-    lists more candidates pass, and none is lost.
-    """
-    bits = -(-min(MOST_BITS, max(BITS, 2 * PER_KEY * grams.count())) // 64) * 64
+def possible(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test of texts against keys (one column) that lets all keys through and few others, by an array of bits that grows with the
+    keys up to MOST_BITS. The array is a scalar subquery: each task has it once, and no row carries it."""
+    keys = keys.toDF("gram")
+    bits = -(-min(MOST_BITS, max(BITS, 2 * PER_KEY * keys.count())) // 64) * 64
+    words = _bit_array(keys, bits).scalar()
     at = lambda g: F.pmod(F.xxhash64(g), F.lit(bits))
-    is_set = lambda g: F.getbit(F.get("_words", (at(g) / 64).cast("int")), (at(g) % 64).cast("int")) == 1
-    texts = txs.select(*TX_KEY, F.lower("raw_data").alias("_text")).crossJoin(F.broadcast(_bit_array(grams, bits)))  # one row of MOST_BITS at most
-    found = texts.select(*TX_KEY, "_text", F.filter(_grams(F.col("_text")), is_set).alias("_found")).filter(F.size("_found") > 0)
-    rows = found.select(*TX_KEY, "_text", F.explode("_found").alias("gram"))
-    return rows.join(grams, "gram").filter(F.col("_text").contains(F.col("watched_text"))).select(*TX_KEY)
+    return lambda g: F.coalesce(F.getbit(F.get(words, (at(g) / 64).cast("int")), (at(g) % 64).cast("int")) == 1, F.lit(False))
 
 
-def watch_evm(txs: DataFrame, wallets: DataFrame, raw: bool = True, grams: DataFrame | None = None) -> DataFrame:
-    """Sender or recipient watched in any case, or raw_data of the type ERC20, or a watched text of LEAST characters within raw_data.
+def watch_evm(txs: DataFrame, wallets: DataFrame, raw: bool = True, grams: DataFrame | None = None, cut: Callable[[DataFrame, str], DataFrame] = lambda df, name: written(df, name)[0]) -> DataFrame:
+    """Sender or recipient watched in any case, or raw_data of the type ERC20, or a watched text of LEAST characters within raw_data,
+    without 0x and in any case.
 
+    Transactions are gone through once: those whose sender, recipient or a stretch of whose raw data may be watched, by an array of
+    bits, are candidates. They are written (by cut) and joined with the watch-list and with the stretches of watched texts (grams, see
+    rarest_grams), and hold the whole text or not. With longer lists more candidates pass, and none is lost.
     Without raw, raw_data is left out. grams: rarest_grams of the watch-list, where they have been written already.
     """
     watched = watchlist(wallets)
-    keys = _touching(txs, watched, {"from": F.lower("from_address"), "to": F.lower("to_address")})
     if not raw:
-        return txs.join(keys, TX_KEY, "left_semi")
-    grams = written(rarest_grams(watched), "grams")[0] if grams is None else grams
-    keys = keys.union(_within(txs.filter(F.length("raw_data") >= LEAST - 2), grams)).distinct().withColumn("_hit", F.lit(True))
+        return txs.join(_touching(txs, watched, {"from": F.lower("from_address"), "to": F.lower("to_address")}), TX_KEY, "left_semi")
+    grams = cut(rarest_grams(watched), "grams") if grams is None else grams
+    q, plain = grams.agg(F.min(F.length("gram")), F.bool_and(F.col("gram").rlike("^[0-9a-z]+$"))).first()
+    may = possible(watched.select("address").union(grams.select("gram")))
     marked = F.coalesce(F.get_json_object("raw_data", "$.type") == "ERC20", F.lit(False))
-    return txs.join(keys, TX_KEY, "left").filter(F.coalesce("_hit", F.lit(False)) | marked).select(*txs.columns)
+    text = F.lower("raw_data")
+    stretches = F.posexplode_outer(_grams(text, q or LEAST, "[0-9a-z]" if plain else ".")).alias("_pos", "gram")
+    rows = txs.withColumn("_id", F.monotonically_increasing_id()).select("*", stretches)
+    near = may(F.col("gram")) | (F.coalesce("_pos", F.lit(0)) == 0) & (may(F.lower("from_address")) | may(F.lower("to_address")) | marked)
+    candidates = cut(rows.filter(near).drop("_pos"), "candidates")
+    sides = F.explode(F.array_distinct(F.array(F.lower("from_address"), F.lower("to_address")))).alias("address")
+    touching = candidates.select("_id", sides).join(watched, "address", "left_semi").select("_id")
+    within = candidates.select("_id", text.alias("_text"), "gram").join(grams, "gram").filter(F.col("_text").contains(F.col("watched_text"))).select("_id")
+    keys = touching.union(within).distinct().withColumn("_hit", F.lit(True))
+    return candidates.dropDuplicates(["_id"]).join(keys, "_id", "left").filter(F.coalesce("_hit", F.lit(False)) | marked).select(*txs.columns)
 
 
 def watch_tron(txs: DataFrame, wallets: DataFrame) -> DataFrame:

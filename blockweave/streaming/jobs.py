@@ -281,7 +281,7 @@ def index_batch(
     if prefilter:
         found = cut(found, "found")
         found = found.join(watch.relevant_blocks(found, wallets).filter("relevant"), BLOCK_KEY, "left_semi")
-    own = {"grams": cut(watch.rarest_grams(watch.watchlist(wallets)), "grams")} if family == "evm" else {}
+    own = {"grams": cut(watch.rarest_grams(watch.watchlist(wallets)), "grams"), "cut": cut} if family == "evm" else {}
     matched = MATCHERS[family](found, wallets, **own)
     if receipts is not None:
         matched = normalize.evm_enrich(matched, receipts) if family == "evm" else normalize.tron_enrich(matched, receipts)
@@ -492,7 +492,7 @@ def ingest_ranges(queue: DataFrame, raw: DataFrame, family: str, chain: str | Co
         reached = after.filter("from_block <= done").select("chain_id", "unit", F.explode(F.sequence("from_block", "done")).alias("block_number"))
         txs = to_txs(raw, chain).select(*normalize.TX_COLUMNS)
         if wallets is not None:
-            own = {"grams": stage(watch.rarest_grams(watch.watchlist(wallets)), "grams")} if family == "evm" else {}
+            own = {"grams": stage(watch.rarest_grams(watch.watchlist(wallets)), "grams"), "cut": stage} if family == "evm" else {}
             txs = MATCHERS[family](txs, wallets, **own)
         of_unit = {
             "blocks": by_unit(landed.join(reached, [*BLOCK_KEY, "unit"], "left_semi").withColumn("created_at", F.lit(now).cast("long")), "blocks"),
