@@ -15,15 +15,14 @@ def digits_of(text: Column) -> Column:
 
 
 def hex_long(text: Column) -> Column:
-    """A hexadecimal number as long; null if it isn't one or doesn't fit."""
-    digits = digits_of(text)
-    zero = F.coalesce(text, F.lit("")).rlike("^(?:0[xX])?0+$")
-    return F.when(zero, F.lit(0).cast("long")).when((digits != "") & (F.length(digits) <= 15), F.conv(digits, 16, 10).cast("long"))
+    """A hexadecimal number as long; null if it isn't one or doesn't fit. Up to 15 digits need one match and one conversion."""
+    short = F.when(text.rlike("^(?:0[xX])?0*[0-9a-fA-F]{1,15}\\z"), F.when(F.substring(text, 2, 1).isin("x", "X"), F.substring(text, 3, 1 << 30)).otherwise(text))
+    return F.conv(F.right(short, F.lit(15)), 16, 10).cast("long")
 
 
 def hex_decimal(text: Column) -> Column:
     """A hexadecimal number as decimal text; '0' for an empty, null or invalid one. Wide ones are added up in limbs of nine decimals."""
-    digits = digits_of(text)
+    digits, short = digits_of(text), hex_long(text)
     base, shift = 10**_LIMB, 16**_STEP
     padded = F.lpad(digits, (F.ceil(F.length(digits) / _STEP) * _STEP).cast("int"), F.lit("0"))
     steps = F.transform(F.sequence(F.lit(0), (F.length(padded) / _STEP - 1).cast("int")), lambda i: F.conv(F.substring(padded, i * _STEP + 1, F.lit(_STEP)), 16, 10).cast("long"))
@@ -41,4 +40,4 @@ def hex_decimal(text: Column) -> Column:
 
     limbs = F.aggregate(steps, F.array().cast("array<bigint>"), add)
     wide = F.regexp_replace(F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), _LIMB, "0")), ""), "^0+", "")
-    return F.when(digits == "", F.lit("0")).when(F.length(digits) <= 15, F.conv(digits, 16, 10)).otherwise(wide)
+    return F.coalesce(short.cast("string"), F.when(digits == "", F.lit("0")).otherwise(wide))

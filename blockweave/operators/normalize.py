@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import hex_decimal, hex_long
+from .watch import possible
 
 #: The Transfer topic of ERC-20 logs, the call of a TRC-20 transfer, energy's price in SUN, the native coin of Sui.
 TRANSFER = "0xddf252ad1be2c89b69c2b068fc378daa952ba7f163c4a11628f55a4df523b3ef"
@@ -23,6 +24,11 @@ def _tx(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*(columns.get(c, F.lit(None)).cast(KINDS.get(c, "string")).alias(c) for c in TX_COLUMNS))
 
 
+def _own() -> Column:
+    """Joins a transaction with its row (_c, _h). The hash comes first: it is what tells rows apart when they are sorted."""
+    return (F.col("tx_hash") == F.col("_h")) & (F.col("chain_id") == F.col("_c"))
+
+
 def _chain(chain: str | Column) -> Column:
     """The chain's name, or the column of raw rows that has it."""
     return chain if isinstance(chain, Column) else F.lit(chain)
@@ -37,14 +43,15 @@ def evm_blocks(raw: DataFrame, chain: str | Column) -> DataFrame:
 
 
 def evm_transactions(raw: DataFrame, chain: str | Column) -> DataFrame:
-    t = raw.select(_chain(chain).alias("chain_id"), "number", "hash", "timestamp", F.posexplode("transactions").alias("at", "t"))
-    return _tx(t, chain_id=F.col("chain_id"), tx_hash=F.col("t.hash"), block_number=hex_long(F.col("number")), block_hash=F.col("hash"), tx_index=F.coalesce(hex_long(F.col("t.transactionIndex")), F.col("at")), from_address=F.lower("t.from"), to_address=F.lower(F.coalesce("t.to", F.lit(""))), value=hex_decimal(F.col("t.value")), tx_type=F.lit("native"), gas_price=hex_decimal(F.col("t.gasPrice")), status=F.lit("success"), block_timestamp=hex_long(F.col("timestamp")), raw_data=F.to_json("t"))
+    b = raw.select(_chain(chain).alias("chain_id"), hex_long(F.col("number")).alias("number"), "hash", hex_long(F.col("timestamp")).alias("timestamp"), "transactions")
+    t = b.select("chain_id", "number", "hash", "timestamp", F.posexplode("transactions").alias("at", "t"))
+    return _tx(t, chain_id=F.col("chain_id"), tx_hash=F.col("t.hash"), block_number=F.col("number"), block_hash=F.col("hash"), tx_index=F.coalesce(hex_long(F.col("t.transactionIndex")), F.col("at")), from_address=F.lower("t.from"), to_address=F.lower(F.coalesce("t.to", F.lit(""))), value=hex_decimal(F.col("t.value")), tx_type=F.lit("native"), gas_price=hex_decimal(F.col("t.gasPrice")), status=F.lit("success"), block_timestamp=F.col("timestamp"), raw_data=F.to_json("t"))
 
 
 def evm_enrich(txs: DataFrame, receipts: DataFrame) -> DataFrame:
     """gas_used of the receipt, and failed where its status is 0x0; without a receipt a row stays."""
     r = receipts.select(F.col("chain_id").alias("_c"), F.col("transactionHash").alias("_h"), hex_long(F.col("gasUsed")).alias("_gas"), F.col("status").alias("_status"))
-    joined = txs.join(r, (F.col("chain_id") == F.col("_c")) & (F.col("tx_hash") == F.col("_h")), "left")
+    joined = txs.join(r, _own(), "left")
     return joined.withColumns({"gas_used": F.coalesce("_gas", "gas_used"), "status": F.when(F.col("_status") == "0x0", F.lit("failed")).otherwise(F.col("status"))}).select(*txs.columns)
 
 
@@ -53,16 +60,20 @@ def evm_erc20_transfers(receipts: DataFrame, wallets: DataFrame) -> DataFrame:
     logs = receipts.select("chain_id", F.col("transactionHash").alias("tx_hash"), F.posexplode("logs").alias("log_index", "l")).filter((F.size("l.topics") >= 3) & (F.lower(F.get("l.topics", F.lit(0))) == TRANSFER))
     address = lambda i: F.concat(F.lit("0x"), F.lower(F.right(F.get("l.topics", F.lit(i)), F.lit(40))))
     rows = logs.select("chain_id", "tx_hash", "log_index", F.lower("l.address").alias("token"), address(1).alias("from_address"), address(2).alias("to_address"), hex_decimal(F.col("l.data")).alias("amount"))
-    keys = rows.select("chain_id", "tx_hash", "log_index", F.explode(F.array_distinct(F.array("from_address", "to_address", "token"))).alias("address"))
-    hit = keys.join(wallets.select(F.lower("address").alias("address")).distinct(), "address", "left_semi").select("chain_id", "tx_hash", "log_index").distinct()
-    return rows.join(hit, ["chain_id", "tx_hash", "log_index"], "left_semi")
+    watched = wallets.select(F.lower("address").alias("_address"), F.lit(True).alias("_hit")).distinct()
+    may = possible(watched.select("_address"))
+    rows = rows.filter(may(F.col("from_address")) | may(F.col("to_address")) | may(F.col("token")))  # so that few are joined
+    for c in ("from_address", "to_address", "token"):
+        rows = rows.join(watched.withColumnsRenamed({"_address": f"_{c}", "_hit": f"_hit_{c}"}), F.col(c) == F.col(f"_{c}"), "left")
+    hit = F.col("_hit_from_address") | F.col("_hit_to_address") | F.col("_hit_token")
+    return rows.filter(hit).select("chain_id", "tx_hash", "log_index", "token", "from_address", "to_address", "amount")
 
 
 def evm_apply_transfers(txs: DataFrame, transfers: DataFrame) -> DataFrame:
     """The first transfer in log order fills the token columns; a single one also recipient, value and raw_data, several raw_data as a tagged list."""
     one = F.struct("log_index", "token", "from_address", "to_address", "amount")
     found = transfers.groupBy(F.col("chain_id").alias("_c"), F.col("tx_hash").alias("_h")).agg(F.sort_array(F.collect_list(one)).alias("_all"))
-    joined = txs.join(found, (F.col("chain_id") == F.col("_c")) & (F.col("tx_hash") == F.col("_h")), "left")
+    joined = txs.join(found, _own(), "left")
     first, n = F.get("_all", F.lit(0)), F.size("_all")
     has, single = F.col("_all").isNotNull(), F.col("_all").isNotNull() & (n == 1)
     item = lambda t: F.struct(t["token"].alias("token"), t["from_address"].alias("from"), t["to_address"].alias("to"), t["amount"].alias("amount"))
@@ -107,7 +118,7 @@ def tron_transactions(raw: DataFrame, chain: str | Column) -> DataFrame:
 def tron_enrich(txs: DataFrame, infos: DataFrame) -> DataFrame:
     gas = F.coalesce("receipt.energy_usage", F.lit(0)) + F.expr(f"coalesce(receipt.energy_fee, 0) div {ENERGY_PRICE}")
     i = infos.select(F.col("chain_id").alias("_c"), F.col("id").alias("_h"), F.col("fee").alias("_fee"), gas.alias("_gas"))
-    joined = txs.join(i, (F.col("chain_id") == F.col("_c")) & (F.col("tx_hash") == F.col("_h")), "left")
+    joined = txs.join(i, _own(), "left")
     return joined.withColumns({"gas_price": F.coalesce(F.col("_fee").cast("string"), "gas_price"), "gas_used": F.coalesce("_gas", "gas_used")}).select(*txs.columns)
 
 

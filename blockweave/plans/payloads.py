@@ -14,8 +14,13 @@ def chain() -> Column:
     return F.col("chain_id")
 
 
+def _parsed(df: DataFrame, schema_) -> DataFrame:
+    """Rows as JSON, parsed once: what is asked of a generator's columns later on isn't pushed below it, to parse each row again."""
+    return df.select(F.inline(F.array(F.from_json(F.to_json(F.struct("*")), schema_))))
+
+
 def _landed(df: DataFrame, family: str) -> DataFrame:
-    return df.select(F.from_json(F.to_json(F.struct("*")), schema(family, keyed=True)).alias("r")).select("r.*")
+    return _parsed(df, schema(family, keyed=True))
 
 
 def evm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +35,7 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = f"struct('0xA0' || lpad(tx_index, 38, '0') AS address, array('{TRANSFER}', {pad.format('from_address')}, {pad.format('to_address')}) AS topics, '0x' || lpad(hex(cast(value AS bigint)), 64, '0') AS data)"
     t = fx.transactions(spark, sf_dir).filter("gas_used % 3 <> 0")
     made = t.selectExpr("chain_id", "tx_hash AS transactionHash", "'0x' || lower(hex(gas_used)) AS gasUsed", "CASE WHEN status = 'failed' THEN '0x0' ELSE '0x1' END AS status", f"CASE WHEN tx_index = 1 THEN array({log}, {log}) ELSE array({log}) END AS logs")
-    return made.select(F.from_json(F.to_json(F.struct("*")), EVM_RECEIPT).alias("r")).select("r.*")
+    return _parsed(made, EVM_RECEIPT)
 
 
 def tron(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +50,7 @@ def tron(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tron_infos(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = fx.transactions(spark, sf_dir).filter("gas_used % 3 <> 0")
     made = t.selectExpr("chain_id", "tx_hash AS id", "gas_used * 10 AS fee", "struct(gas_used AS energy_usage, gas_used * 500 AS energy_fee) AS receipt", "array(struct('log' || tx_index AS address, array('t1', 't2') AS topics, '00' AS data)) AS log")
-    return made.select(F.from_json(F.to_json(F.struct("*")), TRON_INFO).alias("r")).select("r.*")
+    return _parsed(made, TRON_INFO)
 
 
 def bitcoin(spark: SparkSession, sf_dir: str) -> DataFrame:
