@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import PART, WIDTH, merge_into, parts, range_parts
-from . import store
+from ..shipping import written
+from ..sources.tables import PART, WIDTH, delete, merge_into, parts, range_parts, together
+from . import store, watch
 
 
 def upsert_blocks(path: str, incoming: DataFrame, order: str = "block_hash", width: int = WIDTH) -> int:
@@ -18,12 +19,22 @@ def insert_transactions(path: str, incoming: DataFrame, order: str = "tx_index",
 
 
 def set_status(path: str, keys: DataFrame, status: str, width: int = WIDTH) -> int:
-    """Keys without a height, as hashes are, are looked up first: of the table only their columns are read for that."""
-    if "block_number" in keys.columns:
-        touched = parts(keys, width)
-    else:
-        touched = keys.sparkSession.read.parquet(path).select(*keys.columns, *PART).join(keys.distinct(), keys.columns, "left_semi").select(*PART).distinct()
-    return merge_into(keys.sparkSession, path, touched, lambda old: store.set_status(old, keys, status), width)
+    """Keys without a height, as hashes are, are looked up first: of the table only their columns are read for that. Keys are written,
+    and rows tried against an array of bits: those that can't have a key stay where they are, and only the others are joined."""
+    spark, columns = keys.sparkSession, keys.columns
+    if "block_number" in columns:
+        return merge_into(spark, path, parts(keys, width), lambda old: store.set_status(old, keys, status), width)
+    keys, at = written(keys.distinct(), "keys")
+    near = watch.possible(keys.select(F.struct(*columns)))(F.struct(*columns))
+    touched = spark.read.parquet(path).filter(near).select(*columns, *PART).join(keys, columns, "left_semi").select(*PART).distinct()
+
+    def marked(old: DataFrame) -> DataFrame:
+        found = store.set_status(old.filter(near), keys, status)
+        return old.filter(~near).unionByName(together(found, width).select(*old.columns))
+
+    n = merge_into(spark, path, touched, marked, width, dealt=True)
+    delete(spark, at)
+    return n
 
 
 def delete_block_range(path: str, ranges: DataFrame, width: int = WIDTH) -> int:
