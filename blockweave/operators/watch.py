@@ -68,6 +68,12 @@ def possible(keys: DataFrame) -> Callable[[Column], Column]:
     return lambda g: F.coalesce(F.getbit(F.get(words, (at(g) / 64).cast("int")), (at(g) % 64).cast("int")) == 1, F.lit(False))
 
 
+def may_touch(txs: DataFrame, wallets: DataFrame) -> DataFrame:
+    """Transactions of which the sender or the recipient may be watched, in any case: all that are, and few others. No shuffle."""
+    may = possible(watchlist(wallets))
+    return txs.filter(may(F.lower("from_address")) | may(F.lower("to_address")))
+
+
 def watch_evm(txs: DataFrame, wallets: DataFrame, raw: bool = True, grams: DataFrame | None = None, cut: Callable[[DataFrame, str], DataFrame] = lambda df, name: written(df, name)[0]) -> DataFrame:
     """Sender or recipient watched in any case, or raw_data of the type ERC20, or a watched text of LEAST characters within raw_data,
     without 0x and in any case.

@@ -13,6 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import CODEC
 from . import tables
 
 #: What of a table's rows is the same row, of which the latest counts. Of other tables all rows count, or the last unit's alone.
@@ -92,7 +93,7 @@ def write_unit(blocks: DataFrame, txs: DataFrame, cursors: DataFrame, path: str,
     written = {name: (epoch, f"{path}/data/{name}/{epoch}-{uuid.uuid4().hex}") for name in frames}
 
     def write(name: str) -> None:
-        frames[name].withColumn("epoch", F.lit(epoch).cast("long")).write.parquet(written[name][1])
+        frames[name].withColumn("epoch", F.lit(epoch).cast("long")).write.option("compression", CODEC).parquet(written[name][1])
 
     with ThreadPoolExecutor(4) as pool:  # several small jobs at a time
         list(pool.map(write, frames))
@@ -145,13 +146,13 @@ def fold(spark: SparkSession, path: str, keys: dict[str, list[str]] | None = Non
             carried.append(tuple(e)[:6])
         elif name in (kept or {}):
             at = f"{path}/data/{name}/fold-{upto}-{uuid.uuid4().hex}"
-            kept[name](units.table(name)).write.parquet(at)
+            kept[name](units.table(name)).write.option("compression", CODEC).parquet(at)
             written[name] = (upto, at)
         elif name not in KEYS:
             carried += [tuple(e)[:6] for e in units.carried if e["name"] == name]
             if new is not None and any(e["rows"] for e in units.entries if e["name"] == name):
                 at = f"{path}/data/{name}/fold-{upto}-{uuid.uuid4().hex}"
-                new.write.parquet(at)
+                new.write.option("compression", CODEC).parquet(at)
                 written[name] = (upto, at)
     rows = [*carried, *_entries(spark, written), (upto, "", "", 0, None, None)]
     spark.createDataFrame(rows, ENTRY).coalesce(1).write.mode("overwrite").parquet(f"{path}/folded/base={upto}")
@@ -171,4 +172,4 @@ def _sweep(spark: SparkSession, path: str, upto: int, kept: set[str]) -> None:
 
 def write_events(events: DataFrame, path: str, epoch: int) -> None:
     """Events of one batch, single, many or reverted ones alike; a repeated epoch overwrites itself."""
-    events.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    events.write.mode("overwrite").option("compression", CODEC).parquet(f"{path}/epoch={epoch}")

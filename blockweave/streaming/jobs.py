@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..operators import flow, normalize, ranges, reorg, store, watch
 from ..operators.heights import BUCKET, running, with_last
 from ..operators.store import TX_KEY
-from ..shipping import shared_dir, ship, written
+from ..shipping import CODEC, drop_shuffles, shared_dir, ship, written
 from ..sources import tables, units
 from ..sources.units import current, latest_rows, read_units, write_events, write_unit
 
@@ -235,7 +235,7 @@ def index_batch(
 
     def cut(df: DataFrame, name: str) -> DataFrame:
         """Written and read again: computed once, and later plans start from here."""
-        df.write.parquet(f"{work}/{name}")
+        df.write.option("compression", CODEC).parquet(f"{work}/{name}")
         return spark.read.schema(df.schema).parquet(f"{work}/{name}")
 
     islands = spark.createDataFrame([], ISLANDS) if islands is None else islands
@@ -277,12 +277,19 @@ def index_batch(
         limit = reorgs.select("chain_id", F.when(F.col("too_deep"), F.col("block_number") - 1).otherwise(F.col("safe_block")).alias("_limit"))
         accepted = cut(new.join(limit, "chain_id", "left").filter("_limit IS NULL OR block_number <= _limit").drop("_limit"), "accepted")
 
-    found = to_txs(raw, chain).select(*normalize.TX_COLUMNS).join(accepted.select(*BLOCK_KEY, "block_hash"), [*BLOCK_KEY, "block_hash"], "left_semi").select(*normalize.TX_COLUMNS)
+    found, landed = to_txs(raw, chain).select(*normalize.TX_COLUMNS), accepted.select(*BLOCK_KEY, "block_hash")
+    of_landed = lambda txs: txs.join(landed, [*BLOCK_KEY, "block_hash"], "left_semi").select(*normalize.TX_COLUMNS)
+    of_relevant = lambda txs: txs
     if prefilter:
-        found = cut(found, "found")
-        found = found.join(watch.relevant_blocks(found, wallets).filter("relevant"), BLOCK_KEY, "left_semi")
-    own = {"grams": cut(watch.rarest_grams(watch.watchlist(wallets)), "grams"), "cut": cut} if family == "evm" else {}
-    matched = MATCHERS[family](found, wallets, **own)
+        near = of_landed(watch.may_touch(found, wallets))
+        relevant = cut(watch.relevant_blocks(near, wallets).filter("relevant").select(*BLOCK_KEY), "relevant")
+        of_relevant = lambda txs: txs.join(relevant, BLOCK_KEY, "left_semi")
+        found = found.filter(watch.possible(relevant.select(F.struct(*BLOCK_KEY)))(F.struct(*BLOCK_KEY)))
+    if family == "evm":  # the watch-list goes by rows, so it comes first, and only what it leaves is shuffled
+        own = {"grams": cut(watch.rarest_grams(watch.watchlist(wallets)), "grams"), "cut": cut}
+        matched = of_relevant(of_landed(watch.watch_evm(found, wallets, **own)))
+    else:
+        matched = MATCHERS[family](of_relevant(of_landed(found)), wallets)
     if receipts is not None:
         matched = normalize.evm_enrich(matched, receipts) if family == "evm" else normalize.tron_enrich(matched, receipts)
     matched = cut(matched.select(*normalize.TX_COLUMNS), "matched")
@@ -330,6 +337,7 @@ def live_index(
 
     def batch(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
+        drop_shuffles(spark)
         done = units.Units(spark, path)
         if done.has(epoch):
             return
@@ -343,7 +351,7 @@ def live_index(
             going = cursors.filter(f"NOT {STOPPED}").select(F.col("chain_id").alias("_chain"))
             df = df.unionByName(_waiting(done.table("held"), name, releases).join(going, "_chain", "left_semi").select(*df.columns))
             releases = releases.join(going, F.col("chain_id") == F.col("_chain"), "left_anti").unionByName(going.select(F.col("_chain").alias("chain_id"), F.lit(epoch).cast("long").alias("since")))
-        df = df.persist()
+        df, landed = written(df, "landed")
         lo, hi = normalize.NORMALIZERS[family][0](df, chain).agg(F.min("block_number"), F.max("block_number")).first()
         if lo is not None and done.latest >= 0:
             near = lambda name, key: current(done.table(name, lo - max_depth - 1, hi), key)
@@ -355,8 +363,8 @@ def live_index(
         others = {name: out[name] for name in ("missing", "reorgs", "failures", "held", "islands") if name in out}
         others["failures"] = others["failures"].withColumn("failed_at", F.lit(int(time.time())).cast("long"))
         write_unit(out["blocks"], out["transactions"], out["cursors"], path, epoch, releases=releases, **others)
-        tables.delete(spark, out["work"])
-        df.unpersist()
+        for folder in (out["work"], landed):
+            tables.delete(spark, folder)
         if epoch % fold_every == fold_every - 1:
             units.fold(spark, path, keys, {"held": lambda rows: _waiting(rows, name, units.Units(spark, path).last("releases")).drop("_chain")})
 
