@@ -6,7 +6,10 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,64 +38,103 @@ CURSORS = "chain_id string, block_number long, block_hash string, state string,
 MATCHERS = {"evm": watch.watch_evm, "tron": watch.watch_tron, "bitcoin": watch.watch_btc, "sui": watch.watch_sui}
 #: Keys that a chain's waiting events are spread over, and heights whose waiting events are one entry of the state.
 SHARDS, STRETCH = 16, 256
+#: Rows of a key that are held before they go into the state, stretches of a key that a table's heights should not much exceed, and
+#: the waiting events of a stretch.
+TAKEN, STRETCHES, WAITING = 100_000, 128, pa.schema([("block_number", pa.int64()), ("tx_hash", pa.string())])
 
 
 class Finality(StatefulProcessor):
     """Per chain and shard: events wait by stretch of heights until a head is deep enough above them; an orphaned block's events go.
-    Repeats count once. The state is asked and changed once for each stretch that a batch touches, not for each block."""
+    Repeats count once. A key's stretches lie step apart. The state is asked and changed once for each stretch that TAKEN rows of a
+    batch touch, not for each block, and a stretch is one compressed value, not a list of texts to convert one by one."""
 
-    def __init__(self, depth: int):
-        self.depth = depth
+    def __init__(self, depth: int, step: int = 1):
+        self.depth, self.step = depth, step
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getMapState("waiting", "stretch long", "block_numbers array<bigint>, tx_hashes array<string>")
+        self.waiting = handle.getMapState("waiting", "stretch long", "events binary")
         #: The head, and a stretch that no waiting event is under.
         self.heights = handle.getValueState("heights", "head long, low long")
 
-    def _get(self, stretch: int) -> pd.DataFrame:
-        numbers, hashes = self.waiting.getValue((stretch,)) if self.waiting.containsKey((stretch,)) else ([], [])
-        return pd.DataFrame({"block_number": pd.Series(list(numbers), dtype="int64"), "tx_hash": pd.Series(list(hashes), dtype=object)})
+    def _get(self, stretch: int) -> pa.Table:
+        if not self.waiting.containsKey((stretch,)):
+            return WAITING.empty_table()
+        return pa.ipc.open_stream(self.waiting.getValue((stretch,))[0]).read_all()
 
-    def _put(self, stretch: int, rows: pd.DataFrame) -> None:
+    def _put(self, stretch: int, rows: pa.Table) -> None:
         if len(rows):
-            self.waiting.updateValue((stretch,), (rows["block_number"].tolist(), rows["tx_hash"].tolist()))
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, WAITING, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_table(rows)
+            self.waiting.updateValue((stretch,), (out.getvalue().to_pybytes(),))
         elif self.waiting.containsKey((stretch,)):
             self.waiting.removeKey((stretch,))
 
     def _reached(self, low: int, high: int) -> list[int]:
         """Stretches with waiting events up to high: asked for one by one from low on, or the whole map where that is shorter."""
-        if high - low <= 10_000:
-            return [n for n in range(low, high + 1) if self.waiting.containsKey((n,))]
+        if (high - low) // self.step <= 10_000:
+            return [n for n in range(low, high + 1, self.step) if self.waiting.containsKey((n,))]
         return sorted(k[0] for k in self.waiting.keys() if k[0] <= high)
 
+    def _take(self, pdf: pd.DataFrame, low: int | None) -> int | None:
+        """Events begin to wait, and those of orphaned blocks go; the least stretch that may have some."""
+        pdf = pdf.astype({"block_number": "int64"}).sort_values("block_number")
+        new, gone = pdf[pdf["kind"] == "event"], pdf["block_number"][pdf["kind"] == "orphan"].to_numpy()
+        events = pa.Table.from_pandas(new[["block_number", "tx_hash"]], WAITING, preserve_index=False)
+        of_event, of_orphan = new["block_number"].to_numpy() // STRETCH, gone // STRETCH
+        for stretch in np.union1d(of_event, of_orphan).tolist():
+            a, z = np.searchsorted(of_event, [stretch, stretch + 1]).tolist()
+            if a < z or self.waiting.containsKey((stretch,)):
+                known = pa.concat_tables([self._get(stretch), events.slice(a, z - a)])
+                known = known.group_by(["block_number", "tx_hash"]).aggregate([]).cast(WAITING)
+                orphans = pa.array(gone[slice(*np.searchsorted(of_orphan, [stretch, stretch + 1]))], pa.int64())
+                self._put(stretch, known.filter(pc.invert(pc.is_in(known["block_number"], orphans))))
+            if a < z:
+                low = stretch if low is None else min(low, stretch)
+        return low
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         head, low = self.heights.get() if self.heights.exists() else (-1, None)
+        held: list[pd.DataFrame] = []
         for pdf in rows:
             head = max([head, *pdf["block_number"][pdf["kind"] == "head"].astype(int)])
-            pdf = pdf[pdf["kind"] != "head"].astype({"block_number": "int64"})
-            for stretch, new in pdf.groupby(pdf["block_number"] // STRETCH):
-                events, orphans = new[new["kind"] == "event"], new["block_number"][new["kind"] == "orphan"]
-                if len(events) or self.waiting.containsKey((stretch,)):
-                    known = pd.concat([self._get(stretch), events[["block_number", "tx_hash"]]]).drop_duplicates()
-                    self._put(stretch, known[~known["block_number"].isin(orphans)])
-                if len(events):
-                    low = stretch if low is None else min(low, stretch)
+            held.append(pdf[pdf["kind"] != "head"])
+            if sum(map(len, held)) >= TAKEN:
+                low, held = self._take(pd.concat(held), low), []
+        if sum(map(len, held)):
+            low = self._take(pd.concat(held), low)
         every = self.depth == 0  # all are final, whatever the head
         if low is not None and (every or head >= self.depth):
             top = max([low, *(k[0] for k in self.waiting.keys())]) if every else (head - self.depth) // STRETCH
+            out: list[pa.Table] = []
             for stretch in self._reached(low, top):
                 known = self._get(stretch)
-                final = known["block_number"] <= (known["block_number"].max() if every else head - self.depth)
-                if final.any():
-                    self._put(stretch, known[~final])
-                    yield known[final].sort_values(["block_number", "tx_hash"]).assign(chain_id=key[0])[["chain_id", "block_number", "tx_hash"]]
-            low = max(low, top)
+                final = pc.less_equal(known["block_number"], (stretch + 1) * STRETCH if every else head - self.depth)
+                found = known.filter(final)
+                if len(found):
+                    self._put(stretch, known.filter(pc.invert(final)))
+                    out.append(found.sort_by([("block_number", "ascending"), ("tx_hash", "ascending")]))
+                if sum(map(len, out)) >= 10_000:
+                    yield self._named(key[0], out)
+                    out = []
+            if out:
+                yield self._named(key[0], out)
+            low += max(0, top - low) // self.step * self.step
         self.heights.update((head, low))
 
+    def _named(self, chain: str, found: list[pa.Table]) -> pd.DataFrame:
+        return pa.concat_tables(found).to_pandas().assign(chain_id=chain)[["chain_id", "block_number", "tx_hash"]]
+
     def close(self) -> None:
         pass
 
 
+def fitting_shards(heads: DataFrame) -> int:
+    """Shards for chains up to these heads (chain_id, head), fixed for the life of a stream's state: SHARDS, or more for long chains."""
+    most = heads.agg(F.max("head")).first()[0] or 0
+    return max(SHARDS, -(-most // (STRETCH * STRETCHES)))
+
+
 def finality_stream(rows: DataFrame, depth: int, shards: int = SHARDS) -> DataFrame:
     """rows (chain_id, block_number, tx_hash, kind: event, head or orphan) -> events, once each, when they are final.
 
@@ -103,7 +145,7 @@ def finality_stream(rows: DataFrame, depth: int, shards: int = SHARDS) -> DataFr
     every = F.sequence(F.lit(0), F.lit(shards - 1))
     own = F.array(F.pmod(F.floor(F.col("block_number") / STRETCH), F.lit(shards)).cast("int"))
     dealt = rows.filter("block_number IS NOT NULL").withColumn("shard", F.explode(F.when(F.col("kind") == "head", every).otherwise(own)))
-    return dealt.groupBy("chain_id", "shard").transformWithStateInPandas(Finality(depth), "chain_id string, block_number long, tx_hash string", "append", "none")
+    return dealt.groupBy("chain_id", "shard").transformWithStateInPandas(Finality(depth, shards), "chain_id string, block_number long, tx_hash string", "append", "none")
 
 
 class Recent(StatefulProcessor):
