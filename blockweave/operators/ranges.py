@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .heights import BUCKET, with_previous
+from .heights import BUCKET, running, with_previous
 
 
 def find_gaps(blocks: DataFrame, lo: int | None = None, hi: int | None = None, width: int = BUCKET) -> DataFrame:
@@ -39,12 +39,12 @@ def gap_jump(cursors: DataFrame, heads: DataFrame, threshold: int) -> tuple[Data
 STRETCH = 10_000
 
 
-def _cut(ranges: DataFrame, n: int) -> DataFrame:
+def _cut(ranges: DataFrame, n: int, *others: str) -> DataFrame:
     """Ranges in stretches of n heights that begin at the range's begin; first by arrays of STRETCH at most, then each spread out."""
-    whole = ranges.filter("from_block <= to_block").select("chain_id", "from_block", "to_block")
+    whole = ranges.filter("from_block <= to_block").select("chain_id", "from_block", "to_block", *others)
     wide = whole.select("*", F.explode(F.sequence("from_block", "to_block", F.lit(n * STRETCH))).alias("_a"))
     wide = wide.withColumn("_z", F.least(F.col("_a") + n * STRETCH - 1, "to_block"))
-    return wide.select("chain_id", "to_block", F.explode(F.sequence("_a", "_z", F.lit(n))).alias("start"))
+    return wide.select("chain_id", "to_block", *others, F.explode(F.sequence("_a", "_z", F.lit(n))).alias("start"))
 
 
 def expand_ranges(ranges: DataFrame) -> DataFrame:
@@ -74,9 +74,20 @@ def merge_ranges(ranges: DataFrame, width: int = BUCKET) -> DataFrame:
     return b.groupBy("chain_id", "_island").agg(F.max("to_block").alias("to_block")).selectExpr("chain_id", "_island AS from_block", "to_block")
 
 
-def split_ranges(ranges: DataFrame, n: int = 100) -> DataFrame:
-    """Ranges in chunks of at most n heights."""
-    return _cut(ranges, n).select("chain_id", F.col("start").alias("from_block"), F.least(F.col("start") + n - 1, "to_block").alias("to_block"))
+def subtract_ranges(ranges: DataFrame, gone: DataFrame, width: int = BUCKET) -> DataFrame:
+    """What ranges have and gone hasn't, by their edges alone, however wide they are. Ranges of either don't overlap or touch (as
+    merge_ranges leaves them)."""
+    edge = lambda at, n: F.struct(at.alias("block_number"), F.lit(n).cast("long").alias("_d"))
+    edges = lambda df, n: df.select("chain_id", F.inline(F.array(edge(F.col("from_block"), n), edge(F.col("to_block") + 1, -n))))
+    steps = edges(ranges, 1).unionByName(edges(gone, 2)).groupBy("chain_id", "block_number").agg(F.sum("_d").alias("_d"))
+    inside = running(steps, ["chain_id"], "block_number", ["block_number"], F.col("_d"), "_in", width)
+    ends = with_previous(inside.withColumn("block_number", -F.col("block_number")), F.col("block_number"), "_next", width)  # from the top down
+    return ends.filter("_in = 1").selectExpr("chain_id", "-block_number AS from_block", "-_next - 1 AS to_block")
+
+
+def split_ranges(ranges: DataFrame, n: int = 100, *others: str) -> DataFrame:
+    """Ranges in chunks of at most n heights, with other columns of their range."""
+    return _cut(ranges, n, *others).select("chain_id", F.col("start").alias("from_block"), F.least(F.col("start") + n - 1, "to_block").alias("to_block"), *others)
 
 
 def remaining_ranges(chunks: DataFrame, progress: DataFrame) -> DataFrame:

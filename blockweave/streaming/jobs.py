@@ -471,14 +471,28 @@ def _overlapping(ranges_: DataFrame, spans: DataFrame) -> DataFrame:
     return rows.filter("hi IS NULL").select("id", reaches("_met").alias("met"), reaches("_spent").alias("spent"))
 
 
-def _in_units(chunks: DataFrame, per_unit: int) -> DataFrame:
-    """Adds unit: the number, from 0, of the unit that tries a chunk, per_unit chunks each, the lowest first; null for one given up."""
-    key = ["chain_id", "from_block"]
-    going = chunks.filter(F.col("before") < MOST_ATTEMPTS).select(*key)
+def _in_units(going: DataFrame, chunk: int, per_unit: int) -> DataFrame:
+    """Ranges that don't overlap, in chunks with their unit: its number, from 0, per_unit chunks each, the lowest first. Ranges are
+    ranked by how many chunks lie below them, so that chunks needn't be."""
+    n = F.expr(f"(to_block - from_block) div {chunk} + 1")
     lower = W.orderBy("chain_id").rowsBetween(W.unboundedPreceding, -1)  # over a row a chain
-    chains = going.groupBy("chain_id").agg(F.count("*").alias("_n")).select("chain_id", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_lower"))
-    ranked = running(going, ["chain_id"], "from_block", ["from_block"], F.lit(1).cast("long"), "_at", 100_000).join(chains, "chain_id")
-    return chunks.join(ranked.select(*key, F.expr(f"(_lower + _at - 1) div {per_unit}").alias("unit")), key, "left")
+    chains = going.groupBy("chain_id").agg(F.sum(n).alias("_n")).select("chain_id", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_lower"))
+    ranked = running(going, ["chain_id"], "from_block", ["from_block"], n, "_upto", 100_000).join(chains, "chain_id")
+    ranked = ranked.select("chain_id", "from_block", "to_block", F.col("from_block").alias("_first"), (F.col("_lower") + F.col("_upto") - n).alias("_below"))
+    unit = F.expr(f"(_below + (from_block - _first) div {chunk}) div {per_unit}").alias("unit")
+    return ranges.split_ranges(ranked, chunk, "_first", "_below").select("chain_id", "from_block", "to_block", unit)
+
+
+def _tried(rest: DataFrame, earlier: DataFrame, chunk: int) -> DataFrame:
+    """(chain_id, from_block, to_block, before): chunks of ranges that have a height at which earlier attempts ended, and how many these were.
+    A height's range is the last that begins up to it: a lookup, not a comparison with each height of the ranges."""
+    tried = earlier.filter("done < to_block").groupBy("chain_id", (F.col("done") + 1).alias("_at")).agg(F.max("attempts").alias("before"))
+    at = rest.selectExpr("chain_id", "from_block * 2 AS block_number", "named_struct('lo', from_block, 'hi', to_block) AS _range", "CAST(NULL AS bigint) AS _at", "CAST(NULL AS int) AS before")
+    asked = tried.selectExpr("chain_id", "_at * 2 + 1 AS block_number", "CAST(NULL AS struct<lo: bigint, hi: bigint>) AS _range", "_at", "before")
+    rows = with_last(at.unionByName(asked), F.col("_range"), "_in", 200_000).filter("_at <= _in.hi")
+    lo = F.expr(f"_in.lo + (_at - _in.lo) div {chunk} * {chunk}")
+    found = rows.select("chain_id", lo.alias("from_block"), F.least(lo + chunk - 1, "_in.hi").alias("to_block"), "before")
+    return found.groupBy("chain_id", "from_block", "to_block").agg(F.max("before").alias("before"))
 
 
 def ingest_ranges(queue: DataFrame, raw: DataFrame, family: str, chain: str | Column, path: str, now: int, wallets: DataFrame | None = None, per_unit: int = 1000, chunk: int = CHUNK, most_units: int | None = None) -> DataFrame:
@@ -491,6 +505,7 @@ def ingest_ranges(queue: DataFrame, raw: DataFrame, family: str, chain: str | Co
     tries each chunk once, and ends after most_units units if given.
     """
     spark = queue.sparkSession
+    drop_shuffles(spark)
     pending = queue.filter("status = 'pending' AND from_block <= to_block")
     done = units.Units(spark, path)
     began = done.latest + 1
@@ -501,14 +516,6 @@ def ingest_ranges(queue: DataFrame, raw: DataFrame, family: str, chain: str | Co
         rows = units.Units(spark, path).table("progress")
         return empty if rows is None else rows
 
-    # What earlier runs have done goes; what is left is cut into chunks, with the attempts at the heights that weren't there.
-    earlier, heights = progress(), ranges.expand_ranges(ranges.merge_ranges(pending))
-    past = ranges.merge_ranges(earlier.selectExpr("chain_id", "from_block", "done AS to_block"))
-    gone = store.spans_hit(heights, past.selectExpr("chain_id", "from_block AS lo", "to_block AS hi"))
-    rest = heights.join(gone, BLOCK_KEY, "left_anti").selectExpr("chain_id", "block_number AS from_block", "block_number AS to_block")
-    cut = ranges.split_ranges(ranges.merge_ranges(rest), chunk)
-    tried = earlier.filter("done < to_block").groupBy("chain_id", (F.col("done") + 1).alias("_at")).agg(F.max("attempts").alias("attempts"))
-    tried = cut.select(*key, F.explode(F.sequence("from_block", "to_block")).alias("_at")).join(tried, ["chain_id", "_at"]).groupBy(*key).agg(F.max("attempts").alias("before"))
     work = []
 
     def stage(df: DataFrame, name: str) -> DataFrame:
@@ -521,11 +528,22 @@ def ingest_ranges(queue: DataFrame, raw: DataFrame, family: str, chain: str | Co
         at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         work.append(at)
         plain = df.drop("unit").schema
-        df.withColumn("_unit", F.col("unit")).repartition("unit", F.pmod(F.hash("chain_id", "block_number" if "block_number" in df.columns else "from_block"), F.lit(FILES))).drop("unit").write.partitionBy("_unit").parquet(at)
+        df.withColumn("_unit", F.col("unit")).repartition("unit", F.pmod(F.hash("chain_id", "block_number" if "block_number" in df.columns else "from_block"), F.lit(FILES))).drop("unit").write.partitionBy("_unit").option("compression", CODEC).parquet(at)
         return lambda n: spark.read.schema(plain).parquet(f"{at}/_unit={n}") if tables.exists(spark, f"{at}/_unit={n}") else spark.createDataFrame([], plain)
 
-    chunks = stage(cut.join(tried, key, "left").select(*key, F.coalesce("before", F.lit(0)).alias("before")), "uncounted")
-    chunks = stage(_in_units(chunks, per_unit), "chunks")
+    # What earlier runs have done goes; what is left is cut into chunks, with the attempts at the heights that weren't there.
+    rest = stage(ranges.merge_ranges(pending), "pending")
+    if began:
+        past = ranges.merge_ranges(progress().selectExpr("chain_id", "from_block", "done AS to_block"))
+        rest = stage(ranges.subtract_ranges(rest, past), "rest")
+        tried = stage(_tried(rest, progress(), chunk), "tried")
+        spent = tried.filter(F.col("before") >= MOST_ATTEMPTS)  # chunks that are given up have no unit
+        going = ranges.subtract_ranges(rest, ranges.merge_ranges(spent))
+        chunks = _in_units(going, chunk, per_unit).join(tried.filter(F.col("before") < MOST_ATTEMPTS), key, "left").select(*key, F.coalesce("before", F.lit(0)).alias("before"), "unit")
+        chunks = chunks.unionByName(spent.select(*key, "before", F.lit(None).cast("long").alias("unit")))
+    else:
+        chunks = _in_units(rest, chunk, per_unit).select(*key, F.lit(0).alias("before"), "unit")
+    chunks = stage(chunks, "chunks")
     last = chunks.agg(F.max("unit")).first()[0]
     n_units = 0 if last is None else last + 1
     n_units = n_units if most_units is None else min(n_units, most_units)
@@ -540,7 +558,9 @@ def ingest_ranges(queue: DataFrame, raw: DataFrame, family: str, chain: str | Co
         absent = spread.join(landed.select(*BLOCK_KEY), BLOCK_KEY, "left_anti").groupBy(*key).agg((F.min("block_number") - 1).alias("upto"))
         after = stage(mine.join(absent, key, "left").select(*key, F.coalesce("upto", "to_block").alias("done"), (F.col("before") + 1).cast("int").alias("attempts"), "unit"), "after")
         reached = after.filter("from_block <= done").select("chain_id", "unit", F.explode(F.sequence("from_block", "done")).alias("block_number"))
-        txs = to_txs(raw, chain).select(*normalize.TX_COLUMNS)
+        # Before the watch-list, transactions are tried against an array of bits for the blocks that this run reaches.
+        near = watch.possible(reached.select(F.struct(*BLOCK_KEY)))(F.struct(*BLOCK_KEY))
+        txs = to_txs(raw, chain).select(*normalize.TX_COLUMNS).filter(near)
         if wallets is not None:
             own = {"grams": stage(watch.rarest_grams(watch.watchlist(wallets)), "grams"), "cut": stage} if family == "evm" else {}
             txs = MATCHERS[family](txs, wallets, **own)
